@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from codeseam.llm.common import table
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op3_pieces(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    from codeseam.llm.pieces import digests
+
+    return digests(spark, table(spark, sf_dir, "documents"), model_path or piece_model())
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codeseam.llm.quality import quality_scores
 
@@ -29,7 +41,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_quality, op9_winnowing, op10_simhash)}
+    return {f.__name__: f for f in (op3_pieces, op4_quality, op9_winnowing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
