@@ -318,9 +318,6 @@ class PieceModel:
             return b"".join(out)
 
 
-_MODELS: dict[str, PieceModel] = {}
-
-
 def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """(id, ids, starts, ends, decoded) per row: all ids, each one's byte span in the original text, and the decoded text.
 
@@ -332,10 +329,12 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
     carry = carry or []
     source = df.select(*carry, F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
 
+    names, width = source.columns[: len(carry) + 1], len(carry) + 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = PieceModel(sent.value)
         for batch in batches:
-            texts = batch.column(len(carry) + 1)
+            texts = batch.column(width)
             begin, held, parts, decoded, sizes = 0, 0, [], [], []
             for k in range(batch.num_rows):
                 ids, starts, ends = model.encode(texts[k].as_py() or "")
@@ -351,8 +350,8 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
                     ]
                     rows = batch.slice(begin, k + 1 - begin)
                     yield pa.RecordBatch.from_arrays(
-                        [*rows.columns[: len(carry) + 1], *lists, pa.array(decoded, pa.string())],
-                        names=[*source.columns[: len(carry) + 1], "ids", "starts", "ends", "decoded"],
+                        [*rows.columns[:width], *lists, pa.array(decoded, pa.string())],
+                        names=[*names, "ids", "starts", "ends", "decoded"],
                     )
                     begin, held, parts, decoded, sizes = k + 1, 0, [], [], []
 

@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from codeseam.llm.common import table
 
 
+def op1_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeseam.llm.lm import score_texts
+
+    return score_texts(spark, table(spark, sf_dir, "documents"))
+
+
 def piece_model() -> str:
     import public_tokenizers
 
@@ -41,7 +47,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_pieces, op4_quality, op9_winnowing, op10_simhash)}
+    return {f.__name__: f for f in (op1_recurrent_lm, op3_pieces, op4_quality, op9_winnowing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
