@@ -33,6 +33,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeseam.llm.licences import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codeseam.llm.winnow import contamination
 
@@ -47,7 +53,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_recurrent_lm, op3_pieces, op4_quality, op9_winnowing, op10_simhash)}
+    return {f.__name__: f for f in (op1_recurrent_lm, op3_pieces, op4_quality, op5_licences, op9_winnowing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
