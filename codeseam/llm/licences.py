@@ -198,21 +198,14 @@ def _holds(low: Column, keyword: str) -> Column:
 
 
 def gate(low: Column, table: list[Rule]) -> Column:
-    """Whether any rule can match: the stems of the table, and its rules without a stem by their own keyword."""
-    needed, own = set(), set()
+    """Whether any rule can match the lower-cased text: one alternation over the table's stems, and the keywords of
+    rules without a stem, so that the text is computed and walked once."""
+    needed = set()
     for r in table:
         text = r.regex.lower()
         stem = next((s for s in STEMS if s in text), None)
-        if stem:
-            needed.add(stem)
-        else:
-            own.add(r.keyword)
-    out = F.lit(False)
-    for s in sorted(needed):
-        out = out | F.contains(low, F.lit(s))
-    for k in sorted(own):
-        out = out | _holds(low, k)
-    return out
+        needed.add(stem or (r.keyword if len(r.keyword) > SHORT else rf"(?<![a-z]){r.keyword}(?![a-z])"))
+    return low.rlike("|".join(sorted(needed)))
 
 
 _ASCII = "".join(map(chr, range(128)))
