@@ -247,11 +247,11 @@ def _base_starts(words: Column) -> Column:
 def detections(df: DataFrame, id_col: str, text_col: str, table: list[Rule] | None = None) -> DataFrame:
     """(id, label, rule_id, priority, weight, start, end, matched): the detections left after suppression."""
     table = table if table is not None else rules()
-    spark = df.sparkSession
-    book = spark.createDataFrame(
-        [(r.keyword, r.rule_id, r.label, "(?i)" + r.regex, r.priority, r.weight) for r in table],
-        "keyword string, rule_id int, label string, regex string, priority int, weight double",
-    )  # as many rows as there are rules
+    row = lambda r: F.struct(
+        F.lit(r.keyword).alias("keyword"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.label).alias("label"),
+        F.lit("(?i)" + r.regex).alias("regex"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"),
+    )
+    book = df.sparkSession.range(1).select(F.inline(F.array(*map(row, table))))  # as many rows as there are rules
     keywords = sorted({r.keyword for r in table})
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.lower(text_col).alias("low"))
     texts = texts.filter(gate(F.col("low"), table)).withColumn(

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codeseam.llm.common import table
+from codeseam.llm.common import table, written
 
 
 def op1_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,19 @@ def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op7_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeseam.llm.warc import revisit_archives
+
+    return revisit_archives(spark, table(spark, sf_dir, "pages"))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeseam.llm.chat import chat_digests, format_chats, with_probe
+
+    chats = format_chats(with_probe(spark, table(spark, sf_dir, "conversations")))
+    return chat_digests(written(spark, chats, "chats"))
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codeseam.llm.winnow import contamination
 
@@ -53,7 +66,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_recurrent_lm, op3_pieces, op4_quality, op5_licences, op9_winnowing, op10_simhash)}
+    return {f.__name__: f for f in (op1_recurrent_lm, op3_pieces, op4_quality, op5_licences, op7_revisits, op8_chat, op9_winnowing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
