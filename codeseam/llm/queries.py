@@ -15,6 +15,12 @@ def op1_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(spark, table(spark, sf_dir, "documents"))
 
 
+def op2_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeseam.llm.additive import search
+
+    return search(spark, table(spark, sf_dir, "embeddings"))
+
+
 def piece_model() -> str:
     import public_tokenizers
 
@@ -66,7 +72,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_recurrent_lm, op3_pieces, op4_quality, op5_licences, op7_revisits, op8_chat, op9_winnowing, op10_simhash)}
+    return {f.__name__: f for f in (op1_recurrent_lm, op2_additive, op3_pieces, op4_quality, op5_licences, op7_revisits, op8_chat, op9_winnowing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
