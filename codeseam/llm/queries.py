@@ -45,6 +45,12 @@ def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeseam.llm.pii import surrogate_report
+
+    return surrogate_report(spark, table(spark, sf_dir, "documents"))
+
+
 def op7_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codeseam.llm.warc import revisit_archives
 
@@ -72,7 +78,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_recurrent_lm, op2_additive, op3_pieces, op4_quality, op5_licences, op7_revisits, op8_chat, op9_winnowing, op10_simhash)}
+    return {f.__name__: f for f in (op1_recurrent_lm, op2_additive, op3_pieces, op4_quality, op5_licences, op6_surrogates, op7_revisits, op8_chat, op9_winnowing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
