@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from codeseam.llm.common import record_batch, written
+from codeseam.llm.common import hashed_sample, record_batch, written
 
 BOOKS, WORDS, BEAM = 16, 256, 4
 #: Codebooks are fitted to at most so many vectors (the least hashes of their ids); every vector is indexed.
@@ -212,7 +212,7 @@ def search(
         return spark.createDataFrame([], empty)
     dim = sizes[0]["d"]
     rows = written(spark, rows.filter(F.size("v") == dim), "aq-vectors")
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("v").collect()
+    sample = hashed_sample(rows, "vec_id", FIT_ROWS).select("v").collect()
     books = fit(np.array([r["v"] for r in sample], np.float32), words=min(WORDS, max(1, len(sample))))
     # of each distinct vector the k + 1 smallest ids; the limit is applied before the shuffle too
     same = Window.partitionBy("v").orderBy("vec_id")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -42,10 +41,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_arrow(
-    df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
-) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def hashed_sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """At most ``most`` rows, those with the least hashes of ``key``.
+
+    Rows are thinned by their hash before they are ordered, so what the tasks send together stays near ``most`` rows.
+    """
+    parts = 1 << 20
+    count = df.count()
+    if count > 2 * most:
+        df = df.filter(F.pmod(F.xxhash64(key), F.lit(parts)) < -(-parts * most * 5 // (4 * count)))
+    return df.orderBy(F.xxhash64(key), *df.columns).limit(most)
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

@@ -364,11 +364,12 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
     return source.mapInArrow(run, schema).withColumnRenamed("__id", "id")
 
 
-def digests(spark: SparkSession, docs: DataFrame, model_path: str) -> DataFrame:
-    """The contract's columns from the operator's ids, spans and decoded text."""
+def digests(spark: SparkSession, docs: DataFrame, model_path: str, ids: bool = False) -> DataFrame:
+    """The contract's columns from the operator's ids, spans and decoded text, and the ids themselves where asked for."""
     found = encode(docs, model_path)
     return found.select(
         F.col("id").cast("bigint").alias("doc_id"),
+        *(["ids"] if ids else []),
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codeseam.llm.common import record_batch, text_bytes, written
+from codeseam.llm.common import hashed_sample, record_batch, text_bytes, written
 from codeseam.llm.components import components
 
 BITS = 64
@@ -297,7 +297,7 @@ def links(spark: SparkSession, classes: DataFrame, radius: int = RADIUS, block:
     count, corr = bit_statistics(classes)
     if count < 2:
         return spark.createDataFrame([], "a bigint, b bigint")
-    few = classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()  # the plan's sample, bounded
+    few = hashed_sample(classes.select("fp"), "fp", sample).collect()  # the plan's sample, bounded
     plan = make_plan(np.array([r["fp"] for r in few], np.int64).view(np.uint64), corr, count, radius)
     rows = probes(classes, plan)
     hot = rows.groupBy("part", "key").agg(F.count("*").alias("n")).filter(F.col("n") > block)
@@ -347,7 +347,7 @@ def _verify(schema: pa.Schema, fp: np.ndarray, own: np.ndarray, cut: np.ndarray,
 
 
 def near_classes(spark: SparkSession, prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """(fp, component_id): for every distinct fingerprint the smallest id that its links reach.
+    """(fp, root, component_id): for every distinct fingerprint its component and the smallest id that its links reach.
 
     ``prints`` has id, fp.  Null ids take part by their fingerprint but never name a component, unless no other id does.
     """
@@ -357,7 +357,7 @@ def near_classes(spark: SparkSession, prints: DataFrame, radius: int = RADIUS, b
         "fp", "id", F.coalesce("root", "fp").alias("root")
     )
     least = placed.groupBy("root").agg(F.min("id").alias("component_id"))
-    return placed.join(least, "root").select("fp", "component_id")
+    return placed.join(least, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(
@@ -375,3 +375,25 @@ def near_duplicates(
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         "component_id",
     )
+
+
+def keep_one(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """One row of ``df``, all columns, for each near-duplicate component: that of the smallest id (null ids last)."""
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    names = df.columns
+    where = names.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([fingerprint(x) for x in text_bytes(batch.column(where))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*names, "__fp"])
+
+    schema = StructType([*df.schema.fields, StructField("__fp", LongType())])
+    marked = written(spark, df.mapInArrow(run, schema).withColumn("__uid", F.monotonically_increasing_id()), "simhash-docs")
+    rows = marked.select(F.col(id_col).alias("id"), F.col("__fp").alias("fp"), "__uid")
+    found = near_classes(spark, rows.select("id", "fp"), radius)
+    first = rows.join(found.select("fp", "root"), "fp").groupBy("root").agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__uid")).alias("best")
+    )
+    return marked.join(first.select(F.col("best.__uid").alias("__uid")), "__uid", "left_semi").select(*names)

@@ -222,3 +222,28 @@ def contamination(
     return found.mapInArrow(
         finish, f"id bigint, {_DDL}, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
     )
+
+
+def clean_documents(
+    spark: SparkSession, docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id",
+    item_text_col: str = "text", block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """The rows of ``docs``, all columns, that are not contaminated."""
+    index = item_blocks(spark, items, item_id_col, item_text_col, block_words) or [ItemIndex([])]
+    names = docs.columns
+    if len(index) > 1:
+        rows = written(spark, docs.withColumn("__uid", F.monotonically_increasing_id()), "winnow-rows")
+        dirty = contamination(spark, rows, items, "__uid", text_col, item_id_col, item_text_col, block_words).filter("contaminated")
+        return rows.join(dirty.select(F.col("id").alias("__uid")), "__uid", "left_anti").select(*names)
+    only, where = index[0], names.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for data in text_bytes(batch.column(where)):
+                words = words_of(data)
+                hit = sum(b - a for a, b in only.hits(words)[0])
+                keep.append(not (hit and 20 * hit >= len(words)))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
