@@ -54,7 +54,10 @@ def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codeseam.llm.warc import revisit_archives
 
-    return revisit_archives(spark, table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    # a row's file and place in it: the same at every reading, whatever the splits
+    place = F.concat_ws(":", F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    return revisit_archives(spark, pages.select("page_id", "url", "html", place.alias("place")), "place")
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

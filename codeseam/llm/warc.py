@@ -2,9 +2,9 @@
 
 Archives are written by Spark's text writer (one record to a line, ``\\r\\n\\r\\n`` between records, gzip) and read back
 as whole files whose records are cut by their Content-Length, so any file system that Spark reaches will do and payloads
-may hold anything.  Steps: write a response record for every page; read the headers back and shuffle them by payload
-digest; the first record of a digest (smallest page id, then record id) is the original, the rest are joined to it; then
-every record is written again with fresh headers, revisits without payload.
+may hold anything.  Steps: headers (digest and length of every payload) are shuffled by payload digest; the first record
+of a digest (smallest page id, then record id) is the original, the rest are joined to it; then every record is written
+with fresh headers, revisits without payload.  Records come from a table of pages or from archives that exist already.
 """
 
 from __future__ import annotations
@@ -155,28 +155,23 @@ def _write(df: DataFrame, path: str, per_file: int) -> None:
 _TEXT = pa.schema([("value", pa.string())])
 
 
-def write_pages(pages: DataFrame, path: str, per_file: int) -> None:
-    """A response record for each row of page_id, url, html."""
+_HEADERS = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("size", pa.int64())])
+_HEADERS_DDL = "record_id string, page_id bigint, url string, digest string, size bigint"
+
+
+def page_headers(pages: DataFrame) -> DataFrame:
+    """Headers of the records to be, from rows of record_id, page_id, url, payload."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            uid, page, url = (batch.column(i).to_pylist() for i in range(3))
-            out, held = [], 0
-            for k, data in enumerate(text_bytes(batch.column(3))):
-                name = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{uid[k]}:{page[k]}:{url[k]}"))
-                out.append(build_record(page[k], url[k], data, payload_digest(data), len(data), name))
-                held += len(data)
-                if held >= BATCH_BYTES:
-                    yield record_batch(_TEXT, out)
-                    out, held = [], 0
-            yield record_batch(_TEXT, out)
+            data = text_bytes(batch.column(3))
+            yield record_batch(_HEADERS, *batch.columns[:3], [payload_digest(x) for x in data], [len(x) for x in data])
 
-    rows = pages.select(F.monotonically_increasing_id().alias("uid"), F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
-    _write(rows.mapInArrow(run, "value string"), path, per_file)
+    return pages.select("record_id", "page_id", "url", "payload").mapInArrow(run, _HEADERS_DDL)
 
 
 def resolve(headers: DataFrame, least_bytes: int = 0, salts: int = 64) -> DataFrame:
-    """(record_id, o_page, o_url, o_record) of the records that revisit another one, and that one.
+    """(record_id, o_page, o_url, o_record, o_digest, o_size) of the records that revisit another one, and that one.
 
     Headers are reduced to each digest's first record before they meet; only digests that several records share are
     joined back, over ``salts`` parts of each, so one very common payload is spread.
@@ -188,50 +183,68 @@ def resolve(headers: DataFrame, least_bytes: int = 0, salts: int = 64) -> DataFr
     shared = first.filter("n > 1").select("digest", "size", "o", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     dealt = wide.withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(salts)).cast("int"))
     return dealt.join(shared, ["digest", "size", "salt"]).filter("record_id <> o.record_id").select(
-        "record_id", F.col("o.page_id").alias("o_page"), F.col("o.url").alias("o_url"), F.col("o.record_id").alias("o_record")
-    )
+        "record_id", F.col("o.page_id").alias("o_page"), F.col("o.url").alias("o_url"), F.col("o.record_id").alias("o_record"),
+        F.col("digest").alias("o_digest"), F.col("size").alias("o_size"),
+    )
 
 
-def deduplicate(spark: SparkSession, raw_path: str, path: str, per_file: int, least_bytes: int = 0, salts: int = 64) -> None:
-    """Read the archives at ``raw_path`` and write them again at ``path`` with revisits resolved."""
-    headers = written(
-        spark, read_archives(spark, raw_path, payloads=False).select("record_id", "page_id", "url", "digest", "size"), "warc-headers"
-    )
-    revisits = resolve(headers, least_bytes, salts)
+def write_resolved(records: DataFrame, headers: DataFrame, path: str, per_file: int, least_bytes: int = 0, salts: int = 64) -> None:
+    """Write archives of ``records`` (record_id, page_id, url, payload) with the revisits that ``headers`` show."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            name, page, url, o_page, o_url, o_record, o_digest, o_size = (batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5, 6, 7, 8))
             out, held = [], 0
-            for r in batch.to_pylist():
-                refers = (r["o_page"], r["o_url"], r["o_record"]) if r["o_record"] else None
-                payload = None if refers else (r["payload"] or "").encode()
-                fresh = str(uuid.uuid5(uuid.NAMESPACE_URL, "fresh:" + r["record_id"]))
-                if refers:
-                    refers = (*refers[:2], str(uuid.uuid5(uuid.NAMESPACE_URL, "fresh:" + refers[2])))
-                out.append(build_record(r["page_id"], r["url"], payload, r["digest"], r["size"], fresh, refers))
+            for k in range(batch.num_rows):
+                fresh = str(uuid.uuid5(uuid.NAMESPACE_URL, "fresh:" + name[k]))
+                if o_record[k]:
+                    refers = (o_page[k], o_url[k], str(uuid.uuid5(uuid.NAMESPACE_URL, "fresh:" + o_record[k])))
+                    out.append(build_record(page[k], url[k], None, o_digest[k], o_size[k], fresh, refers))
+                else:
+                    data = (batch.column(3)[k].as_py() or "").encode()
+                    out.append(build_record(page[k], url[k], data, payload_digest(data), len(data), fresh))
                 held += len(out[-1])
                 if held >= BATCH_BYTES:
                     yield record_batch(_TEXT, out)
                     out, held = [], 0
             yield record_batch(_TEXT, out)
 
-    records = read_archives(spark, raw_path).select("record_id", "page_id", "url", "digest", "size", "payload")
-    joined = records.join(revisits, "record_id", "left")
+    revisits = resolve(headers, least_bytes, salts)
+    joined = records.select("record_id", "page_id", "url", "payload").join(revisits, "record_id", "left")
     _write(joined.mapInArrow(run, "value string"), path, per_file)
 
 
-def revisit_archives(spark: SparkSession, pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) read back from the deduplicated archives.
+def deduplicate(spark: SparkSession, raw_path: str, path: str, per_file: int, least_bytes: int = 0, salts: int = 64) -> None:
+    """Read the archives at ``raw_path`` and write them again at ``path`` with revisits resolved."""
+    headers = written(
+        spark, read_archives(spark, raw_path, payloads=False).select("record_id", "page_id", "url", "digest", "size"), "warc-headers"
+    )
+    write_resolved(read_archives(spark, raw_path), headers, path, per_file, least_bytes, salts)
+
+
+def archive_pages(spark: SparkSession, pages: DataFrame, path: str, row_key: str | None = None, least_bytes: int = 0) -> None:
+    """Write a record for every row of page_id, url, html.
+
+    ``row_key`` names a column that tells rows apart and stays the same whenever the table is read; without one the rows
+    are numbered in a written copy.
+    """
+    count, size = pages.agg(F.count("*"), F.coalesce(F.sum(F.length("html")), F.lit(0))).first()
+    per_file = max(1, int(ARCHIVE_BYTES // max(512, size // max(1, count))))
+    key = F.col(row_key) if row_key else F.monotonically_increasing_id().cast("string")
+    rows = pages.select(key.alias("record_id"), F.col("page_id").cast("bigint").alias("page_id"), "url", F.col("html").alias("payload"))
+    rows = rows if row_key else written(spark, rows, "warc-pages")
+    write_resolved(rows, written(spark, page_headers(rows), "warc-headers"), path, per_file, least_bytes)
+
+
+def revisit_archives(spark: SparkSession, pages: DataFrame, row_key: str | None = None, least_bytes: int = 0) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) read back from the archives written of ``pages``.
 
     Null html is the empty payload, null urls get a URN.  Null page ids sort last among equals and refer like others.
     Repeated rows are records of their own; of equal page ids the smaller record id is the original.  Other columns are
     not read.
     """
-    count, size = pages.agg(F.count("*"), F.coalesce(F.sum(F.length("html")), F.lit(0))).first()
-    per_file = max(1, int(ARCHIVE_BYTES // max(512, size // max(1, count))))
-    raw, path = shared_path(spark, "warc-raw"), shared_path(spark, "warc")
-    write_pages(pages, raw, per_file)
-    deduplicate(spark, raw, path, per_file, least_bytes)
+    path = shared_path(spark, "warc")
+    archive_pages(spark, pages, path, row_key, least_bytes)
     return read_archives(spark, path, payloads=False).select(
         "page_id",
         F.col("size").alias("payload_bytes"),
