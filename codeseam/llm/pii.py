@@ -118,6 +118,8 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             for m in PERSON.finditer(text):
                 gender = TITLES[m[1]]
                 for part in re.finditer(r"\S+", m[2]):
+                    if part[0][0].islower():  # the pattern knows lower case in ASCII only
+                        break
                     if take(m.start(2) + part.start(), m.start(2) + part.end(), "name", gender):
                         named[part[0]] = gender
             break
