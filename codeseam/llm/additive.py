@@ -28,6 +28,8 @@ BOOKS, WORDS, BEAM = 16, 256, 4
 FIT_ROWS = 12_000
 SHORT = 400
 BLOCK, QUERY_BLOCK = 8192, 2048
+#: About so many scans run side by side; beyond it, by query block alone.
+GROUPS = 48
 
 
 @dataclass
@@ -122,7 +124,8 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.filter(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~bad & F.exists(v, lambda x: x != 0))
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
 
 
@@ -132,21 +135,29 @@ def index_blocks(classes: DataFrame, books: Books, dim: int, block: int = BLOCK)
     names = ("ids", "counts", "vectors", "codes", "scale")
     schema = pa.schema([(n, pa.binary()) for n in names])
 
+    def pack(books: Books, part: pa.Table) -> pa.RecordBatch:
+        part = part.combine_chunks()
+        x = _matrix(part.column(0), dim)
+        codes = beam_encode(books, x)
+        made = decode(books, codes)
+        stored = np.sqrt(np.einsum("ij,ij->i", made, made))
+        length = np.sqrt(np.einsum("ij,ij->i", x, x))
+        scale = (length / np.maximum(stored, 1e-20)).astype(np.float32)
+        members = part.column(1).to_pylist()
+        counts = np.array([len(m) for m in members], np.int32)
+        ids = np.array([i for m in members for i in m], np.int64)
+        return record_batch(schema, *([a.tobytes()] for a in (ids, counts, x, codes.astype(np.uint8), scale)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books = Books(sent.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, block):
-                part = batch.slice(at, block)
-                x = _matrix(part.column(0), dim)
-                codes = beam_encode(books, x)
-                made = decode(books, codes)
-                stored = np.sqrt(np.einsum("ij,ij->i", made, made))
-                length = np.sqrt(np.einsum("ij,ij->i", x, x))
-                scale = (length / np.maximum(stored, 1e-20)).astype(np.float32)
-                members = part.column(1)
-                counts = np.array(members.value_lengths().to_numpy(zero_copy_only=False), np.int32)
-                ids = members.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                yield record_batch(schema, *([a.tobytes()] for a in (ids, counts, x, codes.astype(np.uint8), scale)))
+        books, held = Books(sent.value), None
+        for batch in batches:  # whole blocks, however the rows arrive
+            part = pa.Table.from_batches([batch])
+            held = part if held is None else pa.concat_tables([held, part])
+            while held.num_rows >= block:
+                yield pack(books, held.slice(0, block))
+                held = held.slice(block)
+        if held is not None and held.num_rows:
+            yield pack(books, held)
 
     return classes.select("v", "ids").mapInArrow(run, ", ".join(f"{n} binary" for n in names))
 
@@ -217,32 +228,56 @@ def search(
     # of each distinct vector the k + 1 smallest ids; the limit is applied before the shuffle too
     same = Window.partitionBy("v").orderBy("vec_id")
     kept = rows.withColumn("r", F.row_number().over(same)).filter(F.col("r") <= k + 1)
-    classes = kept.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    asks = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    packed = written(spark, query_blocks(asks.repartition("vec_id"), dim, query_block), "aq-queries")
-    n_blocks = packed.count()
-    numbered = packed.withColumn("q", F.row_number().over(Window.orderBy(F.xxhash64("qids"))) - 1) if n_blocks else packed.withColumn("q", F.lit(0))
-    numbered = written(spark, numbered, "aq-numbered")
-    blocks = written(spark, index_blocks(classes, books, dim, block), "aq-index")
-    pairs = blocks.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(max(0, n_blocks - 1))))).join(numbered, "q")
-    pairs = pairs.repartition(max(1, min(4096, n_blocks * max(1, blocks.count()))), F.xxhash64("ids", "q"))
+    classes = written(spark, kept.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "aq-classes")
+    asks = written(spark, rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]), "aq-asks")
+    # as many partitions as full blocks, so blocks don't shrink where a cluster deals rows over many partitions
+    n_queries = -(-asks.count() // query_block)
+    packed = written(spark, query_blocks(asks.repartition(max(1, n_queries)), dim, query_block), "aq-queries")
+    n_queries = packed.count()
+    if not n_queries:
+        return spark.createDataFrame([], empty)
+    numbered = written(spark, packed.withColumn("q", F.row_number().over(Window.orderBy(F.xxhash64("qids"))) - 1), "aq-numbered")
+    blocks = written(spark, index_blocks(classes.repartition(max(1, -(-classes.count() // block))), books, dim, block), "aq-index")
+    # every query block meets every index block; the index is dealt into few groups, each scanned in one go, so that the
+    # answers handed on are k a query and group however many blocks there are
+    groups = max(1, min(blocks.count(), GROUPS // n_queries))
+    pairs = blocks.withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
+    pairs = pairs.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)))).join(numbered, "q")
+    pairs = pairs.repartition(min(4096, n_queries * groups), "q", "g").sortWithinPartitions("q", "g")
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
     sent = spark.sparkContext.broadcast(books.words)
 
+    def best(found: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ask, vec, score = (np.concatenate([np.asarray(f[j], t) for f in found]) for j, t in enumerate((np.int64, np.int64, np.float64)))
+        order = np.lexsort((vec, -score, ask))
+        ask, vec, score = ask[order], vec[order], score[order]
+        first = np.searchsorted(ask, ask)
+        keep = np.arange(len(ask)) - first < k
+        return ask[keep], vec[keep], score[keep]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = sent.value
+        words, at, table, found = sent.value, None, None, []
         for batch in batches:
             for r in range(batch.num_rows):
-                ids, counts, x, codes, scale, qids, qx = (batch.column(c)[r].as_py() for c in range(7))
-                qx = np.frombuffer(qx, np.float32).reshape(-1, dim)
-                lut = np.ascontiguousarray(np.matmul(words, qx.T))  # books x words x queries
-                table = (np.frombuffer(qids, np.int64), qx, lut)
+                q, g, ids, counts, x, codes, scale, qids, qx = (batch.column(c)[r].as_py() for c in range(9))
+                if at != (q, g):
+                    if found:
+                        yield record_batch(schema, *best(found))
+                    at, found = (q, g), []
+                    qx = np.frombuffer(qx, np.float32).reshape(-1, dim)
+                    table = (np.frombuffer(qids, np.int64), qx, np.ascontiguousarray(np.matmul(words, qx.T)))  # books x words x queries
                 packed = (
                     np.frombuffer(ids, np.int64), np.frombuffer(counts, np.int32), np.frombuffer(x, np.float32).reshape(-1, dim),
                     np.frombuffer(codes, np.uint8).reshape(-1, words.shape[0]), np.frombuffer(scale, np.float32),
                 )
-                yield record_batch(schema, *_nearest(table, packed, k, short))
-
-    found = pairs.select("ids", "counts", "vectors", "codes", "scale", "qids", "qvectors").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+                found.append(_nearest(table, packed, k, short))
+                if len(found) >= 8:
+                    found = [best(found)]
+        if found:
+            yield record_batch(schema, *best(found))
+
+    found = pairs.select("q", "g", "ids", "counts", "vectors", "codes", "scale", "qids", "qvectors").mapInArrow(
+        run, "query_id bigint, vec_id bigint, score double"
+    )
     near = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
