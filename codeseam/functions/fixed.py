@@ -78,3 +78,15 @@ BUILD_FILES = (
     "pom.xml", "build.gradle", "build.gradle.kts", "settings.gradle", "settings.gradle.kts", "MODULE.bazel", "WORKSPACE",
     "WORKSPACE.bazel", "BUILD", "BUILD.bazel",
 )
+
+# Closeable classes of the platform, by full name.
+CLOSEABLE = (
+    "java.io.Closeable", "java.lang.AutoCloseable", "java.io.InputStream", "java.io.OutputStream", "java.io.Reader", "java.io.Writer",
+    "java.io.FileInputStream", "java.io.FileOutputStream", "java.io.BufferedInputStream", "java.io.BufferedOutputStream",
+    "java.io.FileReader", "java.io.FileWriter", "java.io.BufferedReader", "java.io.BufferedWriter", "java.io.InputStreamReader",
+    "java.io.OutputStreamWriter", "java.io.PrintWriter", "java.io.PrintStream", "java.io.StringReader", "java.io.StringWriter",
+    "java.io.ByteArrayInputStream", "java.io.ByteArrayOutputStream", "java.io.DataInputStream", "java.io.DataOutputStream",
+    "java.io.ObjectInputStream", "java.io.ObjectOutputStream", "java.io.RandomAccessFile", "java.util.Scanner", "java.util.Formatter",
+    "java.util.zip.ZipFile", "java.util.zip.ZipInputStream", "java.util.zip.ZipOutputStream", "java.util.zip.GZIPInputStream",
+    "java.util.zip.GZIPOutputStream", "java.util.jar.JarFile", "java.net.Socket", "java.net.ServerSocket", "java.net.URLClassLoader",
+)

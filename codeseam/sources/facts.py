@@ -24,7 +24,7 @@ _POS = "start int, length int, line int, col int"
 SCHEMA = {
     "symbols": f"key string, kind string, owner_key string, simple_name string, package string, form string, flags int, return_type string, "
     f"params array<struct<type:string,name:string>>, exceptions array<string>, type_params array<string>, constant_value string, {_POS}, name_start int, "
-    "name_length int, javadoc string, is_node boolean, is_main boolean, top_level boolean, ordinal int, field_declarations int, methods int, lines int",
+    "name_length int, javadoc string, is_node boolean, is_main boolean, top_level boolean, ordinal int, field_declarations int, methods int, lines int, return_candidates array<string>",
     "supers": "type_key string, name string, relation string, ordinal int, candidates array<string>",
     "type_refs": f"name string, candidates array<string>, fine_kind string, enclosing_key string, enclosing_type string, context string, {_POS}",
     "calls": f"call_id int, form string, name string, arity int, receiver string, receiver_candidates array<string>, receiver_call int, owners array<string>, "
@@ -38,6 +38,7 @@ SCHEMA = {
     "assigns": "method_key string, source string, target string, line int",
     "call_arguments": "method_key string, variable string, call_id int, position int, line int, direct boolean",
     "dereferences": "method_key string, variable string, text string, line int",
+    "findings": f"code string, severity string, message string, type_name string, candidates array<string>, method_key string, {_POS}",
     "comments": "start int, length int, kind string",
     "problems": "message string, start int, line int, col int",
 }
@@ -65,7 +66,7 @@ class Extractor:
     # ---- names
 
     def candidates(self, name: str, types: list[str]) -> list[str]:
-        """Full names that a type name may mean, the likeliest first."""
+        """Full names that a type name may mean, the likeliest first; the last is what it means if no source declares it."""
         head, _, rest = name.partition(".")
         tail = "." + rest if rest else ""
         out = [f"{t}.{name}" for t in reversed(types)] + [t for t in reversed(types) if t.rsplit(".", 1)[-1] == name]
@@ -73,10 +74,8 @@ class Extractor:
             out.append(self.single[head] + tail)
         out.append(f"{self.package}.{name}" if self.package else name)
         out += [f"{p}.{name}" for p in self.demand]
-        if rest:
-            out.append(name)
-        out.append(f"java.lang.{name}")
-        return list(dict.fromkeys(out))
+        outside = self.single[head] + tail if head in self.single else name if rest else f"java.lang.{name}"
+        return [c for c in dict.fromkeys(out) if c != outside] + [outside] if head not in self.single else [*dict.fromkeys(out), outside]
 
     def run(self) -> dict[str, list[dict]]:
         try:
@@ -148,10 +147,12 @@ class Extractor:
     def symbol(self, n: Node, key: str, kind: str, owner: str | None, form: str, words: list[str], ordinal: int, **more) -> None:
         row = {
             "key": key, "kind": kind, "owner_key": owner, "simple_name": n.name, "package": self.package, "form": form, "flags": sum(FLAG.get(w, 0) for w in set(words)),
-            "return_type": None, "params": None, "exceptions": None, "type_params": None, "constant_value": None, **self.pos(n.start, n.end), "name_start": n.data.get("name_start", n.start),
+            "return_type": None, "params": None, "exceptions": None, "type_params": None, "constant_value": None, "return_candidates": None, **self.pos(n.start, n.end), "name_start": n.data.get("name_start", n.start),
             "name_length": len(n.name), "javadoc": self.doc(n.start), "is_node": True, "is_main": False, "top_level": False, "ordinal": ordinal, "field_declarations": None, "methods": None,
             "lines": self.pos(n.end, n.end)["line"] - self.pos(n.start, n.start)["line"] + 1, **more,
         }
+        if row["return_type"]:
+            row["return_candidates"] = self.candidates(re.sub(r"[<\[].*", "", row["return_type"]), [owner] if owner else [])
         where = self.pos(row["name_start"], row["name_start"])
         row["line"], row["col"] = where["line"], where["col"]
         self.out["symbols"].append(row)
@@ -313,8 +314,22 @@ class Extractor:
         kind = n.kind
         if kind in ("Block", "ForStatement", "EnhancedForStatement", "TryStatement", "CatchClause", "SwitchStatement", "SwitchExpression"):
             scopes = [*scopes, {}]
+        if kind == "CatchClause" and not n.kids[-1].kids:
+            self.finding("EMPTY_CATCH", "medium", "Exception swallowed by an empty catch block", n, method)
+        if kind == "SynchronizedStatement" and self.type_of(n.kids[0], types, scopes)[0] in ("String", "java.lang.String"):
+            self.finding("SYNC_ON_STRING", "high", "Lock held on a string, which may be shared", n, method)
+        if kind == "TryStatement" and n.data["resources"]:
+            self.guarded = getattr(self, "guarded", 0) + 1
+            for k in n.kids:
+                self.statement(k, types, enclosing, scopes, method)
+            self.guarded -= 1
+            return
         if kind == "VariableDeclaration":
             self.declare(n, types, enclosing, scopes, method)
+            if not getattr(self, "guarded", 0):
+                for f in n.of("VariableDeclarationFragment"):
+                    if f.kids and f.kids[0].kind == "ClassInstanceCreation":
+                        self.finding("RESOURCE_LEAK", "medium", "Resource may stay open", f, method, f.kids[0].data["type"], types)
         elif kind == "TypeDeclaration":
             for m in n.of("MethodDeclaration", "FieldDeclaration", "Initializer"):
                 self.anonymous(Node("AnonymousClass", m.start, m.end, "", [m]), types, enclosing, scopes, method)
@@ -526,10 +541,20 @@ class Extractor:
             self.statement(Node("SwitchStatement", e.start, e.end, "", e.kids), types, enclosing, scopes, method)
         elif kind == "Annotation":
             self.annotation(e, None, "VALUE", "", "", None, types, enclosing)
-        elif kind in ("Block",):
+        elif kind == "Block":
             self.statement(e, types, enclosing, scopes, method)
         else:
             each(e.kids)
+            if kind == "InfixExpression" and e.name in ("==", "!="):
+                nulls = any(k.kind == "Literal" and k.name == "null" for k in e.kids)
+                if not nulls and any(self.type_of(k, types, scopes)[0] in ("String", "java.lang.String") for k in e.kids):
+                    self.finding("STRING_COMPARISON", "high", "Strings compared by identity", e, method)
+
+    def finding(self, code: str, severity: str, message: str, n: Node, method: str | None, type_name: str | None = None, types=()) -> None:
+        self.out["findings"].append(
+            {"code": code, "severity": severity, "message": message, "type_name": type_name, "candidates": self.candidates(type_name, list(types)) if type_name else None,
+             "method_key": method, **self.pos(n.start, n.end)}
+        )
 
     def target(self, t: Node, how: str, types, enclosing, scopes, method) -> None:
         while t.kind == "Parenthesized":
