@@ -439,7 +439,7 @@ class Extractor:
         self.calls_seen += 1
         n.data["call_id"] = self.calls_seen
         self.out["calls"].append(
-            {"call_id": self.calls_seen, "form": form, "name": name, "arity": len(args), "receiver": receiver, "receiver_candidates": self.candidates(receiver, types) + [receiver] if receiver else None,
+            {"call_id": self.calls_seen, "form": form, "name": name, "arity": len(args), "receiver": receiver, "receiver_candidates": self.candidates(receiver, types) if receiver else None,
              "receiver_call": receiver_call, "owners": owners, "enclosing_key": enclosing, "enclosing_type": types[-1] if types else None, "context": self.context(start),
              "arguments": [self.type_of(a, types, scopes)[0] for a in args], **self.pos(start, start + len(name) if form != "CREATE" else n.end)}
         )
@@ -584,7 +584,7 @@ class Extractor:
             self.type_ref(n.name, start, start + len(n.name), "OTHER", types, enclosing)
         for a in ("READS", "WRITES") if how == "READ_WRITE" else (how + "S",):
             self.out["accesses"].append(
-                {"name": n.name, "access": a, "receiver": receiver, "receiver_candidates": self.candidates(receiver, types) + [receiver] if receiver else None, "owners": owners,
+                {"name": n.name, "access": a, "receiver": receiver, "receiver_candidates": self.candidates(receiver, types) if receiver else None, "owners": owners,
                  "enclosing_key": enclosing, "enclosing_type": types[-1] if types else None, "context": self.context(start), **where}
             )
 
