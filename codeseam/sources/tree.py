@@ -103,7 +103,7 @@ def source_root(path: Column) -> Column:
 def maven_facts(pom: str) -> dict:
     """Modules, compiler level (properties, then the compiler plugin) and annotation-processor paths of a pom."""
     try:
-        root = ET.fromstring(re.sub(r'\sxmlns="[^"]*"', "", pom, count=1))
+        root = ET.fromstring(re.sub(r"""\sxmlns=(?:"[^"]*"|'[^']*')""", "", pom, count=1))
     except ET.ParseError as e:
         return {"modules": [], "level": None, "processors": [], "error": str(e)}
     text = lambda e: (e.text or "").strip() if e is not None else None
