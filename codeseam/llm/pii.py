@@ -41,7 +41,8 @@ NUMBERS: list[tuple[str, re.Pattern]] = [
     ("ip", re.compile(r"(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\w]|\.\d)")),
     ("ssn", re.compile(r"\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("card", re.compile(r"[3-6]\d{3}(?:([ -])\d{4}\1\d{4}\1\d{4}|[ -]?\d{6}[ -]?\d{5}|\d{9,15})(?![\w-])")),
-    ("phone", re.compile(r"\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{1,4}(?:[ .\-]?\d{2,4}){1,4}(?![\w])")),
+    ("phone", re.compile(r"\+1[ .\-]?(?:\(\d{3}\)|\d{3})[ .\-]?\d{3}[ .\-]?\d{4}(?!\w|[.\-]\d)")),
+    ("phone", re.compile(r"\+(?!1\D)\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{1,4}(?:[ .\-]?\d{2,4}){1,4}(?!\w|[.\-]\d)")),
     ("phone", re.compile(r"\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?![\w])")),
     ("phone", re.compile(r"\d{3}[ .\-]\d{3}[ .\-]\d{4}(?![\w-])")),
 ]

@@ -401,6 +401,11 @@ def test_surrogates(spark):
         assert by[3]["text"] == rows[2][1] and by[4]["text"] is None and by[5]["text"] == ""
         assert re.fullmatch(r"Господин [А-Яа-я]+ пришёл", by[6]["text"]) and "Иванов" not in by[6]["text"]
     assert find("") == []
+    beside = "on +1 (608) 555-2280 37.92.178.161 in +44 20 7946 0958 4665061921147096, 10.0.0.1. +1 212 555 0100 12 apples"
+    kinds = [(k, beside[a:b]) for a, b, k, _ in find(beside)]
+    assert kinds == [
+        ("phone", "+1 (608) 555-2280"), ("ip", "37.92.178.161"), ("phone", "+44 20 7946 0958"), ("card", "4665061921147096"), ("ip", "10.0.0.1"), ("phone", "+1 212 555 0100"),
+    ]
     assert surrogates(spark, documents(spark, [])).count() == 0
 
 
