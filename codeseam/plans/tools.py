@@ -858,3 +858,81 @@ def apply_quick_fix(r: Resolved, file: str, fix_id: str) -> DataFrame:
 def diagnose_and_fix(r: Resolved, file: str) -> DataFrame:
     """The best fix of each line."""
     return get_quick_fixes(r, file).filter("rank = 1").select("line", "fix_id", "relevance").orderBy("line")
+
+
+# ---------------------------------------------------------------- rewrites of one file
+
+
+def _content(r: Resolved, file: str) -> str:
+    row = r.facts.filter(F.col("path") == file).select("content").first()
+    if row is None:
+        raise SymbolNotFound(f"no file {file}")
+    return row["content"]
+
+
+def _edit_rows(r: Resolved, file: str, made) -> DataFrame:
+    """The few edits of one rewrite as rows; created files have a start of null and their content as new_text."""
+    rows = [(file, a, n, t, "; ".join(made.warnings)) for a, n, t in made.edits] + [(f, None, None, t, "") for f, t in made.created.items()]
+    return r.facts.sparkSession.createDataFrame(rows, "file string, start int, length int, new_text string, warnings string")
+
+
+def _range(r: Resolved, file: str, start_line: int, start_column: int, end_line: int, end_column: int) -> tuple[str, int, int]:
+    return _content(r, file), offset_of(r, file, start_line, start_column), offset_of(r, file, end_line, end_column)
+
+
+@tool
+def extract_variable(r: Resolved, file: str, start_line: int, start_column: int, end_line: int, end_column: int, variable_name: str | None = None) -> DataFrame:
+    from codeseam.sources import rewrite
+
+    return _edit_rows(r, file, rewrite.extract_variable(*_range(r, file, start_line, start_column, end_line, end_column), variable_name))
+
+
+@tool
+def extract_constant(r: Resolved, file: str, start_line: int, start_column: int, end_line: int, end_column: int, constant_name: str) -> DataFrame:
+    from codeseam.sources import rewrite
+
+    return _edit_rows(r, file, rewrite.extract_constant(*_range(r, file, start_line, start_column, end_line, end_column), constant_name))
+
+
+@tool
+def extract_method(r: Resolved, file: str, start_line: int, start_column: int, end_line: int, end_column: int, method_name: str) -> DataFrame:
+    from codeseam.sources import rewrite
+
+    return _edit_rows(r, file, rewrite.extract_method(*_range(r, file, start_line, start_column, end_line, end_column), method_name))
+
+
+@tool
+def inline_variable(r: Resolved, file: str, line: int, column: int) -> DataFrame:
+    from codeseam.sources import rewrite
+
+    return _edit_rows(r, file, rewrite.inline_variable(_content(r, file), offset_of(r, file, line, column)))
+
+
+@tool
+def convert_anonymous_to_lambda(r: Resolved, file: str, line: int, column: int) -> DataFrame:
+    """An anonymous class of a platform's or the project's own functional interface as a lambda."""
+    from codeseam.sources import rewrite
+
+    own = r.symbols.filter("kind = 'METHOD' and form = 'method' and (flags & 1024) <> 0").groupBy(F.col("owner_key").alias("key")).count().filter("count = 1")
+    single = r.symbols.filter("form = 'interface'").join(own, "key").join(r.supers.filter("relation = 'extends'").select(F.col("type_key").alias("key")), "key", "left_anti")
+    type_name = r.calls.filter((F.col("file") == file) & (F.col("form") == "CREATE")).select(F.col("receiver_type").alias("key")).distinct()
+    names = {x["simple_name"] for x in single.join(type_name, "key", "left_semi").select("simple_name").collect()}  # types that one file creates
+    return _edit_rows(r, file, rewrite.convert_anonymous_to_lambda(_content(r, file), offset_of(r, file, line, column), rewrite.FUNCTIONAL | names))
+
+
+@tool
+def move_type_to_new_file(r: Resolved, file: str, line: int, column: int) -> DataFrame:
+    from codeseam.sources import rewrite
+
+    folder = file.rsplit("/", 1)[0] if "/" in file else ""
+    return _edit_rows(r, file, rewrite.move_type_to_new_file(_content(r, file), offset_of(r, file, line, column), folder))
+
+
+@tool
+def apply_cleanup(r: Resolved, file: str, cleanup_id: str) -> DataFrame:
+    """(file, content, changed): the whole file after one clean-up."""
+    from codeseam.sources import rewrite
+
+    old = _content(r, file)
+    new = rewrite.apply_cleanup(old, cleanup_id)
+    return r.facts.sparkSession.createDataFrame([(file, new, new != old)], "file string, content string, changed boolean")
