@@ -424,7 +424,8 @@ class Extractor:
                 for t in reversed(types):
                     if (t, e.name, len(e.data["args"])) in self.declared:
                         return self.declared[(t, e.name, len(e.data["args"]))], None
-            return None, e.data.get("call_id")
+            known = self.platform_result(e, types, scopes)
+            return (known, None) if known else (None, e.data.get("call_id"))
         if kind == "ArrayAccess":
             inner, _ = self.type_of(e.kids[0], types, scopes)
             return (inner[:-2] if inner and inner.endswith("[]") else None), None
@@ -435,6 +436,22 @@ class Extractor:
             return ("String" if "String" in kinds else None), None
         return None, None
 
+    def platform_result(self, e: Node, types, scopes) -> str | None:
+        """What some methods that every object, string and class has give back."""
+        if not e.data["args"] and e.name in ("toString", "getClass"):
+            return "String" if e.name == "toString" else "Class"
+        if e.data["receiver"] is None:
+            return None
+        owner = self.type_of(e.data["receiver"], types, scopes)[0]
+        if owner in ("Class", "java.lang.Class"):
+            for suffix in ("Method", "Field", "Constructor"):
+                if e.name in (f"get{suffix}", f"getDeclared{suffix}"):
+                    return f"java.lang.reflect.{suffix}"
+            return {"forName": "Class", "getName": "String", "getSimpleName": "String"}.get(e.name)
+        if owner in ("String", "java.lang.String") and e.name in ("trim", "strip", "substring", "toLowerCase", "toUpperCase", "replace", "concat", "repeat", "formatted", "format", "valueOf", "join"):
+            return "String"
+        return None
+
     def add_call(self, n: Node, form: str, name: str, args: list[Node], receiver: str | None, receiver_call: int | None, owners: list[str], types, enclosing, scopes, start: int) -> None:
         self.calls_seen += 1
         n.data["call_id"] = self.calls_seen

@@ -120,3 +120,13 @@ def test_plans_push_down_and_avoid_cartesian_products(spark):
     for name in ("interval_containment", "longest_prefix", "graph_edges_weighted", "snapshot_diff"):
         text = table_queries.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_project_queries_equal_their_rows(spark, duck):
+    from codeseam.plans import fixture_queries
+
+    for name, build in fixture_queries.QUERIES.items():
+        got, want = build(spark, DATA).toPandas(), duck.execute(fixture_queries.SQL[name]).df()
+        columns = sorted(got.columns)
+        assert columns == sorted(want.columns), name
+        assert plain(got, columns) == plain(want, columns), name
