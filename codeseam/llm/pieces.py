@@ -15,7 +15,6 @@ import heapq
 import re
 import struct
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from codeseam.llm.common import record_batch
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHE = 250_000
+CACHE = 400_000  # segments in each of two tables
 FLUSH_TOKENS = 1_000_000
 
 
@@ -123,13 +122,16 @@ class PieceModel:
         self.plain = cuts and not self.charmap.units and self.prefix and not self.squeeze and self.escape and self.byte_fallback
         #: Source bytes of a piece when a space is the only thing that normalisation changes.
         self.source_len = np.array(
-            [1 if k == BYTE else len(b) - 2 * b.count(SPACE.encode()) for b, k in zip(self.piece_bytes, self.kinds)], np.int64
+            [1 if k == BYTE else len(b) - 2 * b.count(SPACE.encode()) for b, k in zip(self.piece_bytes, self.kinds)], np.int32
         )
         self.surface = [
             b.replace(SPACE.encode(), b" ") if k in (NORMAL, BYTE) else (self.unk_surface if k == UNKNOWN else b"")
             for b, k in zip(self.piece_bytes, self.kinds)
         ]
-        self.cache: dict[str, tuple[int, ...]] = {}
+        #: Neighbouring characters that some piece holds; nothing merges across any others.
+        self.bigrams = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _piece(self, f: dict) -> None:
         text = f[1].decode()
@@ -193,7 +195,7 @@ class PieceModel:
                 offer(before[i], i)
         return [p for p in parts if p]
 
-    def segment_ids(self, s: str) -> tuple[int, ...]:
+    def part_ids(self, s: str) -> list[int]:
         out: list[int] = []
         for p in self.merge(s):
             i = self.ids.get(p)
@@ -203,11 +205,43 @@ class PieceModel:
                 out.extend(self.byte_ids[b] for b in p.encode())
             elif not out or out[-1] != self.unk:  # neighbouring unknowns are one
                 out.append(self.unk)
-        found = tuple(out)
-        if len(s) <= 64:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache[s] = found
+        return out
+
+    def segment_ids(self, s: str) -> bytes:
+        """Ids of a segment as packed 32-bit numbers; its parts that nothing merges across are looked up one by one."""
+        bigrams = self.bigrams
+        cuts = [i for i in range(1, len(s)) if s[i - 1 : i + 1] not in bigrams]
+        if not cuts or not self.byte_fallback:
+            found = np.array(self.part_ids(s), np.int32).tobytes()
+        else:
+            get, parts = self.cache.get, []
+            for a, b in zip([0, *cuts], [*cuts, len(s)]):
+                part = s[a:b]
+                ids = get(part)
+                if ids is None:
+                    ids = self.older.get(part)
+                    if ids is None:
+                        ids = np.array(self.part_ids(part), np.int32).tobytes()
+                    if len(part) <= 64:
+                        self.keep(part, ids)
+                parts.append(ids)
+            found = b"".join(parts)
+        if len(s) <= 64 and "\n" not in s:
+            self.keep(s, found)
+        return found
+
+    def keep(self, s: str, found: bytes) -> None:
+        """Remember a segment.  A full table becomes the older one; what is met again moves to the new."""
+        if len(self.cache) >= CACHE:
+            self.older = dict(self.cache)
+            self.cache.clear()
+        self.cache[s] = found
+
+    def missed(self, s: str) -> bytes:
+        found = self.older.get(s)
+        if found is None:
+            return self.segment_ids(s)
+        self.keep(s, found)
         return found
 
     # ---- normalisation with alignment
@@ -275,19 +309,18 @@ class PieceModel:
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids and source byte spans of the whole text."""
         if not text:
-            none = np.empty(0, np.int64)
+            none = np.empty(0, np.int32)
             return none, none, none
         if not self.plain or SPACE in text:
-            return tuple(np.array(x, np.int64) for x in self.encode_aligned(text))
-        if "  " in text or "\n" in text or text[0] == " " or text[-1] == " ":
+            return tuple(np.array(x, np.int32) for x in self.encode_aligned(text))
+        if "  " in text or text[0] == " " or text[-1] == " ":
             segs = self.segments.findall(SPACE + text.replace(" ", SPACE))
         else:
             segs = (SPACE + text.replace(" ", " " + SPACE)).split(" ")
-        get, miss = self.cache.get, self.segment_ids
-        flat = list(chain.from_iterable([get(s) or miss(s) for s in segs]))
-        ids = np.array(flat, np.int64)
+        get, miss = self.cache.get, self.missed
+        ids = np.frombuffer(b"".join([get(s) or miss(s) for s in segs]), np.int32)
         size = self.source_len[ids]
-        ends = np.cumsum(size) - 1  # the dummy prefix has no source
+        ends = np.cumsum(size, dtype=np.int32) - 1  # the dummy prefix has no source
         starts = ends - size
         starts[0] = 0
         return ids, starts, ends
@@ -318,6 +351,18 @@ class PieceModel:
             return b"".join(out)
 
 
+_OPEN: dict[int, PieceModel] = {}
+
+
+def opened(blob: bytes) -> PieceModel:
+    """The model of a file's bytes; a worker process keeps the one it has open, and its table of segments, from task to task."""
+    key = hash(blob)
+    if key not in _OPEN:
+        _OPEN.clear()
+        _OPEN[key] = PieceModel(blob)
+    return _OPEN[key]
+
+
 def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """(id, ids, starts, ends, decoded) per row: all ids, each one's byte span in the original text, and the decoded text.
 
@@ -332,7 +377,7 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
     names, width = source.columns[: len(carry) + 1], len(carry) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = PieceModel(sent.value)
+        model = opened(sent.value)
         for batch in batches:
             texts = batch.column(width)
             begin, held, parts, decoded, sizes = 0, 0, [], [], []
