@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -130,20 +131,20 @@ def _digest(items: list[int]) -> str:
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
 
 
-def item_blocks(spark: SparkSession, items: DataFrame, id_col: str, text_col: str, block_words: int) -> list[ItemIndex]:
-    """Indexes of at most about ``block_words`` words each (a single item is never cut)."""
-    index, block, held = [], [], 0
+def item_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[ItemIndex]:
+    """Indexes of at most about ``block_words`` words each (a single item is never cut), one at a time; at least one."""
+    block, held, any_ = [], 0, False
     rows = items.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t")).filter("i is not null and t is not null")
     for r in rows.toLocalIterator():
         data = r["t"].encode()
         block.append((r["i"], data))
         held += len(data) // 4 + 1
         if held >= block_words:
-            index.append(ItemIndex(block))
+            any_ = True
+            yield ItemIndex(block)
             block, held = [], 0
-    if block:
-        index.append(ItemIndex(block))
-    return index
+    if block or not any_:
+        yield ItemIndex(block)
 
 
 def _scan(df: DataFrame, key: str, text_col: str, index: ItemIndex) -> DataFrame:
@@ -178,19 +179,21 @@ def contamination(
     is found when any of them is.  Repeated rows give repeated rows; an empty benchmark hits nothing.  Other columns
     are not read.
     """
-    index = item_blocks(spark, items, item_id_col, item_text_col, block_words) or [ItemIndex([])]
-    if len(index) == 1:
-        found = _scan(docs, id_col, text_col, index[0])
+    blocks = item_blocks(items, item_id_col, item_text_col, block_words)
+    first = next(blocks)
+    second = next(blocks, None)
+    if second is None:
+        found = _scan(docs, id_col, text_col, first)
     else:
         numbered = written(
             spark,
             docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("t")),
             "winnow-docs",
         )
-        passes = [_scan(numbered, "uid", "t", x) for x in index]
-        hits = passes[0]
-        for p in passes[1:]:
-            hits = hits.unionByName(p.filter("size(items) > 0"))
+        # each pass is written before the next block is read, so the driver holds two blocks at most
+        hits = written(spark, _scan(numbered, "uid", "t", first), "winnow-pass")
+        for index in chain([second], blocks):
+            hits = hits.unionByName(written(spark, _scan(numbered, "uid", "t", index).filter("size(items) > 0"), "winnow-pass"))
         merged = hits.groupBy("id").agg(
             F.max("n_words").alias("n_words"),
             F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))).alias("spans"),
@@ -229,13 +232,13 @@ def clean_documents(
     item_text_col: str = "text", block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """The rows of ``docs``, all columns, that are not contaminated."""
-    index = item_blocks(spark, items, item_id_col, item_text_col, block_words) or [ItemIndex([])]
-    names = docs.columns
-    if len(index) > 1:
+    blocks = item_blocks(items, item_id_col, item_text_col, block_words)
+    only, names = next(blocks), docs.columns
+    if next(blocks, None) is not None:
         rows = written(spark, docs.withColumn("__uid", F.monotonically_increasing_id()), "winnow-rows")
         dirty = contamination(spark, rows, items, "__uid", text_col, item_id_col, item_text_col, block_words).filter("contaminated")
         return rows.join(dirty.select(F.col("id").alias("__uid")), "__uid", "left_anti").select(*names)
-    only, where = index[0], names.index(text_col)
+    where = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
