@@ -818,14 +818,6 @@ def encapsulate_field(r: Resolved, file: str, line: int, column: int) -> DataFra
     return sites.select("file", "start", "length", "access", F.when(F.col("access") == "READS", f"get{cap}()").otherwise(f"set{cap}(...)").alias("through")).orderBy("file", "start")
 
 
-@tool
-def change_method_signature(r: Resolved, file: str, line: int, column: int) -> DataFrame:
-    """Call sites that a changed signature touches (up to 1,000); method references are told apart, not rewritten."""
-    key = symbol_at(r, file, line, column)
-    found = r.calls.filter(F.col("target_key") == key).select(*_site(), F.when(F.col("form") == "REFERENCE", "warning").otherwise("edit").alias("kind"))
-    return cut(found, 1000, 1000, "file", "start")
-
-
 @tool
 def get_quick_fixes(r: Resolved, file: str, line: int | None = None) -> DataFrame:
     """Fixes for the problems of a file: remove an unused import, import a name that nothing declares (ten at most)."""
@@ -841,12 +833,21 @@ def get_quick_fixes(r: Resolved, file: str, line: int | None = None) -> DataFram
 
 
 @tool
-def apply_quick_fix(r: Resolved, file: str, fix_id: str) -> DataFrame:
-    """The edit of a fix: ``add_import:`` or ``remove_import:``."""
+def apply_quick_fix(r: Resolved, file: str, fix_id: str, line: int | None = None) -> DataFrame:
+    """The edit of a fix: ``add_import:``, ``remove_import:``, ``add_throws:`` or ``surround_try_catch:`` and a name."""
     kind, _, name = fix_id.partition(":")
     i = r.raw("imports").filter(F.col("file") == file)
     if kind == "remove_import":
         return i.filter(F.col("name") == name).select("file", "start", (F.col("length") + 1).alias("length"), F.lit("").alias("new_text"))
+    if kind in ("add_throws", "surround_try_catch"):
+        from codeseam.sources import rewrite
+
+        if line is None:
+            raise InvalidParameter(f"{kind} needs a line")
+        text = _content(r, file).split("\n")[line]
+        make = rewrite.add_throws if kind == "add_throws" else rewrite.surround_try_catch
+        made = make(_content(r, file), offset_of(r, file, line, len(text) - len(text.lstrip())), name)
+        return _edit_rows(r, file, made).select("file", "start", "length", "new_text")
     if kind != "add_import":
         raise InvalidParameter(f"no such fix: {fix_id}")
     at = i.agg(F.max(F.col("start") + F.col("length")).alias("at"))
@@ -936,3 +937,191 @@ def apply_cleanup(r: Resolved, file: str, cleanup_id: str) -> DataFrame:
     old = _content(r, file)
     new = rewrite.apply_cleanup(old, cleanup_id)
     return r.facts.sparkSession.createDataFrame([(file, new, new != old)], "file string, content string, changed boolean")
+
+
+# ---------------------------------------------------------------- rewrites across files
+
+
+def _owner(r: Resolved, key: str) -> dict:
+    row = r.symbols.filter((F.col("key") == key) & (F.col("kind") == "TYPE")).select("file", "start", "length", "name_start", "simple_name", "package", "form").first()
+    if row is None:
+        raise SymbolNotFound(f"no source type {key}")
+    return row.asDict()
+
+
+def _rows(r: Resolved, edits: list[tuple[str, int | None, int | None, str]], warnings: str = "") -> DataFrame:
+    return r.facts.sparkSession.createDataFrame([(*e, warnings) for e in edits], "file string, start int, length int, new_text string, warnings string")
+
+
+def _moved(r: Resolved, file: str, line: int, column: int) -> tuple[str, str, tuple[int, int, str]]:
+    """Key of the member at a place, its text, and the edit that takes it out."""
+    from codeseam.sources import rewrite
+
+    key = symbol_at(r, file, line, column)
+    if "#" not in key:
+        raise InvalidParameter("not a member")
+    text, edit = rewrite.member_text(_content(r, file), offset_of(r, file, line, column))
+    return key, text, edit
+
+
+@tool
+def pull_up(r: Resolved, file: str, line: int, column: int) -> DataFrame:
+    """Move a member into the superclass, which has to be in the source."""
+    from codeseam.sources import rewrite
+
+    key, text, out = _moved(r, file, line, column)
+    up = r.supers.filter((F.col("type_key") == key.split("#")[0]) & (F.col("relation") == "extends") & F.col("is_source")).select("super_key").first()
+    if up is None:
+        raise InvalidParameter("no superclass in the source")
+    to = _owner(r, up["super_key"])
+    text = text.replace("private ", "protected ", 1)
+    return _rows(r, [(file, *out), (to["file"], *rewrite.insert_member(_content(r, to["file"]), to["start"], to["start"] + to["length"], text))])
+
+
+@tool
+def push_down(r: Resolved, file: str, line: int, column: int) -> DataFrame:
+    """Move a member into every direct subclass."""
+    from codeseam.sources import rewrite
+
+    key, text, out = _moved(r, file, line, column)
+    subs = [x["type_key"] for x in r.supers.filter((F.col("super_key") == key.split("#")[0]) & (F.col("relation") == "extends")).select("type_key").distinct().orderBy("type_key").collect()]
+    if not subs:
+        raise InvalidParameter("no direct subclass")
+    edits = [(file, *out)]
+    for sub in subs:  # the direct subclasses of one class
+        to = _owner(r, sub)
+        edits.append((to["file"], *rewrite.insert_member(_content(r, to["file"]), to["start"], to["start"] + to["length"], text)))
+    return _rows(r, edits)
+
+
+@tool
+def extract_superclass(r: Resolved, file: str, line: int, column: int, superclass_name: str) -> DataFrame:
+    """Move a member into a new superclass of its class."""
+    from codeseam.sources import rewrite
+
+    if not superclass_name.isidentifier() or superclass_name in fixed.RESERVED_WORDS:
+        raise InvalidParameter(f"not a name: {superclass_name}")
+    key, text, out = _moved(r, file, line, column)
+    own = _owner(r, key.split("#")[0])
+    if own["form"] != "class" or not r.supers.filter((F.col("type_key") == key.split("#")[0]) & (F.col("relation") == "extends")).isEmpty():
+        raise InvalidParameter("the type has a superclass or cannot have one")
+    body = "\n".join("    " + x if x.strip() else x for x in text.replace("private ", "protected ", 1).split("\n"))
+    head = f"package {own['package']};\n\n" if own["package"] else ""
+    created = (file.rsplit("/", 1)[0] + "/" if "/" in file else "") + f"{superclass_name}.java"
+    at = rewrite.after_name(_content(r, file), own["name_start"])
+    return _rows(r, [(file, at, 0, f" extends {superclass_name}"), (file, *out), (created, None, None, f"{head}public class {superclass_name} {{\n{body}\n}}\n")])
+
+
+@tool
+def inline_method(r: Resolved, file: str, line: int, column: int) -> DataFrame:
+    """Replace the call at a place by the method's body, which has to be one expression of the source."""
+    from codeseam.sources import rewrite
+
+    at = offset_of(r, file, line, column)
+    call = r.calls.filter((F.col("file") == file) & (F.col("start") <= at) & (F.col("start") + F.col("length") > at) & F.col("is_source") & F.col("form").isin("CALL", "SUPER")).first()
+    if call is None:
+        raise InvalidParameter("no call of a source method here")
+    to = r.symbols.filter(F.col("key") == call["target_key"]).select("file", "name_start").first()
+    made = rewrite.inline_method(_content(r, file), call["start"], _content(r, to["file"]), to["name_start"])
+    return _edit_rows(r, file, made)
+
+
+SITES = "file string, site int, list_start int, list_length int, arguments array<string>"
+
+
+def call_sites(r: Resolved, key: str) -> DataFrame:
+    """(file, site, list_start, list_length, arguments) of every call of a method; each file with calls is parsed once,
+    where its content is."""
+    import json
+
+    import pyarrow as pa
+
+    sites = r.calls.filter((F.col("target_key") == key) & F.col("form").isin("CALL", "SUPER", "REFERENCE")).groupBy("file").agg(F.collect_list("start").alias("starts"))
+    files = r.facts.select(F.col("path").alias("file"), "content").join(sites, "file")
+    schema = pa.schema([("rows", pa.string())])
+
+    def run(batches):
+        from codeseam.sources.rewrite import call_arguments
+
+        for batch in batches:
+            out = []
+            for file, content, starts in zip(*(c.to_pylist() for c in batch.columns)):
+                out += [json.dumps({"file": file, "site": a, "list_start": b, "list_length": n, "arguments": args}) for a, b, n, args in call_arguments(content, starts)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], schema=schema)
+
+    return files.mapInArrow(run, "rows string").select(F.from_json("rows", SITES).alias("r")).select("r.*")
+
+
+@tool
+def change_method_signature(
+    r: Resolved, file: str, line: int, column: int, new_name: str | None = None, new_return_type: str | None = None, new_parameters: list[dict] | None = None
+) -> DataFrame:
+    """One edit at the declaration and one or two at each call; references to the method are warnings.
+
+    ``new_parameters``: dicts with type, name and, for new ones, default.  Arguments follow their parameter's name; a new
+    parameter takes its default or a mark to be filled in.
+    """
+    from codeseam.sources import rewrite
+
+    if new_name is not None and (not new_name.isidentifier() or new_name in fixed.RESERVED_WORDS):
+        raise InvalidParameter(f"not a name: {new_name}")
+    key = symbol_at(r, file, line, column)
+    own = r.symbols.filter(F.col("key") == key).select("file", "name_start", "kind").first()
+    if own is None or own["kind"] != "METHOD":
+        raise InvalidParameter("not a source method")
+    s = rewrite.signature(_content(r, own["file"]), own["name_start"])
+    edits = []
+    if new_return_type and s["type"]:
+        edits.append((own["file"], s["type"][0], s["type"][1] - s["type"][0], new_return_type))
+    if new_name:
+        edits.append((own["file"], s["name_start"], len(s["name"]), new_name))
+    if new_parameters is not None:
+        edits.append((own["file"], s["opens"], s["closes"] - s["opens"], ", ".join(f"{p['type']} {p['name']}" for p in new_parameters)))
+    made = _rows(r, edits) if edits else _rows(r, []).limit(0)
+    sites = call_sites(r, key)
+    real = F.col("list_start") >= 0
+    out = sites.filter(~real).select("file", F.col("site").alias("start"), F.lit(0).alias("length"), F.lit("").alias("new_text"), F.lit("method reference, not rewritten").alias("warnings"))
+    if new_name:
+        out = out.union(sites.filter(real).select("file", "site", F.lit(len(s["name"])), F.lit(new_name), F.lit("")))
+    if new_parameters is not None:
+        at = {name: k for k, (_, name) in enumerate(s["params"])}
+        each = [F.get("arguments", F.lit(at[p["name"]])) if p["name"] in at else F.lit(p.get("default") or f"/* TODO {p['name']} */") for p in new_parameters]
+        out = out.union(sites.filter(real).select("file", "list_start", "list_length", F.concat_ws(", ", *each), F.lit("")))
+    return made.union(out).orderBy("file", F.desc("start"))
+
+
+@tool
+def introduce_parameter_object(r: Resolved, file: str, line: int, column: int, class_name: str | None = None, parameter_name: str = "parameterObject") -> DataFrame:
+    """A nested class that carries a method's parameters; the declaration, the body's uses and all calls follow."""
+    from codeseam.sources import rewrite
+
+    key = symbol_at(r, file, line, column)
+    own = r.symbols.filter(F.col("key") == key).select("file", "name_start", "kind", "owner_key", "simple_name").first()
+    if own is None or own["kind"] != "METHOD":
+        raise InvalidParameter("not a source method")
+    source = _content(r, own["file"])
+    s = rewrite.signature(source, own["name_start"])
+    if not s["params"]:
+        raise InvalidParameter("the method has no parameter")
+    cls = class_name or own["simple_name"][0].upper() + own["simple_name"][1:] + "Parameters"
+    cap = lambda n: n[0].upper() + n[1:]
+    edits = [(own["file"], s["opens"], s["closes"] - s["opens"], f"{cls} {parameter_name}")]
+    names = {n for _, n in s["params"]}
+    f = s["file"]
+    for x in s["body"].walk() if s["body"] else ():
+        if x.kind == "Name" and x.name in names:
+            p = f.parent[id(x)]
+            if p.kind == "Assignment" and p.kids[0] is x or p.kind == "PostfixExpression":
+                raise InvalidParameter(f"the method assigns {x.name}")
+            edits.append((own["file"], x.start, x.end - x.start, f"{parameter_name}.get{cap(x.name)}()"))
+    fields = "\n".join(f"    private final {t} {n};" for t, n in s["params"])
+    sets = " ".join(f"this.{n} = {n};" for _, n in s["params"])
+    gets = "\n".join(f"    public {t} get{cap(n)}() {{ return {n}; }}" for t, n in s["params"])
+    text = f"public static class {cls} {{\n{fields}\n\n    public {cls}({', '.join(f'{t} {n}' for t, n in s['params'])}) {{ {sets} }}\n\n{gets}\n}}"
+    to = _owner(r, own["owner_key"])
+    edits.append((own["file"], *rewrite.insert_member(source, to["start"], to["start"] + to["length"], text)))
+    sites = call_sites(r, key)
+    name = F.when(F.col("file") == own["file"], cls).otherwise(f"{to['simple_name']}.{cls}")
+    calls = sites.filter("list_start >= 0").select("file", "list_start", "list_length", F.concat(F.lit("new "), name, F.lit("("), F.array_join("arguments", ", "), F.lit(")")), F.lit(""))
+    notes = sites.filter("list_start < 0").select("file", "site", F.lit(0), F.lit(""), F.lit("method reference, not rewritten"))
+    return _rows(r, edits).union(calls).union(notes).orderBy("file", F.desc("start"))

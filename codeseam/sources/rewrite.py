@@ -404,9 +404,44 @@ def _text_blocks(f: File, n: Node):
             yield n.start, n.end - n.start, '"""\n' + "\n".join(pad + x if x else "" for x in lines[:-1]) + ("\n" if len(lines) > 1 else "") + pad + lines[-1] + '"""'
 
 
+def _overridden(f: File, n: Node):
+    if n.kind == "Block":
+        for a, b in zip(n.kids, n.kids[1:]):
+            if a.kind == "VariableDeclaration" and len(frags := a.of("VariableDeclarationFragment")) == 1 and frags[0].kids and frags[0].kids[0].kind == "Literal" and frags[0].data["type"] != "var":
+                v = frags[0]
+                if b.kind == "ExpressionStatement" and b.kids[0].kind == "Assignment" and b.kids[0].name == "=" and f.text(b.kids[0].kids[0]) == v.name:
+                    if not any(x.kind == "Name" and x.name == v.name for x in b.kids[0].kids[1].walk()) and "final" not in a.data["modifiers"]:
+                        stop = v.data["name_end"]
+                        yield stop, v.end - stop, ""
+
+
+def _switch_expression(f: File, n: Node):
+    """A switch whose every group of labels returns one value, with a default."""
+    if n.kind != "SwitchStatement" or any(k.kind == "SwitchCase" and k.data["arrow"] for k in n.kids):
+        return
+    arms, labels, default, saw_default = [], [], False, False
+    for k in n.kids[1:]:
+        if k.kind == "SwitchCase":
+            labels += [f.text(x) for x in k.kids]
+            default = default or k.data["default"]
+        elif k.kind == "ReturnStatement" and k.kids and (labels or default):
+            if default and labels:
+                return
+            arms.append(("default" if default else "case " + ", ".join(labels)) + f" -> {f.text(k.kids[0])};")
+            saw_default = saw_default or default
+            labels, default = [], False
+        else:
+            return
+    if not saw_default or labels or default:
+        return
+    pad = f.indent(n.start)
+    yield n.start, n.end - n.start, f"return switch ({f.text(n.kids[0])}) {{\n" + "".join(f"{pad}    {a}\n" for a in arms) + f"{pad}}};"
+
+
 CLEAN_UPS = {
     "invert_equals": _invert_equals, "boolean_value_rather_than_comparison": _boolean_value, "else_if": _else_if, "pattern_matching_instanceof": _pattern_instanceof,
     "convert_loops": _index_loops, "convert_to_lambda": _lambdas, "string_concat_to_text_block": _text_blocks,
+    "overridden_assignment": _overridden, "convert_to_switch_expression": _switch_expression,
 }
 
 
@@ -425,3 +460,143 @@ def apply_cleanup(source: str, cleanup: str) -> str:
             edits += made
             held = max(n.end, *(e[0] + e[1] for e in made))
     return apply_edits(source, edits)
+
+
+# ---------------------------------------------------------------- members between types, signatures, calls
+
+
+def _member(f: File, offset: int) -> tuple[Node, Node]:
+    n = f.at(offset, "MethodDeclaration", "FieldDeclaration")
+    owner = f.above(n, "TypeDeclaration") if n else None
+    if owner is None or n.kind == "MethodDeclaration" and n.data["constructor"]:
+        raise Refused("not a method or field")
+    return n, owner
+
+
+def member_text(source: str, offset: int) -> tuple[str, tuple[int, int, str]]:
+    """A member's own lines, and the edit that takes it out."""
+    f = File(source)
+    n, _ = _member(f, offset)
+    begin = n.start
+    for a, b, kind in f.comments:  # its documentation goes with it
+        if kind == "javadoc" and b <= n.start and not source[b : n.start].strip():
+            begin = a
+    pad = f.indent(begin)
+    text = "\n".join(line[len(pad) :] if line.startswith(pad) else line for line in source[begin : n.end].split("\n"))
+    start = begin - len(pad)
+    stop = n.end + (1 if source[n.end : n.end + 1] == "\n" else 0)
+    return text, (start, stop - start, "")
+
+
+def insert_member(source: str, type_start: int, type_end: int, text: str) -> tuple[int, int, str]:
+    """The edit that puts a member last into a type's body."""
+    at = source.rindex("}", type_start, type_end)
+    pad = re.match(r"[ \t]*", source[source.rfind("\n", 0, type_start) + 1 :])[0] + "    "
+    body = "\n".join(pad + line if line.strip() else line for line in text.split("\n"))
+    lead = "" if source[:at].rstrip(" \t").endswith("\n") else "\n"
+    line = source.rfind("\n", 0, at) + 1
+    if source[line:at].strip() == "":
+        at = line
+    return at, 0, f"{lead}{body}\n"
+
+
+def header_end(source: str, type_name_start: int) -> int:
+    """Where a type's body opens."""
+    f = File(source)
+    n = next(t for t in f.all if t.kind == "TypeDeclaration" and t.data["name_start"] == type_name_start)
+    last = max([type_name_start + len(n.name), *(k.end for k in (*n.data["type_params"], *n.data["components"], *n.data["extends"], *n.data["implements"], *n.data["permits"]))])
+    return source.index("{", last)
+
+
+def after_name(source: str, type_name_start: int) -> int:
+    """Where an extends clause goes: behind the name and its type parameters."""
+    f = File(source)
+    n = next(t for t in f.all if t.kind == "TypeDeclaration" and t.data["name_start"] == type_name_start)
+    end = type_name_start + len(n.name)
+    return source.index(">", max(k.end for k in n.data["type_params"]) - 1) + 1 if n.data["type_params"] else end
+
+
+def signature(source: str, offset: int) -> dict:
+    """Places of a method's return type, name and parameter list."""
+    f = File(source)
+    n = f.at(offset, "MethodDeclaration")
+    if n is None:
+        raise Refused("not a method")
+    kind = n.of("Type")
+    opens = source.index("(", n.data["name_start"] + len(n.name))
+    last = n.data["params"][-1].end if n.data["params"] else opens + 1
+    closes = source.index(")", last)
+    return {
+        "name": n.name, "name_start": n.data["name_start"], "type": (kind[0].start, kind[0].end) if kind else None, "opens": opens + 1, "closes": closes,
+        "params": [(p.data["type"], p.name) for p in n.data["params"]], "body": n.data["body"], "node": n, "file": f,
+    }
+
+
+def call_arguments(source: str, starts: list[int]) -> list[tuple[int, int, int, list[str]]]:
+    """(name start, list start, list length, argument texts) of the calls whose name starts at given places; method
+    references have a list start of -1."""
+    f = File(source)
+    wanted, out = set(starts), []
+    for n in f.all:
+        at = n.data.get("name_start")
+        if n.kind == "MethodInvocation" and at in wanted:
+            opens = source.index("(", at + len(n.name)) + 1
+            out.append((at, opens, n.end - 1 - opens, [f.text(a) for a in n.data["args"]]))
+        elif n.kind == "MethodReference" and at in wanted:
+            out.append((at, -1, 0, []))
+    return out
+
+
+def inline_method(call_source: str, call_at: int, body_source: str, body_at: int) -> Rewrite:
+    """Replace one call by the method's single expression, its parameters by the arguments."""
+    s = signature(body_source, body_at)
+    body, g = s["body"], s["file"]
+    if body is None or len(body.kids) != 1 or body.kids[0].kind not in ("ReturnStatement", "ExpressionStatement") or not body.kids[0].kids:
+        raise Refused("the method is not one expression")
+    value = body.kids[0].kids[0]
+    f = File(call_source)
+    call = next((n for n in f.all if n.kind == "MethodInvocation" and n.data["name_start"] == call_at), None)
+    if call is None:
+        raise Refused("no call here")
+    if len(call.data["args"]) != len(s["params"]):
+        raise Refused("the call's arguments don't match the parameters")
+    given = {p: a for (_, p), a in zip(s["params"], call.data["args"])}
+    out = Rewrite()
+    edits = []
+    for x in value.walk():
+        if x.kind in ("This", "Super"):
+            out.warnings.append(f"the method uses {x.name}")
+        if x.kind == "Name" and x.name in given:
+            a = given[x.name]
+            text = f.text(a)
+            edits.append((x.start - value.start, x.end - x.start, f"({text})" if a.kind in _LOOSE else text))
+    from codeseam.operators.edits import apply_edits
+
+    text = apply_edits(g.text(value), edits)
+    parent = f.parent[id(call)].kind
+    loose = value.kind in _LOOSE and parent not in ("ExpressionStatement", "VariableDeclarationFragment", "ReturnStatement", "Parenthesized")
+    out.edits = [(call.start, call.end - call.start, f"({text})" if loose else text)]
+    return out
+
+
+def add_throws(source: str, offset: int, exception: str) -> Rewrite:
+    f = File(source)
+    n = f.at(offset, "MethodDeclaration")
+    if n is None:
+        raise Refused("not in a method")
+    throws = n.of("Throws")
+    if throws:
+        return Rewrite([(throws[-1].end, 0, f", {exception}")])
+    s = signature(source, n.data["name_start"])
+    return Rewrite([(s["closes"] + 1, 0, f" throws {exception}")])
+
+
+def surround_try_catch(source: str, offset: int, exception: str) -> Rewrite:
+    f = File(source)
+    inside = [s for s in f.all if (s.kind.endswith("Statement") or s.kind == "VariableDeclaration") and s.start <= offset <= s.end and f.parent[id(s)].kind == "Block"]
+    if not inside:
+        raise Refused("no statement here")
+    s = min(inside, key=lambda x: x.end - x.start)
+    pad = f.indent(s.start)
+    body = f.text(s).replace("\n", "\n    ")
+    return Rewrite([(s.start, s.end - s.start, f"try {{\n{pad}    {body}\n{pad}}} catch ({exception} e) {{\n{pad}    throw new RuntimeException(e);\n{pad}}}")])

@@ -168,6 +168,59 @@ def test_rename_covers_the_family(project):
     assert sorted((f, n) for f, n, _, _ in got) == [(MAIN, 12), ("src/main/java/shop/Priced.java", 3), (BASKET, 22)]
 
 
+CLASSES = {
+    "src/a/Base.java": "package a;\n\npublic class Base {\n    int keep;\n\n    /** Both. */\n    public int both(int x, String s) {\n        return x + s.length();\n    }\n}\n",
+    "src/a/Child.java": "package a;\n\npublic class Child extends Base {\n    private int own() { return both(1 + 2, \"y\"); }\n    void refer() { F f = this::both; }\n    int twice() { return own() * 2; }\n}\n",
+    "src/a/F.java": "package a;\n\ninterface F { int go(int x, String s); }\n",
+}
+
+
+def test_rewrites_across_files(spark, tmp_path):
+    from codeseam.operators.edits import apply_edits
+    from codeseam.sources.java_parser import parse
+
+    for name, text in CLASSES.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    store = FactStore(spark, str(tmp_path), str(tmp_path / "facts"))
+    store.load()
+    r = store.resolved
+    base, child = "src/a/Base.java", "src/a/Child.java"
+
+    def applied(name, **arguments):
+        out = dict(CLASSES)
+        made = {}
+        for e in query(r, name, **arguments).collect():
+            if e["start"] is None:
+                out[e["file"]] = e["new_text"]
+            elif not e["warnings"]:
+                made.setdefault(e["file"], []).append((e["start"], e["length"], e["new_text"]))
+        for file, todo in made.items():
+            out[file] = apply_edits(out[file], todo)
+        for text in out.values():
+            parse(text)
+        return out
+
+    up = applied("pull_up", file=child, line=3, column=17)
+    assert "own()" in up[base] and "protected int own()" in up[base] and "private int own" not in up[child]
+    down = applied("push_down", file=base, line=6, column=16)
+    assert "both(int x" in down[child] and "/** Both. */" in down[child] and "both(int x" not in down[base] and "int keep;" in down[base]
+    top = applied("extract_superclass", file=base, line=6, column=16, superclass_name="Root")
+    assert "class Base extends Root {" in top[base] and "public int both" in top["src/a/Root.java"]
+    inlined = applied("inline_method", file=child, line=5, column=27)
+    assert 'return both(1 + 2, "y") * 2;' in inlined[child]
+    swapped = applied(
+        "change_method_signature", file=base, line=6, column=16, new_name="sum", new_return_type="long",
+        new_parameters=[{"type": "String", "name": "s"}, {"type": "int", "name": "x"}, {"type": "boolean", "name": "b", "default": "true"}],
+    )
+    assert "public long sum(String s, int x, boolean b)" in swapped[base] and 'sum("y", 1 + 2, true)' in swapped[child]
+    warned = [e["warnings"] for e in query(r, "change_method_signature", file=base, line=6, column=16, new_name="sum").collect() if e["warnings"]]
+    assert warned == ["method reference, not rewritten"]
+    boxed = applied("introduce_parameter_object", file=base, line=6, column=16)
+    assert "both(BothParameters parameterObject)" in boxed[base] and "parameterObject.getX() + parameterObject.getS().length()" in boxed[base]
+    assert 'both(new Base.BothParameters(1 + 2, "y"))' in boxed[child]
+
+
 def test_rules(project):
     r = project[0].resolved
     assert rows(query(r, "find_unused_code"), "key") == [("shop.Main#unused()",), ("shop.Main#name",)]
@@ -195,7 +248,17 @@ def test_every_query_builds(project):
         "search_symbols": {"query": "B*"}, "rename_symbol": {**place, "new_name": "put"}, "extract_interface": {**place, "interface_name": "Cart"}, "apply_quick_fix": {"file": MAIN, "fix_id": "remove_import:java.util.List"},
         "find_field_writes": {"file": BASKET, "line": 5, "column": 17}, "get_dependency_graph": {"scope": "type", "name": "Basket"}, "suggest_imports": {"type_name": "Basket"}, "get_type_hierarchy": {"type_name": "Basket"}, "validate_syntax": {"content": "class A {"},
     }
+    ranged = {"start_line": 13, "end_line": 13}
+    special |= {
+        "extract_variable": {"file": BASKET, **ranged, "start_column": 21, "end_column": 34}, "extract_constant": {"file": BASKET, "start_line": 9, "start_column": 20, "end_line": 9, "end_column": 26, "constant_name": "FREE"},
+        "extract_method": {"file": BASKET, "start_line": 12, "start_column": 8, "end_line": 14, "end_column": 9, "method_name": "loop"}, "apply_cleanup": {"file": BASKET, "cleanup_id": "invert_equals"},
+    }
+    refused = {"inline_variable", "convert_anonymous_to_lambda", "move_type_to_new_file", "pull_up", "push_down", "inline_method", "extract_superclass"}
     for name, build in TOOLS.items():
+        if name in refused:
+            with pytest.raises(ValueError):
+                query(r, name, **place, **({"superclass_name": "class"} if name == "extract_superclass" else {}))
+            continue
         needs = [p for p, v in inspect.signature(build).parameters.items() if v.default is inspect.Parameter.empty][1:]
         arguments = special.get(name) or {p: {**place, "type_name": "Basket"}[p] for p in needs}
         assert query(r, name, **arguments).columns, name

@@ -94,6 +94,7 @@ def test_lambda_and_move():
         ("pattern_matching_instanceof", "if (o instanceof String) { String t = (String) o; f(t); }", "if (o instanceof String t) { f(t); }"),
         ("convert_loops", "for (int i = 0; i < names.length; i++) { f(names[i]); }", "for (var name : names) { f(name); }"),
         ("convert_loops", "for (int i = 0; i < names.length; i++) { f(i, names[i]); }", "for (int i = 0; i < names.length; i++) { f(i, names[i]); }"),
+        ("overridden_assignment", "int x = 0; x = f();", "int x; x = f();"),
         ("convert_to_lambda", "Runnable r = new Runnable() { public void run() { f(); } };", "Runnable r = () -> f();"),
     ],
 )
@@ -108,3 +109,18 @@ def test_text_blocks():
     out = rewrite.apply_cleanup('class A { String s = "a\\n" + "b \\"c\\"\\n" + "d"; }', "string_concat_to_text_block")
     assert '"""\n' in out and 'b "c"' in out
     parse(out)
+
+
+def test_switch_expression():
+    out = rewrite.apply_cleanup("class A { int m(int k) { switch (k) { case 1: case 2: return 5; default: return 6; } } }", "convert_to_switch_expression")
+    assert "return switch (k) {" in out and "case 1, 2 -> 5;" in out and "default -> 6;" in out
+    parse(out)
+    kept = "class A { int m(int k) { switch (k) { case 1: f(); return 5; default: return 6; } } }"
+    assert rewrite.apply_cleanup(kept, "convert_to_switch_expression") == kept
+
+
+def test_throws_and_try():
+    source = "class A {\n    void m(int k) {\n        f();\n    }\n    void n() throws E { }\n}\n"
+    assert "void m(int k) throws IOException {" in done(rewrite.add_throws(source, source.index("f();"), "IOException"), source)
+    assert "throws E, IOException" in done(rewrite.add_throws(source, source.index("throws E"), "IOException"), source)
+    assert "try {\n            f();\n        } catch (IOException e) {" in done(rewrite.surround_try_catch(source, source.index("f();"), "IOException"), source)
