@@ -87,8 +87,19 @@ class BasketTest {
 }
 
 
+@pytest.fixture(scope="module")
+def loaded(spark, tmp_path_factory):
+    """A loaded project that no test changes."""
+    return made(spark, tmp_path_factory.mktemp("shared"))
+
+
 @pytest.fixture
 def project(spark, tmp_path):
+    """A loaded project of a test's own."""
+    return made(spark, tmp_path)
+
+
+def made(spark, tmp_path):
     root = tmp_path / "shop"
     for name, text in FILES.items():
         path = root / name
@@ -105,15 +116,15 @@ def rows(df, *columns):
 MAIN, BASKET = "src/main/java/shop/Main.java", "src/main/java/shop/core/Basket.java"
 
 
-def test_load_and_structure(project):
-    store, _, summary = project
+def test_load_and_structure(loaded):
+    store, _, summary = loaded
     assert summary["buildSystem"] == "MAVEN" and summary["files"] == 4 and summary["packages"] == ["shop", "shop.core"] and summary["problems"] == 0
     r = store.resolved
-    assert rows(query(r, "get_project_structure"), "root", "package", "files") == [("src/main/java", "shop", 2), ("src/main/java", "shop.core", 1), ("src/test/java", "shop", 1)]
+    assert rows(query(r, "get_loaded_structure"), "root", "package", "files") == [("src/main/java", "shop", 2), ("src/main/java", "shop.core", 1), ("src/test/java", "shop", 1)]
 
 
-def test_graph_of_the_project(project):
-    r = project[0].resolved
+def test_graph_of_the_loaded(loaded):
+    r = loaded[0].resolved
     edges = set(rows(r.edges))
     assert {
         ("shop.Main#main(String[])", "shop.core.Basket", "CREATES"), ("shop.Main#main(String[])", "shop.core.Basket#add(String)", "CALLS"), ("shop.Main#main(String[])", "shop.Priced#price()", "CALLS"),
@@ -128,14 +139,14 @@ def test_graph_of_the_project(project):
 
 
 @pytest.mark.parametrize("k", [0, 1, 4, 5, 6, 10**6])
-def test_limits_keep_exact_totals(project, k):
-    found = query(project[0].resolved, "find_unreachable_code", max_results=k)
+def test_limits_keep_exact_totals(loaded, k):
+    found = query(loaded[0].resolved, "find_unreachable_code", max_results=k)
     got = rows(found, "total")
     assert len(got) == min(k, 5) and all(t == (5,) for t in got)
 
 
-def test_bad_arguments(project):
-    r = project[0].resolved
+def test_bad_arguments(loaded):
+    r = loaded[0].resolved
     with pytest.raises(InvalidParameter):
         query(r, "find_unreachable_code", max_results=-1)
     with pytest.raises(InvalidParameter):
@@ -148,8 +159,8 @@ def test_bad_arguments(project):
         query(r, "get_symbol_info", file=MAIN, line=6, column=5)  # in a comment
 
 
-def test_places_and_references(project):
-    r = project[0].resolved
+def test_places_and_references(loaded):
+    r = loaded[0].resolved
     assert rows(query(r, "go_to_definition", file=MAIN, line=10, column=11), "key") == [("shop.core.Basket#add(String)",)]
     assert rows(query(r, "get_enclosing_element", file=MAIN, line=10, column=11), "method", "type") == [("shop.Main#main(String[])", "shop.Main")]
     sites = rows(query(r, "find_references", file=BASKET, line=8, column=18), "file", "line")
@@ -162,8 +173,8 @@ def test_places_and_references(project):
     assert rows(query(r, "find_affected_tests", file=BASKET, line=24, column=18), "key", "disabled") == [("shop.BasketTest#adds()", False)]
 
 
-def test_rename_covers_the_family(project):
-    r = project[0].resolved
+def test_rename_covers_the_family(loaded):
+    r = loaded[0].resolved
     got = rows(query(r, "rename_symbol", file=BASKET, line=22, column=17, new_name="cost"), "file", "line", "col", "position")
     assert sorted((f, n) for f, n, _, _ in got) == [(MAIN, 12), ("src/main/java/shop/Priced.java", 3), (BASKET, 22)]
 
@@ -221,8 +232,8 @@ def test_rewrites_across_files(spark, tmp_path):
     assert 'both(new Base.BothParameters(1 + 2, "y"))' in boxed[child]
 
 
-def test_rules(project):
-    r = project[0].resolved
+def test_rules(loaded):
+    r = loaded[0].resolved
     assert rows(query(r, "find_unused_code"), "key") == [("shop.Main#unused()",), ("shop.Main#name",)]
     assert ("Bad_Name", "camelCase") in rows(query(r, "find_naming_violations"), "name", "expected")
     codes = {c for (c,) in rows(query(r, "find_possible_bugs"), "code")}
@@ -239,8 +250,8 @@ def test_rules(project):
     assert "import shop.core.Basket;" == rows(query(r, "organize_imports", file=MAIN), "new_text")[0][0]
 
 
-def test_every_query_builds(project):
-    r = project[0].resolved
+def test_every_query_builds(loaded):
+    r = loaded[0].resolved
     import inspect
 
     place = {"file": BASKET, "line": 8, "column": 18}
