@@ -85,4 +85,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from codeseam.llm import sql
+
+    return {"op7_revisits": sql.OP7, "op8_chat": sql.OP8, "op9_winnowing": sql.OP9}
