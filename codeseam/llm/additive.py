@@ -88,7 +88,7 @@ def decode(books: Books, codes: np.ndarray) -> np.ndarray:
 
 
 def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, refits: int = 2, seed: int = 5) -> Books:
-    """Residual k-means, then rounds of beam encoding and a joint least-squares refit of all codewords."""
+    """Residual k-means, then rounds of beam encoding and a least-squares refit of all codewords together."""
     rng = np.random.default_rng(seed)
     left, made = x.astype(np.float32).copy(), []
     for _ in range(books):
@@ -97,25 +97,35 @@ def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, refits: int = 2,
         left -= c[at]
         made.append(c)
     out = Books(np.array(made, np.float32))
+    err = lambda b: float(((x[:3000] - decode(b, beam_encode(b, x[:3000]))) ** 2).sum())
     for _ in range(refits):
         codes = beam_encode(out, x)
-        cols = (codes + np.arange(books) * words).ravel()
-        gram = np.zeros((books * words, books * words), np.float64)
-        for j in range(books):
-            for k in range(books):
-                np.add.at(gram, (codes[:, j] + j * words, codes[:, k] + k * words), 1.0)
-        right = np.zeros((books * words, x.shape[1]))
-        np.add.at(right, cols, np.repeat(x.astype(np.float64), books, 0))
-        # a ridge towards the present words keeps unused words as they are
-        solved = np.linalg.solve(gram + 0.5 * np.eye(len(gram)), right + 0.5 * out.flat)
-        better = Books(solved.reshape(out.words.shape).astype(np.float32))
-        err = lambda b: float(((x[:3000] - decode(b, beam_encode(b, x[:3000]))) ** 2).sum())
+        better = Books(refit(x, out.words, codes))
         if err(better) >= err(out):
             break
         out = better
     return out
 
 
+def refit(x: np.ndarray, words: np.ndarray, codes: np.ndarray, sweeps: int = 6) -> np.ndarray:
+    """All codewords by least squares for fixed codes: each book in turn takes the means of what the others leave.
+
+    Block coordinate descent on the joint problem, so no matrix over all codewords is held.  A small weight on the
+    present words keeps unused ones as they are.
+    """
+    words = words.astype(np.float64)
+    left = x - words[np.arange(len(words))[:, None], codes.T].sum(0)
+    for _ in range(sweeps):
+        for m in range(len(words)):
+            at = codes[:, m]
+            left += words[m][at]
+            sums = 0.5 * words[m]
+            np.add.at(sums, at, left)
+            words[m] = sums / (np.bincount(at, minlength=len(words[m])) + 0.5)[:, None]
+            left -= words[m][at]
+    return words.astype(np.float32)
+
+
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, v array<float>): rows with an id and finite, not all zero components, of the commonest length."""
     v = F.col("v")
