@@ -48,19 +48,44 @@ def hierarchy(supers: DataFrame) -> DataFrame:
         out = settled(out.union(frontier))
 
 
+#: How kept tables lie: the column of their folders, and the column that their rows are dealt and sorted by, so that a
+#: question about one key reads one folder and skips row groups by their bounds.
+LAYOUT = {
+    "refs": ("match_kind", "target_key"), "type_refs": ("fine_kind", "target_key"), "calls": (None, "target_key"), "accesses": (None, "target_key"),
+    "edges": ("kind", "to_key"), "symbols": ("kind", "key"), "annotations": (None, "fqn"),
+}
+
+
 class Resolved:
-    """Lazily resolved tables over one facts frame."""
+    """Lazily resolved tables over one facts frame.
 
-    def __init__(self, facts: DataFrame):
-        self.facts = facts
+    With a folder, each table is written there once and read by every later session; without one it is checkpointed.
+    """
+
+    def __init__(self, facts: DataFrame, folder: str | None = None):
+        self.facts, self.folder = facts, folder
         self._made: dict[str, DataFrame] = {}
 
+    def _kept(self, name: str) -> DataFrame:
+        made = getattr(self, f"_{name}")()
+        if self.folder is None:
+            return settled(made)
+        spark, path = made.sparkSession, f"{self.folder}/{name}"
+        done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+            split, key = LAYOUT.get(name, (None, None))
+            if key:
+                made = made.repartitionByRange(key).sortWithinPartitions(key)
+            writer = made.write.mode("overwrite")
+            (writer.partitionBy(split) if split else writer).parquet(path)
+        return spark.read.schema(made.schema).parquet(path).select(*made.columns)
+
     def raw(self, name: str) -> DataFrame:
         return table(self.facts, name)
 
     def get(self, name: str) -> DataFrame:
         if name not in self._made:
-            self._made[name] = settled(getattr(self, f"_{name}")())
+            self._made[name] = self._kept(name)
         return self._made[name]
 
     def __getattr__(self, name: str) -> DataFrame:

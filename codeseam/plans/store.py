@@ -84,9 +84,14 @@ class FactStore:
     @property
     def resolved(self) -> Resolved:
         if self._resolved is None:
-            self._resolved = Resolved(self.facts)
+            self._resolved = Resolved(self.facts, f"{self.path}/resolved/{self.version()}")
         return self._resolved
 
+    def version(self) -> str:
+        """Names the facts' content: equal trees, equal names, whatever way the facts came about."""
+        row = self.facts.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("path", "md5")), F.lit(0)).alias("x")).first()
+        return f"{row['n']}-{row['x'] & (1 << 64) - 1:016x}"
+
     # ---- freshness
 
     def changes(self) -> ChangeSet:
@@ -117,12 +122,12 @@ class FactStore:
             rows = self.spark.read.parquet(staged)
             gone = {r["bucket"] for r in buckets.collect()} - {r["bucket"] for r in rows.select("bucket").distinct().collect()}
             rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/facts")
-            self._drop(gone)
+            for b in gone:
+                self._delete(f"{self.path}/facts/bucket={b}")
+            self._delete(f"{self.path}/resolved")  # of the content before
             self._resolved = None
         return changed
 
-    def _drop(self, buckets: set[int]) -> None:
-        jvm = self.spark.sparkContext._jvm
-        for b in buckets:
-            folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/facts/bucket={b}")
-            folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    def _delete(self, path: str) -> None:
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -293,6 +293,17 @@ def test_incremental_facts_equal_a_full_load(spark, project, tmp_path):
         store.fresh()
 
 
+def test_resolved_tables_are_kept_and_pruned(project, spark):
+    store = project[0]
+    first = sorted(rows(store.resolved.refs.select("file", "start", "target_key", "match_kind")), key=str)
+    again = FactStore(spark, store.root, store.path).resolved
+    refs = again.refs.filter("match_kind = 'METHOD' and target_key = 'shop.core.Basket#add(String)'")
+    plan = refs._jdf.queryExecution().executedPlan().toString()
+    assert "match_kind" in plan.split("PartitionFilters")[1].split("]")[0] and "EqualTo(target_key" in plan
+    assert refs.count() == 2
+    assert sorted(rows(again.refs.select("file", "start", "target_key", "match_kind")), key=str) == first
+
+
 def test_missing_root_fails_loudly(project):
     import shutil
 
