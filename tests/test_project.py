@@ -314,7 +314,7 @@ def test_missing_root_fails_loudly(project):
 
 
 def test_watch_refreshes(project, tmp_path):
-    from codeseam.streaming.freshness import watch
+    from codeseam.streaming.freshness import strict, watch
 
     store, root, _ = project
     (root / "src/main/java/shop/Extra.java").write_text("package shop; class Extra { }")
@@ -323,6 +323,8 @@ def test_watch_refreshes(project, tmp_path):
     assert stream.awaitTermination(60)
     assert seen[0].added == ["src/main/java/shop/Extra.java"]
     assert store.facts.filter(F.col("path").contains("Extra")).count() == 1
+    (root / "src/main/java/shop/Extra.java").unlink()
+    assert strict(store, "search_symbols", query="Extra").count() == 0
 
 
 # ---- front end
