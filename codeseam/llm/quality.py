@@ -100,7 +100,7 @@ def train(rows: list[tuple[bytes, int]], epochs: int = EPOCHS) -> np.ndarray:
     for data, label in rows:
         at, n = features(data, codes)
         at, times = np.unique(at, return_counts=True)
-        seen.append((np.append(at, size), np.append(times / max(1, n), 1.0), label))
+        seen.append((np.append(at, size).astype(np.int32), np.append(times / max(1, n), 1.0).astype(np.float32), label))
     ones = sum(label for *_, label in seen)
     weight = {1: 1.0, 0: min(4.0, max(1.0, ones / max(1, len(seen) - ones)) ** 0.5)}
     for _ in range(epochs):
