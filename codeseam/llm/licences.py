@@ -1,7 +1,8 @@
 """License scans: ordered signature rules, gated by keywords, overlaps resolved by priority and containment.
 
 Everything runs as DataFrame expressions.  A text is searched only where one alternation over all keywords matches it;
-each keyword found opens the rules of its own, and only those regexes run on that text.  Detections are spans of the
+each keyword found opens the rules of its own, and only those regexes run on that text.  A keyword is a word that the
+rule's regex cannot match without, so the gates lose no detection.  Detections are spans of the
 text.  A detection is suppressed when a better one (higher priority, then longer, then earlier rule) contains its span.
 """
 
@@ -30,6 +31,7 @@ class Rule:
     regex: str  # matched without regard to case
     priority: int  # 1 identifier, 2 full notice, 3 name and version, 4 name alone, 5 hint
     weight: float
+    whole: bool = False  # the keyword stands as a word of the folded text, not just within it
 
 
 def _phrase(words: str) -> str:
@@ -40,7 +42,23 @@ def _phrase(words: str) -> str:
 #: A grant's opening words belong to the name that follows, so its span holds the bare hint's.
 LEAD = rf"(?:(?:licensed|released|distributed|available){GAP}under{GAP}(?:the{GAP})?(?:terms{GAP}of{GAP})?(?:the{GAP})?)?"
 
-#: label, identifier, names (``|`` between them), keyword of the names
+#: Words that say little about a text: none of them is a keyword where the phrase has another.
+PLAIN = frozenset("general public license licence software source free open distributed released original version agreement this that with what want".split())
+
+
+def _demanded(words: str, hint: str = "") -> str:
+    """The word of the phrase that opens its rule: the hint if it is one of them, else the longest telling one.
+
+    Every word of a phrase stands between marks, so a text that matches has it among its words.  ``version`` and ``v``
+    stand for each other in names and are never taken.
+    """
+    own = [w for w in words.split() if w not in ("version", "v")]
+    if hint in own:
+        return hint
+    return max([w for w in own if w not in PLAIN and not w.isdigit()] or own, key=len)
+
+
+#: label, identifier, names (``|`` between them), the word of the names to open their rules with where they have it
 FAMILIES = (
     ("apache", "Apache-2.0", "apache license version 2 0|apache license 2 0|apache software license", "apache"),
     ("apache-1.1", "Apache-1.1", "apache license version 1 1|apache software license version 1 1", "apache"),
@@ -151,34 +169,33 @@ def rules() -> list[Rule]:
     """The ordered rules: base phrases, identifiers, notices, names with version, plain names, hints."""
     out: list[Rule] = []
 
-    def add(label: str, keyword: str, regex: str, priority: int, weight: float) -> None:
-        out.append(Rule(len(out), label, keyword, regex, priority, weight))
+    def add(label: str, keyword: str, regex: str, priority: int, weight: float, whole: bool = True) -> None:
+        out.append(Rule(len(out), label, keyword, regex, priority, weight, whole))
 
     for words, label in BASE:
-        add(label, words.split()[-1] if label != "cc-by" else "cc", _phrase(words), 4, 0.5)
+        add(label, _demanded(words, "cc" if label == "cc-by" else words.split()[-1]), _phrase(words), 4, 0.5)
     for label, spdx, names, keyword in FAMILIES:
         exact = spdx.replace(".", r"\.").replace("-or-later", r"(?:-or-later|\+)?")
-        add(label, "spdx", rf"spdx-license-identifier:\s*(?:\(\s*)?{exact}(?![A-Za-z0-9.-])", 1, 1.0)
+        add(label, "spdx", rf"spdx-license-identifier:\s*(?:\(\s*)?{exact}(?![A-Za-z0-9.-])", 1, 1.0, whole=False)
         for name in names.split("|"):
-            gate = keyword if keyword in name else max(name.split(), key=len)
             numbered = any(w.isdigit() for w in name.split())
             regex = LEAD + _phrase(name.replace(" version ", " @ ").replace(" v ", " @ ")).replace("@", r"(?:version|v)")
-            add(label, gate, regex, 3 if numbered else 4, 0.9 if numbered else 0.8)
+            add(label, _demanded(name, keyword), regex, 3 if numbered else 4, 0.9 if numbered else 0.8)
             if " license" in name or " licence" in name:
                 head = name.replace(" licence", " license").split(" license")[0]
-                add(label, gate if gate in head else max(head.split(), key=len), _phrase(f"under the terms of the {head}") + GAP + "licen[sc]e", 2, 0.95)
+                add(label, _demanded(head, keyword), _phrase(f"under the terms of the {head}") + GAP + "licen[sc]e", 2, 0.95)
     for label, parts, name in CREATIVE:
         short = parts.replace("-", GAP)
         # the shorter names are not read into the longer ones
         tail = rf"(?!{GAP}(?:sa|nc|nd)\b)"
-        add(label, "spdx", rf"spdx-license-identifier:\s*cc-{parts}-[0-9.]+", 1, 1.0)
-        add(label, "creativecommons", rf"creativecommons\.org/licenses/{parts}/[0-9.]+", 1, 1.0)
+        add(label, "spdx", rf"spdx-license-identifier:\s*cc-{parts}-[0-9.]+", 1, 1.0, whole=False)
+        add(label, "creativecommons", rf"creativecommons\.org/licenses/{parts}/[0-9.]+", 1, 1.0, whole=False)
         add(label, "cc", rf"{LEAD}{_EDGE_BEFORE}cc{GAP}{short}{tail}{_EDGE_AFTER}", 4, 0.7)
         add(label, "cc", rf"{LEAD}{_EDGE_BEFORE}cc{GAP}{short}{GAP}[1-4]\.[0-9]", 3, 0.9)
         add(label, "creative", _phrase(f"creative commons {name}") + rf"(?!{GAP}(?:sharealike|noncommercial|noderiv))", 3, 0.9)
         add(label, "creative", _phrase(f"creative commons {name}") + GAP + r"(?:[1-4]\.[0-9]|international|unported|license)", 2, 0.95)
     for label, words, keyword, priority, weight in NOTICES:
-        add(label, keyword, _phrase(words), priority, weight)
+        add(label, _demanded(words, keyword), _phrase(words), priority, weight)
     return out
 
 
@@ -187,14 +204,19 @@ STEMS = (
     "licen", "gpl", "mpl", "spdx", "creative", "cc0", "domain", "permission", "redistribut", "contributors", "software",
     "distributed", "copyright", "reserved", "proprietary", "unauthorized", "reproduced", "commercial", "personal", "released", "terms",
 )
-SHORT = 4  # keywords of at most so many letters must stand as words of their own
+SHORT = 4  # at the gate, keywords of at most so many letters must stand as words of their own
+
 
+def _fold(keyword: str) -> str:
+    return keyword.translate({ord(a): b for a, b in zip(_ASCII, _FOLDED)})
 
-def _holds(low: Column, keyword: str) -> Column:
-    """Whether the lower-cased text holds the keyword."""
-    if len(keyword) > SHORT:
-        return F.contains(low, F.lit(keyword))
-    return F.contains(low, F.lit(keyword)) & low.rlike(rf"(?<![a-z]){keyword}(?![a-z])")
+
+def _held(low: Column, table: list[Rule]) -> Column:
+    """The keywords of the table that the folded text holds: one pass over its words, and a search for each part."""
+    whole = sorted({r.keyword for r in table if r.whole})
+    parts = sorted({r.keyword for r in table if not r.whole})
+    words = F.array_intersect(F.array(*map(F.lit, whole)).cast("array<string>"), F.split(low, " +", -1))
+    return F.array_distinct(F.concat(words, F.array_compact(F.array(*(F.when(F.contains(low, F.lit(_fold(k))), F.lit(k)) for k in parts)).cast("array<string>"))))
 
 
 def gate(low: Column, table: list[Rule]) -> Column:
@@ -252,12 +274,9 @@ def detections(df: DataFrame, id_col: str, text_col: str, table: list[Rule] | No
         F.lit("(?i)" + r.regex).alias("regex"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"),
     )
     book = df.sparkSession.range(1).select(F.inline(F.array(*map(row, table))))  # as many rows as there are rules
-    keywords = sorted({r.keyword for r in table})
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.lower(text_col).alias("low"))
-    texts = texts.filter(gate(F.col("low"), table)).withColumn(
-        "keys", F.array_compact(F.array(*(F.when(_holds(F.col("low"), k), F.lit(k)) for k in keywords)))
-    )
-    runs = texts.select("id", "t", F.explode("keys").alias("keyword")).join(F.broadcast(book), "keyword")
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), folded(F.col(text_col)).alias("low"))
+    texts = texts.filter(gate(F.col("low"), table))
+    runs = texts.select("id", "t", F.explode(_held(F.col("low"), table)).alias("keyword")).join(F.broadcast(book), "keyword")
     runs = runs.withColumn("hits", F.expr("regexp_extract_all(t, regex, 0)")).filter("size(hits) > 0")
     runs = runs.withColumn("gaps", F.expr("split(t, regex, -1)"))
     spans = F.expr(

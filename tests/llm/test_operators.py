@@ -369,6 +369,38 @@ def test_licence_suppression(spark):
     assert sorted((r["label"], r["start"], r["end"], r["matched"]) for r in got.collect()) == [("x", 19, 26, "licence"), ("y", 3, 15, "Open Licence")]
 
 
+def licence_names():
+    """One text for each name and notice, in mixed case, with marks between the words."""
+    from codeseam.llm.licences import BASE, CREATIVE, FAMILIES, NOTICES
+
+    names = [n for f in FAMILIES for n in f[2].split("|")] + [w for w, _ in BASE] + [n[1] for n in NOTICES]
+    names += [f"cc {c[1]} 4.0" for c in CREATIVE] + [f"creative commons {c[2]} license" for c in CREATIVE]
+    names += [f"under the terms of the {n}" for f in FAMILIES for n in f[2].split("|")] + [f"SPDX-License-Identifier: {f[1]}" for f in FAMILIES]
+    names += ["GPLv3", "OpenSSL License", "libpng License", "beerware license", "xspdx-license-identifier: MITé", "gpl v 3"]
+    names += [n.title().replace(" ", ", ") for n in names]
+    return list(enumerate(names))
+
+
+def without_gates():
+    from dataclasses import replace
+
+    from codeseam.llm.licences import rules
+
+    return [replace(r, keyword="", whole=False) for r in rules()]
+
+
+def test_licence_keywords_lose_nothing(spark):
+    from codeseam.llm.licences import detections, rules
+
+    names = licence_names()
+    ids = {t: i for i, t in names}
+    df = documents(spark, [(i, f"licences: {t}.") for i, t in names])
+    got = Counter(results(detections(df, "doc_id", "text", rules())))
+    labels = (("GPLv3", "gpl-3"), ("OpenSSL License", "openssl"), ("libpng License", "libpng"), ("beerware license", "beerware"))
+    assert {(ids[t], label) for t, label in labels} <= {r[:2] for r in got}
+    assert got == Counter(results(detections(df, "doc_id", "text", without_gates())))
+
+
 # ---- op6
 
 
