@@ -8,6 +8,7 @@ text.  A detection is suppressed when a better one (higher priority, then longer
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -199,14 +200,6 @@ def rules() -> list[Rule]:
     return out
 
 
-#: Every rule's regex demands one of these; a text without any is read no further.
-STEMS = (
-    "licen", "gpl", "mpl", "spdx", "creative", "cc0", "domain", "permission", "redistribut", "contributors", "software",
-    "distributed", "copyright", "reserved", "proprietary", "unauthorized", "reproduced", "commercial", "personal", "released", "terms",
-)
-SHORT = 4  # at the gate, keywords of at most so many letters must stand as words of their own
-
-
 def _fold(keyword: str) -> str:
     return keyword.translate({ord(a): b for a, b in zip(_ASCII, _FOLDED)})
 
@@ -220,14 +213,14 @@ def _held(low: Column, table: list[Rule]) -> Column:
 
 
 def gate(low: Column, table: list[Rule]) -> Column:
-    """Whether any rule can match the lower-cased text: one alternation over the table's stems, and the keywords of
-    rules without a stem, so that the text is computed and walked once."""
-    needed = set()
-    for r in table:
-        text = r.regex.lower()
-        stem = next((s for s in STEMS if s in text), None)
-        needed.add(stem or (r.keyword if len(r.keyword) > SHORT else rf"(?<![a-z]){r.keyword}(?![a-z])"))
-    return low.rlike("|".join(sorted(needed)))
+    """Whether any rule can match the folded text: one alternation over the table's keywords, so that the text is
+    computed and walked once."""
+    by: dict[str, list[str]] = {}
+    for k in sorted({r.keyword for r in table if r.whole}):
+        by.setdefault(k[0], []).append(re.escape(k[1:]))
+    whole = "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by.items())
+    parts = sorted({re.escape(_fold(r.keyword)) for r in table if not r.whole})
+    return low.rlike("|".join([*([rf"(?<![^ ])(?:{whole})(?![^ ])"] if whole else []), *parts]))
 
 
 _ASCII = "".join(map(chr, range(128)))

@@ -401,6 +401,18 @@ def test_licence_keywords_lose_nothing(spark):
     assert got == Counter(results(detections(df, "doc_id", "text", without_gates())))
 
 
+def test_licence_gate_loses_nothing(spark):
+    from codeseam.llm.licences import detections, license_scan, rules
+
+    bare = [(900, "GPLv2"), (901, "gpl version 3"), (902, "LGPLv3"), (903, "AGPLv3"), (904, "MPL 2.0"), (905, "MS-PL"), (906, "EUPL v1.2"), (907, "EUPL v 1.2")]
+    scan = {r["doc_id"]: r for r in license_scan(documents(spark, bare)).collect()}
+    want = {900: "gpl-2", 901: "gpl-3", 902: "lgpl-3", 903: "agpl-3", 904: "mpl-2", 905: "ms-pl", 906: "", 907: "eupl"}
+    assert {i: r["labels"] for i, r in scan.items()} == want
+    assert all((r["score"] > 0) == (want[i] != "") for i, r in scan.items())
+    df = documents(spark, licence_names())
+    assert Counter(results(detections(df, "doc_id", "text", rules()))) == Counter(results(detections(df, "doc_id", "text", without_gates())))
+
+
 # ---- op6
 
 
