@@ -7,7 +7,8 @@ everywhere (email domains and name parts have surrogates of their own, so partia
 
 *Collision checks.*  A first pass gathers, for every distinct entity, keyed digests of itself and of its first
 ``ATTEMPTS`` possible surrogates (no plain text leaves the task).  Where two entities would share a surrogate, or a
-surrogate equals some entity of the corpus, all but one move on to their next attempt until none is left.  Only entities
+surrogate equals some entity of the corpus, all but one move on to their next attempt until none is left.  Later attempts
+draw from ever wider spaces, and those beyond the gathered ones are made on demand, so there is no last attempt.  Only entities
 beyond their first attempt are sent back to the second pass: by broadcast up to ``SENT`` of them, by a join above.
 """
 
@@ -177,6 +178,10 @@ class Stream:
             return _UPPER[self.below(26)]
         return c
 
+    def more(self, n: int, c: str) -> str:
+        """``n`` more characters like ``c``: what widens the space of a late attempt."""
+        return "".join(self.like(c) for _ in range(n))
+
 
 def script_of(word: str) -> str:
     for c in word:
@@ -200,7 +205,8 @@ _SOUNDS = {
 def _name(s: Stream, raw: str, gender: str, attempt: int) -> str:
     script = script_of(raw)
     if script == "other":  # letters moved within their own block
-        return "".join(chr((ord(c) & ~0x3F) + s.below(64)) if c.isalpha() and chr((ord(c) & ~0x3F)).isalpha() else s.like(c) for c in raw)
+        out = "".join(chr((ord(c) & ~0x3F) + s.below(64)) if c.isalpha() and chr((ord(c) & ~0x3F)).isalpha() else s.like(c) for c in raw)
+        return out + s.more(attempt // 2, "a")
     consonants, vowels, ends = _SOUNDS[script]
     end = ends[gender][s.below(len(ends[gender]))]
     count = max(2, min(4, len(raw) // 3)) + attempt // 2
@@ -214,6 +220,7 @@ def _name(s: Stream, raw: str, gender: str, attempt: int) -> str:
 def surrogate(kind: str, raw: str, detail: str, attempt: int, key: bytes = KEY) -> str:
     """The replacement of one mention; mentions of one entity differ in writing only where their originals do."""
     name = canonical(kind, raw)
+    wider, widest = attempt // 2, max(0, attempt - ATTEMPTS + 1)  # more characters where spaces are small or vast
     s = Stream(key, kind, name if kind != "name" else raw.casefold(), detail if kind == "name" else "", str(attempt))
     if kind == "email":
         local, domain = name.rsplit("@", 1)
@@ -222,33 +229,38 @@ def surrogate(kind: str, raw: str, detail: str, attempt: int, key: bytes = KEY)
         host = "".join(d.like(c) for c in domain.rsplit(".", 1)[0].replace(".", "-"))
         return f"{made}@{host}.example"
     if kind == "ip":
+        if widest:  # the reserved range may be full: the documentation range of IPv6
+            return "2001:db8:" + ":".join(f"{s.below(65536):x}" for _ in range(6)) + s.more(widest // ATTEMPTS, "0")
         return f"{240 + s.below(16)}.{s.below(256)}.{s.below(256)}.{s.below(256)}"
     if kind == "card":
-        made = name[0] + "".join(_DIGIT[s.below(10)] for _ in name[1:-1])
+        made = name[0] + "".join(_DIGIT[s.below(10)] for _ in name[1:-1]) + s.more(widest, "0")
         valid = _luhn(name)
         tries = [d for d in _DIGIT if _luhn(made + d) == valid]
         return _laid(raw, made + tries[s.below(len(tries))])
     if kind == "ssn":
-        return _laid(raw, f"9{s.below(100):02d}{s.below(100):02d}{s.below(10000):04d}")
+        return _laid(raw, f"9{s.below(100):02d}{s.below(100):02d}{s.below(10000):04d}" + s.more(widest, "0"))
     if kind == "phone":
         lead = len(re.match(r"\+\d{1,3}(?=\D)|", raw)[0].lstrip("+"))
         rest = [str(2 + s.below(8)) if i == lead else _DIGIT[s.below(10)] for i in range(lead, len(name))]
-        return _laid(raw, name[:lead] + "".join(rest))
+        return _laid(raw, name[:lead] + "".join(rest) + s.more(wider, "0"))
     if kind == "iban":
-        body = "".join(s.like(c) for c in name[4:])
+        body = "".join(s.like(c) for c in name[4:]) + s.more(widest, "0")
         value = int("".join(str(int(c, 36)) for c in body + name[:2] + "00"))
         return _laid(raw, f"{name[:2]}{98 - value % 97:02d}{body}", keep=" ")
     if kind == "name":
         return _name(s, raw, detail, attempt)
     lower, upper = re.fullmatch(r"[0-9a-f]+", raw), re.fullmatch(r"[0-9A-F]+", raw)
     hexa = _DIGIT + "abcdef" if lower else _DIGIT + "ABCDEF" if upper else ""
-    return "".join(s.like(c, hexa) for c in raw)
+    # marks stay at first only; letters of other alphabets would tell the secret
+    kept = str.isspace if attempt else lambda c: c < "\x80" or c.isspace()
+    made = "".join(s.like(c, hexa) if c.isascii() and c.isalnum() or kept(c) else s.like("a") for c in raw)
+    return made + ("".join(s.like("0", hexa) for _ in range(wider)) if hexa else s.more(wider, "a"))
 
 
 def _laid(raw: str, made: str, keep: str = "") -> str:
-    """``made``'s characters in the places of ``raw``'s digits (or, with ``keep``, of all but those characters)."""
+    """``made``'s characters in the places of ``raw``'s digits (or, with ``keep``, of all but those characters), then the rest."""
     at = iter(made)
-    return "".join(c if (c in keep if keep else not c.isdigit()) else next(at) for c in raw)
+    return "".join([c if (c in keep if keep else not c.isdigit()) else next(at) for c in raw] + list(at))
 
 
 def digest(kind: str, name: str, key: bytes = KEY) -> bytes:
@@ -267,8 +279,8 @@ def surrogate_key(kind: str, raw: str, detail: str, attempt: int, key: bytes) ->
 # ---------------------------------------------------------------- the corpus
 
 
-def entities(df: DataFrame, text_col: str, key: bytes = KEY) -> DataFrame:
-    """(key, made): digests of each distinct entity and of its possible surrogates."""
+def entities(df: DataFrame, text_col: str, key: bytes = KEY, start: int = 0) -> DataFrame:
+    """(key, made): digests of each distinct entity and of its ``ATTEMPTS`` possible surrogates from attempt ``start``."""
     schema = pa.schema([("key", pa.binary()), ("made", pa.list_(pa.binary()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,30 +291,39 @@ def entities(df: DataFrame, text_col: str, key: bytes = KEY) -> DataFrame:
                     raw = text[a:b]
                     k = entity_key(kind, raw, detail, key)
                     if k not in found:
-                        found[k] = [surrogate_key(kind, raw, detail, n, key) for n in range(ATTEMPTS)]
+                        found[k] = [surrogate_key(kind, raw, detail, n, key) for n in range(start, start + ATTEMPTS)]
             yield record_batch(schema, list(found), list(found.values()))
 
     rows = df.select(F.col(text_col).alias("t")).mapInArrow(run, "key binary, made array<binary>")
     return rows.groupBy("key").agg(F.min("made").alias("made"))
 
 
-def settle(spark: SparkSession, found: DataFrame) -> DataFrame:
-    """(key, attempt) of the entities whose first surrogate is taken; all surrogates are then distinct and new."""
-    now = written(spark, found.withColumn("attempt", F.lit(0)), "pii-entities")
+def settle(spark: SparkSession, found: DataFrame, later: Callable[[int], DataFrame] | None = None) -> DataFrame:
+    """(key, attempt) of the entities whose first surrogate is taken; all surrogates are then distinct and new.
+
+    ``later`` gives (key, made) from an attempt on; it is asked only where the attempts of ``found`` do not suffice.
+    """
+    now = written(spark, found.withColumn("attempt", F.lit(0)).withColumn("start", F.lit(0)), "pii-entities")
     keys = now.select(F.col("key").alias("now"))
-    for _ in range(ATTEMPTS * 3):
-        now_at = now.withColumn("now", F.element_at("made", F.col("attempt") + 1))
+    while True:
+        now_at = now.withColumn("now", F.element_at("made", F.col("attempt") - F.col("start") + 1))
         order = Window.partitionBy("now").orderBy("attempt", "key")
         ranked = now_at.withColumn("place", F.row_number().over(order)).join(keys.withColumn("real", F.lit(True)), "now", "left")
         clash = (F.col("place") > 1) | F.col("real").isNotNull()
-        moved = written(spark, ranked.select("key", "made", (F.col("attempt") + clash.cast("int")).alias("attempt"), clash.alias("clash")), "pii-settled")
+        moved = written(spark, ranked.select("key", "made", "start", (F.col("attempt") + clash.cast("int")).alias("attempt"), clash.alias("clash")), "pii-settled")
         if moved.filter("clash").isEmpty():
             break
-        if not moved.filter(F.col("attempt") >= ATTEMPTS).isEmpty():
-            raise RuntimeError("an entity has no free surrogate left")
         now = moved.drop("clash")
-    else:
-        raise RuntimeError("surrogates did not settle")
+        done = F.col("attempt") - F.col("start") >= F.size("made")
+        starts = [r["attempt"] for r in now.filter(done).select("attempt").distinct().collect()]  # one for each ATTEMPTS tried
+        if starts and later is None:
+            raise RuntimeError("an entity has no free surrogate left")
+        for start in starts:
+            out = done & (F.col("attempt") == start)
+            fresh = now.filter(out).select("key", F.lit(start).alias("start"), "attempt").join(later(start), "key").select("key", "made", "start", "attempt")
+            now = now.filter(~out).select("key", "made", "start", "attempt").union(fresh)
+        if starts:
+            now = written(spark, now, "pii-later")
     return moved.filter("attempt > 0").select("key", "attempt")
 
 
@@ -361,7 +382,7 @@ def surrogates(spark: SparkSession, df: DataFrame, text_col: str = "text", key:
         place = StructType([StructField("type", StringType()), StructField("start", LongType()), StructField("end", LongType())])
         found.append(StructField("__places", ArrayType(place)))
     schema = StructType([*(StructField(f.name, f.dataType, True) for f in df.schema.fields), *found])
-    moved = settle(spark, entities(df, text_col, key))
+    moved = settle(spark, entities(df, text_col, key), lambda start: entities(df, text_col, key, start))
     few = moved.limit(sent + 1).collect()
     if len(few) <= sent:  # bounded: at most `sent` digests and numbers
         table = spark.sparkContext.broadcast({bytes(r["key"]): r["attempt"] for r in few})

@@ -466,6 +466,26 @@ def test_surrogate_collisions_are_settled(spark):
     assert 1 not in moved and 4 not in moved
 
 
+def test_surrogates_never_run_out(spark):
+    from codeseam.llm.pii import ATTEMPTS, entities, find, settle, surrogate, surrogates
+
+    rows = [(0, "password: ********"), (1, "token=......"), (2, "secret: пароль"), (3, "password: пароль1")]
+    rows += [(10 + i, " ".join(f"call +{1000 + i * 90 + k}," for k in range(90))) for i in range(100)]  # all phones of four digits
+    df = documents(spark, rows)
+    by = {r["doc_id"]: r["text"] for r in surrogates(spark, df).collect()}
+    assert not any(x in by[i] for i, x in ((0, "********"), (1, "......"), (2, "пароль"), (3, "пароль")))
+    made = [p for i in range(100) for p in re.findall(r"\+\d+", by[10 + i])]
+    assert len(made) == len(set(made)) == 9000 and not {len(p) for p in made} & {5}
+    one = documents(spark, [(1, "password: ********")])  # beyond the attempts gathered first
+    key = entities(one, "text").collect()[0]["key"]
+    taken = spark.createDataFrame([(bytes(key), [bytes(key)] * ATTEMPTS)], "key binary, made array<binary>")
+    assert [r["attempt"] for r in settle(spark, taken, lambda start: entities(one, "text", start=start)).collect()] == [ATTEMPTS]
+    for text in ("10.1.2.3", "123-45-6789", "4111111111111111", "DE89 3704 0044 0532 0130 00", "+2 345", "a@b.com", "Mr Kim", "Dr 李明", "secret: ......"):
+        (a, b, kind, detail), *_ = find(text)
+        late = [surrogate(kind, text[a:b], detail, n) for n in range(100)]
+        assert len(set(late[ATTEMPTS:])) == 100 - ATTEMPTS and text[a:b] not in late[1:]
+
+
 # ---- op7
 
 
