@@ -1,7 +1,7 @@
 """Surrogates for personal data and secrets.
 
 Entities are found by patterns opened by cheap substring tests.  Each gets a keyed replacement of its own type, script,
-gender and format: digits stay digits, card numbers keep their length, brand digit and check digit, addresses fall in
+gender and format: a name with another gender is another entity; digits stay digits, card numbers keep their length, brand digit and check digit, addresses fall in
 reserved ranges, names follow the title's gender and the letters' script.  The same entity gets the same surrogate
 everywhere (email domains and name parts have surrogates of their own, so partial mentions agree).
 
@@ -144,7 +144,9 @@ def canonical(kind: str, raw: str) -> str:
     """What makes two mentions one entity."""
     if kind == "email":
         return raw.lower()
-    if kind in ("phone", "card", "ssn"):
+    if kind == "phone":  # with a plus, the first digits are a country's
+        return "+" * raw.startswith("+") + re.sub(r"\D", "", raw)
+    if kind in ("card", "ssn"):
         return re.sub(r"\D", "", raw)
     if kind == "iban":
         return raw.replace(" ", "")
@@ -202,11 +204,24 @@ _SOUNDS = {
 }
 
 
+#: Country codes of one and two digits; all others have three.
+_COUNTRY = re.compile(r"\+([17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})")
+
+
+def _lead(number: str) -> int:
+    """How many digits of a canonical phone number are a country code, which stays; none in very short numbers."""
+    m = _COUNTRY.match(number)
+    return min(len(m[1]), max(0, len(number) - 5)) if m else 0
+
+
 def _name(s: Stream, raw: str, gender: str, attempt: int) -> str:
+    """A name made of the folded original, so that it is the same but for its case for every writing of it."""
+    upper, raw = raw.isupper(), raw.casefold()
     script = script_of(raw)
     if script == "other":  # letters moved within their own block
         out = "".join(chr((ord(c) & ~0x3F) + s.below(64)) if c.isalpha() and chr((ord(c) & ~0x3F)).isalpha() else s.like(c) for c in raw)
-        return out + s.more(attempt // 2, "a")
+        out += s.more(attempt // 2, "a")
+        return out.upper() if upper else out.capitalize()
     consonants, vowels, ends = _SOUNDS[script]
     end = ends[gender][s.below(len(ends[gender]))]
     count = max(2, min(4, len(raw) // 3)) + attempt // 2
@@ -214,7 +229,7 @@ def _name(s: Stream, raw: str, gender: str, attempt: int) -> str:
     if end[0] in vowels:
         out = out[:-1]
     out += end
-    return out.upper() if raw.isupper() else out.capitalize()
+    return out.upper() if upper else out.capitalize()
 
 
 def surrogate(kind: str, raw: str, detail: str, attempt: int, key: bytes = KEY) -> str:
@@ -240,9 +255,9 @@ def surrogate(kind: str, raw: str, detail: str, attempt: int, key: bytes = KEY)
     if kind == "ssn":
         return _laid(raw, f"9{s.below(100):02d}{s.below(100):02d}{s.below(10000):04d}" + s.more(widest, "0"))
     if kind == "phone":
-        lead = len(re.match(r"\+\d{1,3}(?=\D)|", raw)[0].lstrip("+"))
-        rest = [str(2 + s.below(8)) if i == lead else _DIGIT[s.below(10)] for i in range(lead, len(name))]
-        return _laid(raw, name[:lead] + "".join(rest) + s.more(wider, "0"))
+        lead, digits = _lead(name), name.lstrip("+")
+        rest = [str(2 + s.below(8)) if i == lead else _DIGIT[s.below(10)] for i in range(lead, len(digits))]
+        return _laid(raw, digits[:lead] + "".join(rest) + s.more(wider, "0"))
     if kind == "iban":
         body = "".join(s.like(c) for c in name[4:]) + s.more(widest, "0")
         value = int("".join(str(int(c, 36)) for c in body + name[:2] + "00"))
@@ -268,34 +283,42 @@ def digest(kind: str, name: str, key: bytes = KEY) -> bytes:
 
 
 def entity_key(kind: str, raw: str, detail: str, key: bytes) -> bytes:
+    """What has one surrogate: for a name, the name and the gender that its surrogate follows."""
+    return digest(kind, f"{raw.casefold()}\x1f{detail}" if kind == "name" else canonical(kind, raw), key)
+
+
+def written_key(kind: str, raw: str, key: bytes) -> bytes:
+    """What readers take for one entity, whatever its key: no surrogate may be equal to it."""
     return digest(kind, raw.casefold() if kind == "name" else canonical(kind, raw), key)
 
 
 def surrogate_key(kind: str, raw: str, detail: str, attempt: int, key: bytes) -> bytes:
-    made = surrogate(kind, raw, detail, attempt, key)
-    return digest(kind, made.casefold() if kind == "name" else canonical(kind, made), key)
+    return written_key(kind, surrogate(kind, raw, detail, attempt, key), key)
 
 
 # ---------------------------------------------------------------- the corpus
 
 
 def entities(df: DataFrame, text_col: str, key: bytes = KEY, start: int = 0) -> DataFrame:
-    """(key, made): digests of each distinct entity and of its ``ATTEMPTS`` possible surrogates from attempt ``start``."""
-    schema = pa.schema([("key", pa.binary()), ("made", pa.list_(pa.binary()))])
+    """(key, made, real): digests of each distinct entity, of its ``ATTEMPTS`` possible surrogates from attempt ``start``
+    and of what is written for it."""
+    schema = pa.schema([("key", pa.binary()), ("made", pa.list_(pa.binary())), ("real", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[bytes, list[bytes]] = {}
+            real: dict[bytes, bytes] = {}
             for text in batch.column(0).to_pylist():
                 for a, b, kind, detail in find(text or ""):
                     raw = text[a:b]
                     k = entity_key(kind, raw, detail, key)
                     if k not in found:
+                        real[k] = written_key(kind, raw, key)
                         found[k] = [surrogate_key(kind, raw, detail, n, key) for n in range(start, start + ATTEMPTS)]
-            yield record_batch(schema, list(found), list(found.values()))
+            yield record_batch(schema, list(found), list(found.values()), list(real.values()))
 
-    rows = df.select(F.col(text_col).alias("t")).mapInArrow(run, "key binary, made array<binary>")
-    return rows.groupBy("key").agg(F.min("made").alias("made"))
+    rows = df.select(F.col(text_col).alias("t")).mapInArrow(run, "key binary, made array<binary>, real binary")
+    return rows.groupBy("key").agg(F.min("made").alias("made"), F.min("real").alias("real"))
 
 
 def settle(spark: SparkSession, found: DataFrame, later: Callable[[int], DataFrame] | None = None) -> DataFrame:
@@ -304,7 +327,8 @@ def settle(spark: SparkSession, found: DataFrame, later: Callable[[int], DataFra
     ``later`` gives (key, made) from an attempt on; it is asked only where the attempts of ``found`` do not suffice.
     """
     now = written(spark, found.withColumn("attempt", F.lit(0)).withColumn("start", F.lit(0)), "pii-entities")
-    keys = now.select(F.col("key").alias("now"))
+    keys = now.select(F.col("real" if "real" in found.columns else "key").alias("now")).distinct()
+    now = now.select("key", "made", "attempt", "start")
     while True:
         now_at = now.withColumn("now", F.element_at("made", F.col("attempt") - F.col("start") + 1))
         order = Window.partitionBy("now").orderBy("attempt", "key")

@@ -486,6 +486,19 @@ def test_surrogates_never_run_out(spark):
         assert len(set(late[ATTEMPTS:])) == 100 - ATTEMPTS and text[a:b] not in late[1:]
 
 
+def test_every_surrogate_variant_is_checked(spark):
+    from codeseam.llm.pii import entities, surrogate, surrogate_key
+
+    df = documents(spark, [(1, "Mr Kim"), (2, "Ms Kim"), (3, "Dr Kim"), (4, "MR KIM and Mr KIM"), (5, "+44 20 7946 0958"), (6, "+442079460958")])
+    rows = entities(df, "text").collect()
+    made = {bytes(r["made"][0]) for r in rows}
+    used = [("name", "Kim", "m"), ("name", "Kim", "f"), ("name", "Kim", ""), ("name", "KIM", "m"), ("phone", "+44 20 7946 0958", ""), ("phone", "+442079460958", "")]
+    assert {surrogate_key(k, raw, d, 0, b"codeseam surrogate key") for k, raw, d in used} == made and len(made) == 4
+    assert len({bytes(r["real"]) for r in rows}) == 2  # Kim is one name to collide with
+    assert re.sub(r"\D", "", surrogate(*used[4], 0)) == re.sub(r"\D", "", surrogate(*used[5], 0))
+    assert surrogate("name", "Straße", "m", 0).casefold() == surrogate("name", "STRASSE", "m", 0).casefold()
+
+
 # ---- op7
 
 
