@@ -11,8 +11,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from codeseam.operators.shared import settled
 
-ROUNDS = 3
-
 
 def table(facts: DataFrame, name: str) -> DataFrame:
     """Rows of one fact array, with the file they come from."""
@@ -140,12 +138,12 @@ class Resolved:
         ).filter("form <> 'SUPER_CONSTRUCTOR' or relation = 'extends'").select("file", "call_id", (F.col("ordinal") + F.when(F.col("relation") == "extends", 0).otherwise(100)).alias("place"), F.col("super_key").alias("at"), F.col("s").alias("is_source"))
         starts = settled(named.union(plain).union(up))
         done = self._targets(calls, starts)
-        for _ in range(ROUNDS):  # receivers that are results of calls settled before
+        while True:  # receivers that are results of calls settled before; each round settles new calls or is the last
             open_ = calls.filter("receiver_call is not null").join(done.select("file", "call_id"), ["file", "call_id"], "left_anti")
             before = done.filter("return_candidates is not null").select("file", F.col("call_id").alias("receiver_call"), "return_candidates")
-            known = open_.join(before, ["file", "receiver_call"]).join(
+            known = settled(open_.join(before, ["file", "receiver_call"]).join(
                 self.names.select(F.col("candidates").alias("return_candidates"), "type_key", "is_source"), "return_candidates"
-            ).select("file", "call_id", F.lit(0).alias("place"), F.col("type_key").alias("at"), "is_source")
+            ).select("file", "call_id", F.lit(0).alias("place"), F.col("type_key").alias("at"), "is_source"))
             more = settled(self._targets(calls, known))
             if more.isEmpty():
                 break

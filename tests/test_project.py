@@ -138,6 +138,18 @@ def test_graph_of_the_loaded(loaded):
     assert callers == {"shop.Main#main(String[])"}
 
 
+def test_long_chains_are_settled(spark, tmp_path):
+    root = tmp_path / "fluent"
+    root.mkdir()
+    steps = [f"s{i}" for i in range(7)]
+    links = " ".join(f"class T{i} {{ T{i + 1} s{i}() {{ return new T{i + 1}(); }} }}" for i in range(7))
+    (root / "Fluent.java").write_text(f"class Fluent {{ void run() {{ new T0().{'().'.join(steps)}(); }} }} {links} class T7 {{ }}")
+    store = FactStore(spark, str(root), str(tmp_path / "facts"))
+    store.load()
+    called = {k for (k,) in rows(store.resolved.calls.filter("name like 's_'"), "target_key")}
+    assert called == {f"T{i}#s{i}()" for i in range(7)}
+
+
 @pytest.mark.parametrize("k", [0, 1, 4, 5, 6, 10**6])
 def test_limits_keep_exact_totals(loaded, k):
     found = query(loaded[0].resolved, "find_unreachable_code", max_results=k)
