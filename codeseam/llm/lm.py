@@ -7,8 +7,9 @@ distinct tokens V.  The ``VOCAB`` most frequent tokens (a parameter) are output
 tokens fall, by a fixed function of their spelling, in one of ``RARE`` rare classes, and inside a rare class have
 probability (c + 1) / (N_r + V_r + 1) from the full counts, so the model's distribution covers every token.
 
-*The network* (GRU; truncated backpropagation in numpy with state carried across windows) is fitted on the driver to a
-bounded sample of training texts, and predicts class, then word within a frequency class.
+*The network* (GRU; truncated backpropagation in numpy with state carried across windows) predicts a frequency class,
+then the output within it.  It learns from every training text, whole: each task trains a copy of the network on all its
+rows, the copies are averaged by their tokens, and the next part of the rows goes on from there.
 
 *Scoring* reads whole texts: windows of ``WINDOW`` steps with the state carried from one to the next, so a text's score
 is its complete log-likelihood.  Counts of the ``KNOWN`` most frequent tokens travel to the executors (bounded); tokens
@@ -27,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codeseam.llm.common import bernoulli_fold, hashed_sample, record_batch, text_bytes, written
+from codeseam.llm.common import bernoulli_fold, record_batch, text_bytes, written
 
 END = b" "  # no word holds a space
 FOLDS, HELD_OUT = 7, 2
@@ -39,9 +40,11 @@ KNOWN_BYTES = 64  # longer tokens are never in the table that travels
 HIDDEN = 32
 WINDOW = 64
 LANES = 256
-#: The network learns from at most so many texts (the least hashes of their ids), each of at most so many characters.
-TRAIN_DOCS, TRAIN_CHARS = 1600, 60_000
-TRAIN_LANES, TRAIN_WINDOW, EPOCHS = 64, 24, 2
+TRAIN_LANES, TRAIN_WINDOW = 256, 24
+#: Texts are learned from in stretches of about so many tokens (a text is never cut), by at most so many tasks.
+TRAIN_TOKENS, TRAINERS = 1 << 21, 4096
+#: All training texts are learned from once, in so many parts; the tasks' networks are averaged after each.
+ROUNDS, RATE = 2, 0.004
 LOG10E = 1 / np.log(10)
 
 
@@ -97,7 +100,10 @@ def token_counts(df: DataFrame, text_col: str) -> DataFrame:
 
 @dataclass
 class Net:
-    """Embedding already multiplied into the gates (E: tokens x 3H), recurrent U, biases, class and word softmax."""
+    """Embedding already multiplied into the gates (E: outputs x 3H), recurrent U, biases, class and word softmax.
+
+    Outputs are the words by frequency, then the rare classes; ``CLASS_SIZE`` neighbours make a softmax class.
+    """
 
     E: np.ndarray
     U: np.ndarray
@@ -110,19 +116,42 @@ class Net:
     def names(self):
         return list(self.__dataclass_fields__)
 
+    def pack(self, weight: float) -> bytes:
+        """All parameters times a weight, as bytes."""
+        return np.concatenate([getattr(self, k).ravel() for k in self.names()]).__mul__(np.float32(weight)).astype(np.float32).tobytes()
+
+    def unpacked(self, flat: np.ndarray) -> Net:
+        out, at = [], 0
+        for k in self.names():
+            own = getattr(self, k)
+            out.append(flat[at : at + own.size].astype(np.float32).reshape(own.shape))
+            at += own.size
+        return Net(*out)
 
-def new_net(n_words: int, hidden: int, seed: int = 1) -> Net:
+
+def new_net(n_out: int, hidden: int, seed: int = 1) -> Net:
     rng = np.random.default_rng(seed)
     f = np.float32
-    classes = -(-n_words // CLASS_SIZE)
+    classes = -(-n_out // CLASS_SIZE)
     r = lambda *s: rng.normal(0, 0.08, s).astype(f)
     return Net(
-        r(n_words + RARE, 3 * hidden), r(hidden, 3 * hidden), np.zeros(3 * hidden, f),
-        r(hidden, classes + RARE), np.zeros(classes + RARE, f),
+        r(n_out, 3 * hidden), r(hidden, 3 * hidden), np.zeros(3 * hidden, f),
+        r(hidden, classes), np.zeros(classes, f),
         r(classes, CLASS_SIZE, hidden), np.zeros((classes, CLASS_SIZE), f),
     )
 
 
+def unigram_net(counts: np.ndarray, hidden: int = HIDDEN) -> Net:
+    """A new net whose output biases give the outputs' shares of ``counts``."""
+    net = new_net(len(counts), hidden)
+    flat = np.full(net.bw.size, 1e-26)  # numbers that no output has
+    flat[: len(counts)] = counts + 0.1
+    per = flat.reshape(net.bw.shape)
+    net.bc[:] = np.log(per.sum(1) / per.sum())
+    net.bw[:] = np.log(per / per.sum(1, keepdims=True))
+    return net
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     np.negative(x, x)
     np.exp(x, x)
@@ -142,171 +171,186 @@ def gru_step(net: Net, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.nda
     return c + z * (h - c), zr, c, u
 
 
-def class_of(target: np.ndarray, n_words: int) -> np.ndarray:
-    classes = -(-n_words // CLASS_SIZE)
-    return np.where(target < n_words, target // CLASS_SIZE, target - n_words + classes)
+def bounded(net: Net) -> bool:
+    """Whether float32 exponentials of all logits sum safely without a shift: states lie within -1 and 1."""
+    wide = lambda w, b, axis: (np.abs(w).sum(axis), b)
+    for reach, bias in (wide(net.Wc.T[None], net.bc[None], 2), wide(net.Ww, net.bw, 2)):
+        if (bias + reach).max() > 70 or (bias - reach).max(1).min() < -70:
+            return False
+    return True
 
 
-def log_softmax_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """log softmax at one column of each row; ``logits`` is overwritten."""
-    got = logits[np.arange(len(at)), at]
-    if logits.size and max(logits.max(), -float(got.min())) > 60:  # beyond what float32 exponentials sum safely
-        top = logits.max(1)
+def _exponentials(logits: np.ndarray, safe: bool) -> np.ndarray | None:
+    """In place; where they would not sum safely, less each row's maximum, which is returned."""
+    top = None if safe else logits.max(1)
+    if top is not None:
         logits -= top[:, None]
-        np.exp(logits, logits)
-        return got - top - np.log(logits.sum(1))
     np.exp(logits, logits)
-    return got - np.log(logits @ np.ones(logits.shape[1], np.float32))
-
-
-def log_probs(net: Net, h: np.ndarray, target: np.ndarray, n_words: int) -> np.ndarray:
-    """Natural log probability of each target (word number, or n_words + rare class) from its state."""
-    cls = class_of(target, n_words)
-    out = log_softmax_at(h @ net.Wc + net.bc, cls).astype(np.float64)
-    known = np.nonzero(target < n_words)[0]
-    if not len(known):
-        return out
-    known = known[np.argsort(cls[known], kind="stable")]
-    cs = cls[known]
-    edge = np.concatenate([[0], np.nonzero(np.diff(cs))[0] + 1, [len(cs)]])
-    hs, within = h[known], target[known] % CLASS_SIZE
-    logits = np.empty((len(known), CLASS_SIZE), np.float32)
-    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-        k = cs[a]
-        np.matmul(hs[a:b], net.Ww[k].T, out=logits[a:b])
-        logits[a:b] += net.bw[k]
-    out[known] += log_softmax_at(logits, within)
+    return top
+
+
+def log_softmax_at(logits: np.ndarray, at: np.ndarray, safe: bool) -> np.ndarray:
+    """log softmax at one column of each row; ``logits`` is overwritten."""
+    got = logits[np.arange(len(at)), at]
+    top = _exponentials(logits, safe)
+    out = got - np.log(logits @ np.ones(logits.shape[1], np.float32))
+    return out if top is None else out - top
+
+
+def _by_class(cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order by class, and (class, from, to) of each class in it."""
+    order = np.argsort(cls.astype(np.int16), kind="stable")
+    cs = cls[order]
+    edge = np.concatenate([[0], np.nonzero(np.diff(cs))[0] + 1, [len(cs)]]).tolist() if len(cs) else [0]
+    return order, [(int(cs[a]), a, b) for a, b in zip(edge[:-1], edge[1:])]
+
+
+def _word_logits(net: Net, h: np.ndarray, parts: list[tuple[int, int, int]]) -> np.ndarray:
+    out = np.empty((len(h), CLASS_SIZE), np.float32)
+    for k, a, b in parts:
+        np.matmul(h[a:b], net.Ww[k].T, out=out[a:b])
+        out[a:b] += net.bw[k]
     return out
 
 
-def train(streams: list[np.ndarray], n_words: int, hidden: int = HIDDEN, epochs: int = EPOCHS, lr: float = 0.004) -> Net:
-    """Adam on windows of ``TRAIN_WINDOW`` steps of ``TRAIN_LANES`` parallel texts, the state carried between windows."""
-    net = new_net(n_words, hidden)
-    if n_words % CLASS_SIZE:  # numbers that no word has
-        net.bw[-1, n_words % CLASS_SIZE :] = -60.0
-    count = np.bincount(np.concatenate(streams), minlength=n_words + RARE) + 0.1 if streams else np.ones(n_words + RARE)
-    classes = -(-n_words // CLASS_SIZE)
-    per = np.bincount(class_of(np.arange(n_words + RARE), n_words), count, classes + RARE)
-    net.bc[:] = np.log(per / per.sum())
-    flat = np.full(classes * CLASS_SIZE, 1e-26)
-    flat[:n_words] = count[:n_words]
-    net.bw[:] = np.log(flat / np.repeat(flat.reshape(classes, -1).sum(1), CLASS_SIZE)).reshape(classes, -1)
-    total = sum(map(len, streams))
-    if total < 200:
-        return net
-    start = end_id(streams)
-    m = {k: np.zeros_like(getattr(net, k)) for k in net.names()}
-    v = {k: np.zeros_like(getattr(net, k)) for k in net.names()}
-    steps_done, planned = 0, max(1, epochs * total // (TRAIN_LANES * TRAIN_WINDOW))
-    H = hidden
-    for _ in range(epochs):
-        text = np.concatenate(streams)
-        n = len(text) // TRAIN_LANES
-        if n < 2:
-            text = np.tile(text, -(-2 * TRAIN_LANES // len(text)))
-            n = len(text) // TRAIN_LANES
-        lanes = text[: n * TRAIN_LANES].reshape(TRAIN_LANES, n).T
-        h = np.zeros((TRAIN_LANES, H), np.float32)
-        prev = np.full(TRAIN_LANES, start)
-        for at in range(0, n, TRAIN_WINDOW):
-            y = lanes[at : at + TRAIN_WINDOW]
-            x_in = np.concatenate([prev[None], y[:-1]])
-            prev = y[-1]
-            T = len(y)
-            hs = np.empty((T + 1, TRAIN_LANES, H), np.float32)
-            hs[0] = h
-            kept = []
-            for t in range(T):
-                fresh = x_in[t] == start  # a new text starts from the zero state, as in scoring
-                if fresh.any():
-                    hs[t][fresh] = 0
-                new, zr, c, u = gru_step(net, net.E[x_in[t]] + net.b, hs[t])
-                hs[t + 1] = new
-                kept.append((zr, c, u))
-            h = hs[T].copy()
-            grads = {k: np.zeros_like(getattr(net, k)) for k in ("U", "b", "Wc", "bc")}
-            flat_h, flat_y = hs[1:].reshape(-1, H), y.reshape(-1)
-            dh_out = _output_grads(net, flat_h, flat_y, n_words, grads).reshape(T, TRAIN_LANES, H)
-            dE = np.empty((T, TRAIN_LANES, 3 * H), np.float32)
-            dh = np.zeros((TRAIN_LANES, H), np.float32)
-            for t in range(T - 1, -1, -1):
-                dh = dh + dh_out[t]
-                zr, c, u = kept[t]
-                z, r = zr[:, :H], zr[:, H:]
-                dc = dh * (1 - z) * (1 - c * c)
-                dz = dh * (hs[t] - c) * z * (1 - z)
-                dr = dc * u * r * (1 - r)
-                dx = np.concatenate([dz, dr, dc], 1)
-                du = np.concatenate([dz, dr, dc * r], 1)
-                grads["U"] += hs[t].T @ du
-                dE[t] = dx
-                dh = dh * z + du @ net.U.T
-                fresh = x_in[t] == start
-                if fresh.any():
-                    dh[fresh] = 0
-            grads["b"] = dE.sum((0, 1))
-            steps_done += 1
-            rate = lr * max(0.1, 1 - steps_done / planned)
-            scale = 1.0 / (T * TRAIN_LANES)
-            rows, inv = np.unique(x_in.reshape(-1), return_inverse=True)
-            ge = np.zeros((len(rows), 3 * H), np.float32)
-            np.add.at(ge, inv, dE.reshape(-1, 3 * H))
-            _adam(net.E, m["E"], v["E"], ge * scale, rate, steps_done, rows)
-            for k in ("U", "b", "Wc", "bc"):
-                _adam(getattr(net, k), m[k], v[k], np.clip(grads[k] * scale, -1, 1), rate, steps_done)
-            for k in ("Ww", "bw"):
-                rows, g = grads[k]
-                _adam(getattr(net, k), m[k], v[k], g * scale, rate, steps_done, rows)
-    return net
+def log_probs(net: Net, h: np.ndarray, target: np.ndarray, safe: bool = False) -> np.ndarray:
+    """Natural log probability of each target output from its state: of its class, then of it within the class."""
+    order, parts = _by_class(target // CLASS_SIZE)
+    h, target = h[order], target[order]
+    found = log_softmax_at(h @ net.Wc + net.bc, target // CLASS_SIZE, safe).astype(np.float64)
+    found += log_softmax_at(_word_logits(net, h, parts), target % CLASS_SIZE, safe)
+    out = np.empty(len(found))
+    out[order] = found
+    return out
 
 
-def end_id(streams: list[np.ndarray]) -> int:
-    return int(streams[0][-1])
-
-
-def _output_grads(net: Net, h: np.ndarray, y: np.ndarray, n_words: int, grads: dict) -> np.ndarray:
-    cls = class_of(y, n_words)
-    p = h @ net.Wc + net.bc
-    p -= p.max(1, keepdims=True)
-    np.exp(p, p)
-    p /= p.sum(1, keepdims=True)
-    p[np.arange(len(y)), cls] -= 1
-    grads["Wc"], grads["bc"] = h.T @ p, p.sum(0)
-    dh = p @ net.Wc.T
-    known = np.nonzero(y < n_words)[0]
-    known = known[np.argsort(cls[known], kind="stable")]
-    cs = cls[known]
-    edge = np.concatenate([[0], np.nonzero(np.diff(cs))[0] + 1, [len(cs)]]) if len(cs) else np.array([0])
-    rows = cs[edge[:-1]] if len(cs) else np.empty(0, np.int64)
+class Trainer:
+    """Truncated backpropagation with Adam: windows of ``TRAIN_WINDOW`` steps of parallel lanes, the state carried on."""
+
+    def __init__(self, net: Net, start: int, rate: float):
+        self.net, self.start, self.rate, self.steps = net, start, rate, 0
+        self.m = {k: np.zeros_like(getattr(net, k)) for k in net.names()}
+        self.v = {k: np.zeros_like(getattr(net, k)) for k in net.names()}
+
+    def learn(self, stream: np.ndarray) -> None:
+        """One pass over whole texts laid end to end, each closed by the start token.
+
+        The stream is cut into lanes side by side; the last lane is filled up with places that teach nothing.
+        """
+        size = len(stream)
+        lanes = max(1, min(TRAIN_LANES, size // (4 * TRAIN_WINDOW)))
+        n = -(-size // lanes)
+        filled = np.concatenate([stream, np.full(n * lanes - size, self.start, stream.dtype)])
+        teaches = np.arange(n * lanes) < size
+        text, teaches = filled.reshape(lanes, n).T.astype(np.int64), teaches.reshape(lanes, n).T
+        h = np.zeros((lanes, self.net.U.shape[0]), np.float32)
+        prev = np.full(lanes, self.start)
+        for at in range(0, n, TRAIN_WINDOW):
+            y, on = text[at : at + TRAIN_WINDOW], teaches[at : at + TRAIN_WINDOW]
+            x = np.concatenate([prev[None], y[:-1]])
+            prev = y[-1]
+            h = self._window(x, y, h, None if on.all() else on)
+
+    def _window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, on: np.ndarray | None) -> np.ndarray:
+        net, H = self.net, h.shape[1]
+        T, L = y.shape
+        hs = np.empty((T + 1, L, H), np.float32)
+        hs[0] = h
+        fresh = x == self.start  # a new text starts from the zero state, as in scoring
+        sums, kept = net.E[x] + net.b, []
+        for t in range(T):
+            if fresh[t].any():
+                hs[t][fresh[t]] = 0
+            hs[t + 1], *own = gru_step(net, sums[t], hs[t])
+            kept.append(own)
+        last = hs[T].copy()
+        grads: dict = {}
+        dh_out = _output_grads(net, hs[1:].reshape(-1, H), y.reshape(-1), grads, None if on is None else on.reshape(-1)).reshape(T, L, H)
+        dE, dU = np.empty((T, L, 3 * H), np.float32), np.empty((T, L, 3 * H), np.float32)
+        dh = np.zeros((L, H), np.float32)
+        back = np.ascontiguousarray(net.U.T)
+        for t in range(T - 1, -1, -1):
+            dh += dh_out[t]
+            zr, c, u = kept[t]
+            z, r = zr[:, :H], zr[:, H:]
+            slope = zr * (1 - zr)
+            dc = dh * (1 - z) * (1 - c * c)
+            dx = dE[t]
+            dx[:, :H] = dh * (hs[t] - c)
+            dx[:, H : 2 * H] = dc * u
+            dx[:, : 2 * H] *= slope
+            dx[:, 2 * H :] = dc
+            du = dU[t]
+            du[:, : 2 * H] = dx[:, : 2 * H]
+            du[:, 2 * H :] = dc * r
+            dh = dh * z + du @ back
+            if fresh[t].any():
+                dh[fresh[t]] = 0
+        flat_x, flat = x.reshape(-1), dE.reshape(-1, 3 * H)
+        grads["U"], grads["b"] = hs[:-1].reshape(-1, H).T @ dU.reshape(-1, 3 * H), flat.sum(0)
+        order = np.argsort(flat_x.astype(np.uint16), kind="stable")
+        sorted_x = flat_x[order]
+        edge = np.concatenate([[0], np.nonzero(np.diff(sorted_x))[0] + 1])
+        self.steps += 1
+        rate = self.rate / (1 + self.steps / 400) ** 0.5
+        scale = np.float32(1.0 / (T * L))
+        self._adam("E", np.add.reduceat(flat[order], edge, 0) * scale, rate, sorted_x[edge])
+        for k in ("U", "b", "Wc", "bc"):
+            self._adam(k, np.clip(grads[k] * scale, -1, 1), rate)
+        for k in ("Ww", "bw"):
+            rows, g = grads[k]
+            self._adam(k, g * scale, rate, rows)
+        return last
+
+    def _adam(self, name: str, g: np.ndarray, rate: float, rows=slice(None), b1=0.9, b2=0.99) -> None:
+        m, v = self.m[name][rows], self.v[name][rows]
+        m = m * np.float32(b1) + g * np.float32(1 - b1)
+        v = v * np.float32(b2) + g * g * np.float32(1 - b2)
+        self.m[name][rows], self.v[name][rows] = m, v
+        step = np.sqrt(v)
+        step += np.float32(1e-8)
+        np.divide(m, step, step)
+        step *= np.float32(rate * (1 - b2**self.steps) ** 0.5 / (1 - b1**self.steps))
+        getattr(self.net, name)[rows] -= step
+
+
+def _output_grads(net: Net, h: np.ndarray, y: np.ndarray, grads: dict, on: np.ndarray | None) -> np.ndarray:
+    order, parts = _by_class(y // CLASS_SIZE)
+    hs, ys = h[order], y[order]
+    each = np.arange(len(ys))
+    ones = np.ones(len(ys), np.float32) if on is None else on[order].astype(np.float32)
+    safe = bounded(net)
+
+    def slope(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Gradient of the loss by the logits, which are overwritten."""
+        _exponentials(logits, safe)
+        logits *= (ones / (logits @ np.ones(logits.shape[1], np.float32)))[:, None]
+        logits[each, at] -= ones
+        return logits
+
+    p = slope(hs @ net.Wc + net.bc, ys // CLASS_SIZE)
+    grads["Wc"], grads["bc"] = hs.T @ p, p.sum(0)
+    dh = p @ np.ascontiguousarray(net.Wc.T)
+    q = slope(_word_logits(net, hs, parts), ys % CLASS_SIZE)
+    rows = np.array([k for k, _, _ in parts])
     gw = np.empty((len(rows), CLASS_SIZE, h.shape[1]), np.float32)
     gb = np.empty((len(rows), CLASS_SIZE), np.float32)
-    for k, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())):
-        at = known[a:b]
-        c = rows[k]
-        q = h[at] @ net.Ww[c].T + net.bw[c]
-        q -= q.max(1, keepdims=True)
-        np.exp(q, q)
-        q /= q.sum(1, keepdims=True)
-        q[np.arange(len(at)), y[at] % CLASS_SIZE] -= 1
-        gw[k], gb[k] = q.T @ h[at], q.sum(0)
-        dh[at] += q @ net.Ww[c]
+    for i, (k, a, b) in enumerate(parts):
+        np.matmul(q[a:b].T, hs[a:b], out=gw[i])
+        np.matmul(ones[a:b], q[a:b], out=gb[i])  # rows that teach nothing hold zeros
+        dh[a:b] += q[a:b] @ net.Ww[k]
     grads["Ww"], grads["bw"] = (rows, gw), (rows, gb)
-    return dh
-
-
-def _adam(w, m, v, g, rate, step, rows=None, b1=0.9, b2=0.99):
-    at = slice(None) if rows is None else rows
-    m[at] = b1 * m[at] + (1 - b1) * g
-    v[at] = b2 * v[at] + (1 - b2) * g * g
-    w[at] -= rate * (m[at] / (1 - b1**step)) / (np.sqrt(v[at] / (1 - b2**step)) + 1e-8)
+    out = np.empty_like(dh)
+    out[order] = dh
+    return out
 
 
 # ---------------------------------------------------------------- scoring
 
 
-def stream_scores(net: Net, texts: list[np.ndarray], n_words: int, start: int) -> np.ndarray:
-    """Natural log-likelihood of each token stream; longest first, so the open lanes are always the first ones."""
-    out = np.zeros(len(texts))
+def stream_scores(net: Net, texts: list[np.ndarray], start: int) -> np.ndarray:
+    """Natural log-likelihood of each stream of outputs; longest first, so the open lanes are always the first ones."""
+    out, safe = np.zeros(len(texts)), bounded(net)
     order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
     H = net.U.shape[0]
     E = net.E + net.b
@@ -334,7 +378,7 @@ def stream_scores(net: Net, texts: list[np.ndarray], n_words: int, start: int) -
                 prev = y[t, :n]
                 hs[pos : pos + n], ys[pos : pos + n], who[pos : pos + n] = h, prev, np.arange(n)
                 pos += n
-            out[np.array(lane[:live])] += np.bincount(who, log_probs(net, hs, ys, n_words), live)
+            out[np.array(lane[:live])] += np.bincount(who, log_probs(net, hs, ys, safe), live)
     return out
 
 
@@ -381,14 +425,81 @@ def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return sorted(((bytes(r["token"]), r["n"]) for r in rows), key=lambda x: (-x[1], x[0]))
 
 
+def token_rows(texts: DataFrame, table: TokenTable, base_at: float, rare_at: list[float]) -> DataFrame:
+    """(id, n_tokens, known, base, within, outputs, rare) per row of (id, t).
+
+    ``outputs`` are the text's output numbers, 16 bits each; ``within`` what its tokens in the table have inside their
+    rare classes; ``rare`` the tokens outside the table, whose counts come by a join.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast((table, base_at, rare_at))
+    schema = pa.schema(
+        [("id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("within", pa.float64()),
+         ("outputs", pa.binary()), ("rare", pa.list_(pa.binary()))]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, base_at, rare_at = sent.value
+        spent = np.concatenate([np.zeros(table.n), rare_at])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch, rows = whole.slice(at, 4096), ([], [], [], [], [], [])
+                for data in text_bytes(batch.column(1)):
+                    tokens = tokens_of(data)
+                    ids, got, far = table.look(tokens)
+                    near = got >= 0
+                    rows[0].append(len(tokens))
+                    rows[1].append(int(near.sum()))
+                    rows[2].append(float(got[near].sum() - base_at * len(tokens)))
+                    # inside a rare class: log10(c + 1) - log10(N_r + V_r + 1)
+                    rows[3].append(float(got[near & (ids >= table.n)].sum() - spent[ids].sum()))
+                    rows[4].append(ids.astype(np.uint16).tobytes())
+                    rows[5].append(far)
+                yield record_batch(schema, batch.column(0), *rows)
+
+    return texts.select(F.col("id").cast("bigint").alias("id"), "t").mapInArrow(
+        run, "id bigint, n_tokens bigint, known bigint, base double, within double, outputs binary, rare array<binary>"
+    )
+
+
+def averaged(rows: DataFrame, net: Net, start: int, rate: float) -> Net:
+    """``net`` after one pass over ``rows`` (outputs binary): every task trains a copy on all its rows, and the copies
+    are averaged by their tokens, in groups first, so that no task and no driver holds more than a few at a time."""
+    sent = rows.sparkSession.sparkContext.broadcast(net)
+    schema = pa.schema([("n", pa.int64()), ("p", pa.binary())])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        trainer = Trainer(own.unpacked(np.frombuffer(own.pack(1.0), np.float32)), start, rate)
+        held, size, seen = [], 0, 0
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                held.append(np.frombuffer(data, np.uint16))
+                size += len(held[-1])
+                if size >= TRAIN_TOKENS:
+                    trainer.learn(np.concatenate(held))
+                    held, size, seen = [], 0, seen + size
+        if size:
+            trainer.learn(np.concatenate(held))
+        if seen + size:
+            yield record_batch(schema, [seen + size], [trainer.net.pack(1.0)])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = 0, 0.0
+        for batch in batches:
+            for k, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                n, total = n + k, total + np.frombuffer(p, np.float32).astype(np.float64) * k
+        if n:
+            yield record_batch(schema, [n], [(total / n).astype(np.float32).tobytes()])
+
+    form = "n bigint, p binary"
+    made = rows.select("outputs").coalesce(TRAINERS).mapInArrow(learn, form).repartition(32, "n").mapInArrow(add, form)
+    found = made.repartition(1).mapInArrow(add, form).collect()  # one row
+    return net.unpacked(np.frombuffer(found[0]["p"], np.float32)) if found else net
+
+
 def score_texts(
-    spark: SparkSession,
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    train_docs: int = TRAIN_DOCS,
-    vocab: int = VOCAB,
-    known: int = KNOWN,
+    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: int = VOCAB, known: int = KNOWN,
+    rounds: int = ROUNDS,
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of ``docs``.
 
@@ -408,56 +519,42 @@ def score_texts(
         words = [END, *words[: vocab - 1]]
     table = TokenTable(words, dict(top))
     totals = _rare_totals(counts, words)
-    sample = hashed_sample(learn.filter(F.length("t") <= TRAIN_CHARS), "id", train_docs).collect()
-    streams = [table.look(tokens_of(r["t"].encode()))[0].astype(np.int64) for r in sample]
-    net = train(streams, len(words))
     start = words.index(END)
-    base_at = log10(N + V + 1)
-    rare_at = [log10(totals.get(k, (0, 0))[0] + totals.get(k, (0, 0))[1] + 1) for k in range(RARE)]
-    spark_model = spark.sparkContext.broadcast((net, table, base_at, rare_at, start))
-    schema = pa.schema(
-        [("id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()),
-         ("rare", pa.list_(pa.binary()))]
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, table, base_at, rare_at, start = spark_model.value
-        n = table.n
-        spent = np.concatenate([np.zeros(n), rare_at])
+    rare_at = [log10(sum(totals.get(k, (0, 0))) + 1) for k in range(RARE)]
+    rows = token_rows(texts, table, log10(N + V + 1), rare_at).withColumn("row", F.monotonically_increasing_id())
+    rows = written(spark, rows, "lm-rows")
+    known_counts = dict(top)
+    net = unigram_net(np.array([known_counts.get(w, 0) for w in words] + [totals.get(k, (0, 0))[0] for k in range(RARE)], np.float64))
+    mine = rows.filter(bernoulli_fold("id", FOLDS) != HELD_OUT)
+    for k in range(rounds):  # each round has its own part of the rows; together they are all
+        part = mine.filter(F.pmod(F.xxhash64("row"), F.lit(rounds)) == k)
+        net = averaged(part, net, start, RATE / 2**k)
+    sent = spark.sparkContext.broadcast(net)
+    carried = ["row", "id", "n_tokens", "known", "base", "within"]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
-                streams, rows = [], ([], [], [], [], [])
-                for data in text_bytes(batch.column(1)):
-                    tokens = tokens_of(data)
-                    ids, got, far = table.look(tokens)
-                    near = got >= 0
-                    rows[0].append(len(tokens))
-                    rows[1].append(int(near.sum()))
-                    rows[2].append(float(got[near].sum() - base_at * len(tokens)))
-                    # inside a rare class: log10(c + 1) - log10(N_r + V_r + 1); counts outside the table come by the join
-                    rows[3].append(float(got[near & (ids >= n)].sum() - spent[ids].sum()))
-                    rows[4].append(far)
-                    streams.append(ids)
-                model = stream_scores(net, streams, n, start) * LOG10E + np.array(rows[3])
-                yield record_batch(schema, batch.column(0), *rows[:3], model, rows[4])
-
-    passed = texts.select(F.col("id").cast("bigint").alias("id"), "t").mapInArrow(
-        run, "id bigint, n_tokens bigint, known bigint, base double, model double, rare array<binary>"
-    )
-    passed = written(spark, passed.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
-    far = passed.select("row", F.explode("rare").alias("token"))
-    far = far.join(counts, "token").groupBy("row").agg(
+                streams = [np.frombuffer(x, np.uint16) for x in batch.column(len(carried)).to_pylist()]
+                model = pa.array(stream_scores(sent.value, streams, start) * LOG10E)
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], model], names=[*carried, "model"])
+
+    far = rows.select("row", F.explode("rare").alias("token")).join(counts, "token").groupBy("row").agg(
         F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("gain")
     )
-    return passed.drop("rare").join(far, "row", "left").select(
+    scored = rows.select(*carried, "outputs").mapInArrow(
+        score, "row bigint, id bigint, n_tokens bigint, known bigint, base double, within double, model double"
+    )
+    gain = F.coalesce("gain", F.lit(0.0))
+    return scored.join(far, "row", "left").select(
         F.col("id").alias("doc_id"),
         (bernoulli_fold("id", FOLDS) == HELD_OUT).alias("held_out"),
         "n_tokens",
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(N).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("gain", F.lit(0.0))).alias("base_score"),
-        (F.col("model") + F.coalesce("gain", F.lit(0.0))).alias("score"),
+        (F.col("base") + gain).alias("base_score"),
+        (F.col("model") + F.col("within") + gain).alias("score"),
     )
 
 

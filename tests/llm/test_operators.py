@@ -213,27 +213,121 @@ def test_lm_base_and_scores(spark):
     assert score_texts(spark, documents(spark, [])).count() == 0
 
 
-def test_lm_is_a_distribution_and_gradients_agree():
+def lm_streams(lm, rng, n_words, count):
+    streams = [rng.integers(1, n_words + lm.RARE, rng.integers(1, 90)) for _ in range(count)]
+    for s in streams:
+        s[-1] = 0
+    return streams
+
+
+def test_lm_is_a_distribution_and_carries_its_state():
     from codeseam.llm import lm
 
     rng = np.random.default_rng(0)
-    n_words = 100
-    streams = [rng.integers(0, n_words + lm.RARE, 50) for _ in range(20)]
-    for s in streams:
-        s[-1] = 0
-    net = lm.train(streams, n_words, hidden=8, epochs=1)
+    n_out = 100 + lm.RARE
+    streams = lm_streams(lm, rng, 100, 30)
+    trainer = lm.Trainer(lm.unigram_net(np.bincount(np.concatenate(streams), minlength=n_out), hidden=8), 0, 0.01)
+    before = lm.stream_scores(trainer.net, streams, 0).sum()
+    for _ in range(4):
+        trainer.learn(np.concatenate(streams).astype(np.uint16))
+    net = trainer.net
+    whole = lm.stream_scores(net, streams, 0)
+    assert whole.sum() > before
     h = rng.normal(size=(1, 8)).astype(np.float32)
-    every = np.arange(n_words + lm.RARE)
-    total = np.exp(lm.log_probs(net, np.repeat(h, len(every), 0), every, n_words)).sum()
-    assert total == pytest.approx(1, abs=1e-4)
-    whole = lm.stream_scores(net, streams, n_words, 0)
-    state = np.zeros((1, 8), np.float32)
-    prev, score = 0, 0.0
-    for y in streams[3]:  # one step at a time, without windows or lanes
-        state = lm.gru_step(net, net.E[[prev]] + net.b, state)[0]
-        score += lm.log_probs(net, state, np.array([y]), n_words)[0]
-        prev = y
-    assert whole[3] == pytest.approx(score, rel=1e-4)
+    every = np.arange(n_out)
+    for safe in (True, False):
+        total = np.exp(lm.log_probs(net, np.repeat(h, len(every), 0), every, safe)).sum()
+        assert total == pytest.approx(1, abs=1e-4)
+    for k in range(len(streams)):  # one step at a time, without windows or lanes
+        state, prev, score = np.zeros((1, 8), np.float32), 0, 0.0
+        for y in streams[k]:
+            state = lm.gru_step(net, net.E[[prev]] + net.b, state)[0]
+            score += lm.log_probs(net, state, np.array([y]))[0]
+            prev = y
+        assert whole[k] == pytest.approx(score, rel=1e-4)
+
+
+def test_lm_gradients_agree_with_differences():
+    from codeseam.llm import lm
+
+    rng = np.random.default_rng(1)
+    n_out = 100 + lm.RARE
+    y = rng.integers(0, n_out, (lm.TRAIN_WINDOW, 2))
+    y[5, 0] = 0  # a text ends within the window
+    x = np.concatenate([np.zeros((1, 2), int), y[:-1]])
+    on = np.ones(y.shape, bool)
+    on[-3:, 1] = False
+    net = lm.unigram_net(rng.integers(1, 50, n_out), hidden=6)
+    for k in ("E", "U", "Wc", "Ww"):
+        getattr(net, k)[:] *= 6
+    grads = {}
+
+    class Probe(lm.Trainer):
+        def _adam(self, name, g, rate, rows=slice(None)):
+            full = np.zeros_like(getattr(self.net, name))
+            full[rows] = g
+            grads[name] = full * y.size
+
+    Probe(net, 0, 1.0)._window(x, y, np.zeros((2, 6), np.float32), on)
+
+    def loss(net):
+        total = 0.0
+        for lane in range(2):
+            state = np.zeros((1, 6))
+            for t in range(len(y)):
+                if x[t, lane] == 0:
+                    state = np.zeros((1, 6))
+                state = lm.gru_step(net, net.E[[x[t, lane]]] + net.b, state)[0]
+                if on[t, lane]:
+                    total -= lm.log_probs(net, state, y[t : t + 1, lane])[0]
+        return total
+
+    exact = lm.Net(*(getattr(net, k).astype(np.float64) for k in net.names()))
+    exact_word = lm._word_logits
+
+    def wide(net, h, parts):
+        return np.concatenate([h[a:b] @ net.Ww[k].T + net.bw[k] for k, a, b in parts])
+
+    lm._word_logits = wide
+    try:
+        for name in exact.names():
+            w = getattr(exact, name)
+            for flat in np.argsort(-np.abs(grads[name]), axis=None)[:40:6]:
+                at = np.unravel_index(flat, w.shape)
+                if abs(grads[name][at]) >= 0.99 * y.size:  # clipped
+                    continue
+                keep = w[at]
+                w[at] = keep + 1e-4
+                up = loss(exact)
+                w[at] = keep - 1e-4
+                down = loss(exact)
+                w[at] = keep
+                assert (up - down) / 2e-4 == pytest.approx(grads[name][at], rel=0.02, abs=0.002), (name, at)
+    finally:
+        lm._word_logits = exact_word
+
+
+def test_lm_learns_from_every_training_text(spark):
+    """Each task's share is learned whole, in stretches; the average is that of the tasks' networks by tokens."""
+    from codeseam.llm import lm
+
+    rng = np.random.default_rng(3)
+    n_out = 60 + lm.RARE
+    streams = [s.astype(np.uint16) for s in lm_streams(lm, rng, 60, 40)]
+    net = lm.unigram_net(np.bincount(np.concatenate(streams), minlength=n_out), hidden=8)
+    rows = spark.createDataFrame([(bytearray(s.tobytes()),) for s in streams], "outputs binary")
+    assert rows.rdd.getNumPartitions() == 4
+    parts, total = [], 0
+    for own in rows.rdd.glom().collect():
+        trainer = lm.Trainer(net.unpacked(np.frombuffer(net.pack(1.0), np.float32)), 0, 0.01)
+        text = np.concatenate([np.frombuffer(bytes(r["outputs"]), np.uint16) for r in own])
+        trainer.learn(text)
+        parts.append((len(text), np.frombuffer(trainer.net.pack(1.0), np.float32).astype(np.float64)))
+    assert sum(n for n, _ in parts) == sum(map(len, streams))
+    want = sum(n * p for n, p in parts) / sum(n for n, _ in parts)
+    got = np.frombuffer(lm.averaged(rows, net, 0, 0.01).pack(1.0), np.float32)
+    assert np.allclose(got, want, atol=1e-5)
+    assert lm.averaged(rows.limit(0), net, 0, 0.01).pack(1.0) == net.pack(1.0)
 
 
 # ---- op3
