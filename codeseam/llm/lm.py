@@ -254,18 +254,18 @@ class Trainer:
     def _window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, on: np.ndarray | None) -> np.ndarray:
         net, H = self.net, h.shape[1]
         T, L = y.shape
-        hs = np.empty((T + 1, L, H), np.float32)
-        hs[0] = h
+        into, hs = np.empty((T, L, H), np.float32), np.empty((T, L, H), np.float32)
         fresh = x == self.start  # a new text starts from the zero state, as in scoring
         sums, kept = net.E[x] + net.b, []
         for t in range(T):
+            into[t] = h
             if fresh[t].any():
-                hs[t][fresh[t]] = 0
-            hs[t + 1], *own = gru_step(net, sums[t], hs[t])
+                into[t][fresh[t]] = 0
+            h, *own = gru_step(net, sums[t], into[t])
+            hs[t] = h
             kept.append(own)
-        last = hs[T].copy()
         grads: dict = {}
-        dh_out = _output_grads(net, hs[1:].reshape(-1, H), y.reshape(-1), grads, None if on is None else on.reshape(-1)).reshape(T, L, H)
+        dh_out = _output_grads(net, hs.reshape(-1, H), y.reshape(-1), grads, None if on is None else on.reshape(-1)).reshape(T, L, H)
         dE, dU = np.empty((T, L, 3 * H), np.float32), np.empty((T, L, 3 * H), np.float32)
         dh = np.zeros((L, H), np.float32)
         back = np.ascontiguousarray(net.U.T)
@@ -276,7 +276,7 @@ class Trainer:
             slope = zr * (1 - zr)
             dc = dh * (1 - z) * (1 - c * c)
             dx = dE[t]
-            dx[:, :H] = dh * (hs[t] - c)
+            dx[:, :H] = dh * (into[t] - c)
             dx[:, H : 2 * H] = dc * u
             dx[:, : 2 * H] *= slope
             dx[:, 2 * H :] = dc
@@ -287,7 +287,7 @@ class Trainer:
             if fresh[t].any():
                 dh[fresh[t]] = 0
         flat_x, flat = x.reshape(-1), dE.reshape(-1, 3 * H)
-        grads["U"], grads["b"] = hs[:-1].reshape(-1, H).T @ dU.reshape(-1, 3 * H), flat.sum(0)
+        grads["U"], grads["b"] = into.reshape(-1, H).T @ dU.reshape(-1, 3 * H), flat.sum(0)
         order = np.argsort(flat_x.astype(np.uint16), kind="stable")
         sorted_x = flat_x[order]
         edge = np.concatenate([[0], np.nonzero(np.diff(sorted_x))[0] + 1])
@@ -300,7 +300,7 @@ class Trainer:
         for k in ("Ww", "bw"):
             rows, g = grads[k]
             self._adam(k, g * scale, rate, rows)
-        return last
+        return h
 
     def _adam(self, name: str, g: np.ndarray, rate: float, rows=slice(None), b1=0.9, b2=0.99) -> None:
         m, v = self.m[name][rows], self.v[name][rows]
