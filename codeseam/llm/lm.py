@@ -18,17 +18,16 @@ beyond them are joined to the count table by a shuffle and summed per text.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 from math import log10
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codeseam.llm.common import bernoulli_fold, record_batch, text_bytes, written
+from codeseam.llm.common import bernoulli_fold, record_batch, written
 
 END = b" "  # no word holds a space
 FOLDS, HELD_OUT = 7, 2
@@ -40,18 +39,27 @@ KNOWN_BYTES = 64  # longer tokens are never in the table that travels
 HIDDEN = 32
 WINDOW = 64
 LANES = 256
+ROWS = 4096  # texts taken at a time
+#: Tokens are counted in stretches of about so many before they leave the task.
+COUNT_TOKENS = 2_000_000
 TRAIN_LANES, TRAIN_WINDOW = 256, 24
 #: Texts are learned from in stretches of about so many tokens (a text is never cut), by at most so many tasks.
 TRAIN_TOKENS, TRAINERS = 1 << 21, 4096
 #: All training texts are learned from once, in so many parts; the tasks' networks are averaged after each.
 ROUNDS, RATE = 2, 0.004
+CHUNKS = 64
 LOG10E = 1 / np.log(10)
 
 
-def tokens_of(data: bytes) -> list[bytes]:
-    words = data.lower().split()
-    words.append(END)
-    return words
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of some texts (strings without nulls), and where each text's words begin and the last one's end."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, edge = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    real = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # white space at a text's ends leaves empty strings
+    if not real.all():
+        words = words.filter(pa.array(real))
+        edge = np.concatenate([[0], np.cumsum(real)])[edge]
+    return words.cast(pa.binary()), edge
 
 
 def rare_class(word: bytes) -> int:
@@ -71,26 +79,29 @@ def rare_class(word: bytes) -> int:
 
 
 def token_counts(df: DataFrame, text_col: str) -> DataFrame:
-    """(token binary, n) over all texts, counted in each task before the shuffle."""
+    """(token binary, n) over all texts, counted by the stretch in each task before the shuffle."""
     schema = pa.schema([("token", pa.binary()), ("n", pa.int64())])
-    limit = 400_000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        held, size, texts = [], 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            keys = list(counts)
-            for at in range(0, len(keys), 50_000):
-                part = keys[at : at + 50_000]
-                yield record_batch(schema, part, [counts[k] for k in part])
-            counts.clear()
+            found = pc.value_counts(pa.chunked_array(held, pa.binary()))
+            yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts").cast(pa.int64())], schema=schema)
 
-        for batch in batches:
-            for data in text_bytes(batch.column(0)):
-                counts.update(tokens_of(data))
-                if len(counts) >= limit:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                part = whole.column(0).slice(at, ROWS)
+                words, _ = split_words(part)
+                held.append(words)
+                size, texts = size + len(words), texts + len(part)
+                if size >= COUNT_TOKENS:
                     yield from flush()
-        yield from flush()
+                    held, size = [], 0
+        if size:
+            yield from flush()
+        if texts:
+            yield record_batch(schema, [END], [texts])
 
     return df.select(F.col(text_col).alias("t")).mapInArrow(run, "token binary, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
 
@@ -116,9 +127,9 @@ class Net:
     def names(self):
         return list(self.__dataclass_fields__)
 
-    def pack(self, weight: float) -> bytes:
-        """All parameters times a weight, as bytes."""
-        return np.concatenate([getattr(self, k).ravel() for k in self.names()]).__mul__(np.float32(weight)).astype(np.float32).tobytes()
+    def pack(self) -> bytes:
+        """All parameters one after the other."""
+        return np.concatenate([getattr(self, k).ravel() for k in self.names()]).astype(np.float32).tobytes()
 
     def unpacked(self, flat: np.ndarray) -> Net:
         out, at = [], 0
@@ -287,7 +298,7 @@ class Trainer:
             if fresh[t].any():
                 dh[fresh[t]] = 0
         flat_x, flat = x.reshape(-1), dE.reshape(-1, 3 * H)
-        grads["U"], grads["b"] = into.reshape(-1, H).T @ dU.reshape(-1, 3 * H), flat.sum(0)
+        grads["U"], grads["b"] = into.reshape(-1, H).T @ dU.reshape(-1, 3 * H), np.ones(len(flat), np.float32) @ flat
         order = np.argsort(flat_x.astype(np.uint16), kind="stable")
         sorted_x = flat_x[order]
         edge = np.concatenate([[0], np.nonzero(np.diff(sorted_x))[0] + 1])
@@ -329,7 +340,7 @@ def _output_grads(net: Net, h: np.ndarray, y: np.ndarray, grads: dict, on: np.nd
         return logits
 
     p = slope(hs @ net.Wc + net.bc, ys // CLASS_SIZE)
-    grads["Wc"], grads["bc"] = hs.T @ p, p.sum(0)
+    grads["Wc"], grads["bc"] = hs.T @ p, ones @ p  # rows that teach nothing hold zeros
     dh = p @ np.ascontiguousarray(net.Wc.T)
     q = slope(_word_logits(net, hs, parts), ys % CLASS_SIZE)
     rows = np.array([k for k, _, _ in parts])
@@ -337,7 +348,7 @@ def _output_grads(net: Net, h: np.ndarray, y: np.ndarray, grads: dict, on: np.nd
     gb = np.empty((len(rows), CLASS_SIZE), np.float32)
     for i, (k, a, b) in enumerate(parts):
         np.matmul(q[a:b].T, hs[a:b], out=gw[i])
-        np.matmul(ones[a:b], q[a:b], out=gb[i])  # rows that teach nothing hold zeros
+        np.matmul(ones[a:b], q[a:b], out=gb[i])
         dh[a:b] += q[a:b] @ net.Ww[k]
     grads["Ww"], grads["bw"] = (rows, gw), (rows, gb)
     out = np.empty_like(dh)
@@ -389,21 +400,27 @@ class TokenTable:
         self.n = len(words)
         number = {w: i for i, w in enumerate(words)}
         names = [*words, *(w for w in counts if w not in number)]
-        self.at = {w: i for i, w in enumerate(names)}
+        self.names, self.end = pa.array(names, pa.binary()), number[END]
         self.number = np.array([number[w] if w in number else self.n + rare_class(w) for w in names], np.int32)
         #: -1: not counted at all (only the end token of an empty corpus)
         self.log = np.array([log10(counts[w] + 1) if w in counts else -1.0 for w in names])
 
-    def look(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Output numbers, log10(count + 1) (-1 where not in the table), and the tokens not in the table."""
-        at = np.fromiter(map(self.at.get, tokens, repeat(-1)), np.int32, len(tokens))
+    def look(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Of all tokens of some texts: output numbers, log10(count + 1) (-1 where not in the table), the place after each
+        text's last, and the tokens that are not in the table."""
+        words, edge = split_words(texts)
+        stop = edge[1:] + np.arange(1, len(texts) + 1)
+        at = np.full(int(stop[-1]) if len(stop) else 0, self.end, np.int32)
+        inner = np.ones(len(at), bool)
+        inner[stop - 1] = False  # the end tokens
+        at[inner] = pc.index_in(words, value_set=self.names).fill_null(-1).to_numpy(zero_copy_only=False)
         ids, log = self.number[at], self.log[at]
         far = np.nonzero(at < 0)[0]
-        rest = [tokens[i] for i in far.tolist()]
-        if rest:
-            ids[far] = np.fromiter(map(rare_class, rest), np.int32, len(rest)) + self.n
+        rest = words.filter(pa.array(at[inner] < 0))
+        if len(far):
+            ids[far] = np.fromiter(map(rare_class, rest.to_pylist()), np.int32, len(far)) + self.n
             log[far] = -1.0
-        return ids, log, rest
+        return ids, log, stop, rest
 
 
 def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
@@ -441,20 +458,24 @@ def token_rows(texts: DataFrame, table: TokenTable, base_at: float, rare_at: lis
         table, base_at, rare_at = sent.value
         spent = np.concatenate([np.zeros(table.n), rare_at])
         for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                batch, rows = whole.slice(at, 4096), ([], [], [], [], [], [])
-                for data in text_bytes(batch.column(1)):
-                    tokens = tokens_of(data)
-                    ids, got, far = table.look(tokens)
-                    near = got >= 0
-                    rows[0].append(len(tokens))
-                    rows[1].append(int(near.sum()))
-                    rows[2].append(float(got[near].sum() - base_at * len(tokens)))
-                    # inside a rare class: log10(c + 1) - log10(N_r + V_r + 1)
-                    rows[3].append(float(got[near & (ids >= table.n)].sum() - spent[ids].sum()))
-                    rows[4].append(ids.astype(np.uint16).tobytes())
-                    rows[5].append(far)
-                yield record_batch(schema, batch.column(0), *rows)
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                ids, got, stop, far = table.look(batch.column(1))
+                near, first = got >= 0, np.concatenate([[0], stop[:-1]])
+                per = lambda x: np.add.reduceat(x, first)  # noqa: E731, B023  # every text has its end token
+                size = stop - first
+                # inside a rare class: log10(c + 1) - log10(N_r + V_r + 1)
+                within = np.where(near & (ids >= table.n), got, 0.0) - spent[ids]
+                outputs, cut = ids.astype(np.uint16).tobytes(), (2 * np.concatenate([[0], stop])).tolist()
+                rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per(~near & (ids >= table.n)))]), pa.int32()), far)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0), pa.array(size, pa.int64()), pa.array(per(near.astype(np.int64)), pa.int64()),
+                        pa.array(per(np.where(near, got, 0.0)) - base_at * size), pa.array(per(within)),
+                        pa.array([outputs[a:b] for a, b in zip(cut[:-1], cut[1:])], pa.binary()), rare,
+                    ],
+                    schema=schema,
+                )
 
     return texts.select(F.col("id").cast("bigint").alias("id"), "t").mapInArrow(
         run, "id bigint, n_tokens bigint, known bigint, base double, within double, outputs binary, rare array<binary>"
@@ -463,13 +484,14 @@ def token_rows(texts: DataFrame, table: TokenTable, base_at: float, rare_at: lis
 
 def averaged(rows: DataFrame, net: Net, start: int, rate: float) -> Net:
     """``net`` after one pass over ``rows`` (outputs binary): every task trains a copy on all its rows, and the copies
-    are averaged by their tokens, in groups first, so that no task and no driver holds more than a few at a time."""
+    are averaged by their tokens, each of ``CHUNKS`` parts of the parameters in a task of its own, so that no task and no
+    driver holds more than one network."""
     sent = rows.sparkSession.sparkContext.broadcast(net)
-    schema = pa.schema([("n", pa.int64()), ("p", pa.binary())])
+    schema = pa.schema([("chunk", pa.int32()), ("n", pa.int64()), ("p", pa.binary())])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        trainer = Trainer(own.unpacked(np.frombuffer(own.pack(1.0), np.float32)), start, rate)
+        trainer = Trainer(own.unpacked(np.frombuffer(own.pack(), np.float32)), start, rate)
         held, size, seen = [], 0, 0
         for batch in batches:
             for data in batch.column(0).to_pylist():
@@ -481,20 +503,22 @@ def averaged(rows: DataFrame, net: Net, start: int, rate: float) -> Net:
         if size:
             trainer.learn(np.concatenate(held))
         if seen + size:
-            yield record_batch(schema, [seen + size], [trainer.net.pack(1.0)])
+            made = np.array_split(np.frombuffer(trainer.net.pack(), np.float32), CHUNKS)
+            yield record_batch(schema, range(CHUNKS), [seen + size] * CHUNKS, [x.tobytes() for x in made])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = 0, 0.0
+        sums: dict[int, tuple] = {}
         for batch in batches:
-            for k, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n, total = n + k, total + np.frombuffer(p, np.float32).astype(np.float64) * k
-        if n:
-            yield record_batch(schema, [n], [(total / n).astype(np.float32).tobytes()])
+            for c, k, p in zip(*(x.to_pylist() for x in batch.columns)):
+                n, total = sums.get(c, (0, 0.0))
+                sums[c] = n + k, total + np.frombuffer(p, np.float32).astype(np.float64) * k
+        if sums:
+            yield record_batch(schema, list(sums), [n for n, _ in sums.values()], [(x / n).astype(np.float32).tobytes() for n, x in sums.values()])
 
-    form = "n bigint, p binary"
-    made = rows.select("outputs").coalesce(TRAINERS).mapInArrow(learn, form).repartition(32, "n").mapInArrow(add, form)
-    found = made.repartition(1).mapInArrow(add, form).collect()  # one row
-    return net.unpacked(np.frombuffer(found[0]["p"], np.float32)) if found else net
+    form = "chunk int, n bigint, p binary"
+    made = rows.select("outputs").coalesce(TRAINERS).mapInArrow(learn, form).repartition(CHUNKS, "chunk").mapInArrow(add, form)
+    found = sorted(made.collect(), key=lambda r: r["chunk"])  # the parts of one network
+    return net.unpacked(np.concatenate([np.frombuffer(r["p"], np.float32) for r in found])) if found else net
 
 
 def score_texts(
@@ -534,8 +558,8 @@ def score_texts(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096)
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
                 streams = [np.frombuffer(x, np.uint16) for x in batch.column(len(carried)).to_pylist()]
                 model = pa.array(stream_scores(sent.value, streams, start) * LOG10E)
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], model], names=[*carried, "model"])
