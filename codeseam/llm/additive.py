@@ -1,12 +1,14 @@
 """Approximate nearest neighbours by additive quantisation, for largest inner product.
 
-A vector is coded as the sum of one full-dimensional word from each of ``BOOKS`` codebooks.  Codebooks start as residual
-k-means, then are refitted together by least squares on beam-search codes.  Every vector is encoded by beam search
-over the codebooks, and the norm of its code's sum is stored beside its own, so an estimate keeps the vector's length.
+A vector's direction is coded as the sum of one full-dimensional word from each of ``BOOKS`` codebooks.  Codebooks start
+as residual k-means, then are refitted together by least squares on beam-search codes.  Every vector is encoded by beam
+search over the codebooks, and its own norm over that of its code's sum is stored, so an estimate keeps the vector's length.
 
-Search is blocked: codes (with their vectors) in blocks, queries in blocks, and every pair of blocks is scored with
-lookup tables of query times codeword; the best ``SHORT`` by table are reranked on the original vectors in double
-precision, and a query's nearest over all blocks are its answer.  Blocks and tables are of fixed size.
+The index lies in blocks of codes, norms and their vectors, and is scanned where it lies: nothing of it is shuffled.
+Queries travel to the executors in batches of a fixed size, one scan of the index for each batch.  A task scores its
+blocks with lookup tables of query times codeword, keeps each query's ``SHORT`` best estimates over all its blocks as the
+bar for the next, and reranks what passes it on the original vectors, which lie beside the codes, in double precision.
+Only ``k`` answers a query and task are handed on.
 
 Exact copies of a vector are coded once: of each only the ``k + 1`` smallest ids can be among anyone's k nearest, so
 only those are kept beside it, and nothing that could be an answer is lost.
@@ -21,15 +23,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from codeseam.llm.common import hashed_sample, record_batch, written
+from codeseam.llm.common import hashed_sample, record_batch, shared_path, written
 
 BOOKS, WORDS, BEAM = 16, 256, 4
 #: Codebooks are fitted to at most so many vectors (the least hashes of their ids); every vector is indexed.
 FIT_ROWS = 12_000
 SHORT = 400
-BLOCK, QUERY_BLOCK = 8192, 2048
-#: About so many scans run side by side; beyond it, by query block alone.
-GROUPS = 48
+BLOCK = 8192
+#: A batch of queries is what travels: at most about so many, and so many bytes.
+QUERY_BATCH, QUERY_BYTES = 32_768, 16 << 20
 
 
 @dataclass
@@ -127,16 +129,29 @@ def refit(x: np.ndarray, words: np.ndarray, codes: np.ndarray, sweeps: int = 6)
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v array<float>): rows with an id and finite, not all zero components, of the commonest length."""
+    """(vec_id, v): rows with an id and finite, not all zero components.  Floats stay floats, other numbers are doubles."""
+    kind = df.schema[vector_col].dataType
+    floats = kind.typeName() == "array" and kind.elementType.typeName() == "float"
     v = F.col("v")
-    rows = df.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v"))
+    rows = df.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast(f"array<{'float' if floats else 'double'}>").alias("v"))
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return rows.filter(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~bad & F.exists(v, lambda x: x != 0))
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
+def _length(x: np.ndarray) -> np.ndarray:
+    """Length of each row in double precision, without overflow."""
+    most = np.abs(x).max(1).astype(np.float64)
+    return most * np.linalg.norm(x / most[:, None], axis=1)
+
+
+def _directions(x: np.ndarray) -> np.ndarray:
+    """Rows of length one as float32: what is coded, and what queries are estimated by."""
+    return (x / _length(x)[:, None]).astype(np.float32)
 
 
 def index_blocks(classes: DataFrame, books: Books, dim: int, block: int = BLOCK) -> DataFrame:
@@ -148,11 +163,10 @@ def index_blocks(classes: DataFrame, books: Books, dim: int, block: int = BLOCK)
     def pack(books: Books, part: pa.Table) -> pa.RecordBatch:
         part = part.combine_chunks()
         x = _matrix(part.column(0), dim)
-        codes = beam_encode(books, x)
+        codes = beam_encode(books, _directions(x))
         made = decode(books, codes)
         stored = np.sqrt(np.einsum("ij,ij->i", made, made))
-        length = np.sqrt(np.einsum("ij,ij->i", x, x))
-        scale = (length / np.maximum(stored, 1e-20)).astype(np.float32)
+        scale = np.minimum(_length(x) / np.maximum(stored, 1e-20), 3e38).astype(np.float32)
         members = part.column(1).to_pylist()
         counts = np.array([len(m) for m in members], np.int32)
         ids = np.array([i for m in members for i in m], np.int64)
@@ -172,122 +186,127 @@ def index_blocks(classes: DataFrame, books: Books, dim: int, block: int = BLOCK)
     return classes.select("v", "ids").mapInArrow(run, ", ".join(f"{n} binary" for n in names))
 
 
-def query_blocks(queries: DataFrame, dim: int, size: int = QUERY_BLOCK) -> DataFrame:
-    """(qids, qvectors) packed."""
-    schema = pa.schema([("qids", pa.binary()), ("qvectors", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
-                ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                yield record_batch(schema, [ids.tobytes()], [_matrix(part.column(1), dim).tobytes()])
-
-    return queries.select("vec_id", "v").mapInArrow(run, "qids binary, qvectors binary")
-
-
-def _nearest(table: tuple, block: dict, k: int, short: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, id, score) of each query's k nearest in one block, itself left out."""
-    qids, qx, lut = table
-    ids, counts, x, codes, scale = block
-    first = np.concatenate([[0], np.cumsum(counts)])
-    n, out = len(x), ([], [], [])
-    for at in range(0, len(qids), 128):
-        part = lut[:, :, at : at + 128]
-        est = np.take(part[0], codes[:, 0], 0)
-        for m in range(1, codes.shape[1]):
-            est += np.take(part[m], codes[:, m], 0)
-        est *= scale[:, None]
-        est = np.ascontiguousarray(est.T)
-        b = min(short, n)
-        best = np.argpartition(-est, b - 1, 1)[:, :b] if b < n else np.tile(np.arange(n), (len(est), 1))
-        for r in range(len(est)):
-            pick = best[r]
-            exact = x[pick].astype(np.float64) @ qx[at + r].astype(np.float64)
-            order = np.argsort(-exact, kind="stable")
-            if len(order) > k + 1:  # ties with the last one stay
-                order = order[exact[order] >= exact[order[k]]]
-            got = [(float(exact[o]), int(i)) for o in order for i in ids[first[pick[o]] : first[pick[o] + 1]].tolist() if i != qids[at + r]]
-            got.sort(key=lambda t: (-t[0], t[1]))
-            for score, i in got[:k]:
-                out[0].append(int(qids[at + r]))
-                out[1].append(i)
-                out[2].append(score)
-    return out
+class Scan:
+    """The answers of one batch of queries over the blocks of one task."""
+
+    def __init__(self, qids: np.ndarray, qx: np.ndarray, words: np.ndarray, k: int, short: int):
+        self.qids, self.exact, self.words, self.k, self.short = qids, qx.astype(np.float64), words, k, short
+        self.single = _directions(qx)  # a query's length changes no order of its own
+        #: Each query's best estimates over the blocks seen; the least of them is its bar.
+        self.best = np.full((len(qids), short), -np.inf, np.float32)
+        self.found: list[tuple] = []
+
+    def block(self, ids: np.ndarray, counts: np.ndarray, x: np.ndarray, codes: np.ndarray, scale: np.ndarray) -> None:
+        first = np.concatenate([[0], np.cumsum(counts)])
+        for at in range(0, len(self.qids), 128):
+            part = np.matmul(self.words, self.single[at : at + 128].T)  # books x words x queries: the lookup tables
+            est = np.take(part[0], codes[:, 0], 0)
+            for m in range(1, codes.shape[1]):
+                est += np.take(part[m], codes[:, m], 0)
+            with np.errstate(over="ignore"):  # beyond float32: infinite, and reranked or left out by its sign
+                est *= scale[:, None]
+            est = np.ascontiguousarray(est.T)
+            if est.shape[1] > self.short:
+                bars = -np.partition(-est, self.short - 1, 1)[:, self.short - 1]
+                bars = np.maximum(bars, self.best[at : at + 128].min(1))
+            else:
+                bars = self.best[at : at + 128].min(1)
+            for r in range(len(est)):
+                pick = np.nonzero(est[r] >= bars[r])[0]
+                if len(pick):
+                    self._rerank(at + r, pick, est[r][pick], ids, first, x)
+        if len(self.found) >= max(4096, len(self.qids)):
+            self.found = [self.merged()]
+
+    def _rerank(self, q: int, pick: np.ndarray, est: np.ndarray, ids: np.ndarray, first: np.ndarray, x: np.ndarray) -> None:
+        both = np.concatenate([self.best[q], est])
+        self.best[q] = np.partition(both, len(both) - self.short)[len(both) - self.short :]
+        exact = x[pick].astype(np.float64) @ self.exact[q]
+        order = np.argsort(-exact, kind="stable")
+        if len(order) > self.k + 1:  # ties with the last one stay
+            order = order[exact[order] >= exact[order[self.k]]]
+        at = pick[order]
+        each = first[at + 1] - first[at]
+        vec = np.concatenate([ids[a:b] for a, b in zip(first[at].tolist(), first[at + 1].tolist())])
+        score = np.repeat(exact[order], each)
+        keep = vec != self.qids[q]
+        vec, score = vec[keep], score[keep]
+        if len(vec) > self.k:
+            top = np.lexsort((vec, -score))[: self.k]
+            vec, score = vec[top], score[top]
+        self.found.append((np.full(len(vec), self.qids[q]), vec, score))
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, score) of each query's k nearest so far."""
+        ask, vec, score = (np.concatenate([f[j] for f in self.found]) for j in range(3))
+        order = np.lexsort((vec, -score, ask))
+        ask, vec, score = ask[order], vec[order], score[order]
+        keep = np.arange(len(ask)) - np.searchsorted(ask, ask) < self.k
+        return ask[keep], vec[keep], score[keep]
 
 
 def search(
     spark: SparkSession, df: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20,
-    short: int = SHORT, block: int = BLOCK, query_block: int = QUERY_BLOCK,
+    short: int = SHORT, block: int = BLOCK, query_batch: int = QUERY_BATCH,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by ``every``.
 
     Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor do
-    rows without an id.  Rows that repeat an id take part as that many vectors; a query's own id is never its answer.
-    Fewer candidates than k give all of them; an empty table gives an empty result.  Other columns are not read.
+    rows without an id.  Rows that repeat an id take part as that many vectors; a query's own id is never its answer, and
+    an id with several vectors asks with the least of them.  Fewer candidates than k give all of them; an empty table
+    gives an empty result.  Other columns are not read.
     """
-    empty = "query_id bigint, rank int, vec_id bigint, score double"
+    answer = "query_id bigint, rank int, vec_id bigint, score double"
     rows = usable(df, id_col, vector_col)
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     if not sizes:
-        return spark.createDataFrame([], empty)
+        return spark.createDataFrame([], answer)
     dim = sizes[0]["d"]
     rows = written(spark, rows.filter(F.size("v") == dim), "aq-vectors")
     sample = hashed_sample(rows, "vec_id", FIT_ROWS).select("v").collect()
-    books = fit(np.array([r["v"] for r in sample], np.float32), words=min(WORDS, max(1, len(sample))))
+    books = fit(_directions(np.array([r["v"] for r in sample], np.float64)), words=min(WORDS, max(1, len(sample))))
     # of each distinct vector the k + 1 smallest ids; the limit is applied before the shuffle too
     same = Window.partitionBy("v").orderBy("vec_id")
     kept = rows.withColumn("r", F.row_number().over(same)).filter(F.col("r") <= k + 1)
     classes = written(spark, kept.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "aq-classes")
-    asks = written(spark, rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]), "aq-asks")
     # as many partitions as full blocks, so blocks don't shrink where a cluster deals rows over many partitions
-    n_queries = -(-asks.count() // query_block)
-    packed = written(spark, query_blocks(asks.repartition(max(1, n_queries)), dim, query_block), "aq-queries")
-    n_queries = packed.count()
-    if not n_queries:
-        return spark.createDataFrame([], empty)
-    numbered = written(spark, packed.withColumn("q", F.row_number().over(Window.orderBy(F.xxhash64("qids"))) - 1), "aq-numbered")
     blocks = written(spark, index_blocks(classes.repartition(max(1, -(-classes.count() // block))), books, dim, block), "aq-index")
-    # every query block meets every index block; the index is dealt into few groups, each scanned in one go, so that the
-    # answers handed on are k a query and group however many blocks there are
-    groups = max(1, min(blocks.count(), GROUPS // n_queries))
-    pairs = blocks.withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
-    pairs = pairs.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)))).join(numbered, "q")
-    pairs = pairs.repartition(min(4096, n_queries * groups), "q", "g").sortWithinPartitions("q", "g")
+    asks = written(spark, rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")), "aq-asks")
+    batches = -(-asks.count() // max(1, min(query_batch, QUERY_BYTES // (8 * dim))))
+    path = shared_path(spark, "aq-found")
+    for b in range(batches):  # ids are distinct, so their hashes deal them evenly
+        batch = asks.filter(F.pmod(F.xxhash64("vec_id"), F.lit(batches)) == b).orderBy("vec_id").collect()
+        if batch:
+            _scanned(blocks, books, batch, k, short).write.mode("append").parquet(path)
+    if not batches:
+        return spark.createDataFrame([], answer)
+    return spark.read.schema(answer).parquet(path)
+
+
+def _scanned(blocks: DataFrame, books: Books, batch: list, k: int, short: int) -> DataFrame:
+    """(query_id, rank, vec_id, score) of a batch of queries: one scan of the index, then the best over its tasks."""
+    spark = blocks.sparkSession
+    qids = np.array([r["vec_id"] for r in batch], np.int64)
+    qx = np.array([r["v"] for r in batch], np.float64)
+    sent = spark.sparkContext.broadcast((qids, qx, books.words))
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-    sent = spark.sparkContext.broadcast(books.words)
-
-    def best(found: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ask, vec, score = (np.concatenate([np.asarray(f[j], t) for f in found]) for j, t in enumerate((np.int64, np.int64, np.float64)))
-        order = np.lexsort((vec, -score, ask))
-        ask, vec, score = ask[order], vec[order], score[order]
-        first = np.searchsorted(ask, ask)
-        keep = np.arange(len(ask)) - first < k
-        return ask[keep], vec[keep], score[keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, at, table, found = sent.value, None, None, []
+        qids, qx, words = sent.value
+        scan = Scan(qids, qx, words, k, short)
         for batch in batches:
             for r in range(batch.num_rows):
-                q, g, ids, counts, x, codes, scale, qids, qx = (batch.column(c)[r].as_py() for c in range(9))
-                if at != (q, g):
-                    if found:
-                        yield record_batch(schema, *best(found))
-                    at, found = (q, g), []
-                    qx = np.frombuffer(qx, np.float32).reshape(-1, dim)
-                    table = (np.frombuffer(qids, np.int64), qx, np.ascontiguousarray(np.matmul(words, qx.T)))  # books x words x queries
-                packed = (
-                    np.frombuffer(ids, np.int64), np.frombuffer(counts, np.int32), np.frombuffer(x, np.float32).reshape(-1, dim),
-                    np.frombuffer(codes, np.uint8).reshape(-1, words.shape[0]), np.frombuffer(scale, np.float32),
+                ids, counts, x, codes, scale = (batch.column(c)[r].as_py() for c in range(5))
+                counts = np.frombuffer(counts, np.int32)
+                wide = len(x) == 8 * len(counts) * qx.shape[1]
+                scan.block(
+                    np.frombuffer(ids, np.int64), counts, np.frombuffer(x, np.float64 if wide else np.float32).reshape(len(counts), -1),
+                    np.frombuffer(codes, np.uint8).reshape(len(counts), -1), np.frombuffer(scale, np.float32),
                 )
-                found.append(_nearest(table, packed, k, short))
-                if len(found) >= 8:
-                    found = [best(found)]
-        if found:
-            yield record_batch(schema, *best(found))
-
-    found = pairs.select("q", "g", "ids", "counts", "vectors", "codes", "scale", "qids", "qvectors").mapInArrow(
-        run, "query_id bigint, vec_id bigint, score double"
-    )
+        if scan.found:
+            yield record_batch(schema, *scan.merged())
+
+    found = blocks.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
     near = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    ranked = found.withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

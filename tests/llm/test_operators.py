@@ -194,12 +194,12 @@ def test_lm_base_and_scores(spark):
 
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice(["alpha beta", "gamma delta"]) for _ in range(rng.randrange(1, 60)))) for i in range(150)]
-    rows += [(500, None), (501, ""), (502, "unseenword " * 3), (None, "alpha"), (1, rows[1][1]), (503, "Alpha BETAÉ " * 4000)]
+    rows += [(500, None), (501, ""), (502, "unseenword " * 3), (None, "alpha"), (1, rows[1][1]), (503, "Alpha BETAÉ " * 4000), (504, "\x0b alpha\x0c\x1cbeta\x85 \u00a0gamma\u2003delta \r\n"), (505, " \t ")]
     got = {(r["doc_id"], r["n_tokens"]): r for r in score_texts(spark, documents(spark, rows), vocab=6, known=5).collect()}
     counts = Counter()
     tokens = {}
     for i, t in rows:
-        tokens[i] = (t or "").encode().lower().split() + [END]
+        tokens[i] = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()) + [END]
         if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
             counts.update(tokens[i])
     N, V = sum(counts.values()), len(counts)
@@ -319,15 +319,15 @@ def test_lm_learns_from_every_training_text(spark):
     assert rows.rdd.getNumPartitions() == 4
     parts, total = [], 0
     for own in rows.rdd.glom().collect():
-        trainer = lm.Trainer(net.unpacked(np.frombuffer(net.pack(1.0), np.float32)), 0, 0.01)
+        trainer = lm.Trainer(net.unpacked(np.frombuffer(net.pack(), np.float32)), 0, 0.01)
         text = np.concatenate([np.frombuffer(bytes(r["outputs"]), np.uint16) for r in own])
         trainer.learn(text)
-        parts.append((len(text), np.frombuffer(trainer.net.pack(1.0), np.float32).astype(np.float64)))
+        parts.append((len(text), np.frombuffer(trainer.net.pack(), np.float32).astype(np.float64)))
     assert sum(n for n, _ in parts) == sum(map(len, streams))
     want = sum(n * p for n, p in parts) / sum(n for n, _ in parts)
-    got = np.frombuffer(lm.averaged(rows, net, 0, 0.01).pack(1.0), np.float32)
+    got = np.frombuffer(lm.averaged(rows, net, 0, 0.01).pack(), np.float32)
     assert np.allclose(got, want, atol=1e-5)
-    assert lm.averaged(rows.limit(0), net, 0, 0.01).pack(1.0) == net.pack(1.0)
+    assert lm.averaged(rows.limit(0), net, 0, 0.01).pack() == net.pack()
 
 
 # ---- op3
@@ -340,6 +340,61 @@ def model_path():
 ODD = ["", " ", "  ", "\n", " a", "a ", "a  b", "▁", "a▁b", "日本語  emoji😀", "\x00a", "a\tb\r\nc", "<s> </s> <unk> <0x41>", "x" * 400, "ab " * 300, "é" * 60]
 
 
+def aligned_by_characters(model, text):
+    """Ids with their source spans, one character and one piece at a time."""
+    data, out, at = text.encode(), [], 0
+    while at < len(data):
+        hit = model.charmap.longest(data, at)
+        size, made = hit or next((n, data[at : at + n]) for n in (1, 2, 3, 4) if at + n == len(data) or data[at + n] & 0xC0 != 0x80)
+        out += [(c, at, at + size, hit is None) for c in made.decode()]
+        at += size
+    if model.squeeze:
+        kept = []
+        for c in out:
+            if c[0] != " " or kept and kept[-1][0] != " ":
+                kept.append(c)
+        while kept and kept[-1][0] == " ":
+            kept.pop()
+        out = kept
+    if model.prefix and out:
+        out.insert(0, (" ", out[0][1], out[0][1], True))
+    norm = "".join("▁" if c[0] == " " else c[0] for c in out)
+    found, at = [], 0
+    for p in model.merge(norm):
+        own = out[at : at + len(p)]
+        at += len(p)
+        i = model.ids.get(p)
+        if i is not None or not model.byte_fallback:
+            i = model.unk if i is None else i
+            if i == model.unk and found and found[-1][0] == i:
+                found[-1] = (i, found[-1][1], own[-1][2])
+            else:
+                found.append((i, own[0][1], own[-1][2]))
+            continue
+        for c, a, b, same in own:
+            for k, byte in enumerate(c.encode()):
+                found.append((model.byte_ids[byte], a + k, a + k + 1) if same else (model.byte_ids[byte], a, b))
+    return found
+
+
+@pytest.mark.parametrize("squeeze", [False, True])
+@pytest.mark.parametrize("fallback", [False, True])
+def test_pieces_project_through_a_character_map(squeeze, fallback):
+    """The query's model maps nothing, so a model of its pieces with a map of our own takes the mapped way."""
+    from codeseam.llm.pieces import CharMap, PieceModel
+
+    with open(model_path(), "rb") as f:
+        model = PieceModel(f.read())
+    assert not model.charmap.units
+    strings = b"x\0yz\0e\0 \0\0wide space  \0"
+    model.charmap = CharMap(build_charmap({b"a": 0, b"ab": 2, "é".encode(): 5, b"\t": 7, b"q": 9, "日".encode(): 10}, strings))
+    model.squeeze, model.byte_fallback = squeeze, fallback
+    rng = random.Random(5)
+    for text in ["", "q", "qq", "abc ab a", "é\tq日x", *("".join(rng.choice("aabé\t q日.xyz 😀▁") for _ in range(rng.randrange(50))) for _ in range(500))]:
+        ids, starts, ends = model.encode(text)
+        assert list(zip(ids.tolist(), starts.tolist(), ends.tolist())) == aligned_by_characters(model, text), text
+
+
 def test_pieces_match_the_library_and_cover_the_source():
     import sentencepiece
 
@@ -354,8 +409,7 @@ def test_pieces_match_the_library_and_cover_the_source():
         ids, starts, ends = model.encode(text)
         assert ids.tolist() == library.encode(text)
         assert model.decode(ids.tolist()).decode() == library.decode(ids.tolist())
-        aligned = model.encode_aligned(text) if text else ([], [], [])
-        assert (ids.tolist(), starts.tolist(), ends.tolist()) == tuple(map(list, aligned))
+        assert list(zip(ids.tolist(), starts.tolist(), ends.tolist())) == aligned_by_characters(model, text)
         if text:
             assert starts[0] == 0 and ends[-1] == len(text.encode()) and (starts[1:] == ends[:-1]).all()
     for _ in range(300):
@@ -509,6 +563,67 @@ def test_licence_gate_loses_nothing(spark):
 
 # ---- op6
 
+KEY = b"test"
+
+
+def settled_by_hand(texts):
+    """Attempts of all entities: whoever's surrogate is taken or stands in the corpus moves on, until none does."""
+    from codeseam.llm.pii import entity_key, find, surrogate_key, written_key
+
+    held, real = {}, set()
+    for text in texts:
+        for a, b, kind, detail in find(text or ""):
+            held.setdefault(entity_key(kind, text[a:b], detail, KEY), (kind, text[a:b], detail))
+            real.add(written_key(kind, text[a:b], KEY))
+    attempt = dict.fromkeys(held, 0)
+    while True:
+        by = defaultdict(list)
+        for k, own in held.items():
+            by[surrogate_key(*own, attempt[k], KEY)].append((attempt[k], k))
+        clash = [k for made, keys in by.items() for _, k in sorted(keys)[0 if made in real else 1 :]]
+        if not clash:
+            return attempt
+        for k in clash:
+            attempt[k] += 1
+
+
+def test_surrogates_match_brute_force(spark):
+    from codeseam.llm.pii import entity_key, find, surrogate, surrogates
+
+    rng = random.Random(8)
+    said = ["call +1234", "+2 345", "Mr Kim", "Ms Kim", "Dr Bo", "mail a@b.io", "password: ******", "secret: пароль", "from 10.0.0.%d", "ssn 123-45-%04d", "pin token=%06d", "Señora Ana Luz"]
+
+    def one():
+        s = rng.choice(said)
+        return s % rng.randrange(20) if "%" in s else s
+
+    texts = [" ".join(one() + rng.choice([". ", ", ", " and "]) + prose(rng, 3) for _ in range(rng.randrange(6))) for _ in range(120)]
+    texts += [None, "", " ".join(f"call +1{k:03d}," for k in range(1000)) + " Mr Kim" * 3000]
+    attempt = settled_by_hand(texts)
+    assert max(attempt.values()) > 1
+    want = Counter()
+    for text in texts:
+        out, at = [], 0
+        for a, b, kind, detail in find(text or ""):
+            out += [text[at:a], surrogate(kind, text[a:b], detail, attempt[entity_key(kind, text[a:b], detail, KEY)], KEY)]
+            at = b
+        want[None if text is None else "".join([*out, text[at:]])] += 1
+    df = spark.createDataFrame([(t, 1, "a", "b", "c") for t in texts], "text string, uid int, moves string, key string, count string")
+    for sent in (100_000, -1):
+        assert Counter(r["text"] for r in surrogates(spark, df, key=KEY, sent=sent).collect()) == want
+
+
+def test_surrogate_key_comes_from_the_session(spark):
+    from codeseam.llm.pii import KEY_SETTING, session_key
+
+    assert session_key(spark) != session_key(spark)
+    spark.conf.set(KEY_SETTING, "held secret")
+    try:
+        assert session_key(spark) == session_key(spark)
+    finally:
+        spark.conf.unset(KEY_SETTING)
+
+
 
 def test_surrogates(spark):
     from codeseam.llm.pii import find, surrogates
@@ -520,17 +635,17 @@ def test_surrogates(spark):
     rows = [(1, text), (2, "again ann.lee@corp.example.com"), (3, "no data here, 12 apples v1.2.3"), (4, None), (5, ""), (None, text), (1, text), (6, "Господин Иванов пришёл"), (7, "bob@corp.example.com")]
     df = documents(spark, rows)
     for sent in (1000, -1):  # by broadcast and by join
-        out = surrogates(spark, df, sent=sent)
-        assert out.columns[: len(df.columns)] == df.columns
+        out = surrogates(spark, df, report=("count", "places"), sent=sent)
+        assert out.columns == [*df.columns, "count", "places"]
         got = out.collect()
         assert len(got) == len(rows)
         by = {r["doc_id"]: r for r in got}
-        kinds = Counter(p["type"] for p in by[1]["__places"])
+        kinds = Counter(p["type"] for p in by[1]["places"])
         assert kinds == Counter(phone=1, email=1, card=1, ip=1, secret=2, name=3, iban=1)
         made = by[1]["text"]
         for raw in ("555-0199", "Lee@", "4111111111111111", "10.1.2.3", "hunter22x", "ABCDEFGHIJ", "Müller", "Anna", "DE89 3704"):
             assert raw not in made
-        places = {(p["type"], made[p["start"] : p["end"]]) for p in by[1]["__places"]}
+        places = {(p["type"], made[p["start"] : p["end"]]) for p in by[1]["places"]}
         email = next(s for k, s in places if k == "email")
         assert by[2]["text"] == f"again {email}"  # one entity, one surrogate
         assert by[7]["text"].split("@")[1] == email.split("@")[1]  # one domain, one surrogate
@@ -571,12 +686,12 @@ def test_surrogates_never_run_out(spark):
     made = [p for i in range(100) for p in re.findall(r"\+\d+", by[10 + i])]
     assert len(made) == len(set(made)) == 9000 and not {len(p) for p in made} & {5}
     one = documents(spark, [(1, "password: ********")])  # beyond the attempts gathered first
-    key = entities(one, "text").collect()[0]["key"]
+    key = entities(one, "text", KEY).collect()[0]["key"]
     taken = spark.createDataFrame([(bytes(key), [bytes(key)] * ATTEMPTS)], "key binary, made array<binary>")
-    assert [r["attempt"] for r in settle(spark, taken, lambda start: entities(one, "text", start=start)).collect()] == [ATTEMPTS]
+    assert [r["attempt"] for r in settle(spark, taken, lambda start: entities(one, "text", KEY, start)).collect()] == [ATTEMPTS]
     for text in ("10.1.2.3", "123-45-6789", "4111111111111111", "DE89 3704 0044 0532 0130 00", "+2 345", "a@b.com", "Mr Kim", "Dr 李明", "secret: ......"):
         (a, b, kind, detail), *_ = find(text)
-        late = [surrogate(kind, text[a:b], detail, n) for n in range(100)]
+        late = [surrogate(kind, text[a:b], detail, n, KEY) for n in range(100)]
         assert len(set(late[ATTEMPTS:])) == 100 - ATTEMPTS and text[a:b] not in late[1:]
 
 
@@ -584,13 +699,13 @@ def test_every_surrogate_variant_is_checked(spark):
     from codeseam.llm.pii import entities, surrogate, surrogate_key
 
     df = documents(spark, [(1, "Mr Kim"), (2, "Ms Kim"), (3, "Dr Kim"), (4, "MR KIM and Mr KIM"), (5, "+44 20 7946 0958"), (6, "+442079460958")])
-    rows = entities(df, "text").collect()
+    rows = entities(df, "text", KEY).collect()
     made = {bytes(r["made"][0]) for r in rows}
     used = [("name", "Kim", "m"), ("name", "Kim", "f"), ("name", "Kim", ""), ("name", "KIM", "m"), ("phone", "+44 20 7946 0958", ""), ("phone", "+442079460958", "")]
-    assert {surrogate_key(k, raw, d, 0, b"codeseam surrogate key") for k, raw, d in used} == made and len(made) == 4
+    assert {surrogate_key(k, raw, d, 0, KEY) for k, raw, d in used} == made and len(made) == 4
     assert len({bytes(r["real"]) for r in rows}) == 2  # Kim is one name to collide with
-    assert re.sub(r"\D", "", surrogate(*used[4], 0)) == re.sub(r"\D", "", surrogate(*used[5], 0))
-    assert surrogate("name", "Straße", "m", 0).casefold() == surrogate("name", "STRASSE", "m", 0).casefold()
+    assert re.sub(r"\D", "", surrogate(*used[4], 0, KEY)) == re.sub(r"\D", "", surrogate(*used[5], 0, KEY))
+    assert surrogate("name", "Straße", "m", 0, KEY).casefold() == surrogate("name", "STRASSE", "m", 0, KEY).casefold()
 
 
 # ---- op7
@@ -675,7 +790,7 @@ def test_additive_search_recall_and_edges(spark):
     rows += [(2000, None, 0), (2020, [0.0] * 16, 0), (2040, [float("nan")] * 16, 0), (2060, [float("inf")] + [0.0] * 15, 0), (2080, [None] + [1.0] * 15, 0), (2100, [1.0, 2.0], 0), (None, x[0].tolist(), 0), (2120, [], 0)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, rank int")
     got = defaultdict(list)
-    for q, r, v, s in results(search(spark, df, k=20, block=128, query_block=16).orderBy("query_id", "rank")):
+    for q, r, v, s in results(search(spark, df, k=20, short=60, block=128, query_batch=16).orderBy("query_id", "rank")):
         got[q].append((r, v, s))
     hit = 0
     assert sorted(got) == list(range(0, 700, 20))
@@ -691,6 +806,33 @@ def test_additive_search_recall_and_edges(spark):
     assert few.count() == 2
 
 
+def test_additive_search_keeps_doubles_ties_and_repeated_ids(spark):
+    from codeseam.llm.additive import search
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 8))
+    x[50:90] = x[50]  # equal scores: the smaller id comes first
+    x[7] *= 1e200  # no float32 holds it
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(20, x[20].tolist()), (20, (-x[20]).tolist()), (40, None)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = defaultdict(list)
+    for q, r, v, s in results(search(spark, df, k=10, short=120, block=64).orderBy("query_id", "rank")):
+        got[q].append((v, s))
+    every = [(i, np.array(v)) for i, v in rows if v is not None]
+    asks = {}
+    for i, v in every:
+        if i % 20 == 0:
+            asks[i] = min(asks.get(i, v), v, key=lambda y: y.tolist())
+    assert sorted(got) == sorted(asks)
+    hit = 0
+    for q, ask in asks.items():
+        order = sorted(((-float(v @ ask), i) for i, v in every if i != q))[:10]
+        scores = {i: -s for s, i in order}
+        assert [s for _, s in got[q]] == sorted((s for _, s in got[q]), reverse=True)
+        hit += len({v for v, s in got[q] if v in scores and s == pytest.approx(scores[v], rel=1e-12)})
+    assert hit >= 0.9 * 10 * len(asks)
+
+
 # ---- pipeline
 
 
