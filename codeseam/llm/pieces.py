@@ -1,9 +1,9 @@
 """SentencePiece BPE encoding with offsets, and decoding.
 
-Normalisation walks the text with the longest prefix found in the model's compiled character map and records, for every
-normalised character, the source bytes it came from; merged pieces are projected through that record onto byte spans of
-the original text.  Where the map is empty and a text holds no U+2581 of its own the record is plain arithmetic on piece
-lengths and is computed for a whole text at once; tests hold both ways to be equal.
+Normalisation replaces the longest prefixes found in the model's compiled character map and records, for every byte it
+makes, the source bytes that byte came from; merged pieces are projected through that record onto byte spans of the
+original text.  The map is walked only where some mapped prefix can begin (the first bytes that its trie knows), all
+other bytes stand for themselves; every text of every model takes this one way.
 
 Merging works on segments that no piece can cross (checked against the vocabulary when a model is opened), so segments
 are encoded once and kept in a bounded table.
@@ -62,13 +62,23 @@ class CharMap:
         (size,) = struct.unpack_from("<I", blob) if blob else (0,)
         self.units = np.frombuffer(blob[4 : 4 + size], "<u4").tolist() if blob else []
         self.strings = blob[4 + size :]
+        #: Whether a mapped prefix can begin with a byte.
+        self.begins = np.zeros(256, bool)
+        if self.units:
+            root = self._offset(self.units[0])
+            for byte in range(256):
+                self.begins[byte] = root ^ byte < len(self.units) and self.units[root ^ byte] & 0x800000FF == byte
+
+    @staticmethod
+    def _offset(unit: int) -> int:
+        return (unit >> 10) << ((unit & (1 << 9)) >> 6)
 
     def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
         """Source length and replacement of the longest mapped prefix at ``at``."""
         units, node, found = self.units, 0, None
         if not units:
             return None
-        offset = lambda u: (u >> 10) << ((u & (1 << 9)) >> 6)
+        offset = self._offset
         node = offset(units[0])
         for i in range(at, len(data)):
             byte = data[i]
@@ -119,11 +129,9 @@ class PieceModel:
         lone = f"{self.loners}+" if self.loners else "(?!)"
         body = f"[^{SPACE}{self.loners}]"
         self.segments = re.compile(f"{SPACE}*{body}+|{SPACE}+|{lone}") if cuts else re.compile("(?s).+")
-        self.plain = cuts and not self.charmap.units and self.prefix and not self.squeeze and self.escape and self.byte_fallback
-        #: Source bytes of a piece when a space is the only thing that normalisation changes.
-        self.source_len = np.array(
-            [1 if k == BYTE else len(b) - 2 * b.count(SPACE.encode()) for b, k in zip(self.piece_bytes, self.kinds)], np.int32
-        )
+        self.cuts = cuts
+        #: Bytes of a piece in normalised text.
+        self.made_len = np.array([1 if k == BYTE else len(b) for b, k in zip(self.piece_bytes, self.kinds)], np.int32)
         self.surface = [
             b.replace(SPACE.encode(), b" ") if k in (NORMAL, BYTE) else (self.unk_surface if k == UNKNOWN else b"")
             for b, k in zip(self.piece_bytes, self.kinds)
@@ -246,84 +254,73 @@ class PieceModel:
 
     # ---- normalisation with alignment
 
-    def normalise(self, text: str) -> tuple[str, list[int], list[int]]:
-        """Normalised text, and for each of its characters the source byte span [start, end)."""
-        data = text.encode()
-        out: list[tuple[str, int, int]] = []
-        at = 0
-        while at < len(data):
-            hit = self.charmap.longest(data, at)
-            if hit:
-                size, made = hit
-                made = made.decode()
-            else:
-                lead = data[at]
-                size = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-                made = data[at : at + size].decode()
-            out.extend((c, at, at + size) for c in made)
-            at += size
-        if self.squeeze:
-            kept: list[tuple[str, int, int]] = []
-            for c in out:
-                if c[0] == " " and (not kept or kept[-1][0] == " "):
+    def normalise(self, data: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """Normalised bytes, spaces still spaces, and of each the source bytes [begin, end) that it stands for."""
+        raw = np.frombuffer(data, np.uint8)
+        made, begin = raw, np.arange(len(raw), dtype=np.int32)
+        end = begin + 1
+        near = np.nonzero(self.charmap.begins[raw])[0]
+        if len(near):
+            parts, spans, at = [], [], 0
+            for p in near.tolist():
+                if p < at or raw[p] & 0xC0 == 0x80 or (hit := self.charmap.longest(data, p)) is None:
                     continue
-                kept.append(c)
-            while kept and kept[-1][0] == " ":
-                kept.pop()
-            out = kept
-        if self.prefix and out:
-            first = out[0][1]
-            out.insert(0, (" ", first, first))
-        shown = SPACE if self.escape else " "
-        return "".join(shown if c == " " else c for c, _, _ in out), [a for _, a, _ in out], [b for _, _, b in out]
+                size, new = hit
+                parts += [raw[at:p], np.frombuffer(new, np.uint8)]
+                spans += [(begin[at:p], end[at:p]), (np.full(len(new), p, np.int32), np.full(len(new), p + size, np.int32))]
+                at = p + size
+            made = np.concatenate([*parts, raw[at:]])
+            begin, end = (np.concatenate([*(x[j] for x in spans), own[at:]]) for j, own in enumerate((begin, end)))
+        if self.squeeze and len(made):
+            space = made == 0x20
+            kept = np.nonzero(~(space & np.concatenate([[True], space[:-1]])))[0]
+            if len(kept) and space[kept[-1]]:  # nor does a space end the text
+                kept = kept[:-1]
+            made, begin, end = made[kept], begin[kept], end[kept]
+        if self.prefix and len(made):
+            made = np.concatenate([[np.uint8(0x20)], made])
+            begin, end = np.concatenate([begin[:1], begin]), np.concatenate([begin[:1], end])
+        return made.tobytes(), begin, end
 
     # ---- encoding
 
-    def encode_aligned(self, text: str) -> tuple[list[int], list[int], list[int]]:
-        """Ids and byte spans by the recorded alignment; right for every model and text."""
-        norm, start, end = self.normalise(text)
-        ids: list[int] = []
-        starts: list[int] = []
-        ends: list[int] = []
-        at = 0
-        for seg in self.segments.findall(norm):
-            for p in self.merge(seg):
-                a, b = start[at], end[at + len(p) - 1]
-                i = self.ids.get(p)
-                if i is None and self.byte_fallback:
-                    made = p.encode()
-                    exact = b - a == len(made)
-                    for k, byte in enumerate(made):
-                        ids.append(self.byte_ids[byte])
-                        starts.append(a + k if exact else a)
-                        ends.append(a + k + 1 if exact else b)
-                elif i is None and ids and ids[-1] == self.unk and ends[-1] == a:
-                    ends[-1] = b
-                else:
-                    ids.append(self.unk if i is None else i)
-                    starts.append(a)
-                    ends.append(b)
-                at += len(p)
-        return ids, starts, ends
-
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids and source byte spans of the whole text."""
-        if not text:
+        made, begin, end = self.normalise(text.encode())
+        if not made:
             none = np.empty(0, np.int32)
             return none, none, none
-        if not self.plain or SPACE in text:
-            return tuple(np.array(x, np.int32) for x in self.encode_aligned(text))
-        if "  " in text or text[0] == " " or text[-1] == " ":
-            segs = self.segments.findall(SPACE + text.replace(" ", SPACE))
+        norm = made.decode()
+        if not self.byte_fallback:
+            ids, size = self._with_unknowns(norm)
         else:
-            segs = (SPACE + text.replace(" ", " " + SPACE)).split(" ")
-        get, miss = self.cache.get, self.missed
-        ids = np.frombuffer(b"".join([get(s) or miss(s) for s in segs]), np.int32)
-        size = self.source_len[ids]
-        ends = np.cumsum(size, dtype=np.int32) - 1  # the dummy prefix has no source
-        starts = ends - size
-        starts[0] = 0
-        return ids, starts, ends
+            if self.cuts and self.escape and SPACE not in norm and "  " not in norm and norm[0] == " " and norm[-1] != " ":
+                segs = norm.replace(" ", " " + SPACE)[1:].split(" ")
+            else:
+                segs = self.segments.findall(norm.replace(" ", SPACE) if self.escape else norm)
+            get, miss = self.cache.get, self.missed
+            ids = np.frombuffer(b"".join([get(s) or miss(s) for s in segs]), np.int32)
+            size = self.made_len[ids]
+        # each byte of the escaped text is one of the normalised bytes; a space is three of it
+        of = np.arange(len(made), dtype=np.int32)
+        if self.escape:
+            of = np.repeat(of, np.where(np.frombuffer(made, np.uint8) == 0x20, 3, 1))
+        stop = np.cumsum(size, dtype=np.int64)
+        return ids, begin[of[stop - size]], end[of[stop - 1]]
+
+    def _with_unknowns(self, norm: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their bytes where what no piece holds is unknown; neighbouring unknowns are one."""
+        ids: list[int] = []
+        size: list[int] = []
+        for seg in self.segments.findall(norm.replace(" ", SPACE) if self.escape else norm):
+            for p in self.merge(seg):
+                i = self.ids.get(p, self.unk)
+                if i == self.unk and ids and ids[-1] == self.unk:
+                    size[-1] += len(p.encode())
+                else:
+                    ids.append(i)
+                    size.append(len(p.encode()))
+        return np.array(ids, np.int32), np.array(size, np.int32)
 
     def decode(self, ids: list[int]) -> bytes:
         """UTF-8 of the text of ``ids``; bytes that form no character become U+FFFD each."""
