@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 import pyarrow as pa
@@ -13,13 +15,16 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor and the driver can see.
 
-    Read from the session; only where the setting is missing (tests on one machine) is a folder of our own used.
+    Read from the session; only where the setting is missing on a single machine is a folder of our own used.  On a
+    cluster a missing setting is an error, since a folder of one machine would lose what other machines need.
     """
     sc = spark.sparkContext
     path = spark.conf.get(CHECKPOINT_DIR, None)
     if not path:
         current = sc._jsc.sc().getCheckpointDir()
-        path = current.get() if current.isDefined() else "/tmp/codeseam-checkpoints"
+        if not current.isDefined() and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError(f"{CHECKPOINT_DIR} has to name a folder that the driver and all executors share")
+        path = current.get() if current.isDefined() else f"{tempfile.gettempdir()}/codeseam-checkpoints"
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(path)
     return path
@@ -37,6 +42,14 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -15,17 +15,20 @@ beyond their first attempt are sent back to the second pass: by broadcast up to
 from __future__ import annotations
 
 import re
+import secrets
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from codeseam.llm.common import record_batch, written
+from codeseam.llm.common import fresh, record_batch, written
 
 ATTEMPTS = 8
 SENT = 200_000
-KEY = b"codeseam surrogate key"
+#: Names the secret key in the session; without it every call draws one of its own, so surrogates differ from run to run.
+KEY_SETTING = "spark.codeseam.surrogate.key"
 _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
 #: title -> gender; the names after it are a person's
@@ -47,6 +50,7 @@ NUMBERS: list[tuple[str, re.Pattern]] = [
     ("phone", re.compile(r"\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?![\w])")),
     ("phone", re.compile(r"\d{3}[ .\-]\d{3}[ .\-]\d{4}(?![\w-])")),
 ]
+_WORD = re.compile(r"\w+")
 _NUMBER_START = re.compile(r"\+?\(?\d")
 SECRETS: list[tuple[tuple[str, ...], re.Pattern]] = [
     (("AKIA", "ASIA"), re.compile(r"(?<![A-Za-z0-9])A(?:KIA|SIA)([0-9A-Z]{16})(?![A-Za-z0-9])")),
@@ -65,6 +69,12 @@ IBAN = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-
 HEX = re.compile(r"(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])|(?<![A-Za-z0-9])[0-9A-F]{32,64}(?![A-Za-z0-9])")
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The secret that surrogates hang on: from the session, else a new one.  No key stands in the source."""
+    held = spark.conf.get(KEY_SETTING, None) or spark.sparkContext.getConf().get(KEY_SETTING)
+    return blake2b(held.encode(), digest_size=32).digest() if held else secrets.token_bytes(32)
+
+
 def _luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -76,12 +86,15 @@ def _luhn(digits: str) -> bool:
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """Entities as (start, end, type, detail), by start, without overlaps; earlier kinds win."""
     spans: list[tuple[int, int, str, str]] = []
-    held: list[tuple[int, int]] = []
+    starts: list[int] = []  # of the spans taken, and their ends, by start
+    ends: list[int] = []
 
     def take(a: int, b: int, kind: str, detail: str = "") -> bool:
-        if any(a < y and x < b for x, y in held):
+        i = bisect_left(starts, a)
+        if i and ends[i - 1] > a or i < len(starts) and starts[i] < b:
             return False
-        held.append((a, b))
+        starts.insert(i, a)
+        ends.insert(i, b)
         spans.append((a, b, kind, detail))
         return True
 
@@ -126,9 +139,14 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                         named[part[0]] = gender
             break
     if named:  # later mentions without the title
-        again = re.compile(r"(?<![\w])(" + "|".join(map(re.escape, sorted(named, key=len, reverse=True))) + r")(?![\w])")
-        for m in again.finditer(text):
-            take(*m.span(), "name", named[m[1]])
+        firsts: dict[str, list[str]] = {}
+        for name in sorted(named, key=len, reverse=True):
+            firsts.setdefault(_WORD.match(name)[0], []).append(name)
+        for m in _WORD.finditer(text):
+            for name in firsts.get(m[0], ()):
+                if text.startswith(name, m.start()) and not _WORD.match(text, m.start() + len(name)):
+                    take(m.start(), m.start() + len(name), "name", named[name])
+                    break
     spans.sort()
     return spans
 
@@ -232,7 +250,7 @@ def _name(s: Stream, raw: str, gender: str, attempt: int) -> str:
     return out.upper() if upper else out.capitalize()
 
 
-def surrogate(kind: str, raw: str, detail: str, attempt: int, key: bytes = KEY) -> str:
+def surrogate(kind: str, raw: str, detail: str, attempt: int, key: bytes) -> str:
     """The replacement of one mention; mentions of one entity differ in writing only where their originals do."""
     name = canonical(kind, raw)
     wider, widest = attempt // 2, max(0, attempt - ATTEMPTS + 1)  # more characters where spaces are small or vast
@@ -278,7 +296,7 @@ def _laid(raw: str, made: str, keep: str = "") -> str:
     return "".join([c if (c in keep if keep else not c.isdigit()) else next(at) for c in raw] + list(at))
 
 
-def digest(kind: str, name: str, key: bytes = KEY) -> bytes:
+def digest(kind: str, name: str, key: bytes) -> bytes:
     return blake2b(f"{kind}\x1f{name}".encode(), key=key[:64], digest_size=16).digest()
 
 
@@ -299,7 +317,7 @@ def surrogate_key(kind: str, raw: str, detail: str, attempt: int, key: bytes) ->
 # ---------------------------------------------------------------- the corpus
 
 
-def entities(df: DataFrame, text_col: str, key: bytes = KEY, start: int = 0) -> DataFrame:
+def entities(df: DataFrame, text_col: str, key: bytes, start: int = 0) -> DataFrame:
     """(key, made, real): digests of each distinct entity, of its ``ATTEMPTS`` possible surrogates from attempt ``start``
     and of what is written for it."""
     schema = pa.schema([("key", pa.binary()), ("made", pa.list_(pa.binary())), ("real", pa.binary())])
@@ -354,8 +372,8 @@ def settle(spark: SparkSession, found: DataFrame, later: Callable[[int], DataFra
 _ENTITY = pa.struct([("type", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
 
-def _replacer(names: list[str], where: int, key: bytes, attempts: Callable[[], dict], moved_at: int | None, report: bool):
-    """Rewrite column ``where``; with ``report`` add n_entities and the surrogates' places in the new text."""
+def _replacer(names: list[str], where: int, key: bytes, attempts: Callable[[], dict], moved_at: int | None, report: tuple[str, str] | None):
+    """Rewrite column ``where``; under the names of ``report`` add how many surrogates there are and their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent, memo = attempts(), {}
@@ -381,51 +399,54 @@ def _replacer(names: list[str], where: int, key: bytes, attempts: Callable[[], d
                     at = b
                 texts.append("".join([*parts, text[at:]]) if spans else text)
                 told.append(places)
-            out = {n: batch.column(n) for n in names}
-            out[names[where]] = pa.array(texts, pa.string())
+            out = [batch.column(i) for i in range(len(names))]
+            out[where] = pa.array(texts, pa.string())
             if report:
-                out["__n"] = pa.array([len(x) for x in told], pa.int64())
-                out["__places"] = pa.array(told, pa.list_(_ENTITY))
-            yield pa.RecordBatch.from_pydict(out)
+                out += [pa.array([len(x) for x in told], pa.int64()), pa.array(told, pa.list_(_ENTITY))]
+            yield pa.RecordBatch.from_arrays(out, names=[*names, *(report or ())])
 
     return run
 
 
-def surrogates(spark: SparkSession, df: DataFrame, text_col: str = "text", key: bytes = KEY, report: bool = True, sent: int = SENT) -> DataFrame:
-    """``df`` with the text's entities replaced, and (with ``report``) __n and __places of the surrogates in the new text.
+def surrogates(
+    spark: SparkSession, df: DataFrame, text_col: str = "text", key: bytes | None = None, report: tuple[str, str] | None = None, sent: int = SENT
+) -> DataFrame:
+    """``df`` with the text's entities replaced, and under the two names of ``report`` their number and places in the new text.
 
-    All columns stay.  Null texts stay null, empty ones empty; texts without entities stay as they are to the byte.
-    Repeated rows and ids don't matter; an empty table gives an empty result.
+    ``key`` is the session's unless given.  All columns stay, whatever their names.  Null texts stay null, empty ones
+    empty; texts without entities stay as they are to the byte.  Repeated rows and ids don't matter, and very long texts
+    are read whole; an empty table gives an empty result.
     """
     from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-    names = df.columns
+    names, key = df.columns, key or session_key(spark)
     where = names.index(text_col)
-    found = [StructField("__n", LongType())] if report else []
+    found = []
     if report:
         place = StructType([StructField("type", StringType()), StructField("start", LongType()), StructField("end", LongType())])
-        found.append(StructField("__places", ArrayType(place)))
+        found = [StructField(report[0], LongType()), StructField(report[1], ArrayType(place))]
     schema = StructType([*(StructField(f.name, f.dataType, True) for f in df.schema.fields), *found])
     moved = settle(spark, entities(df, text_col, key), lambda start: entities(df, text_col, key, start))
     few = moved.limit(sent + 1).collect()
     if len(few) <= sent:  # bounded: at most `sent` digests and numbers
         table = spark.sparkContext.broadcast({bytes(r["key"]): r["attempt"] for r in few})
         return df.mapInArrow(_replacer(names, where, key, lambda: table.value, None, report), schema)
-    rows = written(spark, df.withColumn("__uid", F.monotonically_increasing_id()), "pii-docs")
-    listing = pa.schema([("__uid", pa.int64()), ("key", pa.binary())])
+    uid, moves = fresh(df, "uid"), fresh(df, "moves")
+    rows = written(spark, df.withColumn(uid, F.monotonically_increasing_id()), "pii-docs")
+    listing = pa.schema([("uid", pa.int64()), ("key", pa.binary())])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = {(u, entity_key(k, t[a:b], d, key)) for u, t in zip(*(c.to_pylist() for c in batch.columns)) for a, b, k, d in find(t or "")}
             yield record_batch(listing, *(zip(*out) if out else ([], [])))
 
-    own = rows.select("__uid", text_col).mapInArrow(keys, "__uid bigint, key binary").join(moved, "key")
-    own = own.groupBy("__uid").agg(F.map_from_entries(F.collect_list(F.struct("key", "attempt"))).alias("__moved"))
-    joined = rows.join(own, "__uid", "left").select(*names, "__moved")
+    own = rows.select(uid, F.col(text_col).alias("t")).mapInArrow(keys, "uid bigint, key binary").join(moved, "key")
+    own = own.groupBy(F.col("uid").alias(uid)).agg(F.map_from_entries(F.collect_list(F.struct("key", "attempt"))).alias(moves))
+    joined = rows.join(own, uid, "left").select(*names, moves)
     return joined.mapInArrow(_replacer(names, where, key, dict, len(names), report), schema)
 
 
 def surrogate_report(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, text, n_entities, entities) of the rewritten documents; entities give types and places in the new text."""
-    made = surrogates(spark, docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    return made.select("doc_id", "text", F.col("__n").alias("n_entities"), F.col("__places").alias("entities"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return surrogates(spark, texts, report=("n_entities", "entities"))
