@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codeseam.llm.common import hashed_sample, record_batch, text_bytes, written
+from codeseam.llm.common import fresh, hashed_sample, record_batch, text_bytes, written
 from codeseam.llm.components import components
 
 BITS = 64
@@ -31,6 +31,8 @@ WIDTH = 3
 SEED = 42
 SAMPLE = 3000
 BLOCK = 8192
+#: A fingerprint with more than this part of all rows is joined by broadcast.
+HOT = 1000
 #: Estimated cost of a shuffled probe row against that of one verified candidate pair.
 PROBE_COST, PAIR_COST = 1.0, 0.1
 
@@ -353,11 +355,25 @@ def near_classes(spark: SparkSession, prints: DataFrame, radius: int = RADIUS, b
     """
     classes = written(spark, prints.groupBy("fp").agg(F.min("id").alias("id")), "simhash-classes")
     roots = components(spark, links(spark, classes, radius, block))
-    placed = classes.join(roots, classes["fp"] == roots["node"], "left").select(
+    within = classes.join(roots, classes["fp"] == roots["node"], "left").select(
         "fp", "id", F.coalesce("root", "fp").alias("root")
     )
-    least = placed.groupBy("root").agg(F.min("id").alias("component_id"))
-    return placed.join(least, "root").select("fp", "root", "component_id")
+    least = within.groupBy("root").agg(F.min("id").alias("component_id"))
+    return within.join(least, "root").select("fp", "root", "component_id")
+
+
+def placed(spark: SparkSession, prints: DataFrame, found: DataFrame, hot: int = HOT) -> DataFrame:
+    """``prints`` joined with ``found`` by fp.
+
+    A fingerprint of many rows (empty texts, copies) would be one task's work: the at most 1 / ``hot`` fingerprints that
+    each hold more than that share of all rows are broadcast, and the others shuffled.
+    """
+    total = prints.count()
+    many = prints.groupBy("fp").agg(F.count("*").alias("n")).filter(F.col("n") * hot > total).select("fp")
+    many = [r["fp"] for r in many.collect()]  # fewer than `hot`
+    heavy = F.col("fp").isin(many) if many else F.lit(False)
+    rest = prints.filter(~heavy).join(found, "fp")
+    return prints.filter(heavy).join(F.broadcast(found.filter(heavy)), "fp").unionByName(rest) if many else rest
 
 
 def near_duplicates(
@@ -369,8 +385,8 @@ def near_duplicates(
     columns, whatever their names, are not read.  An empty table gives an empty result.
     """
     prints = written(spark, fingerprints(df, id_col, text_col), "simhash-prints")
-    found = near_classes(spark, prints, radius, block)
-    return prints.join(found, "fp").select(
+    found = written(spark, near_classes(spark, prints, radius, block), "simhash-components")
+    return placed(spark, prints, found).select(
         F.col("id").alias("doc_id"),
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         "component_id",
@@ -378,22 +394,23 @@ def near_duplicates(
 
 
 def keep_one(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row of ``df``, all columns, for each near-duplicate component: that of the smallest id (null ids last)."""
+    """One row of ``df``, all columns, for each near-duplicate component: that of the smallest id (null ids last).
+
+    Columns of any name stay as they are.  Null and empty texts are one component; of rows that repeat an id one stays.
+    """
     from pyspark.sql.types import LongType, StructField, StructType
 
-    names = df.columns
+    names, fp, uid = df.columns, fresh(df, "fp"), fresh(df, "uid")
     where = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(x) for x in text_bytes(batch.column(where))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*names, "__fp"])
-
-    schema = StructType([*df.schema.fields, StructField("__fp", LongType())])
-    marked = written(spark, df.mapInArrow(run, schema).withColumn("__uid", F.monotonically_increasing_id()), "simhash-docs")
-    rows = marked.select(F.col(id_col).alias("id"), F.col("__fp").alias("fp"), "__uid")
-    found = near_classes(spark, rows.select("id", "fp"), radius)
-    first = rows.join(found.select("fp", "root"), "fp").groupBy("root").agg(
-        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__uid")).alias("best")
-    )
-    return marked.join(first.select(F.col("best.__uid").alias("__uid")), "__uid", "left_semi").select(*names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*names, fp])
+
+    schema = StructType([*df.schema.fields, StructField(fp, LongType())])
+    marked = written(spark, df.mapInArrow(run, schema).withColumn(uid, F.monotonically_increasing_id()), "simhash-docs")
+    rows = marked.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"), F.col(uid).alias("uid"))
+    found = written(spark, near_classes(spark, rows.select("id", "fp"), radius).select("fp", "root"), "simhash-components")
+    first = placed(spark, rows, found).groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("best"))
+    return marked.join(first.select(F.col("best.uid").alias(uid)), uid, "left_semi").select(*names)
