@@ -31,7 +31,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, personal data and secrets replaced; n_chars follows the text."""
-    made = pii.surrogates(spark, docs, report=False)
+    made = pii.surrogates(spark, docs)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         made = made.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), "n_chars"))
