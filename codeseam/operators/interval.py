@@ -20,7 +20,7 @@ def containing(points: DataFrame, intervals: DataFrame, key: str, at: str, start
 
 
 def innermost(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, cell: int, point_id: list[str], keep: list[str]) -> DataFrame:
-    """For each point the shortest interval that holds it (ties: the later start); points in none are left out.
+    """For each point the shortest interval that holds it (ties: the later start, then the least of ``keep``); points in none are left out.
 
     A minimum over a struct: partial aggregation before the shuffle, no sort of the matches.
     """

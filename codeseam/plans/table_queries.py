@@ -15,6 +15,8 @@ SQL: dict[str, str] = {}
 
 
 def query(sql: str) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with the SQL of the same rows."""
+
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         SQL[f.__name__] = sql
@@ -27,108 +29,121 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# ---------------------------------------------------------------- the supplier graph
+# ---------------------------------------------------------------- graphs of whole tables
 
 
-def hops(spark: SparkSession, sf_dir: str, quantity: float) -> DataFrame:
-    """(src, dst): a line's supplier and that of the order's next line, both lines above a quantity."""
+def hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst): a line's supplier and that of the order's next line, where they differ."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-    lines = read(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("src"), F.lead("l_suppkey").over(order).alias("dst"), "l_quantity", F.lead("l_quantity").over(order).alias("next_quantity")
-    )
-    return lines.filter((F.col("l_quantity") > quantity) & (F.col("next_quantity") > quantity) & (F.col("src") != F.col("dst"))).select("src", "dst")
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.lead("l_suppkey").over(order).alias("dst"))
+    return lines.filter(F.col("src") != F.col("dst"))
 
 
-def hops_sql(quantity: float) -> str:
-    order = "PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity"
-    return (
-        f"l AS (SELECT l_suppkey AS src, lead(l_suppkey) OVER ({order}) AS dst, l_quantity AS q, lead(l_quantity) OVER ({order}) AS q2 FROM lineitem), "
-        f"e AS (SELECT src, dst FROM l WHERE q > {quantity} AND q2 > {quantity} AND src <> dst)"
-    )
+HOPS = (
+    "h AS (SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS dst FROM lineitem), "
+    "e AS (SELECT src, dst FROM h WHERE src <> dst)"
+)
+
+
+def states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with the state they put their user in: user, kind of event and the tens of its value."""
+    e = read(spark, sf_dir, "events")
+    return e.withColumn("state", F.concat_ws(":", "user_id", "event_type", F.floor(F.col("value") / 10).cast("bigint")))
+
 
+def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst): each state and its user's next one, where they differ."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    steps = states(spark, sf_dir).select(F.col("state").alias("src"), F.lead("state").over(order).alias("dst"))
+    return steps.filter(F.col("src") != F.col("dst"))
 
-def roots(spark: SparkSession) -> DataFrame:
-    return spark.range(1, 6).select(F.col("id").alias("node"))
 
+def states_of(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """(node): the states that events of a kind lead to."""
+    return states(spark, sf_dir).filter(F.col("event_type") == kind).select(F.col("state").alias("node")).distinct()
 
-REACH = "reach AS (SELECT * FROM range(1, 6) t(node) UNION SELECT e.dst FROM reach JOIN e ON e.src = reach.node)"
 
+MOVES = (
+    "s AS (SELECT *, concat_ws(':', user_id, event_type, floor(value / 10)::BIGINT) AS state FROM events), "
+    "l AS (SELECT state AS src, lead(state) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM s), e AS (SELECT src, dst FROM l WHERE src <> dst)"
+)
+
+
+def _of(kind: str) -> str:
+    return f"(SELECT DISTINCT state AS node FROM s WHERE event_type = '{kind}')"
+
+
+REACH = f"reach AS (SELECT node FROM {_of('signup')} UNION SELECT e.dst FROM reach JOIN e ON e.src = reach.node)"
+BACK = f"back AS (SELECT node FROM {_of('purchase')} UNION SELECT e.src FROM back JOIN e ON e.dst = back.node)"
 
-@query(f"WITH {hops_sql(0)} SELECT src, dst, count(*) AS weight FROM e GROUP BY ALL")
+
+@query(f"WITH {HOPS} SELECT src, dst, count(*) AS weight FROM e GROUP BY ALL")
 def graph_edges_weighted(spark, sf_dir):
-    return graph.weighted(hops(spark, sf_dir, 0))
+    return graph.weighted(hops(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {hops_sql(48)}, {REACH} SELECT node FROM reach")
+@query(f"WITH RECURSIVE {MOVES}, {REACH} SELECT node FROM reach")
 def graph_reach_from_roots(spark, sf_dir):
-    return graph.reachable(hops(spark, sf_dir, 48), roots(spark)).select("node")
+    return graph.reachable(moves(spark, sf_dir), states_of(spark, sf_dir, "signup")).select("node")
 
 
-@query(f"WITH RECURSIVE {hops_sql(48)}, {REACH} SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT node FROM reach) AND s_suppkey IN (SELECT src FROM e UNION SELECT dst FROM e)")
+@query(f"WITH RECURSIVE {MOVES}, {REACH} SELECT DISTINCT state FROM s WHERE state NOT IN (SELECT node FROM reach)")
 def graph_unreachable(spark, sf_dir):
-    e = hops(spark, sf_dir, 48)
-    ends = e.select(F.col("src").alias("s_suppkey")).union(e.select("dst")).distinct()
-    live = graph.reachable(e, roots(spark)).select(F.col("node").alias("s_suppkey"))
-    return read(spark, sf_dir, "supplier").select("s_suppkey").join(ends, "s_suppkey", "left_semi").join(live, "s_suppkey", "left_anti")
-
+    live = graph.reachable(moves(spark, sf_dir), states_of(spark, sf_dir, "signup")).select(F.col("node").alias("state"))
+    return states(spark, sf_dir).select("state").distinct().join(live, "state", "left_anti")
 
-BACK = "back AS (SELECT 7 AS node UNION SELECT e.src FROM back JOIN e ON e.dst = back.node)"
 
-
-@query(f"WITH RECURSIVE {hops_sql(46)}, {BACK} SELECT node FROM back WHERE node <> 7")
+@query(f"WITH RECURSIVE {MOVES}, {BACK} SELECT node FROM back WHERE node NOT IN (SELECT node FROM {_of('purchase')})")
 def graph_transitive_callers(spark, sf_dir):
-    target = spark.range(7, 8).select(F.col("id").alias("node"))
-    return graph.reaches(hops(spark, sf_dir, 46), target).select("node").filter("node <> 7")
+    targets = states_of(spark, sf_dir, "purchase")
+    return graph.reaches(moves(spark, sf_dir), targets).select("node").join(targets, "node", "left_anti")
 
 
 @query(
-    f"WITH RECURSIVE {hops_sql(48)}, own AS (SELECT s_suppkey AS node FROM supplier WHERE s_nationkey = 3), "
+    f"WITH RECURSIVE {MOVES}, own AS (SELECT src AS node FROM e GROUP BY src HAVING count(DISTINCT dst) > 2), "
     "back AS (SELECT node FROM own UNION SELECT e.src FROM back JOIN e ON e.dst = back.node) "
     "SELECT node FROM back WHERE node NOT IN (SELECT node FROM own)"
 )
 def graph_symbol_callers(spark, sf_dir):
-    own = read(spark, sf_dir, "supplier").filter("s_nationkey = 3").select(F.col("s_suppkey").alias("node"))
-    return graph.reaches(hops(spark, sf_dir, 48), own).select("node").join(own, "node", "left_anti")
+    e = moves(spark, sf_dir)
+    own = e.groupBy(F.col("src").alias("node")).agg(F.countDistinct("dst").alias("n")).filter("n > 2").select("node")
+    return graph.reaches(e, own).select("node").join(own, "node", "left_anti")
 
 
-@query(f"WITH RECURSIVE {hops_sql(46)}, {BACK} SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal < 0 AND s_suppkey IN (SELECT node FROM back)")
+@query(f"WITH RECURSIVE {MOVES}, {BACK} SELECT event_id, state FROM s WHERE event_type = 'signup' AND state IN (SELECT node FROM back)")
 def graph_affected_roots(spark, sf_dir):
-    target = spark.range(7, 8).select(F.col("id").alias("s_suppkey"))
-    callers = graph.reaches(hops(spark, sf_dir, 46), target.withColumnRenamed("s_suppkey", "node")).select(F.col("node").alias("s_suppkey"))
-    return read(spark, sf_dir, "supplier").filter("s_acctbal < 0").select("s_suppkey", "s_name").join(callers, "s_suppkey", "left_semi")
+    callers = graph.reaches(moves(spark, sf_dir), states_of(spark, sf_dir, "purchase")).select(F.col("node").alias("state"))
+    return states(spark, sf_dir).filter("event_type = 'signup'").select("event_id", "state").join(callers, "state", "left_semi")
 
 
 @query(
-    f"WITH RECURSIVE {hops_sql(48)}, c AS (SELECT src AS a, dst AS b FROM e UNION SELECT c.a, e.dst FROM c JOIN e ON e.src = c.b), "
+    f"WITH RECURSIVE {MOVES}, d AS (SELECT DISTINCT src, dst FROM e), c AS (SELECT src AS a, dst AS b FROM d UNION SELECT c.a, d.dst FROM c JOIN d ON d.src = c.b), "
     "m AS (SELECT x.a AS node, min(x.b) AS component FROM c x JOIN c y ON x.a = y.b AND x.b = y.a GROUP BY 1) "
-    "SELECT component, count(*) AS size, CASE WHEN count(*) <= 2 THEN 'medium' ELSE 'high' END AS severity, string_agg(node::VARCHAR, ',' ORDER BY node) AS members "
+    "SELECT component, count(*) AS size, CASE WHEN count(*) <= 2 THEN 'medium' ELSE 'high' END AS severity, string_agg(node, ',' ORDER BY node) AS members "
     "FROM m GROUP BY component HAVING count(*) > 1"
 )
 def graph_scc(spark, sf_dir):
-    found = graph.strong_components(hops(spark, sf_dir, 48))
+    found = graph.strong_components(moves(spark, sf_dir))
     size = F.count("*")
     return found.groupBy("component").agg(
-        size.alias("size"),
-        F.when(size <= 2, "medium").otherwise("high").alias("severity"),
-        F.array_join(F.transform(F.array_sort(F.collect_list("node")), lambda x: x.cast("string")), ",").alias("members"),
+        size.alias("size"), F.when(size <= 2, "medium").otherwise("high").alias("severity"), F.array_join(F.array_sort(F.collect_list("node")), ",").alias("members")
     )
 
 
 @query(
-    f"WITH RECURSIVE {hops_sql(40)}, w AS (SELECT 7 AS node, 0 AS depth UNION SELECT e.src, w.depth + 1 FROM w JOIN e ON e.dst = w.node WHERE w.depth < 3) "
+    f"WITH RECURSIVE {MOVES}, w AS (SELECT node, 0 AS depth FROM {_of('purchase')} UNION SELECT e.src, w.depth + 1 FROM w JOIN e ON e.dst = w.node WHERE w.depth < 3) "
     "SELECT node, min(depth) AS depth FROM w GROUP BY node"
 )
 def graph_impact_depth3(spark, sf_dir):
-    target = spark.range(7, 8).select(F.col("id").alias("node"))
-    return graph.reaches(hops(spark, sf_dir, 40), target, max_depth=3).select("node", "depth")
+    return graph.reaches(moves(spark, sf_dir), states_of(spark, sf_dir, "purchase"), max_depth=3).select("node", "depth")
 
 
 @query(
-    f"WITH {hops_sql(30)}, d AS (SELECT DISTINCT src, dst FROM e) SELECT node, sum(i)::BIGINT AS fan_in, sum(o)::BIGINT AS fan_out FROM "
+    f"WITH {HOPS}, d AS (SELECT DISTINCT src, dst FROM e) SELECT node, sum(i)::BIGINT AS fan_in, sum(o)::BIGINT AS fan_out FROM "
     "(SELECT src AS node, 0 AS i, 1 AS o FROM d UNION ALL SELECT dst, 1, 0 FROM d) GROUP BY node"
 )
 def graph_fanin_fanout(spark, sf_dir):
-    return graph.degrees(hops(spark, sf_dir, 30))
+    return graph.degrees(hops(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- search, limits, sets
@@ -221,19 +236,14 @@ def used_unused_split(spark, sf_dir):
 
 @query(
     "WITH p AS (SELECT event_id, user_id, epoch_ms(ts) // 1000 AS pos FROM events), "
-    "i AS (SELECT user_id, event_id AS holder, pos AS s, pos + 3600 * (1 + event_id % 5) AS e FROM p WHERE event_id % 3 = 0) "
-    "SELECT p.event_id, min_by(i.holder, (i.e - i.s) * 10000000000 - i.s) AS holder FROM p JOIN i ON p.user_id = i.user_id AND i.s <= p.pos AND p.pos < i.e "
-    "GROUP BY p.event_id HAVING count(DISTINCT (i.e - i.s) * 10000000000 - i.s) = count(*)"
+    "i AS (SELECT user_id, event_id AS holder, pos AS s, pos + 3600 * (1 + event_id % 5) AS e FROM p) "
+    "SELECT p.event_id, i.holder FROM p JOIN i ON p.user_id = i.user_id AND i.s <= p.pos AND p.pos < i.e "
+    "QUALIFY row_number() OVER (PARTITION BY p.event_id ORDER BY i.e - i.s, i.s DESC, i.holder) = 1"
 )
 def interval_containment(spark, sf_dir):
     p = read(spark, sf_dir, "events").select("event_id", "user_id", F.unix_timestamp("ts").alias("at"))
-    i = p.filter("event_id % 3 = 0").select(
-        "user_id", F.col("event_id").alias("holder"), F.col("at").alias("s"), (F.col("at") + 3600 * (1 + F.col("event_id") % 5)).alias("e")
-    )
-    found = interval.innermost(p, i, "user_id", "at", "s", "e", 6 * 3600, ["event_id"], ["holder"])
-    every = interval.containing(p, i, "user_id", "at", "s", "e", 6 * 3600)
-    tied = every.groupBy("event_id", "s", "e").count().filter("count > 1").select("event_id").distinct()
-    return found.join(tied, "event_id", "left_anti")
+    i = p.select("user_id", F.col("event_id").alias("holder"), F.col("at").alias("s"), (F.col("at") + 3600 * (1 + F.col("event_id") % 5)).alias("e"))
+    return interval.innermost(p, i, "user_id", "at", "s", "e", 6 * 3600, ["event_id"], ["holder"])
 
 
 @query(
@@ -250,16 +260,17 @@ def longest_prefix(spark, sf_dir):
 
 
 @query(
-    "WITH a AS (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 13 <> 0), "
-    "b AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN md5(text || '!') ELSE md5(text) END AS h FROM documents WHERE doc_id % 11 <> 0) "
-    "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'deleted' ELSE 'edited' END AS change "
-    "FROM a FULL JOIN b ON a.doc_id = b.doc_id WHERE a.h IS DISTINCT FROM b.h"
+    "WITH a AS (SELECT s_suppkey AS k, md5(s_nationkey::VARCHAR) AS h FROM supplier), b AS (SELECT c_custkey AS k, md5(c_nationkey::VARCHAR) AS h FROM customer), "
+    "d AS (SELECT 'forth' AS way, a.k AS was, b.k AS now, a.h IS DISTINCT FROM b.h AS differs FROM a FULL JOIN b ON a.k = b.k "
+    "UNION ALL SELECT 'back', b.k, a.k, a.h IS DISTINCT FROM b.h FROM a FULL JOIN b ON a.k = b.k) "
+    "SELECT way, coalesce(was, now) AS k, CASE WHEN was IS NULL THEN 'added' WHEN now IS NULL THEN 'deleted' ELSE 'edited' END AS change FROM d WHERE differs"
 )
 def snapshot_diff(spark, sf_dir):
-    d = read(spark, sf_dir, "documents")
-    a = d.filter("doc_id % 13 <> 0").select("doc_id", F.md5("text").alias("h"))
-    b = d.filter("doc_id % 11 <> 0").select("doc_id", F.md5(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("h"))
-    return diff.snapshot_diff(a, b, "doc_id", "h")
+    """Suppliers and customers as two snapshots of one key, each way."""
+    a = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.md5(F.col("s_nationkey").cast("string")).alias("h"))
+    b = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.md5(F.col("c_nationkey").cast("string")).alias("h"))
+    ways = [diff.snapshot_diff(x, y, "k", "h").select(F.lit(way).alias("way"), "k", "change") for way, x, y in (("forth", a, b), ("back", b, a))]
+    return ways[0].union(ways[1])
 
 
 # ---------------------------------------------------------------- rules and metrics
@@ -320,11 +331,11 @@ def loc_metrics(spark, sf_dir):
 
 
 @query(
-    "WITH p AS (SELECT doc_id, text, length(text) // 2 AS pos FROM documents WHERE lang = 'en'), b AS (SELECT doc_id, pos, left(text, pos) AS t FROM p) "
+    "WITH p AS (SELECT doc_id, text, length(text) // 2 AS pos FROM documents), b AS (SELECT doc_id, pos, left(text, pos) AS t FROM p) "
     "SELECT doc_id, pos, length(t) - length(replace(t, chr(10), '')) AS line, length(t) - coalesce(length(t) - strpos(reverse(t), chr(10)) + 1, 0) * (strpos(t, chr(10)) > 0)::INT AS col FROM b"
 )
 def line_offsets(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", "text", F.floor(F.length("text") / 2).alias("pos"))
+    d = read(spark, sf_dir, "documents").select("doc_id", "text", F.floor(F.length("text") / 2).alias("pos"))
     at = F.col("pos").cast("int")
     return d.select("doc_id", "pos", T.line_of(F.col("text"), at).alias("line"), T.column_of(F.col("text"), at).alias("col"))
 
@@ -417,15 +428,14 @@ def json_canonical(spark, sf_dir):
 
 
 @query(
-    f"WITH {hops_sql(47)}, d AS (SELECT DISTINCT src, dst FROM e), one AS (SELECT src AS seed, dst AS node, src || '>' || dst AS steps, 1 AS depth FROM d WHERE src <= 20), "
+    f"WITH {MOVES}, d AS (SELECT DISTINCT src, dst FROM e), one AS (SELECT src AS seed, dst AS node, src || '>' || dst AS steps, 1 AS depth FROM d), "
     "two AS (SELECT seed, d.dst AS node, steps || '>' || d.dst AS steps, 2 AS depth FROM one JOIN d ON d.src = one.node WHERE d.dst <> seed) SELECT * FROM one UNION ALL SELECT * FROM two"
 )
 def flow_bounded(spark, sf_dir):
     from codeseam.operators.flow import bounded_paths
 
-    e = hops(spark, sf_dir, 47)
-    seeds = e.filter("src <= 20").select(F.col("src").alias("node")).distinct()
-    return bounded_paths(e, seeds, 2).select("seed", "node", F.array_join(F.transform("steps", lambda x: x.cast("string")), ">").alias("steps"), "depth")
+    e = moves(spark, sf_dir)
+    return bounded_paths(e, e.select(F.col("src").alias("node")).distinct(), 2).select("seed", "node", F.array_join("steps", ">").alias("steps"), "depth")
 
 
 # ---------------------------------------------------------------- a program graph as literal rows
