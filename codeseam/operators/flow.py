@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from codeseam.operators.shared import settled
+
 
 def bounded_paths(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(seed, node, steps, depth): every simple path of at most ``depth`` edges from the seeds.
@@ -27,7 +29,9 @@ def interprocedural(
 
     ``seeds`` method, variable, line; ``assigns`` method, source, target, line (aliases within a method); ``arguments``
     method, variable, callee, position, line; ``parameters`` method, position, name; ``sinks`` method, variable, what,
-    line.  May-analysis: nothing is killed.  A (fact, method, variable) is entered once, at its shortest path.
+    line.  May-analysis: nothing is killed.  Paths grow by one step a round; a (fact, method, variable) is entered at its
+    shortest path and again whenever a longer one has fewer calls behind it, since that one may still go where the
+    shorter may not.  A flow is told once, by its shortest path (ties: fewest calls, then the steps' text).
     """
     step = lambda how, name, line: F.concat_ws(" ", F.lit(how), name, F.concat(F.lit("@"), line.cast("string")))
     now = seeds.select(
@@ -47,13 +51,16 @@ def interprocedural(
             F.concat("steps", F.array(step("argument", F.concat_ws(" ", F.col("position").cast("string"), "name"), F.col("at")))).alias("steps"), (F.col("calls") + 1).alias("calls"),
         )
         new = alias.union(call).groupBy(*key).agg(F.min(F.struct(F.size("steps"), "calls", "steps")).alias("best"))
-        new = new.select(*key, "best.steps", "best.calls").join(seen.select(*key), key, "left_anti")
-        from codeseam.operators.shared import settled
-
-        now = settled(new)
+        new = new.select(*key, "best.steps", "best.calls")
+        older = seen.groupBy(*key).agg(F.min("calls").alias("least"))
+        now = settled(new.join(older, key, "left").filter("least is null or calls < least").select(*now.columns))
         if now.isEmpty():
             break
         seen = settled(seen.union(now))
     hit = seen.join(sinks.select("method", "variable", "what", F.col("line").alias("sink_line")), ["method", "variable"])
-    out = hit.select(F.lit(kind).alias("kind"), F.col("origin").alias("method"), F.col("fact").alias("variable"), "seed_line", F.array_join("steps", "; ").alias("steps"), F.col("what").alias("sink"), F.col("method").alias("sink_method"), "sink_line")
-    return out.distinct()
+    told = ["origin", "fact", "seed_line", "what", "method", "sink_line"]
+    best = hit.groupBy(*told).agg(F.min(F.struct(F.size("steps"), "calls", "steps"))["steps"].alias("steps"))
+    return best.select(
+        F.lit(kind).alias("kind"), F.col("origin").alias("method"), F.col("fact").alias("variable"), "seed_line", F.array_join("steps", "; ").alias("steps"),
+        F.col("what").alias("sink"), F.col("method").alias("sink_method"), "sink_line",
+    )
