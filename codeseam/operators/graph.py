@@ -37,20 +37,6 @@ def reaches(edges: DataFrame, targets: DataFrame, max_depth: int | None = None)
     return reachable(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), targets, max_depth)
 
 
-def pairs(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
-    """(seed, node) closure pairs over one or more edges, for the given seeds or for every source."""
-    steps = settled(edges.select("src", "dst").distinct())
-    first = steps.select(F.col("src").alias("seed"), F.col("dst").alias("node"))
-    if seeds is not None:
-        first = first.join(seeds.select(F.col("node").alias("seed")).distinct(), "seed", "left_semi")
-    seen = frontier = settled(first)
-    while not frontier.isEmpty():
-        new = frontier.join(steps, frontier["node"] == steps["src"]).select("seed", F.col("dst").alias("node")).distinct()
-        frontier = settled(new.join(seen, ["seed", "node"], "left_anti"))
-        seen = settled(seen.union(frontier))
-    return seen
-
-
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node on a cycle; the component's name is its least node.
 
@@ -59,14 +45,14 @@ def strong_components(edges: DataFrame) -> DataFrame:
     Rows stay within nodes plus edges, unlike a closure of pairs.
     """
     left = settled(edges.select("src", "dst").filter("src <> dst").distinct())
-    found = None
+    found, size = None, left.count()
     while True:
         while True:  # trim what has no way in or no way out
             kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
             kept = settled(kept.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-            same = kept.count() == left.count()
+            size, before = kept.count(), size
             left = kept
-            if same:
+            if size == before:
                 break
         if left.isEmpty():
             break
@@ -89,6 +75,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
         found = part if found is None else found.union(part)
         left = left.join(part.select(F.col("node").alias("src")), "src", "left_anti")
         left = settled(left.join(part.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
+        size = left.count()
     if found is None:
         kind = edges.schema["src"].dataType
         return edges.limit(0).select(F.col("src").cast(kind).alias("node"), F.col("src").cast(kind).alias("component"))
@@ -139,34 +126,36 @@ def unreachable(edges: DataFrame, overrides: DataFrame, nodes: DataFrame, roots:
     return nodes.join(reach, "key", "left_anti").join(owners.distinct(), ["key", "kind"], "left_anti")
 
 
-def transitive_callers(edges: DataFrame, overrides: DataFrame, nodes: DataFrame, target: str) -> DataFrame:
-    """(key): methods that reach ``target`` by a call, climbing to what it overrides.
+def callers(edges: DataFrame, overrides: DataFrame, targets: DataFrame) -> DataFrame:
+    """(key): what reaches any of ``targets`` (column ``key``) by a call, climbing to what it overrides.
 
-    A state is a key with or without a call behind it: reversed edges set the mark, climbing clears it.  A method counts
-    when some state of it is marked, whatever the order of the walk.
+    A state is a key with or without a call behind it: reversed edges set the mark, climbing clears it.  A key counts
+    when some state of it is marked, whatever the order of the walk; one walk serves all targets.
     """
     back = edges.select(F.col("to_key").alias("key"), F.col("from_key").alias("to"), F.lit(1).alias("via"))
     up = overrides.select("key", F.col("overridden_key").alias("to"), F.lit(0).alias("via"))
     moves = settled(back.union(up).distinct())
-    seen = frontier = settled(moves.filter(F.col("key") == target).select(F.col("to").alias("key"), "via").union(
-        edges.sparkSession.range(1).select(F.lit(target).alias("key"), F.lit(0).alias("via"))
-    ).distinct())
+    start = targets.select("key").distinct()
+    seen = frontier = settled(
+        moves.join(start, "key", "left_semi").select(F.col("to").alias("key"), "via").union(start.select("key", F.lit(0).alias("via"))).distinct()
+    )
     while not frontier.isEmpty():
         new = frontier.select("key").distinct().join(moves, "key").select(F.col("to").alias("key"), "via").distinct()
         frontier = settled(new.join(seen, ["key", "via"], "left_anti"))
         seen = settled(seen.union(frontier))
-    called = seen.filter("via = 1").select("key").distinct().filter(F.col("key") != target)
-    return called.join(nodes.filter("kind = 'METHOD'").select("key"), "key", "left_semi")
+    return seen.filter("via = 1").select("key").distinct()
+
+
+def transitive_callers(edges: DataFrame, overrides: DataFrame, nodes: DataFrame, target: str) -> DataFrame:
+    """(key): methods that reach ``target`` by a call, without itself."""
+    start = edges.sparkSession.range(1).select(F.lit(target).alias("key"))
+    found = callers(edges, overrides, start).filter(F.col("key") != target)
+    return found.join(nodes.filter("kind = 'METHOD'").select("key"), "key", "left_semi")
 
 
 def type_callers(edges: DataFrame, overrides: DataFrame, nodes: DataFrame, type_key: str) -> DataFrame:
-    """(key): callers of a type or of any of its members, without the type's own members."""
-    members = nodes.filter((F.col("key") == type_key) | (F.col("owner_key") == type_key)).select("key")
-    out = None
-    for row in members.collect():  # the members of one type
-        part = transitive_callers(edges, overrides, nodes, row["key"])
-        out = part if out is None else out.union(part)
-    if out is None:
-        return nodes.limit(0).select("key")
+    """(key): methods that reach a type or any of its members, without the type's own members."""
     own = nodes.filter(F.col("owner_key") == type_key).select("key")
-    return out.distinct().join(own, "key", "left_anti")
+    start = nodes.filter(F.col("key") == type_key).select("key").union(own)
+    found = callers(edges, overrides, start).join(own, "key", "left_anti")
+    return found.join(nodes.filter("kind = 'METHOD'").select("key"), "key", "left_semi")

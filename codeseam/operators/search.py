@@ -20,11 +20,20 @@ def checked_limit(k: int, cap: int | None = None) -> int:
     return k if cap is None else min(k, cap)
 
 
+def with_total(shown: DataFrame, df: DataFrame) -> DataFrame:
+    """``shown``, a few rows of ``df``, and in ``total`` the number of all.
+
+    Where there are rows but none is shown, one row of nulls carries the total; no rows at all give no row.
+    """
+    total = df.agg(F.count("*").alias("total"))
+    # one row against the at most k that are shown
+    both = total.join(F.broadcast(shown.withColumn("__shown", F.lit(True))), F.lit(True), "left").filter("__shown or total > 0")
+    return both.select(*shown.columns, "total")
+
+
 def top_with_total(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows and in ``total`` the number of all: one aggregate row meets a top-k, nothing is sorted whole."""
-    total = df.agg(F.count("*").alias("total"))
-    # one row against at most k rows
-    return df.orderBy(*order).limit(checked_limit(k)).join(F.broadcast(total), how="inner")
+    return with_total(df.orderBy(*order).limit(checked_limit(k)), df)
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, total: str | None = "total", rank: str = "rank") -> DataFrame:

@@ -1,19 +1,59 @@
-"""Cutting lineage in loops."""
+"""Tables in the cluster's shared folder: cutting lineage in loops, handing tables on."""
 
 from __future__ import annotations
 
+import atexit
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_HELD: set[str] = set()
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` written to the cluster's shared checkpoint folder and read from there."""
-    spark = df.sparkSession
-    _ensure_folder(spark)
-    return df.checkpoint()
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see, from the session.
+
+    Only where the setting is missing on a single machine (as in tests) is a folder of our own used; on a cluster that is
+    an error, since a folder of one machine would lose what the others need.
+    """
+    sc = spark.sparkContext
+    path = spark.conf.get(CHECKPOINT_DIR, None)
+    if not path:
+        current = sc._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError(f"{CHECKPOINT_DIR} has to name a folder that the driver and all executors share")
+        path = current.get() if current.isDefined() else f"{tempfile.gettempdir()}/codeseam-checkpoints"
+    return path.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in a folder of this application, which goes when the driver ends."""
+    folder = f"{shared_dir(spark)}/codeseam-{spark.sparkContext.applicationId}"
+    if folder not in _HELD:
+        _HELD.add(folder)
+        sc = spark.sparkContext
+        atexit.register(_remove, sc._jvm, sc._jsc.hadoopConfiguration(), folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
-def _ensure_folder(spark: SparkSession) -> None:
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get(CHECKPOINT_DIR, None) or "/tmp/codeseam-checkpoints")
+def _remove(jvm, conf, folder: str) -> None:
+    try:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    except Exception:  # the driver's JVM may be gone before us; a cluster's folder then has to be emptied by its owner
+        pass
+
+
+def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage and survives lost executors."""
+    path = shared_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` in the shared folder, computed once; what loops go on from."""
+    return written(df.sparkSession, df, "settled")
