@@ -136,13 +136,18 @@ def project(spark: SparkSession) -> Resolved:
     return _SHARED[key]
 
 
+def values(columns: str, rows: list[tuple]) -> str:
+    """The SQL of literal rows; numbers are written bare."""
+    cell = lambda x: "NULL" if x is None else str(x).upper() if isinstance(x, bool) else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    body = ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows)
+    return f"SELECT * FROM (VALUES {body}) t({columns})"
+
+
 def expect(columns: str, rows: list[tuple]) -> Callable:
-    """Register a query with its expected rows; numbers are written bare."""
+    """Register a query with its expected rows."""
 
     def add(f):
-        cell = lambda x: "NULL" if x is None else str(x).upper() if isinstance(x, bool) else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
-        body = ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows)
-        SQL[f.__name__] = f"SELECT * FROM (VALUES {body}) t({columns})"
+        SQL[f.__name__] = values(columns, rows)
         names = [c.strip() for c in columns.split(",")]
         QUERIES[f.__name__] = lambda spark, sf_dir: f(project(spark)).select(*names)
         return f

@@ -79,6 +79,30 @@ def symbol_at(r: Resolved, file: str, line: int, column: int) -> str:
     return found["key"]
 
 
+def bindings(r: Resolved, file: str, method: str, name: str) -> DataFrame:
+    """(bound, start, length, line, col, access) of a local name in a method: each use is bound to the last declaration
+    of its name before it, and a declaration to itself (access null)."""
+    here = (F.col("file") == file) & (F.col("method_key") == method) & (F.col("name") == name)
+    v = r.raw("variables").filter(here).select("start", F.length("name").alias("length"), "line", "col")
+    u = r.raw("variable_uses").filter(here).select("start", "length", "line", "col", "access")
+    uses = u.join(v.select(F.col("start").alias("bound")), F.col("bound") <= F.col("start")).groupBy(*u.columns).agg(F.max("bound").alias("bound"))
+    own = v.select(F.col("start").alias("bound"), *v.columns, F.lit(None).cast("string").alias("access"))
+    return own.unionByName(uses.select(*own.columns))
+
+
+def local_at(r: Resolved, file: str, line: int, column: int) -> dict | None:
+    """The local variable or parameter that is declared or used at a place: method_key, name and where it is declared."""
+    at = offset_of(r, file, line, column)
+    here = lambda size: (F.col("file") == file) & (F.col("start") <= at) & (F.col("start") + size > at) & F.col("method_key").isNotNull()
+    v = r.raw("variables").filter(here(F.length("name"))).select("method_key", "name")
+    u = r.raw("variable_uses").filter(here(F.col("length"))).select("method_key", "name")
+    row = v.union(u).first()
+    if row is None:
+        return None
+    place = bindings(r, file, row["method_key"], row["name"]).filter((F.col("start") <= at) & (F.col("start") + F.col("length") > at)).first()
+    return row.asDict() | {"bound": place["bound"]} if place else None
+
+
 def type_named(r: Resolved, name: str) -> str:
     """A type by full name, by nested name, or by its simple name among top-level types in source order."""
     types = r.symbols.filter("kind = 'TYPE'")
@@ -110,8 +134,7 @@ def search_symbols(r: Resolved, query: str, kind: str | None = None, max_results
     of = {"type": F.col("kind") == "TYPE", "method": (F.col("form") == "method"), "constructor": F.col("form") == "constructor", "field": F.col("kind") == "FIELD"}
     test = of.get(wanted, F.lower("form") == wanted)
     found = r.symbols.filter(T.glob_match(F.col("simple_name"), query) & test).select("key", "simple_name", "kind", "form", "package", "file", "line", "col")
-    total = found.agg(F.count("*").alias("total"))
-    return search.page(found, [F.col("simple_name"), F.col("key"), F.col("file")], offset, checked_limit(max_results, 1000)).join(F.broadcast(total))
+    return search.with_total(search.page(found, [F.col("simple_name"), F.col("key"), F.col("file")], offset, checked_limit(max_results, 1000)), found)
 
 
 @tool
@@ -147,7 +170,17 @@ def go_to_definition(r: Resolved, file: str, line: int, column: int) -> DataFram
 
 @tool
 def get_symbol_info(r: Resolved, file: str, line: int, column: int) -> DataFrame:
-    return details(r.symbols.filter(F.col("key") == symbol_at(r, file, line, column)))
+    """What the symbol at a place is; locals and parameters too, under the key of their method and their name."""
+    local = local_at(r, file, line, column)
+    if local is None:
+        return details(r.symbols.filter(F.col("key") == symbol_at(r, file, line, column)))
+    v = r.raw("variables").filter((F.col("file") == file) & (F.col("method_key") == local["method_key"]) & (F.col("start") == local["bound"]))
+    known = {
+        "key": F.concat_ws("/", "method_key", "name"), "kind": F.lit("VARIABLE"), "form": F.col("form"), "simple_name": F.col("name"), "owner_key": F.col("method_key"),
+        "signature": F.concat_ws(" ", "type", "name"), "return_type": F.col("type"), "file": F.col("file"), "line": F.col("line"), "col": F.col("col"),
+    }
+    fields = details(r.symbols).schema
+    return v.select(*(known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
 
 
 def _around(r: Resolved, file: str, line: int, column: int, kind: str) -> DataFrame:
@@ -185,7 +218,7 @@ def get_field_at_position(r: Resolved, file: str, line: int, column: int) -> Dat
 
 def _clean_doc(doc: Column) -> Column:
     inner = F.regexp_replace(F.regexp_replace(doc, r"^/\*\*|\*/$", ""), r"(?m)^\s*(?:\*|///) ?", "")
-    return F.trim(F.regexp_replace(inner, r"\{@(?:code|link|linkplain|literal)\s+([^}]*)\}", "$1"))
+    return F.regexp_replace(F.regexp_replace(inner, r"\{@(?:code|link|linkplain|literal)\s+([^}]*)\}", "$1"), r"^\s+|\s+$", "")
 
 
 @tool
@@ -575,14 +608,16 @@ def get_project_structure(r: Resolved, include_files: bool = False, max_depth: i
 
 
 @tool
-def get_classpath_info(r: Resolved) -> DataFrame:
-    """Source roots, and the packages outside the project that its files import."""
+def get_classpath_info(r: Resolved, include_libraries: bool = True, include_source: bool = True) -> DataFrame:
+    """Source roots, and the packages outside the project that its files import; either kind can be left out."""
     from codeseam.sources.tree import source_root
 
     own = r.facts.groupBy(source_root(F.col("path")).alias("path")).agg(F.count("*").alias("uses")).select(F.lit("source").alias("kind"), "path", "uses", F.lit(True).alias("exists"))
     packages = r.facts.select("package").distinct()
     outside = r.raw("imports").select(T.package_of(F.col("name")).alias("path")).join(packages, F.col("path") == F.col("package"), "left_anti")
-    return own.union(outside.groupBy("path").agg(F.count("*").alias("uses")).select(F.lit("library"), "path", "uses", F.lit(None).cast("boolean"))).orderBy("kind", "path")
+    every = own.union(outside.groupBy("path").agg(F.count("*").alias("uses")).select(F.lit("library"), "path", "uses", F.lit(None).cast("boolean")))
+    kinds = [k for k, on in (("library", include_libraries), ("source", include_source)) if on]
+    return every.filter(F.col("kind").isin(*kinds)).orderBy("kind", "path")
 
 
 @tool
@@ -596,6 +631,15 @@ def find_tests(r: Resolved, pattern: str | None = None, include_disabled: bool =
     return t.groupBy(F.col("owner_key").alias("test_class")).agg(F.min("framework").alias("framework"), F.array_sort(F.collect_list(shown)).alias("tests"), F.count_if("disabled").alias("disabled")).orderBy("test_class")
 
 
+def _first(df: DataFrame, column: str, k: int, name: str) -> DataFrame:
+    """One row: the first ``k`` values of a column of distinct rows, sorted, and under ``<name>_total`` how many there are.
+
+    The cut comes before the list, so however many there are, at most ``k`` come together.
+    """
+    top = df.orderBy(column).limit(k).agg(F.array_sort(F.collect_list(column)).alias(name))
+    return top.join(F.broadcast(df.agg(F.count("*").alias(f"{name}_total"))))  # one row and one row
+
+
 @tool
 def analyze_file(r: Resolved, file: str) -> DataFrame:
     """One row: lines, imports, types with their member counts, problems."""
@@ -605,28 +649,30 @@ def analyze_file(r: Resolved, file: str) -> DataFrame:
 
 
 @tool
-def analyze_type(r: Resolved, type_name: str, max_usages: int = 10) -> DataFrame:
-    """One row: declaration, members, hierarchy and true usage totals."""
+def analyze_type(r: Resolved, type_name: str, max_subtypes: int = 20) -> DataFrame:
+    """One row: declaration, members, hierarchy and true usage totals; the first subtypes and how many there are."""
     key = type_named(r, type_name)
     own = details(r.symbols.filter(F.col("key") == key))
-    m = r.symbols.filter(F.col("owner_key") == key).agg(F.array_sort(F.collect_list("key")).alias("members"))
+    m = r.symbols.filter(F.col("owner_key") == key).agg(F.array_sort(F.collect_list("key")).alias("members"))  # one type's
     up = r.ancestors.filter(F.col("type_key") == key).agg(F.transform(F.sort_array(F.collect_list(F.struct("depth", "ancestor"))), lambda x: x["ancestor"]).alias("ancestors"))
-    down = r.ancestors.filter(F.col("ancestor") == key).agg(F.slice(F.array_sort(F.collect_set("type_key")), 1, 20).alias("subtypes"))
+    below = r.ancestors.filter(F.col("ancestor") == key).select("type_key").distinct()
+    down = _first(below, "type_key", checked_limit(max_subtypes), "subtypes")
     used = r.type_refs.filter(F.col("target_key") == key).groupBy("fine_kind").count().agg(F.map_from_entries(F.collect_list(F.struct("fine_kind", "count"))).alias("usages"))
     return own.join(F.broadcast(m)).join(F.broadcast(up)).join(F.broadcast(down)).join(F.broadcast(used))
 
 
 @tool
-def analyze_method(r: Resolved, file: str, line: int, column: int, max_callers: int = 20, max_callees: int = 50) -> DataFrame:
-    """One row: declaration, distinct callers and callees, what it overrides and is overridden by."""
+def analyze_method(r: Resolved, file: str, line: int, column: int, max_callers: int = 20, max_callees: int = 50, max_overrides: int = 100) -> DataFrame:
+    """One row: declaration, distinct callers and callees, what it overrides and is overridden by: the first and how many."""
     key = symbol_at(r, file, line, column)
     own = details(r.symbols.filter(F.col("key") == key))
-    first = lambda df, c, k, n: df.agg(F.slice(F.array_sort(F.collect_set(c)), 1, k).alias(n))
+    first = lambda df, c, k, n: _first(df.select(c).filter(F.col(c).isNotNull()).distinct(), c, k, n)
+    k = checked_limit(max_overrides)
     parts = (
         first(r.calls.filter(F.col("target_key") == key), "enclosing_key", checked_limit(max_callers), "callers"),
         first(r.calls.filter(F.col("enclosing_key") == key), "target_key", checked_limit(max_callees), "callees"),
-        first(r.overrides.filter(F.col("key") == key), "overridden_key", 100, "overrides"),
-        first(r.overrides.filter(F.col("overridden_key") == key), "key", 100, "overridden_by"),
+        first(r.overrides.filter(F.col("key") == key), "overridden_key", k, "overrides"),
+        first(r.overrides.filter(F.col("overridden_key") == key), "key", k, "overridden_by"),
     )
     for p in parts:
         own = own.join(F.broadcast(p))
@@ -653,13 +699,23 @@ def analyze_control_flow(r: Resolved, file: str, line: int, column: int) -> Data
 
 
 @tool
-def analyze_data_flow(r: Resolved, file: str, line: int, column: int) -> DataFrame:
-    """Variables of a method by name: form, type, reads and writes (an initial value is a write)."""
+def analyze_data_flow(r: Resolved, file: str, line: int, column: int, follow_calls: bool = False, max_call_depth: int = 2) -> DataFrame:
+    """Variables of a method by name: form, type, reads and writes (an initial value is a write); with ``follow_calls``
+    those of the source methods it calls too, up to a depth."""
     row = _around(r, file, line, column, "METHOD").select("key").first()
     key = row["key"] if row else ""
-    v = r.raw("variables").filter(F.col("method_key") == key).groupBy("name").agg(F.min("form").alias("form"), F.min("type").alias("type"), F.count_if(F.col("initial").isNotNull()).alias("initial"))
-    u = r.raw("variable_uses").filter(F.col("method_key") == key).groupBy("name").agg(F.count_if(F.col("access") == "READ").alias("reads"), F.count_if(F.col("access") == "WRITE").alias("writes"))
-    return v.join(u, "name", "left").select("name", "form", "type", F.coalesce("reads", F.lit(0)).alias("reads"), (F.coalesce("writes", F.lit(0)) + F.col("initial")).alias("writes")).orderBy("name")
+    start = r.facts.sparkSession.range(1).select(F.lit(key).alias("node"))
+    if follow_calls:
+        calls = r.edges.filter("kind = 'CALLS'").select(F.col("from_key").alias("src"), F.col("to_key").alias("dst"))
+        methods = graph.reachable(calls, start, checked_limit(max_call_depth)).select(F.col("node").alias("method_key"), "depth")
+    else:
+        methods = start.select(F.col("node").alias("method_key"), F.lit(0).alias("depth"))
+    by = ["method_key", "depth", "name"]
+    v = r.raw("variables").join(methods, "method_key").groupBy(*by).agg(F.min("form").alias("form"), F.min("type").alias("type"), F.count_if(F.col("initial").isNotNull()).alias("initial"))
+    u = r.raw("variable_uses").join(methods, "method_key").groupBy(*by).agg(F.count_if(F.col("access") == "READ").alias("reads"), F.count_if(F.col("access") == "WRITE").alias("writes"))
+    return v.join(u, by, "left").select(
+        F.col("method_key").alias("method"), "depth", "name", "form", "type", F.coalesce("reads", F.lit(0)).alias("reads"), (F.coalesce("writes", F.lit(0)) + F.col("initial")).alias("writes")
+    ).orderBy("depth", "method", "name")
 
 
 @tool
@@ -735,9 +791,13 @@ def validate_syntax(r: Resolved, file: str | None = None, content: str | None =
 
 @tool
 def health_check(r: Resolved) -> DataFrame:
+    """One row: status, files, how long the session has run, whether facts are kept in a store, versions and queries."""
+    import time
+
     spark: SparkSession = r.facts.sparkSession
+    uptime = time.time() - spark.sparkContext.startTime / 1000
     return r.facts.agg(F.count("*").alias("files")).select(
-        F.lit("ready").alias("status"), "files", F.lit(spark.version).alias("spark"), F.lit(len(TOOLS)).alias("queries"), F.current_timestamp().cast("string").alias("checked_at")
+        F.lit("ready").alias("status"), "files", F.lit(int(uptime)).cast("bigint").alias("uptime_seconds"), F.lit("store" if r.folder else "memory").alias("facts_kept_in"), F.lit(spark.version).alias("spark"), F.lit(len(TOOLS)).alias("queries"), F.current_timestamp().cast("string").alias("checked_at")
     )
 
 
@@ -753,11 +813,20 @@ def _family(r: Resolved, key: str) -> DataFrame:
 
 @tool
 def rename_symbol(r: Resolved, file: str, line: int, column: int, new_name: str) -> DataFrame:
-    """Edits that rename a member or type everywhere, overridden and overriding methods included, safest order first."""
+    """Edits that rename a member or type everywhere, overridden and overriding methods included, safest order first; a
+    local variable or parameter within its method."""
     from codeseam.operators.edits import bottom_up
 
     if not new_name.isidentifier() or new_name in fixed.RESERVED_WORDS:
         raise InvalidParameter(f"not a name: {new_name}")
+    local = local_at(r, file, line, column)
+    if local is not None:
+        own = bindings(r, file, local["method_key"], local["name"]).filter(F.col("bound") == local["bound"])
+        named = r.raw("variables").filter((F.col("file") == file) & (F.col("method_key") == local["method_key"]) & (F.col("name") == new_name))
+        if not named.isEmpty():
+            raise InvalidParameter(f"the method has a variable {new_name}")
+        edits = own.dropDuplicates(["start"]).select(F.lit(file).alias("file"), "start", "length", "line", "col", F.lit(local["name"]).alias("old_text"), F.lit(new_name).alias("new_text"))
+        return bottom_up(edits).orderBy("file", "position")
     key = symbol_at(r, file, line, column)
     family = settled(_family(r, key))
     old = key.split("#")[-1].split("(")[0] if "#" in key else key.rsplit(".", 1)[-1]
@@ -791,8 +860,11 @@ def organize_imports(r: Resolved, file: str) -> DataFrame:
 
 @tool
 def extract_interface(r: Resolved, file: str, line: int, column: int, interface_name: str, method_names: list[str] | None = None) -> DataFrame:
-    """The text of an interface with a class's public instance methods (of Object's only those named)."""
-    row = _around(r, file, line, column, "TYPE").select("key", "form", "package").first()
+    """An interface with a class's public instance methods (of Object's only those named), its type parameters carried
+    over, and the edit that makes the class implement it."""
+    from codeseam.sources import rewrite
+
+    row = _around(r, file, line, column, "TYPE").select("key", "form", "package", "name_start", "simple_name").first()
     if row is None or row["form"] in ("interface", "enum", "annotation"):
         raise InvalidParameter("an interface can be taken from a class or record only")
     if not interface_name.isidentifier():
@@ -802,20 +874,68 @@ def extract_interface(r: Resolved, file: str, line: int, column: int, interface_
     params = F.array_join(F.transform("params", lambda p: F.concat_ws(" ", p["type"], p["name"])), ", ")
     throws = F.when(F.size("exceptions") > 0, F.concat(F.lit(" throws "), F.array_join("exceptions", ", "))).otherwise("")
     each = F.concat(F.lit("    "), "return_type", F.lit(" "), "simple_name", F.lit("("), params, F.lit(")"), throws, F.lit(";"))
-    head = (f"package {row['package']};\n\n" if row["package"] else "") + f"public interface {interface_name} {{\n"
+    source = _content(r, file)
+    params_at = source[row["name_start"] + len(row["simple_name"]) : rewrite.after_name(source, row["name_start"])].strip()
+    arguments = f"<{', '.join(rewrite.type_parameter_names(source, row['name_start']))}>" if params_at else ""
+    head = (f"package {row['package']};\n\n" if row["package"] else "") + f"public interface {interface_name}{params_at} {{\n"
     body = m.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", each.alias("t")))), lambda x: x["t"]), "\n").alias("b"))
     created = file.rsplit("/", 1)[0] + f"/{interface_name}.java" if "/" in file else f"{interface_name}.java"
-    return body.select(F.lit(created).alias("file"), F.concat(F.lit(head), "b", F.lit("\n}\n")).alias("content"))
+    made = body.select(F.lit(created).alias("file"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("length"), F.concat(F.lit(head), "b", F.lit("\n}\n")).alias("new_text"), F.lit("").alias("warnings"))
+    return _rows(r, [(file, *rewrite.implements_edit(source, row["name_start"], interface_name + arguments))]).unionByName(made)
 
 
 @tool
-def encapsulate_field(r: Resolved, file: str, line: int, column: int) -> DataFrame:
-    """Sites outside the declaring class that would go through accessors: reads to the getter, writes to the setter."""
+def encapsulate_field(r: Resolved, file: str, line: int, column: int, getter_name: str | None = None, setter_name: str | None = None) -> DataFrame:
+    """Edits that make a field private, give its class public accessors and lead all outside through them.
+
+    Accesses inside the declaring class stay direct.  Each file with writes is parsed once, where its content is.
+    """
+    import pyarrow as pa
+
+    from codeseam.sources import rewrite
+
     key = symbol_at(r, file, line, column)
-    owner, name = key.split("#") if "#" in key else (key, "")
+    own = r.symbols.filter((F.col("key") == key) & (F.col("kind") == "FIELD")).select("file", "start", "name_start", "simple_name", "return_type", "owner_key", "flags").first()
+    if own is None:
+        raise InvalidParameter(f"not a field: {key}")
+    name, kind = own["simple_name"], own["return_type"]
     cap = name[:1].upper() + name[1:]
-    sites = r.accesses.filter((F.col("target_key") == key) & (F.col("enclosing_type") != owner))
-    return sites.select("file", "start", "length", "access", F.when(F.col("access") == "READS", f"get{cap}()").otherwise(f"set{cap}(...)").alias("through")).orderBy("file", "start")
+    getter, setter = getter_name or ("is" if kind == "boolean" else "get") + cap, setter_name or f"set{cap}"
+    for n in (getter, setter):
+        if not n.isidentifier() or n in fixed.RESERVED_WORDS:
+            raise InvalidParameter(f"not a name: {n}")
+    static, final = own["flags"] & 8, own["flags"] & 16
+    lead = "public static " if static else "public "
+    to, at = _owner(r, own["owner_key"]), to_this(own["owner_key"], static)
+    text = f"{lead}{kind} {getter}() {{\n    return {name};\n}}"
+    if not final:
+        text += f"\n\n{lead}void {setter}({kind} {name}) {{\n    {at}.{name} = {name};\n}}"
+    source = _content(r, own["file"])
+    edits = [(own["file"], *rewrite.insert_member(source, to["start"], to["start"] + to["length"], text))]
+    if (closed := rewrite.private_field(source, own["name_start"])) is not None:
+        edits.append((own["file"], *closed))
+    inside = (F.col("enclosing_type") == own["owner_key"]) | F.startswith("enclosing_type", F.lit(own["owner_key"] + "."))
+    sites = r.accesses.filter((F.col("target_key") == key) & ~inside)
+    writes = sites.filter("access = 'WRITES'").groupBy("file").agg(F.collect_set("start").alias("starts"))  # of one file
+    reads = sites.join(sites.filter("access = 'WRITES'").select("file", "start"), ["file", "start"], "left_anti").dropDuplicates(["file", "start"])
+    reads = reads.select("file", "start", "length", F.lit(f"{getter}()").alias("new_text"), F.lit("").alias("warnings"))
+    schema = pa.schema([("file", pa.string()), ("start", pa.int32()), ("length", pa.int32()), ("new_text", pa.string()), ("warnings", pa.string())])
+
+    def run(batches):
+        from codeseam.sources.rewrite import write_edits
+
+        for batch in batches:
+            rows = [(f, *e) for f, content, starts in zip(*(c.to_pylist() for c in batch.columns)) for e in write_edits(content, starts, getter, setter)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows) if rows else [[]] * 5, schema)], schema=schema)
+
+    files = r.facts.select(F.col("path").alias("file"), "content").join(writes, "file")
+    wrote = files.mapInArrow(run, "file string, start int, length int, new_text string, warnings string")
+    return _rows(r, edits).unionByName(reads).unionByName(wrote).orderBy("file", F.desc("start"))
+
+
+def to_this(owner: str, static: int) -> str:
+    """What a field is named through inside its class."""
+    return owner.rsplit(".", 1)[-1] if static else "this"
 
 
 @tool

@@ -32,7 +32,7 @@ SCHEMA = {
     "accesses": f"name string, access string, receiver string, receiver_candidates array<string>, owners array<string>, enclosing_key string, enclosing_type string, context string, {_POS}",
     "imports": f"name string, is_static boolean, is_on_demand boolean, is_module boolean, ordinal int, package string, used boolean, {_POS}",
     "annotations": f"target_key string, target_kind string, target_name string, target_type string, owner_key string, name string, simple_name string, candidates array<string>, values map<string,string>, {_POS}",
-    "nodes": "node_id int, parent_id int, depth int, kind string, name string, method_key string, type_key string, nesting int, parent_kind string, text string, " + _POS,
+    "nodes": "node_id int, parent_id int, depth int, kind string, name string, method_key string, type_key string, nesting int, parent_kind string, " + _POS,
     "variables": f"method_key string, name string, form string, type string, initial string, {_POS}",
     "variable_uses": f"method_key string, name string, access string, {_POS}",
     "assigns": "method_key string, source string, target string, line int",
@@ -61,7 +61,7 @@ class Extractor:
     def context(self, start: int) -> str:
         line = bisect.bisect_right(self.lines, start) - 1
         stop = self.lines[line + 1] if line + 1 < len(self.lines) else len(self.source)
-        return self.source[self.lines[line] : stop].rstrip("\r\n")[:200].strip()
+        return self.source[self.lines[line] : stop].rstrip("\r\n").strip()
 
     # ---- names
 
@@ -282,7 +282,7 @@ class Extractor:
     def variable(self, n: Node, form: str, type_text: str, initial: Node | None, method: str | None) -> None:
         if method:
             self.out["variables"].append(
-                {"method_key": method, "name": n.name, "form": form, "type": type_text, "initial": initial and self.source[initial.start : initial.end][:80], **self.pos(n.data.get("name_start", n.start), n.end)}
+                {"method_key": method, "name": n.name, "form": form, "type": type_text, "initial": initial and self.source[initial.start : initial.end], **self.pos(n.data.get("name_start", n.start), n.end)}
             )
 
     # ---- bodies
@@ -607,7 +607,7 @@ class Extractor:
 
     def dereference(self, e: Node, r: Node, method: str | None) -> None:
         if method and r.kind == "Name":
-            self.out["dereferences"].append({"method_key": method, "variable": r.name, "text": self.source[e.start : e.end][:80], "line": self.pos(e.start, e.start)["line"]})
+            self.out["dereferences"].append({"method_key": method, "variable": r.name, "text": self.source[e.start : e.end], "line": self.pos(e.start, e.start)["line"]})
 
     # ---- syntax nodes
 
@@ -639,10 +639,9 @@ class Extractor:
                 elif n.kind == "CatchClause":
                     block = n.kids[-1]
                     extra = "|".join(t.name for t in n.data["caught"]) + (" empty" if not block.kids else "")
-                text = self.source[n.start : n.end][:120] if n.kind not in ("Block", "MethodDeclaration") else ""
                 self.out["nodes"].append(
                     {"node_id": here, "parent_id": parent, "depth": depth, "kind": n.kind, "name": extra, "method_key": method, "type_key": type_key, "nesting": nesting,
-                     "parent_kind": parent_kind + (":" + n.data.get("chain", "") if "chain" in n.data else ""), "text": text, **self.pos(n.start, n.end)}
+                     "parent_kind": parent_kind + (":" + n.data.get("chain", "") if "chain" in n.data else ""), **self.pos(n.start, n.end)}
                 )
             inner = nesting + (n.kind in self.NESTS)
             for k in n.kids:

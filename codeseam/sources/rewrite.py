@@ -516,6 +516,11 @@ def after_name(source: str, type_name_start: int) -> int:
     return source.index(">", max(k.end for k in n.data["type_params"]) - 1) + 1 if n.data["type_params"] else end
 
 
+def type_parameter_names(source: str, type_name_start: int) -> list[str]:
+    f = File(source)
+    return [p.name for p in next(t for t in f.all if t.kind == "TypeDeclaration" and t.data["name_start"] == type_name_start).data["type_params"]]
+
+
 def signature(source: str, offset: int) -> dict:
     """Places of a method's return type, name and parameter list."""
     f = File(source)
@@ -547,6 +552,59 @@ def call_arguments(source: str, starts: list[int]) -> list[tuple[int, int, int,
     return out
 
 
+def write_edits(source: str, starts: list[int], getter: str, setter: str) -> list[tuple[int, int, str, str]]:
+    """(start, length, new text, warning) that make writes of a field, named at given places, calls of its setter.
+
+    A write whose value is used goes unchanged, with a warning.
+    """
+    f = File(source)
+    wanted, out = set(starts), []
+    for n in f.all:
+        at = n.data.get("name_start", n.start)
+        if n.kind not in ("Name", "FieldAccess") or at not in wanted:
+            continue
+        wanted.discard(at)
+        p = f.parent[id(n)]
+        alone = f.parent[id(p)].kind == "ExpressionStatement"
+        receiver = source[n.start : at]  # with its dot, if any
+        if p.kind == "Assignment" and p.kids[0] is n and alone:
+            value = f.text(p.kids[1])
+            if p.name != "=":
+                value = f"{receiver}{getter}() {p.name[:-1]} " + (value if p.kids[1].kind in ("Name", "Literal", "MethodInvocation", "FieldAccess") else f"({value})")
+            out.append((at, p.end - at, f"{setter}({value})", "" if p.name == "=" or receiver.count("(") == 0 else "the receiver is evaluated twice"))
+        elif p.kind in ("PostfixExpression", "PrefixExpression") and alone:
+            out.append((p.start, p.end - p.start, f"{receiver}{setter}({receiver}{getter}() {(p.name or source[p.end - 2 : p.end])[0]} 1)", ""))
+        else:
+            out.append((at, 0, "", "the written value is used, not rewritten"))
+    return out
+
+
+def private_field(source: str, name_start: int) -> tuple[int, int, str] | None:
+    """The edit that makes a field private; none if it is."""
+    n = File(source).at(name_start, "FieldDeclaration")
+    if n is None:
+        raise Refused("not a field's declaration")
+    start, head = n.start, source[n.start : name_start]
+    found = re.search(r"\b(public|protected|private)\b", head)
+    if found:
+        return None if found[1] == "private" else (start + found.start(), len(found[1]), "private")
+    notes = re.match(r"(?:\s*@[\w.]+(?:\([^()]*(?:\([^()]*\)[^()]*)*\))?\s*)*", head)
+    return start + notes.end(), 0, "private "
+
+
+def implements_edit(source: str, type_name_start: int, interface: str) -> tuple[int, int, str]:
+    """The edit that adds an interface to a type's header."""
+    f = File(source)
+    n = next(t for t in f.all if t.kind == "TypeDeclaration" and t.data["name_start"] == type_name_start)
+    if n.data["implements"]:
+        return n.data["implements"][-1].end, 0, f", {interface}"
+    ends = [k.end for k in n.data["extends"]]
+    if n.data["components"] or n.data["form"] == "record":
+        ends.append(source.index(")", max([type_name_start, *(k.end for k in n.data["components"])])) + 1)
+    at = max([after_name(source, type_name_start), *ends])
+    return at, 0, f" implements {interface}"
+
+
 def inline_method(call_source: str, call_at: int, body_source: str, body_at: int) -> Rewrite:
     """Replace one call by the method's single expression, its parameters by the arguments."""
     s = signature(body_source, body_at)

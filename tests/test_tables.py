@@ -72,6 +72,43 @@ def test_graph_operators_match_brute_force(spark, pairs):
     assert scc == want
 
 
+def test_flows_keep_paths_with_fewer_calls(spark):
+    """A longer path with fewer calls behind it goes on where a shorter one may not; more edges never lose a flow."""
+    from codeseam.operators.flow import interprocedural
+
+    seeds = spark.createDataFrame([("o", "a", 1)], "method string, variable string, line int")
+    assigns = spark.createDataFrame([("o", "a", "b", 2), ("o", "b", "c", 3)], "method string, source string, target string, line int")
+    parameters = spark.createDataFrame([("p", 0, "x"), ("m", 0, "v"), ("n", 0, "w")], "method string, position int, name string")
+    sinks = spark.createDataFrame([("n", "w", "w.use()", 9)], "method string, variable string, what string, line int")
+    long_way = [("o", "c", "m", 0, 4), ("m", "v", "n", 0, 5)]
+    short_way = [("o", "a", "p", 0, 6), ("p", "x", "m", 0, 7)]
+
+    def found(arguments, depth):
+        df = spark.createDataFrame(arguments, "method string, variable string, callee string, position int, line int")
+        return [r["steps"] for r in interprocedural(seeds, assigns, df, parameters, sinks, depth, "null").collect()]
+
+    want = ["alias b @2; alias c @3; argument 0 v @4; argument 0 w @5"]
+    assert found(long_way, 2) == want and found(long_way + short_way, 2) == want
+    assert found(long_way + short_way, 3) == ["argument 0 x @6; argument 0 v @7; argument 0 w @5"]
+    assert found(long_way + short_way, 1) == []
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from codeseam.operators.shared import shared_dir
+
+    def session(master, path=None):
+        held = SimpleNamespace(isDefined=lambda: False)
+        sc = SimpleNamespace(master=master, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: held)))
+        return SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *_: path))
+
+    assert shared_dir(session("spark://x", "hdfs://a/")) == "hdfs://a"
+    assert shared_dir(session("local[4]"))
+    with pytest.raises(RuntimeError):
+        shared_dir(session("spark://x"))
+
+
 def test_globs(spark):
     names = spark.createDataFrame([(x,) for x in ["Foo", "FooBar", "foo", "F.o", "Fxo", "", "a\nb", None]], "n string")
     hit = lambda g, **k: [r[0] for r in names.filter(T.glob_match(F.col("n"), g, **k)).collect()]
@@ -122,11 +159,13 @@ def test_plans_push_down_and_avoid_cartesian_products(spark):
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
-def test_project_queries_equal_their_rows(spark, duck):
-    from codeseam.plans import fixture_queries
+@pytest.mark.parametrize("source", ["fixture_queries", "zoo_queries"])
+def test_project_queries_equal_their_rows(spark, duck, source):
+    import importlib
 
-    for name, build in fixture_queries.QUERIES.items():
-        got, want = build(spark, DATA).toPandas(), duck.execute(fixture_queries.SQL[name]).df()
+    module = importlib.import_module(f"codeseam.plans.{source}")
+    for name, build in module.QUERIES.items():
+        got, want = build(spark, DATA).toPandas(), duck.execute(module.SQL[name]).df()
         columns = sorted(got.columns)
         assert columns == sorted(want.columns), name
         assert plain(got, columns) == plain(want, columns), name
