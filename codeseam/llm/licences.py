@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codeseam.llm.common import written
+from codeseam.llm.licence_rules import CREATIVE, IDENTIFIERS, LEAD, NAMES, NOTICES
 
 #: A word of the contract, on text of any case (A-Z count as a-z).
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -35,168 +36,36 @@ class Rule:
     whole: bool = False  # the keyword stands as a word of the folded text, not just within it
 
 
-def _phrase(words: str) -> str:
-    """Words with any run of marks and spaces between them, at word edges."""
-    return _EDGE_BEFORE + GAP.join(words.split()) + _EDGE_AFTER
-
-
-#: A grant's opening words belong to the name that follows, so its span holds the bare hint's.
-LEAD = rf"(?:(?:licensed|released|distributed|available){GAP}under{GAP}(?:the{GAP})?(?:terms{GAP}of{GAP})?(?:the{GAP})?)?"
-
-#: Words that say little about a text: none of them is a keyword where the phrase has another.
-PLAIN = frozenset("general public license licence software source free open distributed released original version agreement this that with what want".split())
-
-
-def _demanded(words: str, hint: str = "") -> str:
-    """The word of the phrase that opens its rule: the hint if it is one of them, else the longest telling one.
-
-    Every word of a phrase stands between marks, so a text that matches has it among its words.  ``version`` and ``v``
-    stand for each other in names and are never taken.
-    """
-    own = [w for w in words.split() if w not in ("version", "v")]
-    if hint in own:
-        return hint
-    return max([w for w in own if w not in PLAIN and not w.isdigit()] or own, key=len)
-
-
-#: label, identifier, names (``|`` between them), the word of the names to open their rules with where they have it
-FAMILIES = (
-    ("apache", "Apache-2.0", "apache license version 2 0|apache license 2 0|apache software license", "apache"),
-    ("apache-1.1", "Apache-1.1", "apache license version 1 1|apache software license version 1 1", "apache"),
-    ("mit", "MIT", "mit license|the mit license|mit licence|expat license", "mit"),
-    ("x11", "X11", "x11 license|mit x11 license", "x11"),
-    ("bsd-2", "BSD-2-Clause", "simplified bsd license|2 clause bsd license|freebsd license|bsd 2 clause license", "bsd"),
-    ("bsd-3", "BSD-3-Clause", "new bsd license|3 clause bsd license|modified bsd license|revised bsd license|bsd 3 clause license", "bsd"),
-    ("bsd-4", "BSD-4-Clause", "original bsd license|4 clause bsd license|bsd 4 clause license", "bsd"),
-    ("bsd-0", "0BSD", "zero clause bsd license|bsd zero clause license", "bsd"),
-    ("isc", "ISC", "isc license|isc licence", "isc"),
-    ("gpl-1", "GPL-1.0-or-later", "gnu general public license version 1|gpl version 1", "version 1"),
-    ("gpl-2", "GPL-2.0-or-later", "gnu general public license version 2|gpl version 2|gplv2", "gpl"),
-    ("gpl-2-only", "GPL-2.0-only", "gnu general public license version 2 only|gpl version 2 only", "only"),
-    ("gpl-3", "GPL-3.0-or-later", "gnu general public license version 3|gpl version 3|gplv3", "gpl"),
-    ("gpl-3-only", "GPL-3.0-only", "gnu general public license version 3 only|gpl version 3 only", "only"),
-    ("lgpl-2", "LGPL-2.0-or-later", "gnu library general public license|lgpl version 2", "library"),
-    ("lgpl-2.1", "LGPL-2.1-or-later", "gnu lesser general public license version 2 1|lgpl version 2 1|lgplv2 1", "2.1"),
-    ("lgpl-3", "LGPL-3.0-or-later", "gnu lesser general public license version 3|lgpl version 3|lgplv3", "lesser"),
-    ("agpl-3", "AGPL-3.0-or-later", "gnu affero general public license version 3|gnu affero general public license|agpl version 3|agplv3", "affero"),
-    ("mpl-1.1", "MPL-1.1", "mozilla public license version 1 1|mpl 1 1", "mozilla"),
-    ("mpl-2", "MPL-2.0", "mozilla public license version 2 0|mozilla public license 2 0|mpl 2 0", "mozilla"),
-    ("epl-1", "EPL-1.0", "eclipse public license version 1 0|eclipse public license 1 0|eclipse public license v1 0", "eclipse"),
-    ("epl-2", "EPL-2.0", "eclipse public license version 2 0|eclipse public license 2 0|eclipse public license v 2 0", "eclipse"),
-    ("edl", "BSD-3-Clause", "eclipse distribution license", "eclipse"),
-    ("cddl-1", "CDDL-1.0", "common development and distribution license version 1 0|common development and distribution license", "distribution"),
-    ("cpl", "CPL-1.0", "common public license version 1 0|common public license", "common public"),
-    ("ipl", "IPL-1.0", "ibm public license version 1 0|ibm public license", "ibm"),
-    ("artistic-1", "Artistic-1.0", "artistic license version 1 0|artistic license 1 0", "artistic"),
-    ("artistic-2", "Artistic-2.0", "artistic license version 2 0|artistic license 2 0", "artistic"),
-    ("zlib", "Zlib", "zlib license|zlib libpng license", "zlib"),
-    ("libpng", "Libpng", "libpng license|png reference library license", "png"),
-    ("bsl-boost", "BSL-1.0", "boost software license version 1 0|boost software license", "boost"),
-    ("python", "Python-2.0", "python software foundation license|psf license", "psf"),
-    ("php", "PHP-3.01", "php license version 3 01|php license", "php"),
-    ("ruby", "Ruby", "ruby license|ruby s license", "ruby"),
-    ("openssl", "OpenSSL", "openssl license|original ssleay license", "ssl"),
-    ("unlicense", "Unlicense", "the unlicense|released into the public domain by the author", "unlicense"),
-    ("wtfpl", "WTFPL", "do what the fuck you want to public license", "want to"),
-    ("beerware", "Beerware", "beer ware license|beerware license", "beer"),
-    ("ms-pl", "MS-PL", "microsoft public license|ms pl", "microsoft"),
-    ("ms-rl", "MS-RL", "microsoft reciprocal license|ms rl", "microsoft"),
-    ("eupl", "EUPL-1.2", "european union public licence|european union public license|eupl v 1 2", "european"),
-    ("cecill", "CECILL-2.1", "cecill free software license agreement|cecill license", "cecill"),
-    ("osl", "OSL-3.0", "open software license version 3 0|open software license", "open software"),
-    ("afl", "AFL-3.0", "academic free license version 3 0|academic free license", "academic"),
-    ("ncsa", "NCSA", "university of illinois ncsa open source license|ncsa open source license", "ncsa"),
-    ("ofl", "OFL-1.1", "sil open font license version 1 1|sil open font license|open font license", "font"),
-    ("unicode", "Unicode-DFS-2016", "unicode license agreement|unicode data files and software license", "unicode"),
-    ("w3c", "W3C", "w3c software notice and license|w3c software license", "w3c"),
-    ("vim", "Vim", "vim license", "vim"),
-    ("tcl", "TCL", "tcl tk license|tcl license", "tcl"),
-    ("postgresql", "PostgreSQL", "postgresql license|postgresql licence", "postgresql"),
-    ("sleepycat", "Sleepycat", "sleepycat license|berkeley database license", "sleepycat"),
-    ("sspl", "SSPL-1.0", "server side public license", "server side"),
-    ("busl", "BUSL-1.1", "business source license 1 1|business source license", "business source"),
-    ("elastic", "Elastic-2.0", "elastic license 2 0|elastic license", "elastic"),
-    ("odbl", "ODbL-1.0", "open database license|open data commons open database license", "database"),
-    ("odc-by", "ODC-By-1.0", "open data commons attribution license", "data commons"),
-    ("pddl", "PDDL-1.0", "public domain dedication and license|open data commons public domain dedication", "dedication"),
-    ("gfdl", "GFDL-1.3", "gnu free documentation license version 1 3|gnu free documentation license", "documentation"),
-    ("mulan", "MulanPSL-2.0", "mulan permissive software license", "mulan"),
-    ("cc0", "CC0-1.0", "creative commons zero|cc0 1 0 universal|cc0", "cc0"),
-)
-#: Creative Commons: label, elements of the name, spelled-out name
-CREATIVE = (
-    ("cc-by", "by", "attribution"),
-    ("cc-by-sa", "by-sa", "attribution sharealike"),
-    ("cc-by-nc", "by-nc", "attribution noncommercial"),
-    ("cc-by-nd", "by-nd", "attribution noderivatives"),
-    ("cc-by-nc-sa", "by-nc-sa", "attribution noncommercial sharealike"),
-    ("cc-by-nc-nd", "by-nc-nd", "attribution noncommercial noderivatives"),
-)
-#: Notices that carry no name of their own, and their labels and keywords.
-NOTICES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "hereby granted", 2, 0.9),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose", "permission to use", 2, 0.9),
-    ("bsd", "redistribution and use in source and binary forms", "redistribution", 2, 0.85),
-    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors", "neither the name", 2, 0.9),
-    ("gpl", "this program is free software you can redistribute it and or modify it", "free software", 2, 0.9),
-    ("gpl", "this program is distributed in the hope that it will be useful", "in the hope", 2, 0.7),
-    ("lgpl-2.1", "this library is free software you can redistribute it and or modify it", "this library", 2, 0.9),
-    ("apache", "unless required by applicable law or agreed to in writing software", "applicable law", 2, 0.8),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license", "source code form", 2, 0.95),
-    ("zlib", "this software is provided as is without any express or implied warranty", "express or implied", 2, 0.7),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered", 2, 0.95),
-    ("public-domain", "released to the public domain", "public domain", 3, 0.7),
-    ("public-domain", "placed in the public domain", "public domain", 3, 0.7),
-    ("public-domain", "dedicated to the public domain", "public domain", 3, 0.7),
-    ("proprietary", "proprietary and confidential", "proprietary", 3, 0.7),
-    ("proprietary", "unauthorized copying of this file", "unauthorized", 3, 0.7),
-    ("proprietary", "may not be reproduced without permission", "reproduced", 3, 0.6),
-    ("proprietary", "no part of this publication may be reproduced", "reproduced", 2, 0.7),
-    ("no-redistribution", "not for redistribution", "redistribution", 3, 0.6),
-    ("non-commercial", "for non commercial use only", "commercial", 3, 0.7),
-    ("non-commercial", "free for personal use", "personal use", 3, 0.6),
-    ("same-terms", "under the same terms as perl itself", "perl", 3, 0.8),
-    ("copyright", "copyright c", "copyright", 5, 0.3),
-    ("copyright", "all content copyright", "copyright", 5, 0.3),
-    ("license-hint", "licensed under the", "licensed", 5, 0.2),
-    ("license-hint", "released under the", "released", 5, 0.2),
-    ("license-hint", "distributed under the", "distributed", 5, 0.2),
-    ("license-hint", "see license file", "license", 5, 0.2),
-    ("license-hint", "terms of use apply", "terms of use", 5, 0.2),
-)
+def _phrase(pattern: str) -> str:
+    """The regex of a pattern: its spaces are runs of marks and spaces, `` ~ `` up to 24 words, and it stands at word edges."""
+    spaced = pattern.replace(" ?", "\0").replace(" ~ ", "\1").replace(" ", GAP).replace("\0", f"(?:{GAP})?")
+    spaced = spaced.replace("\1", f"{GAP}(?:{WORD}{GAP}){{0,24}}?")
+    return f"{_EDGE_BEFORE}(?:{spaced}){_EDGE_AFTER}"
 
 
 def rules() -> list[Rule]:
-    """The ordered rules: base phrases, identifiers, notices, names with version, plain names, hints."""
+    """The ordered rules: base phrases, identifiers, notices, names, Creative Commons."""
     out: list[Rule] = []
 
     def add(label: str, keyword: str, regex: str, priority: int, weight: float, whole: bool = True) -> None:
         out.append(Rule(len(out), label, keyword, regex, priority, weight, whole))
 
     for words, label in BASE:
-        add(label, _demanded(words, "cc" if label == "cc-by" else words.split()[-1]), _phrase(words), 4, 0.5)
-    for label, spdx, names, keyword in FAMILIES:
-        exact = spdx.replace(".", r"\.").replace("-or-later", r"(?:-or-later|\+)?")
-        add(label, "spdx", rf"spdx-license-identifier:\s*(?:\(\s*)?{exact}(?![A-Za-z0-9.-])", 1, 1.0, whole=False)
-        for name in names.split("|"):
-            numbered = any(w.isdigit() for w in name.split())
-            regex = LEAD + _phrase(name.replace(" version ", " @ ").replace(" v ", " @ ")).replace("@", r"(?:version|v)")
-            add(label, _demanded(name, keyword), regex, 3 if numbered else 4, 0.9 if numbered else 0.8)
-            if " license" in name or " licence" in name:
-                head = name.replace(" licence", " license").split(" license")[0]
-                add(label, _demanded(head, keyword), _phrase(f"under the terms of the {head}") + GAP + "licen[sc]e", 2, 0.95)
+        add(label, "cc" if label == "cc-by" else words.split()[-1], _phrase(words), 4, 0.5)
+    for line in IDENTIFIERS.split("|"):
+        name, label = line.split()
+        add(label, "spdx", rf"spdx-license-identifier:\s*(?:\(\s*)?{re.escape(name)}\+?(?![A-Za-z0-9.+-])", 1, 1.0, whole=False)
+    for label, keyword, priority, weight, pattern in (*NOTICES, *NAMES):
+        add(label, keyword, _phrase(pattern), priority, weight)
     for label, parts, name in CREATIVE:
-        short = parts.replace("-", GAP)
-        # the shorter names are not read into the longer ones
-        tail = rf"(?!{GAP}(?:sa|nc|nd)\b)"
+        short, tail = parts.replace("-", " "), rf"(?!{GAP}(?:sa|nc|nd)\b)"  # the shorter names are not read into the longer ones
+        longer = rf"(?!{GAP}(?:share|non|no{GAP}?deriv))"
         add(label, "spdx", rf"spdx-license-identifier:\s*cc-{parts}-[0-9.]+", 1, 1.0, whole=False)
         add(label, "creativecommons", rf"creativecommons\.org/licenses/{parts}/[0-9.]+", 1, 1.0, whole=False)
-        add(label, "cc", rf"{LEAD}{_EDGE_BEFORE}cc{GAP}{short}{tail}{_EDGE_AFTER}", 4, 0.7)
-        add(label, "cc", rf"{LEAD}{_EDGE_BEFORE}cc{GAP}{short}{GAP}[1-4]\.[0-9]", 3, 0.9)
-        add(label, "creative", _phrase(f"creative commons {name}") + rf"(?!{GAP}(?:sharealike|noncommercial|noderiv))", 3, 0.9)
-        add(label, "creative", _phrase(f"creative commons {name}") + GAP + r"(?:[1-4]\.[0-9]|international|unported|license)", 2, 0.95)
-    for label, words, keyword, priority, weight in NOTICES:
-        add(label, _demanded(words, keyword), _phrase(words), priority, weight)
+        add(label, "cc", _phrase(f"{LEAD}cc {short}") + tail, 4, 0.7)
+        add(label, "cc", _phrase(f"{LEAD}cc {short} [1-4] [0-9]"), 3, 0.9)
+        add(label, "creative", _phrase(f"{LEAD}creative commons {name}") + longer, 3, 0.9)
+        add(label, "creative", _phrase(f"{LEAD}creative commons {name} (?:[1-4] [0-9]|international|unported|licen[sc]e)"), 2, 0.95)
     return out
 
 
@@ -264,7 +133,7 @@ def detections(df: DataFrame, id_col: str, text_col: str, table: list[Rule] | No
     table = table if table is not None else rules()
     row = lambda r: F.struct(
         F.lit(r.keyword).alias("keyword"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.label).alias("label"),
-        F.lit("(?i)" + r.regex).alias("regex"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"),
+        F.lit("(?is)" + r.regex).alias("regex"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"),
     )
     book = df.sparkSession.range(1).select(F.inline(F.array(*map(row, table))))  # as many rows as there are rules
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), folded(F.col(text_col)).alias("low"))
