@@ -1,13 +1,14 @@
 """Benchmark decontamination by winnowing.
 
 A window is 13 consecutive item words (an item of fewer, but not none, is one window).  Every window of an item has 9
-word 5-grams; the least of their hashes is kept.  Documents are winnowed the same way, so a shared span of 13 words
-always shares a kept hash.  Kept hashes of documents are joined with those of the items, and each hit is extended word
-by word over the exact words, so nothing is missed and nothing is a hash accident.
-
-Items are indexed in blocks of at most ``block_words`` words.  A block's index is what travels to the executors, so its
-size is bounded; a benchmark of several blocks takes one pass over the documents for each, and the passes' spans are
-merged for each document.
+word 5-grams; the least of their hashes is kept: its fingerprint.  Documents are winnowed the same way, so a shared span
+of 13 words always shares a fingerprint.  Fingerprints of documents are joined with those of the items, and each hit is
+extended to the windows that carry it, compared word by word, so nothing is missed and nothing is a hash accident.
+
+Items of at most ``ITEM_BYTES`` bytes together (measured first) are joined by broadcast: one pass over the documents.
+Beyond that all joins are shuffled: fingerprints of documents meet those of items, the documents they leave give their
+windows, and these meet the windows of the items.  Nothing of the items reaches the driver then, and documents' rows are
+salted, so a passage in a third of them is no one task's work.
 """
 
 from __future__ import annotations
@@ -15,17 +16,18 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codeseam.llm.common import ALNUM, record_batch, text_bytes, written
+from codeseam.llm.common import ALNUM, fresh, record_batch, text_bytes, written
 
 WINDOW = 13
 GRAM = 5
-BLOCK_WORDS = 1_000_000
+ITEM_BYTES = 4 << 20
+SALTS = 16
 CHUNK = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -51,8 +53,15 @@ def _grams(ids: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def window_prints(codes: np.ndarray, size: int) -> np.ndarray:
+    """The fingerprint of every window of ``size`` words: the least hash of its 5-grams; a shorter window's own hash."""
+    return _least(_grams(codes, GRAM), WINDOW - GRAM + 1) if size == WINDOW else _grams(codes, size)
+
+
 def _least(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every ``width`` consecutive values, by doubling."""
+    if len(values) < width:
+        return values[:0]
     have = 1
     while have < width:
         step = min(have, width - have)
@@ -81,8 +90,7 @@ class ItemIndex:
                 at = seen[ids[p : p + size].tobytes()]
                 if not at or at[-1] != k:
                     at.append(k)
-            grams = _grams(ids, GRAM if size == WINDOW else size)
-            kept[size].update((_least(grams, WINDOW - GRAM + 1) if size == WINDOW else grams).tolist())
+            kept[size].update(window_prints(ids, size).tolist())
         self.windows = {size: dict(v) for size, v in self.windows.items()}
         self.kept = {size: np.array(sorted(v), np.uint64) for size, v in kept.items()}
 
@@ -100,7 +108,7 @@ class ItemIndex:
                 part = ids[at : at + CHUNK + size - 1]
                 if len(part) < size:
                     continue
-                least = _least(_grams(part, GRAM), WINDOW - GRAM + 1) if size == WINDOW else _grams(part, size)
+                least = window_prints(part, size)
                 near = np.nonzero(least != _NONE)[0]
                 near = near[kept[np.minimum(np.searchsorted(kept, least[near]), len(kept) - 1)] == least[near]]
                 for p in near.tolist():
@@ -131,24 +139,19 @@ def _digest(items: list[int]) -> str:
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[ItemIndex]:
-    """Indexes of at most about ``block_words`` words each (a single item is never cut), one at a time; at least one."""
-    block, held, any_ = [], 0, False
+def small_index(items: DataFrame, id_col: str, text_col: str, most: int) -> ItemIndex | None:
+    """The index of all items, if their texts are at most ``most`` bytes together."""
     rows = items.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t")).filter("i is not null and t is not null")
-    for r in rows.toLocalIterator():
-        data = r["t"].encode()
-        block.append((r["i"], data))
-        held += len(data) // 4 + 1
-        if held >= block_words:
-            any_ = True
-            yield ItemIndex(block)
-            block, held = [], 0
-    if block or not any_:
-        yield ItemIndex(block)
-
-
-def _scan(df: DataFrame, key: str, text_col: str, index: ItemIndex) -> DataFrame:
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("t")) + 16 * F.count("*"), F.lit(0))).first()[0]
+    return ItemIndex([(r["i"], r["t"].encode()) for r in rows.collect()]) if size <= most else None
+
+
+def _scan(df: DataFrame, index: ItemIndex) -> DataFrame:
+    """(id, n_words, starts, ends, items) per row of (id, t)."""
+    sent = df.sparkSession.sparkContext.broadcast(index)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = sent.value
         for batch in batches:
             out = ([], [], [], [])
             for data in text_bytes(batch.column(1)):
@@ -160,7 +163,115 @@ def _scan(df: DataFrame, key: str, text_col: str, index: ItemIndex) -> DataFrame
                 out[3].append(sorted({i for k in found for i in index.items[k]}))
             yield record_batch(_ROWS, batch.column(0), *out)
 
-    return df.select(F.col(key).cast("bigint").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id bigint, {_DDL}")
+    return df.mapInArrow(run, f"id bigint, {_DDL}")
+
+
+class Codes(dict):
+    """word -> 64-bit hash, never 0; bounded."""
+
+    LIMIT = 300_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        self[word] = code = xxhash.xxh64_intdigest(word) or 1
+        return code
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def _prints(words: list[bytes], codes: Codes, sizes: list[int]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(size, start, fingerprints of the windows from there on), by stretches of a long text."""
+    own = codes.of(words)
+    for size in sizes:
+        for at in range(0, max(1, len(own) - size + 1), CHUNK):
+            part = own[at : at + CHUNK + size - 1]
+            if len(part) >= size:
+                yield size, at, window_prints(part, size)
+
+
+def _signed(prints: np.ndarray) -> np.ndarray:
+    return prints.view(np.int64)
+
+
+def item_windows(items: DataFrame) -> DataFrame:
+    """(item, size, print, words) of every window of (i, t), once an item."""
+    schema = pa.schema([("item", pa.int64()), ("size", pa.int32()), ("print", pa.int64()), ("words", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes()
+        for batch in batches:
+            for item, data in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
+                words = words_of(data)
+                if not words:
+                    continue
+                found = {
+                    (size, int(p), b" ".join(words[at + k : at + k + size]))
+                    for size, at, prints in _prints(words, codes, [min(WINDOW, len(words))])
+                    for k, p in enumerate(_signed(prints))
+                }
+                sizes, prints, texts = zip(*found)
+                yield record_batch(schema, [item] * len(found), sizes, prints, texts)
+
+    return items.mapInArrow(run, "item bigint, size int, print bigint, words binary").distinct()
+
+
+def _salted(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _joined(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(id, n_words, starts, ends, items) per row of (id, t), ids distinct, every join by shuffle."""
+    windows = written(spark, item_windows(items), "winnow-windows")
+    sizes = [r["size"] for r in windows.select("size").distinct().collect()]  # at most 13
+    schema = pa.schema([("id", pa.int64()), ("size", pa.int32()), ("print", pa.int64())])
+
+    def winnow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes()
+        for batch in batches:
+            for i, data in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
+                words = words_of(data)
+                yield record_batch(schema, [i], [0], [len(words)])  # size 0: how many words there are
+                kept: dict[int, np.ndarray] = {}
+                for size, _, prints in _prints(words, codes, sizes):
+                    kept[size] = np.union1d(kept.get(size, prints[:0]), prints)
+                for size, prints in kept.items():
+                    if len(prints):
+                        yield record_batch(schema, [i] * len(prints), [size] * len(prints), _signed(prints))
+
+    prints = written(spark, docs.mapInArrow(winnow, "id bigint, size int, print bigint"), "winnow-prints")
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    near = prints.filter("size > 0").withColumn("salt", salt).join(_salted(windows.select("size", "print").distinct()), ["size", "print", "salt"], "left_semi")
+    near = near.groupBy("id").agg(F.collect_set(F.struct("size", "print")).alias("near"))
+    found_schema = pa.schema([("id", pa.int64()), ("size", pa.int32()), ("start", pa.int64()), ("words", pa.binary())])
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes()
+        for batch in batches:
+            for i, data, near in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist()):
+                words, by = words_of(data), defaultdict(list)
+                for x in near:
+                    by[x["size"]].append(x["print"])
+                out: list[tuple[int, int, bytes]] = []
+                for size, at, prints in _prints(words, codes, list(by)):
+                    for k in np.nonzero(np.isin(_signed(prints), np.array(by[size])))[0].tolist():
+                        out.append((size, at + k, b" ".join(words[at + k : at + k + size])))
+                if out:
+                    yield record_batch(found_schema, [i] * len(out), *zip(*out))
+
+    held = docs.join(near, "id").mapInArrow(extend, "id bigint, size int, start bigint, words binary")
+    held = written(spark, held.withColumn("salt", salt), "winnow-held")
+    on = ["size", "words", "salt"]
+    spans = held.join(_salted(windows.select("size", "words").distinct()), on, "left_semi").groupBy("id").agg(
+        F.collect_list(F.struct(F.col("start"), (F.col("start") + F.col("size")).alias("end"))).alias("spans")
+    )
+    named = held.select("id", *on).distinct().join(_salted(windows.select("size", "words", "item")), on).groupBy("id").agg(F.collect_set("item").alias("items"))
+    counts = prints.filter("size = 0").select("id", F.col("print").alias("n_words"))
+    none = F.array().cast("array<bigint>")
+    return counts.join(spans, "id", "left").join(named, "id", "left").select(
+        "id", "n_words", F.coalesce("spans.start", none).alias("starts"), F.coalesce("spans.end", none).alias("ends"), F.coalesce("items", none).alias("items")
+    )
 
 
 def contamination(
@@ -171,7 +282,7 @@ def contamination(
     text_col: str = "text",
     item_id_col: str = "item_id",
     item_text_col: str = "text",
-    block_words: int = BLOCK_WORDS,
+    item_bytes: int = ITEM_BYTES,
 ) -> DataFrame:
     """(id, n_words, n_hit, n_items, starts, ends, items, items_sha256, contaminated) per row of ``docs``.
 
@@ -179,29 +290,15 @@ def contamination(
     is found when any of them is.  Repeated rows give repeated rows; an empty benchmark hits nothing.  Other columns
     are not read.
     """
-    blocks = item_blocks(items, item_id_col, item_text_col, block_words)
-    first = next(blocks)
-    second = next(blocks, None)
-    if second is None:
-        found = _scan(docs, id_col, text_col, first)
+    index = small_index(items, item_id_col, item_text_col, item_bytes)
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t"))
+    if index is not None:
+        found = _scan(texts, index)
     else:
-        numbered = written(
-            spark,
-            docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("t")),
-            "winnow-docs",
-        )
-        # each pass is written before the next block is read, so the driver holds two blocks at most
-        hits = written(spark, _scan(numbered, "uid", "t", first), "winnow-pass")
-        for index in chain([second], blocks):
-            hits = hits.unionByName(written(spark, _scan(numbered, "uid", "t", index).filter("size(items) > 0"), "winnow-pass"))
-        merged = hits.groupBy("id").agg(
-            F.max("n_words").alias("n_words"),
-            F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))).alias("spans"),
-            F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-        )
-        found = numbered.select("uid", "doc").join(merged, F.col("uid") == F.col("id")).select(
-            F.col("doc").alias("id"), "n_words", F.col("spans.starts").alias("starts"), F.col("spans.ends").alias("ends"), "items"
-        )
+        rows = written(spark, texts.select(F.monotonically_increasing_id().alias("uid"), F.col("id").alias("doc"), "t"), "winnow-docs")
+        every = items.select(F.col(item_id_col).cast("bigint").alias("i"), F.col(item_text_col).alias("t")).filter("i is not null and t is not null")
+        hits = _joined(spark, rows.select(F.col("uid").alias("id"), "t"), every).withColumnRenamed("id", "uid")
+        found = rows.select("uid", "doc").join(hits, "uid").select(F.col("doc").alias("id"), "n_words", "starts", "ends", "items")
     schema = pa.schema([*_ROWS, ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,23 +326,23 @@ def contamination(
 
 def clean_documents(
     spark: SparkSession, docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id",
-    item_text_col: str = "text", block_words: int = BLOCK_WORDS,
+    item_text_col: str = "text", item_bytes: int = ITEM_BYTES,
 ) -> DataFrame:
-    """The rows of ``docs``, all columns, that are not contaminated."""
-    blocks = item_blocks(items, item_id_col, item_text_col, block_words)
-    only, names = next(blocks), docs.columns
-    if next(blocks, None) is not None:
-        rows = written(spark, docs.withColumn("__uid", F.monotonically_increasing_id()), "winnow-rows")
-        dirty = contamination(spark, rows, items, "__uid", text_col, item_id_col, item_text_col, block_words).filter("contaminated")
-        return rows.join(dirty.select(F.col("id").alias("__uid")), "__uid", "left_anti").select(*names)
-    where = names.index(text_col)
+    """The rows of ``docs``, all columns, whatever their names, that are not contaminated."""
+    index, names = small_index(items, item_id_col, item_text_col, item_bytes), docs.columns
+    if index is None:
+        uid = fresh(docs, "uid")
+        rows = written(spark, docs.withColumn(uid, F.monotonically_increasing_id()), "winnow-rows")
+        dirty = contamination(spark, rows, items, uid, text_col, item_id_col, item_text_col, item_bytes).filter("contaminated")
+        return rows.join(dirty.select(F.col("id").alias(uid)), uid, "left_anti").select(*names)
+    where, sent = names.index(text_col), spark.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for data in text_bytes(batch.column(where)):
                 words = words_of(data)
-                hit = sum(b - a for a, b in only.hits(words)[0])
+                hit = sum(b - a for a, b in sent.value.hits(words)[0])
                 keep.append(not (hit and 20 * hit >= len(words)))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
