@@ -2,45 +2,10 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-CHECKPOINT_DIR = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor and the driver can see.
-
-    Read from the session; only where the setting is missing on a single machine is a folder of our own used.  On a
-    cluster a missing setting is an error, since a folder of one machine would lose what other machines need.
-    """
-    sc = spark.sparkContext
-    path = spark.conf.get(CHECKPOINT_DIR, None)
-    if not path:
-        current = sc._jsc.sc().getCheckpointDir()
-        if not current.isDefined() and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-            raise RuntimeError(f"{CHECKPOINT_DIR} has to name a folder that the driver and all executors share")
-        path = current.get() if current.isDefined() else f"{tempfile.gettempdir()}/codeseam-checkpoints"
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(path)
-    return path
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for a written table in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage and survives lost executors."""
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from codeseam.operators.shared import shared_path, written  # noqa: F401
 
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have, whatever the case of its letters."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codeseam.llm.common import shared_dir
+from codeseam.llm.common import written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -25,18 +25,18 @@ def components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> D
     """(node, root) for every node that has an edge; root is the least node reachable.
 
     ``edges`` has two bigint columns a, b.  Rounds keep the edge count within the number of nodes plus edges, halve
-    the depth, and are checkpointed in the shared folder.  Links never reach the driver: only a count and a checksum do.
+    the depth, and are written in the shared folder.  Links never reach the driver: only a count and a checksum do.
     """
-    shared_dir(spark)
     now = edges.filter("a is not null and b is not null and a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-    ).distinct().checkpoint()
+    ).distinct()
+    now = written(spark, now, "components")
     mark = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
     seen = now.agg(F.count("*"), mark).first()
     for _ in range(max_rounds):
         if seen[0] == 0:
             break
-        now = _star(_star(now, True), False).checkpoint()
+        now = written(spark, _star(_star(now, True), False), "components")
         after = now.agg(F.count("*"), mark).first()
         if after == seen:
             break
