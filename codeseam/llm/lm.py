@@ -43,6 +43,7 @@ ROWS = 4096  # texts taken at a time
 #: Tokens are counted in stretches of about so many before they leave the task.
 COUNT_TOKENS = 2_000_000
 TRAIN_LANES, TRAIN_WINDOW = 256, 24
+SHORT_RUN = 6
 #: Texts are learned from in stretches of about so many tokens (a text is never cut), by at most so many tasks.
 TRAIN_TOKENS, TRAINERS = 1 << 21, 4096
 #: All training texts are learned from once, in so many parts; the tasks' networks are averaged after each.
@@ -227,7 +228,7 @@ def _word_logits(net: Net, h: np.ndarray, parts: list[tuple[int, int, int]]) ->
 def log_probs(net: Net, h: np.ndarray, target: np.ndarray, safe: bool = False) -> np.ndarray:
     """Natural log probability of each target output from its state: of its class, then of it within the class."""
     order, parts = _by_class(target // CLASS_SIZE)
-    h, target = h[order], target[order]
+    h, target = np.take(h, order, 0), target[order]
     found = log_softmax_at(h @ net.Wc + net.bc, target // CLASS_SIZE, safe).astype(np.float64)
     found += log_softmax_at(_word_logits(net, h, parts), target % CLASS_SIZE, safe)
     out = np.empty(len(found))
@@ -235,11 +236,29 @@ def log_probs(net: Net, h: np.ndarray, target: np.ndarray, safe: bool = False) -
     return out
 
 
+def segment_sums(rows: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Sums of the stretches of rows that begin at ``edge``; most are short, and those are added side by side."""
+    out = np.empty((len(edge), rows.shape[1]), np.float32)
+    size = np.diff(np.append(edge, len(rows)))
+    for k in range(1, SHORT_RUN + 1):
+        at = np.nonzero(size == k)[0]
+        first = edge[at]
+        total = np.take(rows, first, 0)
+        for j in range(1, k):
+            total += np.take(rows, first + j, 0)
+        out[at] = total
+    ones = np.ones(len(rows), np.float32)
+    for i in np.nonzero(size > SHORT_RUN)[0].tolist():
+        n = size[i]
+        np.matmul(ones[:n], rows[edge[i] : edge[i] + n], out=out[i])
+    return out
+
+
 class Trainer:
     """Truncated backpropagation with Adam: windows of ``TRAIN_WINDOW`` steps of parallel lanes, the state carried on."""
 
     def __init__(self, net: Net, start: int, rate: float):
-        self.net, self.start, self.rate, self.steps = net, start, rate, 0
+        self.net, self.start, self.rate, self.steps, self.safe = net, start, rate, 0, bounded(net)
         self.m = {k: np.zeros_like(getattr(net, k)) for k in net.names()}
         self.v = {k: np.zeros_like(getattr(net, k)) for k in net.names()}
 
@@ -267,16 +286,18 @@ class Trainer:
         T, L = y.shape
         into, hs = np.empty((T, L, H), np.float32), np.empty((T, L, H), np.float32)
         fresh = x == self.start  # a new text starts from the zero state, as in scoring
-        sums, kept = net.E[x] + net.b, []
+        sums = np.take(net.E, x.reshape(-1), 0).reshape(T, L, 3 * H)
+        sums += net.b
+        kept, renewed = [], fresh.any(1).tolist()
         for t in range(T):
             into[t] = h
-            if fresh[t].any():
+            if renewed[t]:
                 into[t][fresh[t]] = 0
             h, *own = gru_step(net, sums[t], into[t])
             hs[t] = h
             kept.append(own)
         grads: dict = {}
-        dh_out = _output_grads(net, hs.reshape(-1, H), y.reshape(-1), grads, None if on is None else on.reshape(-1)).reshape(T, L, H)
+        dh_out = _output_grads(net, hs.reshape(-1, H), y.reshape(-1), grads, None if on is None else on.reshape(-1), self.safe).reshape(T, L, H)
         dE, dU = np.empty((T, L, 3 * H), np.float32), np.empty((T, L, 3 * H), np.float32)
         dh = np.zeros((L, H), np.float32)
         back = np.ascontiguousarray(net.U.T)
@@ -284,18 +305,18 @@ class Trainer:
             dh += dh_out[t]
             zr, c, u = kept[t]
             z, r = zr[:, :H], zr[:, H:]
-            slope = zr * (1 - zr)
-            dc = dh * (1 - z) * (1 - c * c)
-            dx = dE[t]
-            dx[:, :H] = dh * (into[t] - c)
-            dx[:, H : 2 * H] = dc * u
-            dx[:, : 2 * H] *= slope
+            dx, du = dE[t], dU[t]
+            dc = (1 - z) * (1 - c * c)
+            dc *= dh
             dx[:, 2 * H :] = dc
-            du = dU[t]
+            np.multiply(dh, into[t] - c, out=dx[:, :H])
+            np.multiply(dc, u, out=dx[:, H : 2 * H])
+            dx[:, : 2 * H] *= zr * (1 - zr)
             du[:, : 2 * H] = dx[:, : 2 * H]
-            du[:, 2 * H :] = dc * r
-            dh = dh * z + du @ back
-            if fresh[t].any():
+            np.multiply(dc, r, out=du[:, 2 * H :])
+            dh *= z
+            dh += du @ back
+            if renewed[t]:
                 dh[fresh[t]] = 0
         flat_x, flat = x.reshape(-1), dE.reshape(-1, 3 * H)
         grads["U"], grads["b"] = into.reshape(-1, H).T @ dU.reshape(-1, 3 * H), np.ones(len(flat), np.float32) @ flat
@@ -303,9 +324,11 @@ class Trainer:
         sorted_x = flat_x[order]
         edge = np.concatenate([[0], np.nonzero(np.diff(sorted_x))[0] + 1])
         self.steps += 1
+        if self.steps % 32 == 0:  # no logit moves far in so few steps
+            self.safe = bounded(net)
         rate = self.rate / (1 + self.steps / 400) ** 0.5
         scale = np.float32(1.0 / (T * L))
-        self._adam("E", np.add.reduceat(flat[order], edge, 0) * scale, rate, sorted_x[edge])
+        self._adam("E", segment_sums(np.take(flat, order, 0), edge) * scale, rate, sorted_x[edge])
         for k in ("U", "b", "Wc", "bc"):
             self._adam(k, np.clip(grads[k] * scale, -1, 1), rate)
         for k in ("Ww", "bw"):
@@ -325,12 +348,11 @@ class Trainer:
         getattr(self.net, name)[rows] -= step
 
 
-def _output_grads(net: Net, h: np.ndarray, y: np.ndarray, grads: dict, on: np.ndarray | None) -> np.ndarray:
+def _output_grads(net: Net, h: np.ndarray, y: np.ndarray, grads: dict, on: np.ndarray | None, safe: bool) -> np.ndarray:
     order, parts = _by_class(y // CLASS_SIZE)
-    hs, ys = h[order], y[order]
+    hs, ys = np.take(h, order, 0), y[order]
     each = np.arange(len(ys))
     ones = np.ones(len(ys), np.float32) if on is None else on[order].astype(np.float32)
-    safe = bounded(net)
 
     def slope(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Gradient of the loss by the logits, which are overwritten."""
@@ -378,17 +400,17 @@ def stream_scores(net: Net, texts: list[np.ndarray], start: int) -> np.ndarray:
                 part = texts[lane[k]][w : w + T]
                 y[: len(part), k] = part
             open_ = [int((size > w + t).sum()) for t in range(T)]
-            hs = np.empty((sum(open_), H), np.float32)
-            ys = np.empty(len(hs), np.int64)
-            who = np.empty(len(hs), np.int64)
-            pos = 0
-            h, prev = h[:live], prev[:live]
-            for t in range(T):
-                n = open_[t]
-                h = gru_step(net, E[prev[:n]], h[:n])[0]
-                prev = y[t, :n]
-                hs[pos : pos + n], ys[pos : pos + n], who[pos : pos + n] = h, prev, np.arange(n)
+            on = np.arange(live) < np.array(open_)[:, None]
+            ys, who = y[on], np.nonzero(on)[1]
+            into = np.concatenate([prev[None, :live], y[:-1]])
+            sums = np.take(E, into[on], 0)
+            hs = np.empty((len(ys), H), np.float32)
+            pos, h = 0, h[:live]
+            for n in open_:
+                h = gru_step(net, sums[pos : pos + n], h[:n])[0]
+                hs[pos : pos + n] = h
                 pos += n
+            prev = y[-1]
             out[np.array(lane[:live])] += np.bincount(who, log_probs(net, hs, ys, safe), live)
     return out
 
