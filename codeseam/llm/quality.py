@@ -8,20 +8,21 @@ table entries: one sparse dot product.  Labels, language, source and ids are nev
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codeseam.llm.common import bernoulli_fold, record_batch, text_bytes
+from codeseam.llm.common import bernoulli_fold, record_batch, text_bytes, written
 
 BUCKETS_LOG2 = 20
-#: At most so many labelled rows, each of at most so many characters, are learned from (the least hashes of their ids).
+#: At most so many labelled rows are learned from (the least hashes of their ids), whole texts of any length.
 TRAIN_ROWS = 6000
-TRAIN_CHARS = 200_000
 EPOCHS = 3
+#: Features are kept from epoch to epoch up to so many; beyond, they are made again.
+KEPT_FEATURES = 10_000_000
 FOLDS = 5
 THRESHOLD = 0.3
 
@@ -41,7 +42,7 @@ class WordCodes(dict):
         for pattern, to in _FORM:
             form = pattern.sub(to, form)
         core = xxhash.xxh64_intdigest(word.lower()) >> 24
-        code = (core << 24) | (xxhash.xxh64_intdigest(form[:12], 7) >> 40)
+        code = (core << 24) | (xxhash.xxh64_intdigest(form, 7) >> 40)
         self[word] = code
         return code
 
@@ -93,34 +94,56 @@ def _sigmoid(x: float) -> float:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def train(rows: list[tuple[bytes, int]], epochs: int = EPOCHS) -> np.ndarray:
-    """Weights (the bias last) from (text, label) rows in their order; no rows: a bias that scores 0.5."""
+def train(rows: Iterable[tuple[bytes, int]], epochs: int = EPOCHS) -> np.ndarray:
+    """Weights (the bias last) from (text, label) rows in their order, gone through once an epoch and once before to
+    weigh the labels; no rows: a bias that scores 0.5.  One text is held at a time."""
     size = 1 << BUCKETS_LOG2
-    model, codes, seen = Ftrl(size), WordCodes(), []
-    for data, label in rows:
-        at, n = features(data, codes)
-        at, times = np.unique(at, return_counts=True)
-        seen.append((np.append(at, size).astype(np.int32), np.append(times / max(1, n), 1.0).astype(np.float32), label))
-    ones = sum(label for *_, label in seen)
-    weight = {1: 1.0, 0: min(4.0, max(1.0, ones / max(1, len(seen) - ones)) ** 0.5)}
-    for _ in range(epochs):
-        for at, value, label in seen:
+    model, codes = Ftrl(size), WordCodes()
+    labels = [label for _, label in rows]
+    ones = sum(labels)
+    weight = {1: 1.0, 0: min(4.0, max(1.0, ones / max(1, len(labels) - ones)) ** 0.5)}
+    kept: list[tuple] = []  # features of an epoch, as far as they are few
+    size_kept = 0
+    for epoch in range(epochs):
+        for k, row in enumerate(rows if epoch == 0 or len(kept) < len(labels) else kept):
+            if k < len(kept) and epoch:
+                at, value, label = kept[k]
+            else:
+                data, label = row
+                at, n = features(data, codes)
+                at, times = np.unique(at, return_counts=True)
+                at, value = np.append(at, size).astype(np.int32), np.append(times / max(1, n), 1.0).astype(np.float32)
+                if epoch == 0 and k == len(kept) and size_kept + len(at) <= KEPT_FEATURES:
+                    kept.append((at, value, label))
+                    size_kept += len(at)
             model.learn(at, value, label, weight[label])
     return model.weights().astype(np.float32)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality", rows=TRAIN_ROWS, chars=TRAIN_CHARS):
-    """A bounded sample of labelled rows outside the held-out fold; an id with several labels takes the largest."""
+class Sample:
+    """(text, label) rows of a written table, in the order of their ids' hashes, as often as they are gone through; the
+    driver holds one partition of them at a time."""
+
+    def __init__(self, table: DataFrame):
+        self.table = table
+
+    def __iter__(self) -> Iterator[tuple[bytes, int]]:
+        for r in self.table.orderBy(F.xxhash64("id"), "id").select("t", "y").toLocalIterator():
+            yield r["t"].encode(), r["y"]
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality", rows=TRAIN_ROWS) -> Sample:
+    """A bounded sample of labelled rows outside the held-out fold; an id with several labels takes the largest, one with
+    several texts the least."""
     sample = (
         labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
         .filter(F.col("id").isNotNull() & F.col("y").isin(0, 1) & (bernoulli_fold("id", FOLDS) != 0))
         .groupBy("id").agg(F.max("y").alias("y"))
         .orderBy(F.xxhash64("id"), "id").limit(rows)
     )
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).filter(F.length("t") <= chars)
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     texts = texts.join(F.broadcast(sample), "id").groupBy("id").agg(F.min(F.struct("t", "y")).alias("r"))  # at most `rows` rows
-    found = texts.select("id", "r.t", "r.y").orderBy(F.xxhash64("id"), "id").collect()
-    return [(r["t"].encode(), r["y"]) for r in found]
+    return Sample(written(docs.sparkSession, texts.select("id", "r.t", "r.y"), "quality-sample"))
 
 
 def score(df: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -186,6 +186,59 @@ def test_quality_learns_and_is_defined_on_odd_rows(spark, texts):
     assert {s for _, _, s, _ in quality_scores(spark, docs, labels.limit(0)).collect()} == {0.5}
 
 
+def ftrl_by_hand(rows, epochs, size):
+    """Weights by bucket, one number at a time."""
+    from codeseam.llm.quality import WordCodes, features
+
+    alpha, beta, l1, l2 = 0.5, 0.05, 1e-4, 1e-4
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - (l1 if z[i] > 0 else -l1)) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    ones = sum(y for _, y in rows)
+    zero = min(4.0, max(1.0, ones / max(1, len(rows) - ones)) ** 0.5)
+    for _ in range(epochs):
+        for data, y in rows:
+            at, words = features(data, WordCodes())
+            share = {int(i): float(np.float32(c / max(1, words))) for i, c in Counter(at.tolist()).items()} | {size: 1.0}
+            margin = sum(weight(i) * v for i, v in share.items())
+            slope = (1 / (1 + np.exp(-max(-35.0, min(35.0, margin)))) - y) * (1.0 if y else zero)
+            for i, v in share.items():
+                w, g = weight(i), slope * v
+                sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha
+                z[i] += g - sigma * w
+                n[i] += g * g
+    return weight
+
+
+@pytest.mark.parametrize("kept", [10**7, 150, 0])
+def test_quality_matches_brute_force(spark, monkeypatch, kept):
+    from codeseam.llm import quality
+
+    monkeypatch.setattr(quality, "KEPT_FEATURES", kept)
+    rng = random.Random(12)
+    rows = [(i, prose(rng, rng.randrange(1, 40)) if i % 3 else " ".join(["SHOUT!!"] * (i % 11)), int(i % 3 > 0)) for i in range(40)] + [(40, prose(rng, 60_000), 1), (41, "", 0), (42, None, 0)]
+    docs = documents(spark, [(i, t) for i, t, _ in rows] + [(1, "zz a later text of the same id")])
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(3, 1)], "doc_id bigint, quality int")
+    sample = quality.training_rows(docs, labels)
+    held = list(sample)
+    assert held == list(sample) and len(held) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i, _, _ in rows)
+    weights = quality.train(sample)
+    size = 1 << quality.BUCKETS_LOG2
+    by_hand = ftrl_by_hand(held, quality.EPOCHS, size)
+    codes = quality.WordCodes()
+    for r in quality.quality_scores(spark, docs, labels).collect():
+        if r["doc_id"] in (1, None):
+            continue
+        at, n = quality.features((rows[r["doc_id"]][1] or "").encode(), codes)
+        margin = by_hand(size) + (sum(by_hand(i) * c for i, c in Counter(at.tolist()).items()) / n if n else 0.0)
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-margin)), abs=1e-4)
+    assert weights[size] == pytest.approx(by_hand(size), abs=1e-4)
+
+
 # ---- op1
 
 
