@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codeseam.llm.common import record_batch
+from codeseam.llm.common import kept
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -348,16 +348,9 @@ class PieceModel:
             return b"".join(out)
 
 
-_OPEN: dict[int, PieceModel] = {}
-
-
 def opened(blob: bytes) -> PieceModel:
     """The model of a file's bytes; a worker process keeps the one it has open, and its table of segments, from task to task."""
-    key = hash(blob)
-    if key not in _OPEN:
-        _OPEN.clear()
-        _OPEN[key] = PieceModel(blob)
-    return _OPEN[key]
+    return kept("pieces", hash(blob), lambda: PieceModel(blob))
 
 
 def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -415,5 +408,5 @@ def digests(spark: SparkSession, docs: DataFrame, model_path: str, ids: bool = F
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
-        F.coalesce(F.element_at("ends", -1), F.lit(0)).cast("bigint").alias("source_bytes"),
+        F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("bigint").alias("source_bytes"),
     )

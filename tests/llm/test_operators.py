@@ -524,6 +524,7 @@ def test_pieces_on_frames(spark, texts):
         want[(i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest())] += 1
     got = digests(spark, documents(spark, texts), model_path())
     assert Counter(results(got.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256"))) == want
+    assert Counter(r["source_bytes"] for r in got.collect()) == Counter(len((t or "").encode()) for _, t in texts)
     assert digests(spark, documents(spark, []), model_path()).count() == 0
 
 
@@ -943,6 +944,36 @@ def test_additive_search_keeps_doubles_ties_and_repeated_ids(spark):
 # ---- pipeline
 
 
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    pytest.importorskip("corpus_pipeline")
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    odd = [(1, None), (2, ""), (3, " \n "), (None, prose(rng, 30)), (4, "one"), (5, prose(rng, 40_000)), (6, "Mr Kim, call +1 212 555 0100"), (6, "Mr Kim, call +1 212 555 0100"), (7, prose(rng, 30))]
+    item = prose(rng, 20)
+    odd += [(8, item), (9, prose(rng, 400) + item), (10, "password: ********")]
+    clash = "doc_id bigint, text string, lang string, source string, n_chars bigint, uid string, fp string, moves string, t string, id string, score string, uid_ string"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *["x"] * 7) for i, t in odd], clash)
+    spark.createDataFrame([(i, 1, 0) for i in range(1, 9)] + [(9, 0, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None), (None, "a b")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    got = {}
+    for name, stage in corpus_pipeline.STAGES:
+        for folder in (str(tmp_path), f"{tmp_path}/none"):
+            out = stage(spark, docs, folder)
+            assert stage(spark, docs.limit(0), folder).count() == 0
+            assert name == "encode" or out.columns == docs.columns
+            got[name, folder == str(tmp_path)] = Counter((r["doc_id"], r["text"]) if name != "encode" else (r["doc_id"], r["n_tokens"]) for r in out.collect())
+    assert got["quality", False] == Counter(odd)
+    assert got["near_dedup", True] == Counter([x for k, x in enumerate(odd) if x[0] not in (2, 3) and k != 7])
+    assert got["decontaminate", False] == Counter(odd) and got["decontaminate", True] == Counter([x for x in odd if x[0] != 8])
+    replaced = got["surrogates", True]
+    assert sum(replaced.values()) == len(odd) and not any("Kim" in (t or "") or "****" in (t or "") for _, t in replaced)
+    assert {x: n for x, n in replaced.items() if x[0] not in (6, 10)} == {x: n for x, n in Counter(odd).items() if x[0] not in (6, 10)}
+    assert sum(n for (i, k), n in got["encode", True].items() if not k) == 2  # null and empty
+
+
 def test_pipeline_against_brute_force(spark):
     pytest.importorskip("corpus_pipeline")
     import corpus_pipeline
