@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codeseam.operators.shared import shared_path, written  # noqa: F401
 
+SLICE = 512
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}
@@ -31,10 +36,36 @@ def hashed_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     return df.orderBy(F.xxhash64(key), *df.columns).limit(most)
 
 
-def text_bytes(column: pa.Array) -> list[bytes]:
-    """UTF-8 bytes of a string column; null counts as empty."""
-    kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
-    return [b"" if x is None else x for x in column.cast(kind).to_pylist()]
+def text_bytes(column: pa.Array) -> Iterator[bytes]:
+    """UTF-8 bytes of a string column, a few rows at a time; null counts as empty."""
+    column = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
+    for at in range(0, len(column), SLICE):
+        for x in column.slice(at, SLICE).to_pylist():
+            yield b"" if x is None else x
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few rows, so that what is made of one is small however wide its rows are."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
+#: What a worker process keeps from task to task: of one operator at a time.
+_KEPT: dict[str, tuple] = {}
+
+
+def kept(owner: str, key, make: Callable):
+    """What ``make`` made for this owner and key, kept until a task of another owner runs in the process."""
+    if _KEPT.get(owner, (None,))[0] != key:
+        _KEPT.clear()
+        _KEPT[owner] = (key, make())
+    return _KEPT[owner][1]
+
+
+def release() -> None:
+    """Called where a task of an operator without anything to keep begins."""
+    _KEPT.clear()
 
 
 def record_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:

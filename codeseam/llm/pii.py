@@ -23,7 +23,7 @@ from hashlib import blake2b
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from codeseam.llm.common import fresh, record_batch, written
+from codeseam.llm.common import fresh, record_batch, release, slices, written
 
 ATTEMPTS = 8
 SENT = 200_000
@@ -323,10 +323,11 @@ def entities(df: DataFrame, text_col: str, key: bytes, start: int = 0) -> DataFr
     schema = pa.schema([("key", pa.binary()), ("made", pa.list_(pa.binary())), ("real", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             found: dict[bytes, list[bytes]] = {}
             real: dict[bytes, bytes] = {}
-            for text in batch.column(0).to_pylist():
+            for text in (t for part in slices([batch]) for t in part.column(0).to_pylist()):
                 for a, b, kind, detail in find(text or ""):
                     raw = text[a:b]
                     k = entity_key(kind, raw, detail, key)
@@ -376,8 +377,9 @@ def _replacer(names: list[str], where: int, key: bytes, attempts: Callable[[], d
     """Rewrite column ``where``; under the names of ``report`` add how many surrogates there are and their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         sent, memo = attempts(), {}
-        for batch in batches:
+        for batch in slices(batches):
             texts, told = [], []
             moved = batch.column(moved_at).to_pylist() if moved_at is not None else None
             for i, text in enumerate(batch.column(where).to_pylist()):

@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codeseam.llm.common import bernoulli_fold, record_batch, text_bytes, written
+from codeseam.llm.common import bernoulli_fold, record_batch, release, slices, text_bytes, written
 
 BUCKETS_LOG2 = 20
 #: At most so many labelled rows are learned from (the least hashes of their ids), whole texts of any length.
@@ -152,9 +152,10 @@ def score(df: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col:
     sent = df.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         w, codes = sent.value, WordCodes()
         bias = float(w[-1])
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for data in text_bytes(batch.column(1)):
                 at, n = features(data, codes)
@@ -170,9 +171,10 @@ def keep_mask(df: DataFrame, weights: np.ndarray, text_col: str = "text", thresh
     where = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         w, codes = sent.value, WordCodes()
         bias = float(w[-1])
-        for batch in batches:
+        for batch in slices(batches):
             ok = []
             for data in text_bytes(batch.column(where)):
                 at, n = features(data, codes)

@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codeseam.llm.common import fresh, hashed_sample, record_batch, text_bytes, written
+from codeseam.llm.common import fresh, hashed_sample, record_batch, release, slices, text_bytes, written
 from codeseam.llm.components import components
 
 BITS = 64
@@ -64,7 +64,8 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, width: int = WIDTH,
     schema = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        release()
+        for batch in slices(batches):
             found = np.array([fingerprint(x, width, seed) for x in text_bytes(batch.column(1))], np.uint64)
             yield record_batch(schema, batch.column(0), found.view(np.int64))
 
@@ -404,7 +405,8 @@ def keep_one(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_co
     where = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        release()
+        for batch in slices(batches):
             found = np.array([fingerprint(x) for x in text_bytes(batch.column(where))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*names, fp])
 

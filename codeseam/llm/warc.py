@@ -164,7 +164,7 @@ def page_headers(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = text_bytes(batch.column(3))
+            data = list(text_bytes(batch.column(3)))
             yield record_batch(_HEADERS, *batch.columns[:3], [payload_digest(x) for x in data], [len(x) for x in data])
 
     return pages.select("record_id", "page_id", "url", "payload").mapInArrow(run, _HEADERS_DDL)

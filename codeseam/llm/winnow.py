@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codeseam.llm.common import ALNUM, fresh, record_batch, text_bytes, written
+from codeseam.llm.common import ALNUM, fresh, record_batch, release, slices, text_bytes, written
 
 WINDOW = 13
 GRAM = 5
@@ -151,8 +151,9 @@ def _scan(df: DataFrame, index: ItemIndex) -> DataFrame:
     sent = df.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         index = sent.value
-        for batch in batches:
+        for batch in slices(batches):
             out = ([], [], [], [])
             for data in text_bytes(batch.column(1)):
                 words = words_of(data)
@@ -338,7 +339,8 @@ def clean_documents(
     where, sent = names.index(text_col), spark.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        release()
+        for batch in slices(batches):
             keep = []
             for data in text_bytes(batch.column(where)):
                 words = words_of(data)
