@@ -39,7 +39,7 @@ KNOWN_BYTES = 64  # longer tokens are never in the table that travels
 HIDDEN = 32
 WINDOW = 64
 LANES = 256
-ROWS = 4096  # texts taken at a time
+ROWS, SCORED = 1024, 4096  # texts taken at a time, to split and to score
 #: Tokens are counted in stretches of about so many before they leave the task.
 COUNT_TOKENS = 2_000_000
 TRAIN_LANES, TRAIN_WINDOW = 256, 24
@@ -580,8 +580,8 @@ def score_texts(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
+            for at in range(0, whole.num_rows, SCORED):
+                batch = whole.slice(at, SCORED)
                 streams = [np.frombuffer(x, np.uint16) for x in batch.column(len(carried)).to_pylist()]
                 model = pa.array(stream_scores(sent.value, streams, start) * LOG10E)
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], model], names=[*carried, "model"])
