@@ -90,3 +90,24 @@ CLOSEABLE = (
     "java.util.zip.ZipFile", "java.util.zip.ZipInputStream", "java.util.zip.ZipOutputStream", "java.util.zip.GZIPInputStream",
     "java.util.zip.GZIPOutputStream", "java.util.jar.JarFile", "java.net.Socket", "java.net.ServerSocket", "java.net.URLClassLoader",
 )
+
+# The methods that every class has.
+OBJECT_METHODS = ("equals", "hashCode", "toString", "getClass", "notify", "notifyAll", "wait", "clone", "finalize")
+
+# Checked exceptions of the platform, by simple name.
+CHECKED_EXCEPTIONS = (
+    "Exception", "Throwable", "IOException", "FileNotFoundException", "EOFException", "UnsupportedEncodingException", "MalformedURLException", "URISyntaxException",
+    "SocketException", "UnknownHostException", "InterruptedException", "ExecutionException", "TimeoutException", "ClassNotFoundException", "CloneNotSupportedException",
+    "InstantiationException", "IllegalAccessException", "NoSuchFieldException", "NoSuchMethodException", "InvocationTargetException", "ReflectiveOperationException",
+    "SQLException", "ParseException", "GeneralSecurityException", "NoSuchAlgorithmException", "ParserConfigurationException", "SAXException", "TransformerException",
+)
+
+# Folders of sources, and those that builds write generated sources to (a star is any folder).
+SOURCE_LAYOUTS = ("src/main/java", "src/test/java", "src/main/kotlin", "src/test/kotlin", "src/integrationTest/java", "src/it/java")
+GENERATED_LAYOUTS = (
+    "target/generated-sources/*", "target/generated-test-sources/*",
+    "build/generated/sources/*/main/java", "build/generated/sources/*/test/java", "build/generated/sources/*/java/main", "build/generated/sources/*/java/test",
+)
+
+# Fixed value: the entry of a jar that registers annotation processors.
+PROCESSOR_SERVICE = "META-INF/services/javax.annotation.processing.Processor"

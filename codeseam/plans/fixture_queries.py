@@ -310,7 +310,10 @@ def java_structure(r):
     return tools.get_project_structure(r)
 
 
-@expect("message, category", [("unused import java.util.List", "unused_import"), ("unused import java.util.Map", "unused_import")])
+@expect("message, category", [
+    ("unused import java.util.List", "unused_import"), ("unused import java.util.Map", "unused_import"), ("never used: shop.Main#unused()", "unused_private"),
+    ("never used: shop.Main#name", "unused_private"), ("never used: shop.web.Orders#basket", "unused_private"),
+])
 def java_diagnostics(r):
     return tools.get_diagnostics(r)
 

@@ -12,6 +12,11 @@ from pyspark.sql import DataFrame, functions as F
 from codeseam.operators.shared import settled
 
 
+def bucket_of(path: str | F.Column, buckets: int) -> F.Column:
+    """The folder of a path: by its hash, so that a path given as text prunes all other folders."""
+    return F.pmod(F.xxhash64(F.lit(path) if isinstance(path, str) else path), F.lit(buckets)).cast("int")
+
+
 def table(facts: DataFrame, name: str) -> DataFrame:
     """Rows of one fact array, with the file they come from."""
     return facts.select(F.col("path").alias("file"), F.explode(name).alias("x")).select("file", "x.*")
@@ -50,7 +55,7 @@ def hierarchy(supers: DataFrame) -> DataFrame:
 #: question about one key reads one folder and skips row groups by their bounds.
 LAYOUT = {
     "refs": ("match_kind", "target_key"), "type_refs": ("fine_kind", "target_key"), "calls": (None, "target_key"), "accesses": (None, "target_key"),
-    "edges": ("kind", "to_key"), "symbols": ("kind", "key"), "annotations": (None, "fqn"),
+    "edges": ("kind", "to_key"), "symbols": ("kind", "key"), "annotations": (None, "fqn"), "places": (None, "file"),
 }
 
 
@@ -60,8 +65,8 @@ class Resolved:
     With a folder, each table is written there once and read by every later session; without one it is checkpointed.
     """
 
-    def __init__(self, facts: DataFrame, folder: str | None = None):
-        self.facts, self.folder = facts, folder
+    def __init__(self, facts: DataFrame, folder: str | None = None, buckets: int | None = None):
+        self.facts, self.folder, self.buckets = facts, folder, buckets
         self._made: dict[str, DataFrame] = {}
 
     def _kept(self, name: str) -> DataFrame:
@@ -78,8 +83,14 @@ class Resolved:
             (writer.partitionBy(split) if split else writer).parquet(path)
         return spark.read.schema(made.schema).parquet(path).select(*made.columns)
 
-    def raw(self, name: str) -> DataFrame:
-        return table(self.facts, name)
+    def file(self, path: str) -> DataFrame:
+        """The facts of one file; of a store, from the one folder that may hold it."""
+        found = self.facts.filter(F.col("path") == path)
+        return found.filter(F.col("bucket") == bucket_of(path, self.buckets)) if self.buckets else found
+
+    def raw(self, name: str, path: str | None = None) -> DataFrame:
+        """Rows of one fact array, of all files or of one."""
+        return table(self.facts if path is None else self.file(path), name)
 
     def get(self, name: str) -> DataFrame:
         if name not in self._made:
@@ -195,6 +206,10 @@ class Resolved:
         f = self.accesses.select(*pos, "target_key", F.lit("FIELD").alias("match_kind"), F.lit("FIELD_ACCESS").alias("fine_kind"), "access")
         return t.union(c).union(f)
 
+    def _places(self) -> DataFrame:
+        """What stands where, laid out by file: (file, start, length, target_key, match_kind) of resolved references."""
+        return self.refs.filter("target_key is not null").select("file", "start", "length", "target_key", "match_kind")
+
     def _edges(self) -> DataFrame:
         """(from_key, to_key, kind), distinct, between source nodes."""
         making = F.col("form").isin("CREATE", "THIS_CONSTRUCTOR", "SUPER_CONSTRUCTOR") | ((F.col("form") == "REFERENCE") & (F.col("name") == "new"))

@@ -1,7 +1,8 @@
 """The fact store: ingest a tree into Parquet, keep it fresh by content hashes.
 
-Facts lie in ``BUCKETS`` folders by a hash of the path.  A refresh compares stamps, re-reads only the changed files and
-rewrites only the buckets that hold one, so its cost follows the change.
+Facts lie in folders by a hash of the path, about ``FILES_PER_BUCKET`` files to a folder, so both the tasks of a load and
+the share that one edited file rewrites follow the tree's size.  A refresh compares stamps, re-reads only the changed
+files and rewrites only the folders that hold one; what changed stays a table throughout.
 """
 
 from __future__ import annotations
@@ -10,11 +11,15 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from codeseam.operators import search
 from codeseam.operators.diff import SourceMissing, snapshot_diff
-from codeseam.plans.resolve import Resolved
+from codeseam.operators.shared import settled
+from codeseam.plans.resolve import Resolved, bucket_of
 from codeseam.sources import tree
 
-BUCKETS = 64
+FILES_PER_BUCKET = 256
+#: At most so many changed paths of each kind are named on the driver; the totals are exact.
+NAMED = 1000
 
 
 class ReloadRequired(RuntimeError):
@@ -25,10 +30,14 @@ class ReloadRequired(RuntimeError):
 
 @dataclass
 class ChangeSet:
+    """The first changed paths of each kind, how many there are of it, and all of them as a table (path, change)."""
+
     edited: list[str] = field(default_factory=list)
     added: list[str] = field(default_factory=list)
     deleted: list[str] = field(default_factory=list)
     build_files: list[str] = field(default_factory=list)
+    totals: dict[str, int] = field(default_factory=dict)
+    rows: DataFrame | None = None
 
     def __bool__(self) -> bool:
         return bool(self.edited or self.added or self.deleted or self.build_files)
@@ -40,11 +49,16 @@ class FactStore:
     def __init__(self, spark: SparkSession, root: str, path: str):
         self.spark, self.root, self.path = spark, root.rstrip("/"), path.rstrip("/")
         self._resolved: Resolved | None = None
+        self._buckets: int | None = None
 
     # ---- ingest
 
-    def _bucket(self):
-        return F.pmod(F.xxhash64("path"), F.lit(BUCKETS)).cast("int")
+    @property
+    def buckets(self) -> int:
+        """How many folders the facts were dealt over when they were loaded."""
+        if self._buckets is None:
+            self._buckets = self.spark.read.schema("buckets int").parquet(f"{self.path}/layout").first()["buckets"]
+        return self._buckets
 
     def _scan(self) -> DataFrame:
         try:
@@ -60,8 +74,11 @@ class FactStore:
     def load(self) -> dict:
         """Read the whole tree; a summary of it."""
         files = self._scan()
-        facts = tree.facts(files).withColumn("bucket", self._bucket())
-        facts.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/facts")
+        buckets = -(-files.select("path").count() // FILES_PER_BUCKET) or 1
+        self.spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{self.path}/layout")
+        facts = tree.facts(files).withColumn("bucket", bucket_of(F.col("path"), buckets))
+        facts.repartition(buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/facts")
+        self._buckets = buckets
         self._build_stamps().write.mode("overwrite").parquet(f"{self.path}/build")
         self._resolved = None
         return self.summary()
@@ -84,7 +101,7 @@ class FactStore:
     @property
     def resolved(self) -> Resolved:
         if self._resolved is None:
-            self._resolved = Resolved(self.facts, f"{self.path}/resolved/{self.version()}")
+            self._resolved = Resolved(self.facts, f"{self.path}/resolved/{self.version()}", self.buckets)
         return self._resolved
 
     def version(self) -> str:
@@ -101,29 +118,30 @@ class FactStore:
         known = self.facts.select("path", "md5")
         if disk.isEmpty() and not known.isEmpty():
             raise SourceMissing(f"nothing is left below {self.root}")
+        rows = settled(snapshot_diff(known, disk, "path", "md5"))
+        first = search.top_per_group(rows, ["change"], [F.col("path")], NAMED).orderBy("change", "path").collect()  # at most NAMED of each kind
         found: dict[str, list[str]] = {"added": [], "deleted": [], "edited": []}
-        for r in snapshot_diff(known, disk, "path", "md5").orderBy("path").toLocalIterator():
+        for r in first:
             found[r["change"]].append(r["path"])
         build = snapshot_diff(self.spark.read.schema("path string, md5 string").parquet(f"{self.path}/build"), self._build_stamps(), "path", "md5")
-        return ChangeSet(build_files=[r["path"] for r in build.orderBy("path").toLocalIterator()], **found)
+        named = [r["path"] for r in build.orderBy("path").limit(NAMED).collect()]
+        return ChangeSet(build_files=named, totals={r["change"]: r["total"] for r in first}, rows=rows, **found)
 
     def fresh(self) -> ChangeSet:
-        """Bring the facts up to the tree: nothing, the changed buckets, or ReloadRequired when a build file changed."""
+        """Bring the facts up to the tree: nothing, the changed folders, or ReloadRequired when a build file changed."""
         changed = self.changes()
         if changed.build_files:
             raise ReloadRequired(", ".join(changed.build_files))
         if changed:
-            touched = self.spark.createDataFrame([(p,) for p in [*changed.added, *changed.edited, *changed.deleted]], "path string")
-            buckets = touched.select(self._bucket().alias("bucket")).distinct()
-            old = self.facts.join(F.broadcast(buckets), "bucket", "left_semi").join(touched, "path", "left_anti")  # at most BUCKETS rows
-            new = tree.facts(self._scan().join(touched, "path", "left_semi")).withColumn("bucket", self._bucket())
-            staged = f"{self.path}/staged"
-            old.unionByName(new).write.mode("overwrite").parquet(staged)
-            rows = self.spark.read.parquet(staged)
-            gone = {r["bucket"] for r in buckets.collect()} - {r["bucket"] for r in rows.select("bucket").distinct().collect()}
-            rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/facts")
-            for b in gone:
-                self._delete(f"{self.path}/facts/bucket={b}")
+            touched = changed.rows.select("path")
+            folders = settled(touched.select(bucket_of(F.col("path"), self.buckets).alias("bucket")).distinct())
+            old = self.facts.join(folders, "bucket", "left_semi").join(touched, "path", "left_anti")
+            new = tree.facts(self._scan().join(touched, "path", "left_semi")).withColumn("bucket", bucket_of(F.col("path"), self.buckets))
+            rows = settled(old.unionByName(new))
+            count = max(1, min(self.buckets, folders.count()))
+            rows.repartition(count, "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/facts")
+            for r in folders.join(rows.select("bucket").distinct(), "bucket", "left_anti").toLocalIterator():  # folders that lost all
+                self._delete(f"{self.path}/facts/bucket={r['bucket']}")
             self._delete(f"{self.path}/resolved")  # of the content before
             self._resolved = None
         return changed

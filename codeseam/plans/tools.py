@@ -51,7 +51,7 @@ def cut(df: DataFrame, k: int, cap: int | None, *order: str | Column) -> DataFra
 
 
 def offset_of(r: Resolved, file: str, line: int, column: int) -> int:
-    row = r.facts.filter(F.col("path") == file).select("content").first()
+    row = r.file(file).select("content").first()
     if row is None:
         raise SymbolNotFound(f"no file {file}")
     lines = row["content"].split("\n")
@@ -65,15 +65,15 @@ def symbol_at(r: Resolved, file: str, line: int, column: int) -> str:
     declaration around it; nothing inside comments and literals."""
     at = offset_of(r, file, line, column)
     here = lambda df: df.filter((F.col("file") == file) & (F.col("start") <= at) & (F.col("start") + F.col("length") > at))
-    if not here(r.raw("comments").filter("kind <> 'javadoc' or true")).isEmpty():
+    if not here(r.raw("comments", file)).isEmpty():
         raise SymbolNotFound("inside a comment")
-    named = r.symbols.filter((F.col("file") == file) & (F.col("name_start") <= at) & (F.col("name_start") + F.col("name_length") >= at))
+    named = r.raw("symbols", file).filter((F.col("file") == file) & (F.col("name_start") <= at) & (F.col("name_start") + F.col("name_length") >= at))
     found = named.orderBy("name_length").select("key").first()
     if found is None:
         rank = F.when(F.col("match_kind") == "TYPE", 1).otherwise(0)
-        found = here(r.refs.filter("target_key is not null")).orderBy("length", rank, "target_key").select(F.col("target_key").alias("key")).first()
+        found = here(r.places).orderBy("length", rank, "target_key").select(F.col("target_key").alias("key")).first()
     if found is None:
-        found = here(r.symbols).orderBy("length").select("key").first()
+        found = here(r.raw("symbols", file)).orderBy("length").select("key").first()
     if found is None:
         raise SymbolNotFound(f"nothing at {file}:{line}:{column}")
     return found["key"]
@@ -83,8 +83,8 @@ def bindings(r: Resolved, file: str, method: str, name: str) -> DataFrame:
     """(bound, start, length, line, col, access) of a local name in a method: each use is bound to the last declaration
     of its name before it, and a declaration to itself (access null)."""
     here = (F.col("file") == file) & (F.col("method_key") == method) & (F.col("name") == name)
-    v = r.raw("variables").filter(here).select("start", F.length("name").alias("length"), "line", "col")
-    u = r.raw("variable_uses").filter(here).select("start", "length", "line", "col", "access")
+    v = r.raw("variables", file).filter(here).select("start", F.length("name").alias("length"), "line", "col")
+    u = r.raw("variable_uses", file).filter(here).select("start", "length", "line", "col", "access")
     uses = u.join(v.select(F.col("start").alias("bound")), F.col("bound") <= F.col("start")).groupBy(*u.columns).agg(F.max("bound").alias("bound"))
     own = v.select(F.col("start").alias("bound"), *v.columns, F.lit(None).cast("string").alias("access"))
     return own.unionByName(uses.select(*own.columns))
@@ -94,8 +94,8 @@ def local_at(r: Resolved, file: str, line: int, column: int) -> dict | None:
     """The local variable or parameter that is declared or used at a place: method_key, name and where it is declared."""
     at = offset_of(r, file, line, column)
     here = lambda size: (F.col("file") == file) & (F.col("start") <= at) & (F.col("start") + size > at) & F.col("method_key").isNotNull()
-    v = r.raw("variables").filter(here(F.length("name"))).select("method_key", "name")
-    u = r.raw("variable_uses").filter(here(F.col("length"))).select("method_key", "name")
+    v = r.raw("variables", file).filter(here(F.length("name"))).select("method_key", "name")
+    u = r.raw("variable_uses", file).filter(here(F.col("length"))).select("method_key", "name")
     row = v.union(u).first()
     if row is None:
         return None
@@ -174,7 +174,7 @@ def get_symbol_info(r: Resolved, file: str, line: int, column: int) -> DataFrame
     local = local_at(r, file, line, column)
     if local is None:
         return details(r.symbols.filter(F.col("key") == symbol_at(r, file, line, column)))
-    v = r.raw("variables").filter((F.col("file") == file) & (F.col("method_key") == local["method_key"]) & (F.col("start") == local["bound"]))
+    v = r.raw("variables", file).filter((F.col("file") == file) & (F.col("method_key") == local["method_key"]) & (F.col("start") == local["bound"]))
     known = {
         "key": F.concat_ws("/", "method_key", "name"), "kind": F.lit("VARIABLE"), "form": F.col("form"), "simple_name": F.col("name"), "owner_key": F.col("method_key"),
         "signature": F.concat_ws(" ", "type", "name"), "return_type": F.col("type"), "file": F.col("file"), "line": F.col("line"), "col": F.col("col"),
@@ -192,7 +192,7 @@ def _around(r: Resolved, file: str, line: int, column: int, kind: str) -> DataFr
         named = ""
     own = r.symbols.filter((F.col("key") == named) & (F.col("kind") == kind)).withColumn("rank", F.lit(0))
     inside = (F.col("file") == file) & (F.col("start") <= at) & (F.col("start") + F.col("length") > at)
-    outer = r.symbols.filter(inside & (F.col("kind") == kind)).withColumn("rank", F.lit(1))
+    outer = r.raw("symbols", file).filter(inside & (F.col("kind") == kind)).withColumn("rank", F.lit(1))
     return own.union(outer).orderBy("rank", "length").limit(1).drop("rank")
 
 
@@ -258,7 +258,7 @@ def get_signature_help(r: Resolved, file: str, line: int, column: int) -> DataFr
 def get_enclosing_element(r: Resolved, file: str, line: int, column: int) -> DataFrame:
     """Innermost method and type around a place, the outermost type, and the package."""
     at = offset_of(r, file, line, column)
-    inside = r.symbols.filter((F.col("file") == file) & (F.col("start") <= at) & (F.col("start") + F.col("length") > at))
+    inside = r.raw("symbols", file).filter((F.col("file") == file) & (F.col("start") <= at) & (F.col("start") + F.col("length") > at))
     pick = lambda kind, how: how(F.when(F.col("kind") == kind, F.struct("length", "key")))["key"]
     return inside.agg(pick("METHOD", F.min).alias("method"), pick("TYPE", F.min).alias("type"), pick("TYPE", F.max).alias("outer_type"), F.max("package").alias("package"))
 
@@ -278,7 +278,7 @@ def get_super_method(r: Resolved, file: str, line: int, column: int) -> DataFram
 @tool
 def get_document_symbols(r: Resolved, file: str, include_private: bool = True, max_results: int = 500) -> DataFrame:
     """The symbols of a file as rows of a tree (owner_key, ordinal), in source order."""
-    s = r.symbols.filter(F.col("file") == file)
+    s = r.raw("symbols", file)
     if not include_private:
         s = s.filter("(flags & 2) = 0")
     return cut(s.select("key", "owner_key", "simple_name", "kind", "form", "ordinal", "start", "line", "col"), max_results, 2000, "start")
@@ -533,7 +533,7 @@ def package_edges(r: Resolved) -> DataFrame:
 @tool
 def get_complexity_metrics(r: Resolved, file: str, include_details: bool = True) -> DataFrame:
     """Per method: cyclomatic and cognitive complexity and risk."""
-    n = r.raw("nodes").filter((F.col("file") == file) & F.col("method_key").isNotNull())
+    n = r.raw("nodes", file).filter((F.col("file") == file) & F.col("method_key").isNotNull())
     return complexity(n).orderBy("method_key")
 
 
@@ -558,9 +558,9 @@ def complexity(n: DataFrame) -> DataFrame:
 @tool
 def get_file_metrics(r: Resolved, file: str) -> DataFrame:
     """Lines of a file by kind and the sum, mean (2 places) and largest cyclomatic complexity."""
-    c = complexity(r.raw("nodes").filter((F.col("file") == file) & F.col("method_key").isNotNull()))
+    c = complexity(r.raw("nodes", file).filter((F.col("file") == file) & F.col("method_key").isNotNull()))
     cc = c.agg(F.count("*").alias("methods"), F.sum("cyclomatic").alias("total"), F.round(F.avg("cyclomatic"), 2).alias("average"), F.max("cyclomatic").alias("most"))
-    return r.facts.filter(F.col("path") == file).select("path", "physical", "blank", "comment", "code").join(F.broadcast(cc))
+    return r.file(file).select("path", "physical", "blank", "comment", "code").join(F.broadcast(cc))
 
 
 @tool
@@ -643,7 +643,7 @@ def _first(df: DataFrame, column: str, k: int, name: str) -> DataFrame:
 @tool
 def analyze_file(r: Resolved, file: str) -> DataFrame:
     """One row: lines, imports, types with their member counts, problems."""
-    f = r.facts.filter(F.col("path") == file)
+    f = r.file(file)
     types = F.transform(F.filter("symbols", lambda s: s["kind"] == "TYPE"), lambda s: F.struct(s["key"].alias("key"), s["form"].alias("form"), s["methods"].alias("methods"), s["field_declarations"].alias("fields")))
     return f.select("path", "package", "physical", "blank", "comment", "code", F.col("imports.name").alias("imports"), types.alias("types"), "problems")
 
@@ -762,27 +762,22 @@ def find_possible_bugs(r: Resolved, file: str | None = None, severity: str = "al
 
 @tool
 def get_diagnostics(r: Resolved, file: str | None = None, severity: str = "all", max_results: int = 100) -> DataFrame:
-    """Problems that facts show without a compiler: syntax, unused imports, names of types that nothing declares."""
-    p = r.raw("problems").select("file", "line", "col", F.lit("error").alias("severity"), F.lit("syntax").alias("category"), "message")
-    u = r.raw("imports").filter("not used").select("file", "line", "col", F.lit("warning").alias("severity"), F.lit("unused_import").alias("category"), F.concat(F.lit("unused import "), "name").alias("message"))
-    packages = r.facts.select(F.col("package").alias("p")).filter("p <> ''").distinct()
-    i = r.raw("imports").filter("not is_static and not is_on_demand and not is_module").join(packages, T.package_of(F.col("name")) == F.col("p"))
-    missing = i.join(r.symbols.filter("kind = 'TYPE'").select(F.col("key").alias("name")), "name", "left_anti").select(
-        "file", "line", "col", F.lit("error").alias("severity"), F.lit("unresolved_import").alias("category"), F.concat(F.lit("no type "), "name").alias("message")
-    )
-    every = p.union(u).union(missing)
+    """Problems that facts show without a compiler, in eighteen categories (see ``diagnostics``)."""
+    from codeseam.plans.diagnostics import problems
+
+    every = problems(r)
     if severity != "all":
         every = every.filter(F.col("severity") == severity)
     if file:
         every = every.filter(F.col("file") == file)
-    return cut(every, max_results, None, "file", "line", "col", "category")
+    return cut(every, max_results, None, "file", "line", "col", "category", "message")
 
 
 @tool
 def validate_syntax(r: Resolved, file: str | None = None, content: str | None = None) -> DataFrame:
     """Syntax errors of a file of the project, or of a given text."""
     if content is None:
-        return r.raw("problems").filter(F.col("file") == file).select("file", "line", "col", "message")
+        return r.raw("problems", file).select("file", "line", "col", "message")
     from codeseam.sources.facts import extract
 
     rows = [("<content>", p["line"], p["col"], p["message"]) for p in extract("<content>", content.encode())["problems"]]
@@ -822,7 +817,7 @@ def rename_symbol(r: Resolved, file: str, line: int, column: int, new_name: str)
     local = local_at(r, file, line, column)
     if local is not None:
         own = bindings(r, file, local["method_key"], local["name"]).filter(F.col("bound") == local["bound"])
-        named = r.raw("variables").filter((F.col("file") == file) & (F.col("method_key") == local["method_key"]) & (F.col("name") == new_name))
+        named = r.raw("variables", file).filter((F.col("file") == file) & (F.col("method_key") == local["method_key"]) & (F.col("name") == new_name))
         if not named.isEmpty():
             raise InvalidParameter(f"the method has a variable {new_name}")
         edits = own.dropDuplicates(["start"]).select(F.lit(file).alias("file"), "start", "length", "line", "col", F.lit(local["name"]).alias("old_text"), F.lit(new_name).alias("new_text"))
@@ -846,7 +841,7 @@ def rename_symbol(r: Resolved, file: str, line: int, column: int, new_name: str)
 @tool
 def organize_imports(r: Resolved, file: str) -> DataFrame:
     """One edit: the used imports in groups (module, java, javax, others by first part, static last), unused dropped."""
-    i = r.raw("imports").filter((F.col("file") == file) & F.col("used"))
+    i = r.raw("imports", file).filter((F.col("file") == file) & F.col("used"))
     written = F.concat(
         F.lit("import "), F.when(F.col("is_module"), "module ").when(F.col("is_static"), "static ").otherwise(""), "name", F.when(F.col("is_on_demand"), ".*").otherwise(""), F.lit(";")
     )
@@ -854,7 +849,7 @@ def organize_imports(r: Resolved, file: str) -> DataFrame:
     group = F.when(F.col("is_module"), F.lit("0")).when(F.col("is_static"), F.lit("9")).when(head == "java", "1").when(head == "javax", "2").otherwise(F.concat(F.lit("3"), head))
     each = i.select(group.alias("group"), written.alias("line")).distinct().groupBy("group").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("lines"))
     text = each.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("group", "lines"))), lambda x: x["lines"]), "\n\n").alias("new_text"))
-    span = r.raw("imports").filter(F.col("file") == file).agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("length")) - F.min("start")).alias("length"))
+    span = r.raw("imports", file).agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("length")) - F.min("start")).alias("length"))
     return span.join(F.broadcast(text)).filter("start is not null").select(F.lit(file).alias("file"), "start", "length", "new_text")
 
 
@@ -940,13 +935,19 @@ def to_this(owner: str, static: int) -> str:
 
 @tool
 def get_quick_fixes(r: Resolved, file: str, line: int | None = None) -> DataFrame:
-    """Fixes for the problems of a file: remove an unused import, import a name that nothing declares (ten at most)."""
-    unused = r.raw("imports").filter((F.col("file") == file) & ~F.col("used")).select("line", F.concat(F.lit("remove_import:"), "name").alias("fix_id"), F.lit(100).alias("relevance"))
+    """Fixes for the problems of a file, ten at most a line: remove an unused import, import a name that nothing declares,
+    declare or catch a checked exception that nothing takes."""
+    from codeseam.plans.diagnostics import unhandled
+
+    unused = r.raw("imports", file).filter((F.col("file") == file) & ~F.col("used")).select("line", F.concat(F.lit("remove_import:"), "name").alias("fix_id"), F.lit(100).alias("relevance"))
     u = r.type_refs.filter((F.col("file") == file) & ~F.col("is_source") & F.startswith("target_key", F.lit("java.lang.")) & ~F.contains("name", F.lit(".")))
     known = r.symbols.filter("kind = 'TYPE'").select(F.col("key").alias("fqn")).union(r.raw("imports").filter("not is_static and not is_on_demand and not is_module").select("name")).distinct()
     known = known.withColumn("name", T.simple_name(F.col("fqn")))
     add = u.select("line", "name").distinct().join(known, "name").select("line", F.concat(F.lit("add_import:"), "fqn").alias("fix_id"), T.import_relevance(T.package_of(F.col("fqn")), fixed.FIX_RELEVANCE).alias("relevance"))
-    every = unused.union(add)
+    loose = unhandled(r).filter(F.col("file") == file).select("line", "written").distinct()
+    throw = loose.select("line", F.concat(F.lit("add_throws:"), "written").alias("fix_id"), F.lit(80).alias("relevance"))
+    catch = loose.select("line", F.concat(F.lit("surround_try_catch:"), "written").alias("fix_id"), F.lit(75).alias("relevance"))
+    every = unused.union(add).union(throw).union(catch)
     if line is not None:
         every = every.filter(F.col("line") == line)
     return search.top_per_group(every, ["line"], [F.desc("relevance"), F.col("fix_id")], 10).orderBy("line", "rank")
@@ -956,7 +957,7 @@ def get_quick_fixes(r: Resolved, file: str, line: int | None = None) -> DataFram
 def apply_quick_fix(r: Resolved, file: str, fix_id: str, line: int | None = None) -> DataFrame:
     """The edit of a fix: ``add_import:``, ``remove_import:``, ``add_throws:`` or ``surround_try_catch:`` and a name."""
     kind, _, name = fix_id.partition(":")
-    i = r.raw("imports").filter(F.col("file") == file)
+    i = r.raw("imports", file)
     if kind == "remove_import":
         return i.filter(F.col("name") == name).select("file", "start", (F.col("length") + 1).alias("length"), F.lit("").alias("new_text"))
     if kind in ("add_throws", "surround_try_catch"):
@@ -971,7 +972,7 @@ def apply_quick_fix(r: Resolved, file: str, fix_id: str, line: int | None = None
     if kind != "add_import":
         raise InvalidParameter(f"no such fix: {fix_id}")
     at = i.agg(F.max(F.col("start") + F.col("length")).alias("at"))
-    head = r.facts.filter(F.col("path") == file).select(F.when(F.col("package") != "", F.instr("content", ";")).otherwise(0).alias("head"))
+    head = r.file(file).select(F.when(F.col("package") != "", F.instr("content", ";")).otherwise(0).alias("head"))
     return head.join(F.broadcast(at)).select(F.lit(file).alias("file"), F.coalesce("at", "head").alias("start"), F.lit(0).alias("length"), F.lit(f"\nimport {name};").alias("new_text"))
 
 
@@ -985,7 +986,7 @@ def diagnose_and_fix(r: Resolved, file: str) -> DataFrame:
 
 
 def _content(r: Resolved, file: str) -> str:
-    row = r.facts.filter(F.col("path") == file).select("content").first()
+    row = r.file(file).select("content").first()
     if row is None:
         raise SymbolNotFound(f"no file {file}")
     return row["content"]

@@ -111,6 +111,49 @@ public class Keeper<T extends Animal> {
 """,
     ROOT + "Broken.java": "package zoo;\n\nclass Broken {\n    int x = ;\n}\n",
 }
+SHAPE, SQUARE = "src/main/java/bad/Shape.java", "src/main/java/bad/Square.java"
+FAULTS = {
+    SHAPE: """package bad;
+
+public abstract class Shape {
+    private int hidden;
+    final int sides = 4;
+    @Deprecated public int old() { return hidden; }
+    public final int fixed() { return sides; }
+    abstract int area();
+    void risky() throws java.io.IOException { }
+}
+""",
+    SQUARE: """package bad;
+
+import java.util.List;
+import java.util.List;
+import bad.Gone;
+
+class Square extends Shape {
+    @Override public int areas() { return 1; }
+    public int fixed() { return 2; }
+    private void spare() { }
+    void run(Shape other) {
+        int idle = 3;
+        other.sides = 5;
+        other.old();
+        other.nothing();
+        risky();
+        new Shape();
+        new Shape() { int area() { return 0; } };
+        try { risky(); } catch (java.io.IOException e) { risky(); }
+    }
+    int peek(Shape s) { return s.hidden; }
+}
+
+final class Last { }
+class After extends Last { int n; int n; }
+class Ring extends Gnir { }
+class Gnir extends Ring { }
+""",
+    "src/main/java/bad/Half.java": "package bad;\n\nclass Half {\n    int x = ;\n}\n",
+}
 ANIMAL, DOG, KEEPER, BROKEN = (ROOT + n + ".java" for n in ("Animal", "Dog", "Keeper", "Broken"))
 CLASSES = 1000
 
@@ -136,15 +179,15 @@ def project(spark: SparkSession, name: str) -> Resolved:
     if key not in _SHARED:
         for old in [k for k in _SHARED if k[0] != key[0]]:
             del _SHARED[old]
-        files = FILES if name == "zoo" else scale_files()
+        files = {"zoo": FILES, "faults": FAULTS}.get(name) or scale_files()
         rows = spark.createDataFrame([(p, bytearray(t.encode())) for p, t in files.items()], "path string, content binary")
-        _SHARED[key] = Resolved(tree.facts(rows.coalesce(1 if name == "zoo" else 8)).persist())
+        _SHARED[key] = Resolved(tree.facts(rows.coalesce(8 if name == "scale" else 1)).persist())
     return _SHARED[key]
 
 
 def at(file: str, text: str, inner: str = "") -> tuple[str, int, int]:
     """The place of a text in a file, or of a part of it."""
-    source = (FILES if file in FILES else scale_files())[file]
+    source = (FILES | FAULTS).get(file) or scale_files()[file]
     offset = source.index(text) + (text.index(inner) if inner else 0)
     return file, source.count("\n", 0, offset), offset - (source.rfind("\n", 0, offset) + 1)
 
@@ -155,13 +198,13 @@ def span(file: str, text: str) -> tuple[str, int, int, int, int]:
     return file, line, col, line, col + len(text)
 
 
-def expect(columns: str, rows: list[tuple]) -> Callable:
-    """Register a query over the small project with its expected rows."""
+def expect(columns: str, rows: list[tuple], name: str = "zoo") -> Callable:
+    """Register a query over a small project with its expected rows."""
 
     def add(f):
         SQL[f.__name__] = values(columns, rows)
         names = [c.strip() for c in columns.split(",")]
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(project(spark, "zoo")).select(*names)
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(project(spark, name)).select(*names)
         return f
 
     return add
@@ -580,6 +623,52 @@ def zoo_taint_flows(r):
     return tools.find_flows(r, kind='taint')
 
 
+@expect("file, line, severity, category, message", [
+    ("src/main/java/bad/Half.java", 3, "error", "syntax", "unexpected ';'"),
+    (SQUARE, 2, "warning", "unused_import", "unused import java.util.List"),
+    (SQUARE, 3, "warning", "unused_import", "unused import java.util.List"),
+    (SQUARE, 3, "warning", "duplicate_import", "imported before: java.util.List"),
+    (SQUARE, 4, "error", "unresolved_import", "no type bad.Gone"),
+    (SQUARE, 4, "warning", "unused_import", "unused import bad.Gone"),
+    (SQUARE, 6, "error", "missing_implementation", "does not implement bad.Shape#area()"),
+    (SQUARE, 7, "error", "must_override", "overrides nothing: bad.Square#areas()"),
+    (SQUARE, 8, "error", "final_method", "overrides a final method: bad.Shape#fixed()"),
+    (SQUARE, 9, "warning", "unused_private", "never used: bad.Square#spare()"),
+    (SQUARE, 11, "warning", "unused_variable", "never read: idle"),
+    (SQUARE, 12, "error", "final_assignment", "final: bad.Shape#sides"),
+    (SQUARE, 13, "warning", "deprecated_use", "deprecated: bad.Shape#old()"),
+    (SQUARE, 14, "error", "undefined_method", "no method nothing in bad.Shape"),
+    (SQUARE, 15, "error", "unhandled_exception", "nothing takes IOException"),
+    (SQUARE, 16, "error", "abstract_creation", "cannot be created: bad.Shape"),
+    (SQUARE, 18, "error", "unhandled_exception", "nothing takes IOException"),
+    (SQUARE, 20, "error", "not_visible", "private: bad.Shape#hidden"),
+    (SQUARE, 24, "error", "final_type", "extends a final type: bad.Last"),
+    (SQUARE, 24, "error", "duplicate_declaration", "declared before: bad.After#n"),
+    (SQUARE, 25, "error", "cyclic_hierarchy", "its own ancestor: bad.Ring"),
+    (SQUARE, 26, "error", "cyclic_hierarchy", "its own ancestor: bad.Gnir"),
+], "faults")
+def faults_diagnostics(r):
+    return tools.get_diagnostics(r)
+
+
+@expect("line, fix_id, relevance, rank", [
+    (2, "remove_import:java.util.List", 100, 1),
+    (3, "remove_import:java.util.List", 100, 1),
+    (4, "remove_import:bad.Gone", 100, 1),
+    (15, "add_throws:java.io.IOException", 80, 1),
+    (15, "surround_try_catch:java.io.IOException", 75, 2),
+    (18, "add_throws:java.io.IOException", 80, 1),
+    (18, "surround_try_catch:java.io.IOException", 75, 2),
+], "faults")
+def faults_quick_fixes(r):
+    return tools.get_quick_fixes(r, SQUARE)
+
+
+@expect("file, new_text", [(SQUARE, " throws java.io.IOException")], "faults")
+def faults_add_throws(r):
+    return tools.apply_quick_fix(r, SQUARE, "add_throws:java.io.IOException", 15)
+
+
 # ---------------------------------------------------------------- a thousand classes of one form
 
 _CLASSES = f"c AS (SELECT i, 'scale/C' || i || '.java' AS file FROM range({CLASSES}) t(i))"

@@ -28,7 +28,7 @@ SCHEMA = {
     "supers": "type_key string, name string, relation string, ordinal int, candidates array<string>",
     "type_refs": f"name string, candidates array<string>, fine_kind string, enclosing_key string, enclosing_type string, context string, {_POS}",
     "calls": f"call_id int, form string, name string, arity int, receiver string, receiver_candidates array<string>, receiver_call int, owners array<string>, "
-    f"enclosing_key string, enclosing_type string, context string, arguments array<string>, {_POS}",
+    f"enclosing_key string, enclosing_type string, context string, arguments array<string>, anonymous boolean, {_POS}",
     "accesses": f"name string, access string, receiver string, receiver_candidates array<string>, owners array<string>, enclosing_key string, enclosing_type string, context string, {_POS}",
     "imports": f"name string, is_static boolean, is_on_demand boolean, is_module boolean, ordinal int, package string, used boolean, {_POS}",
     "annotations": f"target_key string, target_kind string, target_name string, target_type string, owner_key string, name string, simple_name string, candidates array<string>, values map<string,string>, {_POS}",
@@ -458,7 +458,7 @@ class Extractor:
         self.out["calls"].append(
             {"call_id": self.calls_seen, "form": form, "name": name, "arity": len(args), "receiver": receiver, "receiver_candidates": self.candidates(receiver, types) if receiver else None,
              "receiver_call": receiver_call, "owners": owners, "enclosing_key": enclosing, "enclosing_type": types[-1] if types else None, "context": self.context(start),
-             "arguments": [self.type_of(a, types, scopes)[0] for a in args], **self.pos(start, start + len(name) if form != "CREATE" else n.end)}
+             "arguments": [self.type_of(a, types, scopes)[0] for a in args], "anonymous": bool(n.of("AnonymousClass")), **self.pos(start, start + len(name) if form != "CREATE" else n.end)}
         )
 
     def pass_arguments(self, n: Node, args: list[Node], method: str | None) -> None:

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import json
 import re
 import xml.etree.ElementTree as ET
+import zipfile
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from codeseam.functions.fixed import BUILD_FILES, BUILD_SKIPPED_FOLDERS, BUILD_SYSTEMS, SKIPPED_FOLDERS, SKIPPED_PREFIX
+from codeseam.functions.fixed import BUILD_FILES, BUILD_SKIPPED_FOLDERS, BUILD_SYSTEMS, GENERATED_LAYOUTS, PROCESSOR_SERVICE, SKIPPED_FOLDERS, SKIPPED_PREFIX, SOURCE_LAYOUTS
 from codeseam.sources.facts import SCHEMA, extract
 
+#: A folder that a build writes generated sources to: any that stands where a layout has a star.
+GENERATED = "(?<![^/])(?:" + "|".join(x.replace("*", "[^/]+") for x in GENERATED_LAYOUTS) + ")(?=/)"
+
 FACTS = (
     "path string, package string, size bigint, md5 string, content string, physical int, blank int, comment int, code int, "
     + ", ".join(f"{name} array<struct<{', '.join(c.strip().replace(' ', ':', 1) for c in _fields)}>>" for name, _fields in ((n, re.split(r", (?![^<]*>)", d)) for n, d in SCHEMA.items()))
@@ -32,26 +38,55 @@ def _kept(relative: Column, skipped: tuple[str, ...]) -> Column:
     return ~F.exists(folders, lambda d: d.isin(*skipped) | F.startswith(d, F.lit(SKIPPED_PREFIX)))
 
 
-def _files(spark: SparkSession, root: str, glob: str | None, skipped: tuple[str, ...]) -> DataFrame:
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(root).withColumn("rel", _relative(root))
-    return files.filter(_kept(F.col("rel"), skipped))
+def _found(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+    return reader.load(root).withColumn("rel", _relative(root))
 
 
 def source_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, size, mtime, content) of the Java files below a root, skipped folders left out; a scan that prunes."""
-    return _files(spark, root, "*.java", SKIPPED_FOLDERS).select(F.col("rel").alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
+    """(path, size, mtime, content) of the Java files below a root, a scan that prunes.
+
+    Skipped folders are left out, but for the folders in them that builds write generated sources to.
+    """
+    files = _found(spark, root, "*.java").filter(_kept(F.col("rel"), SKIPPED_FOLDERS) | F.col("rel").rlike(GENERATED))
+    return files.select(F.col("rel").alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
 
 
 def build_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, name, content) of the build files below a root."""
     pattern = "{" + ",".join(BUILD_FILES) + "}"
-    found = _files(spark, root, pattern, BUILD_SKIPPED_FOLDERS)
+    found = _found(spark, root, pattern).filter(_kept(F.col("rel"), BUILD_SKIPPED_FOLDERS))
     return found.select(F.col("rel").alias("path"), F.substring_index("rel", "/", -1).alias("name"), F.col("content").cast("string").alias("content"))
 
 
+def jars(spark: SparkSession, root: str, below: tuple[str, ...] = ()) -> DataFrame:
+    """(path, size, md5, is_processor) of the jars below a root, one for each content: that of the least path.
+
+    With ``below`` only jars somewhere in folders of these names count (``bazel-bin``, ``bazel-out``).  A processor jar
+    registers annotation processors; a damaged jar registers none.
+    """
+    files = _found(spark, root, "*.jar")
+    if below:
+        files = files.filter(F.arrays_overlap(F.split("rel", "/"), F.array(*map(F.lit, below))))
+    schema = pa.schema([("path", pa.string()), ("size", pa.int64()), ("md5", pa.string()), ("is_processor", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [[], [], [], []]
+            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(data)) as z:
+                        own = PROCESSOR_SERVICE in z.namelist()
+                except (zipfile.BadZipFile, ValueError, EOFError):
+                    own = False
+                for column, value in zip(out, (path, len(data), hashlib.md5(data).hexdigest(), own)):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+
+    found = files.select("rel", "content").mapInArrow(run, "path string, size bigint, md5 string, is_processor boolean")
+    return found.groupBy("md5", "size").agg(F.min("path").alias("path"), F.max("is_processor").alias("is_processor")).select("path", "size", "md5", "is_processor")
+
+
 def stamps(files: DataFrame) -> DataFrame:
     """(path, size, mtime, md5)."""
     return files.select("path", "size", "mtime", F.md5("content").alias("md5"))
@@ -87,14 +122,11 @@ def compliance(version: Column, newest: int = 25) -> Column:
     return F.when(number.isNull() | (number <= 8), "1.8").when(number > newest, str(newest)).otherwise(number.cast("string"))
 
 
-SOURCE_LAYOUTS = ("src/main/java", "src/test/java", "src/main/kotlin", "src/test/kotlin", "src/integrationTest/java", "src/it/java")
-GENERATED_LAYOUTS = ("target/generated-sources/annotations", "target/generated-test-sources/test-annotations", "build/generated/sources/annotationProcessor/java/main")
-
-
 def source_root(path: Column) -> Column:
-    """The source root that a file stands in: a standard layout's folder, else ``src`` where nothing else fits, else empty."""
+    """The source root that a file stands in: a standard layout's or a generated folder, else ``src``, else empty."""
     out = F.when(F.startswith(path, F.lit("src/")), F.lit("src")).otherwise(F.lit(""))
-    for layout in reversed((*SOURCE_LAYOUTS, *GENERATED_LAYOUTS)):
+    out = F.when(path.rlike(GENERATED), F.regexp_extract(path, f"^(.*?{GENERATED})", 1)).otherwise(out)
+    for layout in reversed(SOURCE_LAYOUTS):
         at = F.instr(F.concat(F.lit("/"), path), f"/{layout}/")
         out = F.when(at > 0, F.substring(path, F.lit(1), at + len(layout) - 1)).otherwise(out)
     return out

@@ -258,7 +258,7 @@ def test_rules(loaded):
     assert metrics["shop.core.Basket#add(String)"] == (5, 6)
     assert rows(query(r, "find_circular_dependencies"), "members", "severity") == [("shop,shop.core", "medium")]
     assert rows(query(r, "find_tests", include_disabled=True), "test_class", "framework", "tests") == [("shop.BasketTest", "JUnit5", ["adds", "later"])]
-    unused = {m for (m,) in rows(query(r, "get_diagnostics"), "message")}
+    unused = {m for (m,) in rows(query(r, "get_diagnostics").filter("category = 'unused_import'"), "message")}
     assert unused == {"unused import java.util.List", "unused import java.util.Map"}
     assert "import shop.core.Basket;" == rows(query(r, "organize_imports", file=MAIN), "new_text")[0][0]
 
@@ -288,6 +288,58 @@ def test_every_query_builds(loaded):
         assert query(r, name, **arguments).columns, name
 
 
+def test_generated_sources_and_jars(spark, tmp_path):
+    import zipfile
+
+    places = {
+        "src/main/java/a/A.java": "src/main/java", "target/generated-sources/jaxws/a/B.java": "target/generated-sources/jaxws", "m/target/generated-test-sources/x/T.java": "m/target/generated-test-sources/x",
+        "build/generated/sources/mapper/java/main/C.java": "build/generated/sources/mapper/java/main", "src/D.java": "src", "E.java": "",
+    }
+    for name in [*places, "target/classes/F.java", "build/generated/other/G.java", "bazel-bin/H.java"]:
+        path = tmp_path / "tree" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("class X { }")
+    found = tree.source_files(spark, str(tmp_path / "tree"))
+    assert {p: r for p, r in rows(found.select("path", tree.source_root(F.col("path")).alias("r")), "path", "r")} == places
+    for name, entry in (("bazel-bin/a.jar", "META-INF/services/javax.annotation.processing.Processor"), ("bazel-out/x/b.jar", "c/D.class"), ("lib/c.jar", "e/F.class")):
+        path = tmp_path / "tree" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        with zipfile.ZipFile(path, "w") as z:
+            z.writestr(zipfile.ZipInfo(entry), "x")
+    (tmp_path / "tree/bazel-out/copy.jar").write_bytes((tmp_path / "tree/bazel-bin/a.jar").read_bytes())
+    (tmp_path / "tree/bazel-out/torn.jar").write_bytes(b"PK no jar")
+    got = dict(rows(tree.jars(spark, str(tmp_path / "tree"), ("bazel-bin", "bazel-out")), "path", "is_processor"))
+    assert got == {"bazel-bin/a.jar": True, "bazel-out/x/b.jar": False, "bazel-out/torn.jar": False}
+    assert len(rows(tree.jars(spark, str(tmp_path / "tree")), "path")) == 4
+
+
+def test_folders_follow_the_size_and_lookups_read_one(spark, tmp_path, monkeypatch):
+    from codeseam.plans import store as plans_store
+
+    monkeypatch.setattr(plans_store, "FILES_PER_BUCKET", 4)
+    root = tmp_path / "many"
+    root.mkdir()
+    for i in range(30):
+        (root / f"C{i}.java").write_text(f"class C{i} {{ int held; int get() {{ return held; }} }}")
+    store = FactStore(spark, str(root), str(tmp_path / "facts"))
+    store.load()
+    assert store.buckets == 8 and 2 <= len(list((tmp_path / "facts/facts").glob("bucket=*"))) <= 8
+    one = store.resolved.file("C7.java")
+    assert one.count() == 1 and len(one.inputFiles()) >= 1
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "(bucket" in plan.split("PartitionFilters")[1]
+    assert rows(query(store.resolved, "go_to_definition", file="C7.java", line=0, column=43), "key") == [("C7#held",)]
+    for i in range(0, 30, 2):
+        (root / f"C{i}.java").unlink()
+    (root / "C7.java").write_text("class C7 { }")
+    (root / "D.java").write_text("class D { }")
+    changed = FactStore(spark, str(root), str(tmp_path / "facts")).fresh()
+    assert changed.totals == {"deleted": 15, "edited": 1, "added": 1} and changed.edited == ["C7.java"] and changed.rows.count() == 17
+    again = FactStore(spark, str(root), str(tmp_path / "facts"))
+    assert {p for (p,) in rows(again.facts, "path")} == {f"C{i}.java" for i in range(1, 30, 2)} | {"D.java"}
+    assert not again.fresh()
+
+
 def test_incremental_facts_equal_a_full_load(spark, project, tmp_path):
     store, root, _ = project
     assert not store.fresh()
