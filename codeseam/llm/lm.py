@@ -45,7 +45,7 @@ COUNT_TOKENS = 2_000_000
 TRAIN_LANES, TRAIN_WINDOW = 256, 24
 SHORT_RUN = 6
 #: Texts are learned from in stretches of about so many tokens (a text is never cut), by at most so many tasks.
-TRAIN_TOKENS, TRAINERS = 1 << 21, 4096
+TRAIN_TOKENS, TRAINERS = 1 << 21, 65_536
 #: All training texts are learned from once, in so many parts; the tasks' networks are averaged after each.
 ROUNDS, RATE = 2, 0.004
 CHUNKS = 64
