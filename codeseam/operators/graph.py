@@ -40,7 +40,8 @@ def reaches(edges: DataFrame, targets: DataFrame, max_depth: int | None = None)
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node on a cycle; the component's name is its least node.
 
-    Colouring: nodes that no cycle can hold are trimmed; the least label that reaches a node is its colour; within a
+    Colouring: nodes that no cycle can hold are trimmed; the least label that reaches a node is its colour (found in
+    rounds that double how far labels come); within a
     colour, what reaches the colour's own node is one component.  Found components leave the graph and the rest goes on.
     Rows stay within nodes plus edges, unlike a closure of pairs.
     """
@@ -58,10 +59,12 @@ def strong_components(edges: DataFrame) -> DataFrame:
             break
         nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
         colour = settled(nodes.withColumn("colour", F.col("node")))
-        while True:
-            passed = left.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("from"))
+        while True:  # what reaches a node's colour reaches the node: colours jump along colours, not only along edges
+            passed = left.join(colour.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "colour")
+            jumped = colour.join(colour.select(F.col("node").alias("colour"), F.col("colour").alias("further")), "colour").select("node", "further")
+            least = passed.union(jumped).groupBy("node").agg(F.min("colour").alias("from"))
             new = settled(
-                colour.join(passed, "node", "left").select(
+                colour.join(least, "node", "left").select(
                     "node", F.least("colour", F.coalesce("from", "colour")).alias("colour"), (F.col("from") < F.col("colour")).alias("moved")
                 )
             )
