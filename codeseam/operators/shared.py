@@ -13,6 +13,21 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 _HELD: set[str] = set()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def stem(df: DataFrame, start: str) -> str:
+    """A beginning that no column name of ``df`` has, for names of an operator's own."""
+    while any(c.lower().startswith(start.lower()) for c in df.columns):
+        start += "_"
+    return start
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see, from the session.
 
