@@ -1,4 +1,4 @@
-"""The ten training-data queries and their DuckDB SQL where SQL can express them."""
+"""The training-data queries and their DuckDB SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -80,11 +80,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op13_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeseam.llm.mixture import mix_counts
+
+    return mix_counts(spark, table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_recurrent_lm, op2_additive, op3_pieces, op4_quality, op5_licences, op6_surrogates, op7_revisits, op8_chat, op9_winnowing, op10_simhash)}
+    every = (
+        op1_recurrent_lm, op2_additive, op3_pieces, op4_quality, op5_licences, op6_surrogates, op7_revisits, op8_chat, op9_winnowing, op10_simhash,
+        op13_mixture,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
     from codeseam.llm import sql
 
-    return {"op7_revisits": sql.OP7, "op8_chat": sql.OP8, "op9_winnowing": sql.OP9}
+    return {"op7_revisits": sql.OP7, "op8_chat": sql.OP8, "op9_winnowing": sql.OP9, "op13_mixture": sql.OP13}

@@ -53,3 +53,21 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
 FROM b
 """
+
+OP13 = """
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::HUGEINT AS source_size, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1]::HUGEINT AS w FROM d GROUP BY source),
+-- by size over weight: those before the first that stays within its bound are held at it
+r AS (SELECT *, row_number() OVER (ORDER BY source_size::DOUBLE / w, source) AS k FROM s),
+c AS (SELECT *, coalesce(sum(source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS held,
+  sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::HUGEINT AS ws, (sum(source_size) OVER ())::HUGEINT AS t FROM r),
+f AS (SELECT min(k) AS first, min_by(3 * t - 4 * held, k) AS top, min_by(ws, k) AS ws FROM c WHERE w * (3 * t - 4 * held) <= 4 * ws * source_size),
+g AS (SELECT source, source_size, CASE WHEN k < first THEN (2 * source_size)::DOUBLE ELSE least((2 * source_size)::DOUBLE, w::DOUBLE * (top::DOUBLE / 2) / ws::DOUBLE) END AS target FROM r, f),
+e AS (SELECT *, floor(CASE WHEN source_size > 0 THEN least(2.0::DOUBLE, target / source_size::DOUBLE) ELSE 0 END * 1e12::DOUBLE + 0.5)::HUGEINT AS expected,
+  substr(md5('mix-1:' || coalesce('=' || source, 'null')), 1, 5) AS h FROM g),
+o AS (SELECT *, list_reduce(list_transform(range(1, 6), lambda i: strpos('0123456789abcdef', substr(h, i, 1)) - 1), lambda a, b: a * 16 + b)::BIGINT AS bits FROM e),
+u AS (SELECT *, floor(((2 * bits + 1) * 1953125000)::DOUBLE / 4096.0::DOUBLE)::HUGEINT AS off FROM o),
+p AS (SELECT d.doc_id, d.size, u.source_size, u.target, u.expected,
+  sum(u.expected) OVER (PARTITION BY d.source ORDER BY d.size NULLS FIRST, d.doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING)::HUGEINT + off AS upto FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source)
+SELECT doc_id, size, source_size::BIGINT AS source_size, target, (size * ((upto // 1000000000000) - ((upto - expected) // 1000000000000)))::BIGINT AS taken FROM p
+"""
