@@ -80,6 +80,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeseam.llm.divergence import audit
+
+    return audit(spark, table(spark, sf_dir, "documents"))
+
+
 def op13_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codeseam.llm.mixture import mix_counts
 
@@ -89,7 +95,7 @@ def op13_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_recurrent_lm, op2_additive, op3_pieces, op4_quality, op5_licences, op6_surrogates, op7_revisits, op8_chat, op9_winnowing, op10_simhash,
-        op13_mixture,
+        op12_divergence, op13_mixture,
     )
     return {f.__name__: f for f in every}
 
@@ -97,4 +103,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from codeseam.llm import sql
 
-    return {"op7_revisits": sql.OP7, "op8_chat": sql.OP8, "op9_winnowing": sql.OP9, "op13_mixture": sql.OP13}
+    return {"op7_revisits": sql.OP7, "op8_chat": sql.OP8, "op9_winnowing": sql.OP9, "op12_divergence": sql.OP12, "op13_mixture": sql.OP13}
