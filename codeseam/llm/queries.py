@@ -80,6 +80,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeseam.llm.vafile import mine, whole_vectors
+
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(spark, whole_vectors(table(spark, sf_dir, "embeddings"), label=shifted))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codeseam.llm.divergence import audit
 
@@ -95,7 +102,7 @@ def op13_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_recurrent_lm, op2_additive, op3_pieces, op4_quality, op5_licences, op6_surrogates, op7_revisits, op8_chat, op9_winnowing, op10_simhash,
-        op12_divergence, op13_mixture,
+        op11_hard_negatives, op12_divergence, op13_mixture,
     )
     return {f.__name__: f for f in every}
 
@@ -103,4 +110,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from codeseam.llm import sql
 
-    return {"op7_revisits": sql.OP7, "op8_chat": sql.OP8, "op9_winnowing": sql.OP9, "op12_divergence": sql.OP12, "op13_mixture": sql.OP13}
+    return {"op7_revisits": sql.OP7, "op8_chat": sql.OP8, "op9_winnowing": sql.OP9, "op11_hard_negatives": sql.OP11, "op12_divergence": sql.OP12, "op13_mixture": sql.OP13}
