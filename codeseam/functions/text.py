@@ -98,12 +98,6 @@ def column_of(text: Column, offset: Column) -> Column:
     return F.length(F.substring_index(F.substring(text, F.lit(1), offset), "\n", -1)).cast("bigint")
 
 
-def context_line(text: Column, offset: Column) -> Column:
-    """The line that holds an offset: its first 200 characters, trimmed."""
-    line = F.element_at(F.split(text, "\n", -1), (line_of(text, offset) + 1).cast("int"))
-    return F.trim(F.substring(line, 1, 200))
-
-
 def physical_lines(text: Column) -> Column:
     """Lines after the trailing empty ones are dropped; an empty text has one."""
     cut = F.regexp_replace(text, "\n+$", "")

@@ -5,16 +5,18 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from codeseam.operators.shared import stem
+
 
 def merge_adjacent(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     """Islands (keys, island_start, island_end, pieces) of spans that touch or overlap, by a running end within each key."""
     order = Window.partitionBy(*keys).orderBy(start, end)
     reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = (reach.isNull() | (F.col(start) > reach)).cast("int")
-    numbered = df.withColumn("__fresh", fresh).withColumn("__island", F.sum("__fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "__island").agg(
-        F.min(start).alias("island_start"), F.max(end).alias("island_end"), F.count("*").alias("pieces")
-    ).drop("__island")
+    own = stem(df, "of")
+    opens, island = f"{own}opens", f"{own}island"
+    numbered = df.withColumn(opens, (reach.isNull() | (F.col(start) > reach)).cast("int"))
+    numbered = numbered.withColumn(island, F.sum(opens).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, island).agg(F.min(start).alias("island_start"), F.max(end).alias("island_end"), F.count("*").alias("pieces")).drop(island)
 
 
 def bottom_up(df: DataFrame, file: str = "file", line: str = "line", column: str = "col") -> DataFrame:

@@ -8,15 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from codeseam.operators.shared import fresh, stem
+
 
 def containing(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, cell: int) -> DataFrame:
     """Every (point, interval) with start <= at < end under one key."""
-    cut = intervals.filter(F.col(start) < F.col(end)).withColumn(
-        "__cell", F.explode(F.sequence(F.floor(F.col(start) / cell), F.floor((F.col(end) - 1) / cell)))
-    )
-    return points.withColumn("__cell", F.floor(F.col(at) / cell)).join(cut, [key, "__cell"]).filter(
-        (F.col(start) <= F.col(at)) & (F.col(at) < F.col(end))
-    ).drop("__cell")
+    own = stem(intervals, stem(points, "cell"))
+    cut = intervals.filter(F.col(start) < F.col(end)).withColumn(own, F.explode(F.sequence(F.floor(F.col(start) / cell), F.floor((F.col(end) - 1) / cell))))
+    return points.withColumn(own, F.floor(F.col(at) / cell)).join(cut, [key, own]).filter((F.col(start) <= F.col(at)) & (F.col(at) < F.col(end))).drop(own)
 
 
 def innermost(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, cell: int, point_id: list[str], keep: list[str]) -> DataFrame:
@@ -30,16 +29,17 @@ def innermost(points: DataFrame, intervals: DataFrame, key: str, at: str, start:
 
 
 def longest_prefix(df: DataFrame, name: str, names: DataFrame, known: str, separator: str = ".") -> DataFrame:
-    """``df`` with ``match``: the longest of ``names``' values that is the name or a leading run of its parts; null: none.
+    """``df`` with ``match`` (``match_`` where that is taken): the longest of ``names``' values that is the name or a leading run of its parts; null: none.
 
     Each name gives its prefixes, which meet the known values by equality.
     """
-    parts = F.split(F.col("__name"), f"[{separator}]", -1)
-    distinct = df.select(F.col(name).alias("__name")).filter("__name is not null").distinct()
+    own, match = stem(df, "of"), fresh(df, "match")
+    whole, prefix = F.col(f"{own}name"), f"{own}prefix"
+    parts = F.split(whole, f"[{separator}]", -1)
+    distinct = df.select(F.col(name).alias(f"{own}name")).filter(whole.isNotNull()).distinct()
     prefixes = distinct.select(
-        "__name",
-        F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), separator))).alias("__prefix"),
+        whole, F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), separator))).alias(prefix)
     )
-    hits = prefixes.join(names.select(F.col(known).alias("__prefix")).distinct(), "__prefix")
-    best = hits.groupBy("__name").agg(F.max_by("__prefix", F.length("__prefix")).alias("match"))
-    return df.join(best, df[name] == best["__name"], "left").drop("__name")
+    hits = prefixes.join(names.select(F.col(known).alias(prefix)).distinct(), prefix)
+    best = hits.groupBy(f"{own}name").agg(F.max_by(prefix, F.length(prefix)).alias(match))
+    return df.join(best, F.col(name) == whole, "left").drop(f"{own}name")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from codeseam.operators.shared import stem, written
 
-HOW = ("sum", "last", "max")
+HOW = ("sum", "last", "max", "min", "lag")
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, str]]) -> DataFrame:
@@ -19,7 +19,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str,
 
     ``values`` maps a new column to (column, how).  ``sum``: of this row and those before it, nulls count nothing, null
     before the first value.  ``last``: the last value that isn't null, of this row or those before it.  ``max``: the
-    largest so far.  Rows that tie in ``order`` come in an arbitrary order.  No keys: one group of all rows.  Null keys
+    largest so far, ``min``: the least.  ``lag``: that of the row before, for columns without nulls.  Rows that tie in ``order`` come in an arbitrary order.  No keys: one group of all rows.  Null keys
     are one group.  Empty tables stay empty; a new column takes the place of an old one of its name.
     """
     x = stem(df, "_r")
@@ -37,9 +37,14 @@ def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str,
             in_range = F.max_by(value, F.when(value.isNotNull(), F.struct(*order, tie)))
             before_range, here = F.last(own, ignorenulls=True).over(before), F.last(value, ignorenulls=True).over(inside)
             made[name] = F.coalesce(f"{x}here{k}", carry)
-        elif how == "max":
-            in_range, before_range, here = F.max(value), F.max(own).over(before), F.max(value).over(inside)
-            made[name] = F.greatest(f"{x}here{k}", carry)
+        elif how == "lag":
+            in_range = F.max_by(value, F.struct(*order, tie))
+            before_range, here = F.last(own).over(before), F.lag(value).over(Window.partitionBy(part, *keys).orderBy(*order, tie))
+            made[name] = F.coalesce(f"{x}here{k}", carry)
+        elif how in ("max", "min"):
+            most, one = (F.max, F.greatest) if how == "max" else (F.min, F.least)
+            in_range, before_range, here = most(value), most(own).over(before), most(value).over(inside)
+            made[name] = one(f"{x}here{k}", carry)
         else:
             in_range, before_range, here = F.sum(value), F.sum(own).over(before), F.sum(value).over(inside)
             made[name] = F.coalesce(F.col(f"{x}here{k}") + carry, carry, f"{x}here{k}")

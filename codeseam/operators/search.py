@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from codeseam.operators.shared import fresh, stem
+
 
 class InvalidParameter(ValueError):
     """A parameter outside what an operator accepts."""
@@ -21,14 +23,15 @@ def checked_limit(k: int, cap: int | None = None) -> int:
 
 
 def with_total(shown: DataFrame, df: DataFrame) -> DataFrame:
-    """``shown``, a few rows of ``df``, and in ``total`` the number of all.
+    """``shown``, a few rows of ``df``, and in ``total`` (``total_`` where that is taken) the number of all.
 
     Where there are rows but none is shown, one row of nulls carries the total; no rows at all give no row.
     """
-    total = df.agg(F.count("*").alias("total"))
+    mark, total = fresh(shown, "shown"), fresh(shown, "total")
+    count = df.agg(F.count("*").alias(total))
     # one row against the at most k that are shown
-    both = total.join(F.broadcast(shown.withColumn("__shown", F.lit(True))), F.lit(True), "left").filter("__shown or total > 0")
-    return both.select(*shown.columns, "total")
+    both = count.join(F.broadcast(shown.withColumn(mark, F.lit(True))), F.lit(True), "left").filter(F.col(mark) | (F.col(total) > 0))
+    return both.select(*(F.col(c) for c in shown.columns), total)
 
 
 def top_with_total(df: DataFrame, order: list[Column], k: int) -> DataFrame:
@@ -37,14 +40,21 @@ def top_with_total(df: DataFrame, order: list[Column], k: int) -> DataFrame:
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, total: str | None = "total", rank: str = "rank") -> DataFrame:
-    """The first ``k`` rows of each group with their rank, and each group's size.
+    """The first ``k`` rows of each group with their rank, and each group's size; null keys are groups like others.
 
     The rank filter is pushed before the shuffle as a group limit; sizes are counted map-side, so no group is gathered.
+    Where ``df`` has a column named like one of the new ones, the new one's name gets an underscore.
     """
+    rank = fresh(df, rank)
     ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= checked_limit(k))
     if not total:
         return ranked
-    return ranked.join(df.groupBy(*keys).agg(F.count("*").alias(total)), keys)
+    total, own = fresh(ranked, total), stem(ranked, "of")
+    sizes = df.groupBy(*(F.col(c).alias(f"{own}{n}") for n, c in enumerate(keys))).agg(F.count("*").alias(total))
+    met = F.lit(True)
+    for n, c in enumerate(keys):
+        met = met & F.col(c).eqNullSafe(F.col(f"{own}{n}"))
+    return ranked.join(sizes, met).select(*keys, *(F.col(c) for c in ranked.columns if c not in keys), total)
 
 
 def page(df: DataFrame, order: list[Column], offset: int, k: int) -> DataFrame:
@@ -55,7 +65,8 @@ def page(df: DataFrame, order: list[Column], offset: int, k: int) -> DataFrame:
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    return top_per_group(df, keys, order, 1, total=None, rank="__first").drop("__first")
+    place = fresh(df, "first")
+    return top_per_group(df, keys, order, 1, total=None, rank=place).drop(place)
 
 
 def capped_counts(df: DataFrame, key: str, k: int) -> DataFrame:

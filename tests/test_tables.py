@@ -159,11 +159,11 @@ def test_plans_push_down_and_avoid_cartesian_products(spark):
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
-@pytest.mark.parametrize("source", ["fixture_queries", "zoo_queries"])
+@pytest.mark.parametrize("source", ["shop_projects", "zoo_projects", "program_graph"])
 def test_project_queries_equal_their_rows(spark, duck, source):
     import importlib
 
-    module = importlib.import_module(f"codeseam.plans.{source}")
+    module = importlib.import_module(source)
     for name, build in module.QUERIES.items():
         got, want = build(spark, DATA).toPandas(), duck.execute(module.SQL[name]).df()
         columns = sorted(got.columns)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codeseam.plans import tools
-from codeseam.plans.fixture_queries import values
+from shop_projects import values
 from codeseam.plans.resolve import Resolved
 from codeseam.sources import tree
 
