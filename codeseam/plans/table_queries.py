@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from codeseam.functions import text as T
-from codeseam.operators import diff, edits, graph, interval, metrics, search
+from codeseam.operators import cycles, diff, edits, graph, interval, metrics, search
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Members of a component are listed in one row up to so many.
+LISTED = 1000
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
@@ -122,15 +124,14 @@ def graph_affected_roots(spark, sf_dir):
 @query(
     f"WITH RECURSIVE {MOVES}, d AS (SELECT DISTINCT src, dst FROM e), c AS (SELECT src AS a, dst AS b FROM d UNION SELECT c.a, d.dst FROM c JOIN d ON d.src = c.b), "
     "m AS (SELECT x.a AS node, min(x.b) AS component FROM c x JOIN c y ON x.a = y.b AND x.b = y.a GROUP BY 1) "
-    "SELECT component, count(*) AS size, CASE WHEN count(*) <= 2 THEN 'medium' ELSE 'high' END AS severity, string_agg(node, ',' ORDER BY node) AS members "
+    "SELECT component, count(*) AS size, CASE WHEN count(*) <= 2 THEN 'medium' ELSE 'high' END AS severity, CASE WHEN count(*) <= 1000 THEN string_agg(node, ',' ORDER BY node) END AS members "
     "FROM m GROUP BY component HAVING count(*) > 1"
 )
 def graph_scc(spark, sf_dir):
     found = graph.strong_components(moves(spark, sf_dir))
     size = F.count("*")
-    return found.groupBy("component").agg(
-        size.alias("size"), F.when(size <= 2, "medium").otherwise("high").alias("severity"), F.array_join(F.array_sort(F.collect_list("node")), ",").alias("members")
-    )
+    sizes = found.groupBy("component").agg(size.alias("size"), F.when(size <= 2, "medium").otherwise("high").alias("severity"))
+    return sizes.join(cycles.listed(found, "component", "node", "node", LISTED, "members"), "component", "left")
 
 
 @query(

@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from codeseam.functions import fixed, text as T
-from codeseam.operators import graph, search
-from codeseam.operators.interval import longest_prefix
+from codeseam.operators import cycles, graph, search
+from codeseam.operators.interval import innermost, longest_prefix
 from codeseam.operators.metrics import RISK, bucket
 from codeseam.operators.search import InvalidParameter, checked_limit
 from codeseam.operators.shared import settled
@@ -79,13 +79,29 @@ def symbol_at(r: Resolved, file: str, line: int, column: int) -> str:
     return found["key"]
 
 
+#: Syntax nodes whose declarations are not seen outside of them.
+BLOCKS = (
+    "Block", "ForStatement", "EnhancedForStatement", "TryStatement", "CatchClause", "SwitchStatement", "SwitchExpression", "Lambda",
+)
+#: Cells by which intervals of one file meet.
+CELL = 4096
+
+
 def bindings(r: Resolved, file: str, method: str, name: str) -> DataFrame:
-    """(bound, start, length, line, col, access) of a local name in a method: each use is bound to the last declaration
-    of its name before it, and a declaration to itself (access null)."""
-    here = (F.col("file") == file) & (F.col("method_key") == method) & (F.col("name") == name)
-    v = r.raw("variables", file).filter(here).select("start", F.length("name").alias("length"), "line", "col")
-    u = r.raw("variable_uses", file).filter(here).select("start", "length", "line", "col", "access")
-    uses = u.join(v.select(F.col("start").alias("bound")), F.col("bound") <= F.col("start")).groupBy(*u.columns).agg(F.max("bound").alias("bound"))
+    """(bound, start, length, line, col, access) of a local name in a method: each use is bound to the innermost declaration
+    of its name that holds there, and a declaration to itself (access null).
+
+    A declaration holds from its place to the end of the innermost block, loop, lambda or the like around it, a parameter's
+    to the end; so names of blocks beside each other are told apart.
+    """
+    here = (F.col("file") == file) & (F.col("method_key") == method)
+    v = r.raw("variables", file).filter(here & (F.col("name") == name)).select("start", F.length("name").alias("length"), "line", "col")
+    u = r.raw("variable_uses", file).filter(here & (F.col("name") == name)).select("start", "length", "line", "col", "access")
+    blocks = r.raw("nodes", file).filter(here & F.col("kind").isin(*BLOCKS)).select(F.lit(0).alias("k"), F.col("start").alias("from"), (F.col("start") + F.col("length")).alias("end"))
+    inside = innermost(v.select(F.lit(0).alias("k"), "start"), blocks, "k", "start", "from", "end", CELL, ["start"], ["end"])
+    last = u.agg(F.coalesce(F.max("start") + 1, F.lit(0)).alias("last"))  # one row
+    held = v.join(inside, "start", "left").crossJoin(F.broadcast(last)).select(F.lit(0).alias("k"), F.col("start").alias("bound"), F.coalesce("end", "last").alias("until"))
+    uses = innermost(u.withColumn("k", F.lit(0)), held, "k", "start", "bound", "until", CELL, u.columns, ["bound"])
     own = v.select(F.col("start").alias("bound"), *v.columns, F.lit(None).cast("string").alias("access"))
     return own.unionByName(uses.select(*own.columns))
 
@@ -510,13 +526,24 @@ def analyze_change_impact(r: Resolved, file: str, line: int, column: int, depth:
 
 @tool
 def find_circular_dependencies(r: Resolved, package_filter: str | None = None, max_cycle_length: int = 10) -> DataFrame:
-    """Packages that import each other: (component, members, size, severity)."""
+    """Packages that import each other: (component, size, members, path, length, severity), by component.
+
+    ``path`` is a shortest cycle through the least package, which it names at both ends.  Only components of at most
+    ``max_cycle_length`` packages are shown, and only those are gathered.
+    """
     e = package_edges(r)
     if package_filter:
         e = e.filter(F.startswith("src", F.lit(package_filter)) & F.startswith("dst", F.lit(package_filter)))
-    size = F.count("*")
-    found = graph.strong_components(e.select("src", "dst")).groupBy("component").agg(size.alias("size"), F.array_join(F.array_sort(F.collect_list("node")), ",").alias("members"))
-    return found.filter(F.col("size") <= max_cycle_length).withColumn("severity", F.when(F.col("size") <= 2, "medium").otherwise("high")).orderBy("component")
+    found = graph.strong_components(e.select("src", "dst"))
+    sizes = found.groupBy("component").agg(F.count("*").alias("size")).filter(F.col("size") <= max_cycle_length)
+    found = settled(found.join(sizes.select("component"), "component", "left_semi"))
+    steps = settled(cycles.shortest_cycles(e, found))
+    paths = cycles.listed(steps, "component", "node", "position", max_cycle_length, "path", " -> ")
+    members = cycles.listed(found, "component", "node", "node", max_cycle_length, "members")
+    lengths = steps.filter("position = 0").select("component", "length")
+    rows = sizes.join(members, "component").join(paths, "component").join(lengths, "component")
+    rows = rows.withColumn("path", F.concat_ws(" -> ", "path", "component"))
+    return rows.withColumn("severity", F.when(F.col("size") <= 2, "medium").otherwise("high")).select("component", "size", "members", "path", "length", "severity").orderBy("component")
 
 
 def package_edges(r: Resolved) -> DataFrame:
