@@ -9,6 +9,7 @@ text.  A detection is suppressed when a better one (higher priority, then longer
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -102,54 +103,50 @@ def folded(text: Column) -> Column:
     return F.translate(text, _ASCII, _FOLDED)
 
 
-def _marked(label: str):
-    return lambda p: F.struct(p.alias("at"), F.lit(label).alias("label"))
+def _places(width: int, n_words: Column) -> Callable[[Column], Column]:
+    """(n, first, last) of what separates the pieces of a text, ``width`` words each time."""
 
+    def of(pieces: Column) -> Column:
+        n, count = F.size(pieces) - 1, lambda k: F.regexp_count(F.element_at(pieces, F.lit(k)), F.lit("[^ ]+"))
+        first, last = F.when(n > 0, count(1)), F.when(n > 0, n_words - count(-1) - width)
+        return F.struct(n.cast("bigint").alias("n"), first.cast("bigint").alias("first"), last.cast("bigint").alias("last"))
 
-def _base_starts(words: Column) -> Column:
-    """Word positions where a base phrase stands, with its label, from folded text."""
-    found = []
+    return of
+
+
+def _base_places(words: Column, n_words: Column) -> list[tuple[str, Column]]:
+    """For each base phrase its label and (n, first, last): how often it stands in folded text, and its first and last word
+    position (null: nowhere).
+
+    The text is cut at the phrase.  What lies before the first cut and after the last one tells both positions, so the work
+    is in proportion to the text however often the phrase stands there.
+    """
+    # two spaces between words, so that places beside each other don't share one
+    spaced = F.regexp_replace(F.concat(F.lit(" "), words, F.lit(" ")), " +", "  ")
+    out = []
     for phrase, label in BASE:
-        # The text before the k-th place of the phrase holds as many spaces as words precede it.
-        spaced = F.regexp_replace(F.concat(F.lit(" "), words, F.lit(" ")), " +", "  ")
         pieces = F.split(spaced, f" {phrase.replace(' ', '  ')} ", -1)
-        step = len(phrase.split()) - 1
-        # a piece starts with the space left over, so its spaces are two for every word begun
-        run = F.aggregate(
-            pieces,
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-            lambda acc, piece: F.struct(
-                (acc["at"] + F.size(F.filter(F.split(piece, " "), lambda w: w != "")) + step + 1).alias("at"),
-                F.concat(acc["starts"], F.array(acc["at"] + F.size(F.filter(F.split(piece, " "), lambda w: w != "")))).alias("starts"),
-            ),
-        )["starts"]
-        starts = F.slice(run, 1, F.size(pieces) - 1)
-        found.append(F.transform(starts, _marked(label)))
-    return F.concat(*found)
+        # an array of one, so that the text is cut once
+        out.append((label, F.element_at(F.transform(F.array(pieces), _places(len(phrase.split()), n_words)), 1)))
+    return out
 
 
 def detections(df: DataFrame, id_col: str, text_col: str, table: list[Rule] | None = None) -> DataFrame:
     """(id, label, rule_id, priority, weight, start, end, matched): the detections left after suppression."""
     table = table if table is not None else rules()
-    row = lambda r: F.struct(
-        F.lit(r.keyword).alias("keyword"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.label).alias("label"),
-        F.lit("(?is)" + r.regex).alias("regex"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"),
-    )
-    book = df.sparkSession.range(1).select(F.inline(F.array(*map(row, table))))  # as many rows as there are rules
+    rows = [(r.keyword, r.rule_id, r.label, "(?is)" + r.regex, r.priority, r.weight) for r in table]
+    # as many rows as there are rules
+    book = df.sparkSession.createDataFrame(rows, "keyword string, rule_id int, label string, regex string, priority int, weight double")
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), folded(F.col(text_col)).alias("low"))
     texts = texts.filter(gate(F.col("low"), table))
     runs = texts.select("id", "t", F.explode(_held(F.col("low"), table)).alias("keyword")).join(F.broadcast(book), "keyword")
     runs = runs.withColumn("hits", F.expr("regexp_extract_all(t, regex, 0)")).filter("size(hits) > 0")
     runs = runs.withColumn("gaps", F.expr("split(t, regex, -1)"))
-    spans = F.expr(
-        "aggregate(sequence(0, size(hits) - 1), struct(0 as at, cast(array() as array<struct<s:int,e:int>>) as spans), "
-        "(acc, i) -> struct(acc.at + length(gaps[i]) + length(hits[i]) as at, concat(acc.spans, array(struct("
-        "acc.at + length(gaps[i]) as s, acc.at + length(gaps[i]) + length(hits[i]) as e))) as spans)).spans"
-    )
-    found = runs.select("id", "label", "rule_id", "priority", "weight", F.explode(F.arrays_zip(spans.alias("span"), "hits")).alias("x"))
-    found = found.select(
-        "id", "label", "rule_id", "priority", "weight", F.col("x.span.s").alias("start"), F.col("x.span.e").alias("end"), F.col("x.hits").alias("matched")
-    )
+    # a hit starts behind all gaps up to its own and all hits before it: a running sum over the hits of a text and rule
+    cut = runs.select("id", "label", "rule_id", "priority", "weight", F.posexplode(F.arrays_zip("gaps", "hits")).alias("k", "x")).filter("x.hits is not null")
+    length = F.length("x.gaps") + F.length("x.hits")
+    upto = F.sum(length).over(Window.partitionBy("id", "rule_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    found = cut.repartition("id").select("id", "label", "rule_id", "priority", "weight", (upto - F.length("x.hits")).alias("start"), upto.alias("end"), F.col("x.hits").alias("matched"))
     return suppress(found, sorted({r.priority for r in table}))
 
 
@@ -185,14 +182,11 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "doc_id", "t", "low", F.regexp_count("low", F.lit("[^ ]+")).cast("bigint").alias("n_words"), gate(F.col("low"), table).alias("open")
     )
     base_gate = "|".join(f"(?<![^ ]){p.replace(' ', ' +')}(?![^ ])" for p, _ in BASE)
-    marks = F.when(F.col("open") & F.col("low").rlike(base_gate), _base_starts(F.col("low"))).otherwise(
-        F.array().cast("array<struct<at:int,label:string>>")
-    )
+    near = F.col("open") & F.col("low").rlike(base_gate)
+    places = [F.when(near, found).alias(label) for label, found in _base_places(F.col("low"), F.col("n_words"))]
     facts = written(
         spark,
-        rows.select(
-            F.monotonically_increasing_id().alias("__row"), "doc_id", "n_words", marks.alias("marks"), F.when(F.col("open"), F.col("t")).alias("t")
-        ),
+        rows.select(F.monotonically_increasing_id().alias("__row"), "doc_id", "n_words", F.struct(*places).alias("base"), F.when(F.col("open"), F.col("t")).alias("t")),
         "licence-facts",
     )
     labels = detections(facts.filter("t is not null"), "__row", "t", table).groupBy("id", "label").agg(
@@ -200,13 +194,14 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ).groupBy("id").agg(
         F.collect_set("label").alias("found"), F.sum("n").alias("n"), (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("weight"), F.lit(1e-6)))))).alias("sure")
     )
-    base = F.array_sort(F.array_distinct(F.col("marks.label")))
+    of = {label: F.col(f"base.`{label}`") for _, label in BASE}
+    base = F.array_sort(F.array_compact(F.array(*(F.when(x["n"] > 0, label) for label, x in of.items()))))
     return facts.join(labels, F.col("__row") == F.col("id"), "left").select(
         "doc_id",
         "n_words",
-        F.size("marks").cast("bigint").alias("n_base"),
-        F.array_min("marks.at").cast("bigint").alias("first_word"),
-        F.array_max("marks.at").cast("bigint").alias("last_word"),
+        sum((F.coalesce(x["n"], F.lit(0)) for x in of.values()), F.lit(0)).cast("bigint").alias("n_base"),
+        F.least(*(x["first"] for x in of.values())).alias("first_word"),
+        F.greatest(*(x["last"] for x in of.values())).alias("last_word"),
         F.array_join(base, ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union(base, F.coalesce("found", F.array().cast("array<string>")))), ",").alias("labels"),
         F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("sure", F.lit(0.0)))).alias("score"),
