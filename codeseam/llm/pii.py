@@ -1,9 +1,12 @@
 """Surrogates for personal data and secrets.
 
 Entities are found by patterns opened by cheap substring tests.  Each gets a keyed replacement of its own type, script,
-gender and format: a name with another gender is another entity; digits stay digits, card numbers keep their length, brand digit and check digit, addresses fall in
-reserved ranges, names follow the title's gender and the letters' script.  The same entity gets the same surrogate
-everywhere (email domains and name parts have surrogates of their own, so partial mentions agree).
+gender and format: digits stay digits, card numbers keep their length, brand digit and check digit, addresses fall in
+reserved ranges, names follow the letters' script and the gender that titles tell.  The same entity gets the same surrogate
+everywhere (email domains and name parts have surrogates of their own, so partial mentions agree).  A name is one entity
+under whatever title: its gender is the one that any mention in the corpus tells, and none where they tell both.
+Persons are found after a title, and where the name comes again; names with an apostrophe after one letter aren't, nor are
+IPv6 addresses.
 
 *Collision checks.*  A first pass gathers, for every distinct entity, keyed digests of itself and of its first
 ``ATTEMPTS`` possible surrogates (no plain text leaves the task).  Where two entities would share a surrogate, or a
@@ -300,44 +303,54 @@ def digest(kind: str, name: str, key: bytes) -> bytes:
     return blake2b(f"{kind}\x1f{name}".encode(), key=key[:64], digest_size=16).digest()
 
 
-def entity_key(kind: str, raw: str, detail: str, key: bytes) -> bytes:
-    """What has one surrogate: for a name, the name and the gender that its surrogate follows."""
-    return digest(kind, f"{raw.casefold()}\x1f{detail}" if kind == "name" else canonical(kind, raw), key)
-
-
-def written_key(kind: str, raw: str, key: bytes) -> bytes:
-    """What readers take for one entity, whatever its key: no surrogate may be equal to it."""
+def entity_key(kind: str, raw: str, key: bytes) -> bytes:
+    """What readers take for one entity and what has one surrogate: for a name, the name under whatever title and case."""
     return digest(kind, raw.casefold() if kind == "name" else canonical(kind, raw), key)
 
 
 def surrogate_key(kind: str, raw: str, detail: str, attempt: int, key: bytes) -> bytes:
-    return written_key(kind, surrogate(kind, raw, detail, attempt, key), key)
+    return entity_key(kind, surrogate(kind, raw, detail, attempt, key), key)
+
+
+#: What a mention's title tells; a name's surrogates are made for each, since only all mentions tell which it is.
+GENDERS = ("", "m", "f")
+
+
+def settled_gender(told: set[str]) -> str:
+    """One gender for all mentions of a name: the one that any of them tells, none where they tell both."""
+    known = told - {""}
+    return known.pop() if len(known) == 1 else ""
 
 
 # ---------------------------------------------------------------- the corpus
 
 
 def entities(df: DataFrame, text_col: str, key: bytes, start: int = 0) -> DataFrame:
-    """(key, made, real): digests of each distinct entity, of its ``ATTEMPTS`` possible surrogates from attempt ``start``
-    and of what is written for it."""
-    schema = pa.schema([("key", pa.binary()), ("made", pa.list_(pa.binary())), ("real", pa.binary())])
+    """(key, made, gender, mixed): digests of each distinct entity and of its ``ATTEMPTS`` possible surrogates from attempt
+    ``start``; for names the place in ``GENDERS`` of the one that all mentions together tell, and whether some tell another."""
+    schema = pa.schema([("key", pa.binary()), ("made", pa.list_(pa.binary())), ("told", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
             found: dict[bytes, list[bytes]] = {}
-            real: dict[bytes, bytes] = {}
+            told: dict[bytes, int] = {}
             for text in (t for part in slices([batch]) for t in part.column(0).to_pylist()):
                 for a, b, kind, detail in find(text or ""):
                     raw = text[a:b]
-                    k = entity_key(kind, raw, detail, key)
+                    k = entity_key(kind, raw, key)
+                    told[k] = told.get(k, 0) | (1 << GENDERS.index(detail))
                     if k not in found:
-                        real[k] = written_key(kind, raw, key)
-                        found[k] = [surrogate_key(kind, raw, detail, n, key) for n in range(start, start + ATTEMPTS)]
-            yield record_batch(schema, list(found), list(found.values()), list(real.values()))
+                        kinds = GENDERS if kind == "name" else ("",)
+                        found[k] = [surrogate_key(kind, raw, g, n, key) for g in kinds for n in range(start, start + ATTEMPTS)]
+            yield record_batch(schema, list(found), list(found.values()), list(told.values()))
 
-    rows = df.select(F.col(text_col).alias("t")).mapInArrow(run, "key binary, made array<binary>, real binary")
-    return rows.groupBy("key").agg(F.min("made").alias("made"), F.min("real").alias("real"))
+    rows = df.select(F.col(text_col).alias("t")).mapInArrow(run, "key binary, made array<binary>, told int")
+    rows = rows.groupBy("key").agg(F.min("made").alias("made"), F.bit_or("told").alias("told"))
+    known = F.col("told").bitwiseAND(F.lit(6))
+    gender = F.when(known == 2, 1).when(known == 4, 2).otherwise(0)
+    made = F.when(F.size("made") > ATTEMPTS, F.slice("made", gender * ATTEMPTS + 1, ATTEMPTS)).otherwise(F.col("made"))
+    return rows.select("key", made.alias("made"), gender.alias("gender"), (~F.col("told").isin(1, 2, 4)).alias("mixed"))
 
 
 def settle(spark: SparkSession, found: DataFrame, later: Callable[[int], DataFrame] | None = None) -> DataFrame:
@@ -345,9 +358,8 @@ def settle(spark: SparkSession, found: DataFrame, later: Callable[[int], DataFra
 
     ``later`` gives (key, made) from an attempt on; it is asked only where the attempts of ``found`` do not suffice.
     """
-    now = written(spark, found.withColumn("attempt", F.lit(0)).withColumn("start", F.lit(0)), "pii-entities")
-    keys = now.select(F.col("real" if "real" in found.columns else "key").alias("now")).distinct()
-    now = now.select("key", "made", "attempt", "start")
+    now = written(spark, found.select("key", "made", F.lit(0).alias("attempt"), F.lit(0).alias("start")), "pii-attempts")
+    keys = now.select(F.col("key").alias("now")).distinct()  # no surrogate may be what is written somewhere
     while True:
         now_at = now.withColumn("now", F.element_at("made", F.col("attempt") - F.col("start") + 1))
         order = Window.partitionBy("now").orderBy("attempt", "key")
@@ -384,13 +396,14 @@ def _replacer(names: list[str], where: int, key: bytes, attempts: Callable[[], d
             moved = batch.column(moved_at).to_pylist() if moved_at is not None else None
             for i, text in enumerate(batch.column(where).to_pylist()):
                 spans = find(text or "")
-                own = dict(moved[i] or ()) if moved else sent
+                own = {k: (x["attempt"], x["gender"]) for k, x in moved[i] or ()} if moved else sent
                 parts, at, size, places = [], 0, 0, []
                 for a, b, kind, detail in spans:
                     raw = text[a:b]
                     made = memo.get((kind, raw, detail)) if not moved else None
                     if made is None:
-                        made = surrogate(kind, raw, detail, own.get(entity_key(kind, raw, detail, key), 0), key)
+                        attempt, gender = own.get(entity_key(kind, raw, key), (0, None))
+                        made = surrogate(kind, raw, detail if gender is None else GENDERS[gender], attempt, key)
                         if len(memo) > 100_000:
                             memo.clear()
                         memo[(kind, raw, detail)] = made
@@ -423,15 +436,19 @@ def surrogates(
 
     names, key = df.columns, key or session_key(spark)
     where = names.index(text_col)
-    found = []
+    added = []
     if report:
         place = StructType([StructField("type", StringType()), StructField("start", LongType()), StructField("end", LongType())])
-        found = [StructField(report[0], LongType()), StructField(report[1], ArrayType(place))]
-    schema = StructType([*(StructField(f.name, f.dataType, True) for f in df.schema.fields), *found])
-    moved = settle(spark, entities(df, text_col, key), lambda start: entities(df, text_col, key, start))
+        added = [StructField(report[0], LongType()), StructField(report[1], ArrayType(place))]
+    schema = StructType([*(StructField(f.name, f.dataType, True) for f in df.schema.fields), *added])
+    found = written(spark, entities(df, text_col, key), "pii-entities")
+    moved = settle(spark, found, lambda start: entities(df, text_col, key, start))
+    # where mentions tell different genders, the settled one travels too; elsewhere each mention tells it
+    mixed = found.filter("mixed").select("key", "gender")
+    moved = written(spark, moved.join(mixed, "key", "full").select("key", F.coalesce("attempt", F.lit(0)).alias("attempt"), "gender"), "pii-moved")
     few = moved.limit(sent + 1).collect()
     if len(few) <= sent:  # bounded: at most `sent` digests and numbers
-        table = spark.sparkContext.broadcast({bytes(r["key"]): r["attempt"] for r in few})
+        table = spark.sparkContext.broadcast({bytes(r["key"]): (r["attempt"], r["gender"]) for r in few})
         return df.mapInArrow(_replacer(names, where, key, lambda: table.value, None, report), schema)
     uid, moves = fresh(df, "uid"), fresh(df, "moves")
     rows = written(spark, df.withColumn(uid, F.monotonically_increasing_id()), "pii-docs")
@@ -439,11 +456,11 @@ def surrogates(
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {(u, entity_key(k, t[a:b], d, key)) for u, t in zip(*(c.to_pylist() for c in batch.columns)) for a, b, k, d in find(t or "")}
+            out = {(u, entity_key(k, t[a:b], key)) for u, t in zip(*(c.to_pylist() for c in batch.columns)) for a, b, k, _ in find(t or "")}
             yield record_batch(listing, *(zip(*out) if out else ([], [])))
 
     own = rows.select(uid, F.col(text_col).alias("t")).mapInArrow(keys, "uid bigint, key binary").join(moved, "key")
-    own = own.groupBy(F.col("uid").alias(uid)).agg(F.map_from_entries(F.collect_list(F.struct("key", "attempt"))).alias(moves))
+    own = own.groupBy(F.col("uid").alias(uid)).agg(F.map_from_entries(F.collect_list(F.struct("key", F.struct("attempt", "gender")))).alias(moves))
     joined = rows.join(own, uid, "left").select(*names, moves)
     return joined.mapInArrow(_replacer(names, where, key, dict, len(names), report), schema)
 

@@ -694,14 +694,18 @@ KEY = b"test"
 
 
 def settled_by_hand(texts):
-    """Attempts of all entities: whoever's surrogate is taken or stands in the corpus moves on, until none does."""
-    from codeseam.llm.pii import entity_key, find, surrogate_key, written_key
+    """(attempt, gender) of all entities: whoever's surrogate is taken or stands in the corpus moves on, until none does."""
+    from codeseam.llm.pii import entity_key, find, surrogate_key
 
-    held, real = {}, set()
+    said, raws = defaultdict(set), {}
     for text in texts:
         for a, b, kind, detail in find(text or ""):
-            held.setdefault(entity_key(kind, text[a:b], detail, KEY), (kind, text[a:b], detail))
-            real.add(written_key(kind, text[a:b], KEY))
+            k = entity_key(kind, text[a:b], KEY)
+            said[k].add(detail)
+            raws.setdefault(k, (kind, text[a:b]))
+    real = set(raws)
+    gender = {k: "".join(told - {""}) if len(told - {""}) == 1 else "" for k, told in said.items()}
+    held = {k: (*raw, gender[k]) for k, raw in raws.items()}
     attempt = dict.fromkeys(held, 0)
     while True:
         by = defaultdict(list)
@@ -709,7 +713,7 @@ def settled_by_hand(texts):
             by[surrogate_key(*own, attempt[k], KEY)].append((attempt[k], k))
         clash = [k for made, keys in by.items() for _, k in sorted(keys)[0 if made in real else 1 :]]
         if not clash:
-            return attempt
+            return attempt, gender
         for k in clash:
             attempt[k] += 1
 
@@ -726,13 +730,14 @@ def test_surrogates_match_brute_force(spark):
 
     texts = [" ".join(one() + rng.choice([". ", ", ", " and "]) + prose(rng, 3) for _ in range(rng.randrange(6))) for _ in range(120)]
     texts += [None, "", " ".join(f"call +1{k:03d}," for k in range(1000)) + " Mr Kim" * 3000]
-    attempt = settled_by_hand(texts)
+    attempt, gender = settled_by_hand(texts)
     assert max(attempt.values()) > 1
     want = Counter()
     for text in texts:
         out, at = [], 0
-        for a, b, kind, detail in find(text or ""):
-            out += [text[at:a], surrogate(kind, text[a:b], detail, attempt[entity_key(kind, text[a:b], detail, KEY)], KEY)]
+        for a, b, kind, _ in find(text or ""):
+            k = entity_key(kind, text[a:b], KEY)
+            out += [text[at:a], surrogate(kind, text[a:b], gender[k], attempt[k], KEY)]
             at = b
         want[None if text is None else "".join([*out, text[at:]])] += 1
     df = spark.createDataFrame([(t, 1, "a", "b", "c") for t in texts], "text string, uid int, moves string, key string, count string")
@@ -823,18 +828,31 @@ def test_surrogates_never_run_out(spark):
 
 
 def test_every_surrogate_variant_is_checked(spark):
-    from codeseam.llm.pii import entities, surrogate, surrogate_key
+    from codeseam.llm.pii import GENDERS, entities, surrogate, surrogate_key
 
-    df = documents(spark, [(1, "Mr Kim"), (2, "Ms Kim"), (3, "Dr Kim"), (4, "MR KIM and Mr KIM"), (5, "+44 20 7946 0958"), (6, "+442079460958")])
+    df = documents(spark, [(1, "Mr Kim"), (2, "Dr Kim"), (4, "MR KIM and Mr KIM"), (5, "+44 20 7946 0958"), (6, "+442079460958"), (7, "Mr Lee"), (8, "Ms Lee")])
     rows = entities(df, "text", KEY).collect()
-    made = {bytes(r["made"][0]) for r in rows}
-    used = [("name", "Kim", "m"), ("name", "Kim", "f"), ("name", "Kim", ""), ("name", "KIM", "m"), ("phone", "+44 20 7946 0958", ""), ("phone", "+442079460958", "")]
-    assert {surrogate_key(k, raw, d, 0, KEY) for k, raw, d in used} == made and len(made) == 4
-    assert len({bytes(r["real"]) for r in rows}) == 2  # Kim is one name to collide with
-    assert re.sub(r"\D", "", surrogate(*used[4], 0, KEY)) == re.sub(r"\D", "", surrogate(*used[5], 0, KEY))
+    made = {bytes(r["made"][0]): (GENDERS[r["gender"]], r["mixed"]) for r in rows}
+    used = [("name", "Kim", "m"), ("name", "KIM", "m"), ("phone", "+44 20 7946 0958", ""), ("phone", "+442079460958", ""), ("name", "Lee", "")]
+    assert {surrogate_key(k, raw, d, 0, KEY) for k, raw, d in used} == set(made) and len(made) == 3
+    assert made[surrogate_key("name", "kim", "m", 0, KEY)] == ("m", True) and made[surrogate_key("name", "lee", "", 0, KEY)] == ("", True)
+    assert re.sub(r"\D", "", surrogate(*used[2], 0, KEY)) == re.sub(r"\D", "", surrogate(*used[3], 0, KEY))
     assert surrogate("name", "Straße", "m", 0, KEY).casefold() == surrogate("name", "STRASSE", "m", 0, KEY).casefold()
 
 
+def test_one_name_has_one_surrogate_under_all_titles(spark):
+    from codeseam.llm.pii import _SOUNDS, surrogates
+
+    rows = [(1, "Dr Jane Smith met Ms Smith. Smith left."), (2, "Prof SMITH"), (3, "Mr Kim and Dr Kim"), (4, "Mr Lee, Ms Lee and Lee"), (5, "Dr Bo")]
+    for sent in (1000, -1):
+        by = {r["doc_id"]: re.findall(r"\w+", r["text"]) for r in surrogates(spark, documents(spark, rows), key=KEY, sent=sent).collect()}
+        smith = by[1][2]
+        assert by[1][5] == by[1][6] == smith and by[2][1] == smith.upper() and smith not in ("Smith", by[1][1])
+        assert smith.lower().endswith(_SOUNDS["latin"][2]["f"])  # what one mention tells holds for all
+        assert by[3][1] == by[3][4] and by[3][1].lower().endswith(_SOUNDS["latin"][2]["m"])
+        assert by[4][1] == by[4][3] == by[4][5]
+
+
 # ---- op7
 
 
