@@ -8,8 +8,9 @@ tokens fall, by a fixed function of their spelling, in one of ``RARE`` rare clas
 probability (c + 1) / (N_r + V_r + 1) from the full counts, so the model's distribution covers every token.
 
 *The network* (GRU; truncated backpropagation in numpy with state carried across windows) predicts a frequency class,
-then the output within it.  It learns from every training text, whole: each task trains a copy of the network on all its
-rows, the copies are averaged by their tokens, and the next part of the rows goes on from there.
+then the output within it.  It learns from every training text, whole: the texts are dealt by
+hash to as many copies of the network as they have tokens for, however the rows lay, in rounds; after each round the copies
+are averaged by their tokens and the next part of the texts goes on from there.
 
 *Scoring* reads whole texts: windows of ``WINDOW`` steps with the state carried from one to the next, so a text's score
 is its complete log-likelihood.  Counts of the ``KNOWN`` most frequent tokens travel to the executors (bounded); tokens
@@ -35,7 +36,9 @@ VOCAB = 4095
 RARE = 64
 CLASS_SIZE = 64
 KNOWN = 131_072
-KNOWN_BYTES = 64  # longer tokens are never in the table that travels
+KNOWN_BYTES = 64
+#: Of longer tokens, so many of the most frequent travel too, up to so many bytes each: what is left is rare.
+LONG_KNOWN, LONG_BYTES = 1024, 4096
 HIDDEN = 32
 WINDOW = 64
 LANES = 256
@@ -44,10 +47,11 @@ ROWS, SCORED = 1024, 4096  # texts taken at a time, to split and to score
 COUNT_TOKENS = 2_000_000
 TRAIN_LANES, TRAIN_WINDOW = 256, 24
 SHORT_RUN = 6
-#: Texts are learned from in stretches of about so many tokens (a text is never cut), by at most so many tasks.
-TRAIN_TOKENS, TRAINERS = 1 << 21, 65_536
-#: All training texts are learned from once, in so many parts; the tasks' networks are averaged after each.
-ROUNDS, RATE = 2, 0.004
+#: Texts are learned from in stretches of about so many tokens (a text is never cut).
+TRAIN_TOKENS = 1 << 21
+#: A copy of the network learns from about so many tokens between two averages; at most so many copies learn side by side.
+COPY_TOKENS, TRAINERS = 6_000_000, 65_536
+RATE = 0.004
 CHUNKS = 64
 LOG10E = 1 / np.log(10)
 
@@ -445,12 +449,13 @@ class TokenTable:
         return ids, log, stop, rest
 
 
-def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """At most ``most`` of the most frequent tokens, all of those at or above some count, most frequent first.
+def most_frequent(counts: DataFrame, most: int, above: int = 0, upto: int = KNOWN_BYTES) -> list[tuple[bytes, int]]:
+    """At most ``most`` of the most frequent tokens of more than ``above`` and up to ``upto`` bytes, all of those at or above
+    some count, most frequent first.
 
     The count is read off a histogram of a few hundred cells, so no task and no driver holds more than it keeps.
     """
-    short = counts.filter(F.length("token") <= KNOWN_BYTES)
+    short = counts.filter((F.length("token") > above) & (F.length("token") <= upto))
     cell = F.when(F.col("n") < 64, F.col("n")).otherwise(F.floor(F.log2("n") * 16) + 1000).cast("bigint")
     cells = short.groupBy(cell.alias("cell")).agg(F.count("*").alias("tokens"), F.min("n").alias("least")).collect()
     kept, least = 0, None
@@ -505,7 +510,7 @@ def token_rows(texts: DataFrame, table: TokenTable, base_at: float, rare_at: lis
 
 
 def averaged(rows: DataFrame, net: Net, start: int, rate: float) -> Net:
-    """``net`` after one pass over ``rows`` (outputs binary): every task trains a copy on all its rows, and the copies
+    """``net`` after one pass over ``rows`` (outputs binary): every partition trains a copy on all its rows, and the copies
     are averaged by their tokens, each of ``CHUNKS`` parts of the parameters in a task of its own, so that no task and no
     driver holds more than one network."""
     sent = rows.sparkSession.sparkContext.broadcast(net)
@@ -538,14 +543,32 @@ def averaged(rows: DataFrame, net: Net, start: int, rate: float) -> Net:
             yield record_batch(schema, list(sums), [n for n, _ in sums.values()], [(x / n).astype(np.float32).tobytes() for n, x in sums.values()])
 
     form = "chunk int, n bigint, p binary"
-    made = rows.select("outputs").coalesce(TRAINERS).mapInArrow(learn, form).repartition(CHUNKS, "chunk").mapInArrow(add, form)
+    made = rows.select("outputs").mapInArrow(learn, form).repartition(CHUNKS, "chunk").mapInArrow(add, form)
     found = sorted(made.collect(), key=lambda r: r["chunk"])  # the parts of one network
     return net.unpacked(np.concatenate([np.frombuffer(r["p"], np.float32) for r in found])) if found else net
 
 
+def rounds_of(tokens: int, copy_tokens: int = COPY_TOKENS, trainers: int = TRAINERS) -> tuple[int, int]:
+    """(rounds, copies): all tokens in that many equal parts, about ``copy_tokens`` each.
+
+    Two rounds where there is more than one part, so that copies agree once before the end; more where ``trainers`` side by
+    side don't suffice.
+    """
+    parts = max(1, -(-tokens // copy_tokens))
+    rounds = max(min(2, parts), -(-parts // trainers))
+    return rounds, -(-parts // rounds)
+
+
+def dealt(rows: DataFrame, rounds: int, copies: int, k: int) -> DataFrame:
+    """Round ``k``'s part of ``rows`` (row, outputs), a partition for each copy, in a fixed order: by a hash of the row's number."""
+    h = F.pmod(F.xxhash64("row"), F.lit(rounds * copies))
+    part = rows.select("outputs", F.xxhash64("row").alias("order"), h.alias("part")).filter(F.col("part") % rounds == k)
+    return part.repartitionById(copies, (F.col("part") / rounds).cast("int")).sortWithinPartitions("order").select("outputs")
+
+
 def score_texts(
     spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: int = VOCAB, known: int = KNOWN,
-    rounds: int = ROUNDS,
+    copy_tokens: int = COPY_TOKENS,
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of ``docs``.
 
@@ -563,6 +586,7 @@ def score_texts(
     words = [w for w, _ in top[:vocab]]
     if END not in words:
         words = [END, *words[: vocab - 1]]
+    top += most_frequent(counts, LONG_KNOWN, KNOWN_BYTES, LONG_BYTES)
     table = TokenTable(words, dict(top))
     totals = _rare_totals(counts, words)
     start = words.index(END)
@@ -572,9 +596,9 @@ def score_texts(
     known_counts = dict(top)
     net = unigram_net(np.array([known_counts.get(w, 0) for w in words] + [totals.get(k, (0, 0))[0] for k in range(RARE)], np.float64))
     mine = rows.filter(bernoulli_fold("id", FOLDS) != HELD_OUT)
+    rounds, copies = rounds_of(N, copy_tokens)
     for k in range(rounds):  # each round has its own part of the rows; together they are all
-        part = mine.filter(F.pmod(F.xxhash64("row"), F.lit(rounds)) == k)
-        net = averaged(part, net, start, RATE / 2**k)
+        net = averaged(dealt(mine, rounds, copies, k), net, start, RATE / (1 + k))
     sent = spark.sparkContext.broadcast(net)
     carried = ["row", "id", "n_tokens", "known", "base", "within"]
 

@@ -248,6 +248,7 @@ def test_lm_base_and_scores(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice(["alpha beta", "gamma delta"]) for _ in range(rng.randrange(1, 60)))) for i in range(150)]
     rows += [(500, None), (501, ""), (502, "unseenword " * 3), (None, "alpha"), (1, rows[1][1]), (503, "Alpha BETAÉ " * 4000), (504, "\x0b alpha\x0c\x1cbeta\x85 \u00a0gamma\u2003delta \r\n"), (505, " \t ")]
+    rows += [(600 + i, f"{'-' * 80} {'=' * (70 + i)} {'x' * 5000}") for i in range(20)]  # a frequent line, rare ones, and one beyond the table
     got = {(r["doc_id"], r["n_tokens"]): r for r in score_texts(spark, documents(spark, rows), vocab=6, known=5).collect()}
     counts = Counter()
     tokens = {}
@@ -383,6 +384,39 @@ def test_lm_learns_from_every_training_text(spark):
     assert lm.averaged(rows.limit(0), net, 0, 0.01).pack() == net.pack()
 
 
+def test_lm_rows_are_dealt_by_tokens(spark):
+    from codeseam.llm import lm
+
+    assert [lm.rounds_of(n, 10, 4) for n in (0, 10, 11, 20, 35, 80, 81, 410)] == [(1, 1), (1, 1), (2, 1), (2, 1), (2, 2), (2, 4), (3, 3), (11, 4)]
+    rows = spark.range(500).select(F.col("id").alias("row"), F.col("id").cast("string").cast("binary").alias("outputs"))
+    got = []
+    for k in range(3):
+        parts = [[bytes(r["outputs"]) for r in p] for p in lm.dealt(rows.repartition(1 + 6 * k), 3, 4, k).rdd.glom().collect()]
+        assert len(parts) == 4 and all(20 < len(p) < 70 for p in parts)
+        got += [x for p in parts for x in p]
+    assert sorted(got) == sorted(str(i).encode() for i in range(500))
+
+
+def test_lm_gain_does_not_hang_on_the_layout(spark):
+    from codeseam.llm.lm import score_texts
+
+    rng = random.Random(12)
+    after = {w: [f"w{rng.randrange(60)}" for _ in range(3)] for w in (f"w{k}" for k in range(60))}
+
+    def text():
+        out = ["w0"]
+        for _ in range(rng.randrange(20, 150)):
+            out.append(rng.choice(after[out[-1]]))
+        return " ".join(out)
+
+    df = documents(spark, [(i, text()) for i in range(900)])
+    gains = []
+    for parts in (1, 24):
+        r = score_texts(spark, df.repartition(parts), copy_tokens=60_000).filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+        gains.append((r[0] - r[1]) / r[2])
+    assert min(gains) > 0.01 and abs(gains[0] - gains[1]) < 0.1 * max(gains)
+
+
 # ---- op3
 
 
