@@ -1,11 +1,13 @@
-"""Maintained graphs, cycle paths, hierarchy labels and scopes over the driver's tables, each with its DuckDB SQL."""
+"""Maintained graphs, cycle paths, hierarchy labels, scopes, indexed search, edits and payloads over the driver's tables,
+each with its DuckDB SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codeseam.operators import cycles, graph, incremental, labels, scopes
-from codeseam.operators.shared import settled
+from codeseam.operators.postings import GlobIndex
+from codeseam.operators.shared import settled, shared_path
 from codeseam.plans.table_queries import MOVES, Query, moves_of, read, states
 
 QUERIES: dict[str, Query] = {}
@@ -181,3 +183,35 @@ def scope_names(spark, sf_dir):
     kind = F.when(F.col("event_type") == "signup", "open").when(F.col("event_type") == "purchase", "close").when(F.col("event_type") == "view", "declare").otherwise("use")
     e = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", kind.alias("kind"), F.floor(F.col("value") / 10).cast("bigint").alias("name"))
     return scopes.resolved(e, ["user_id"], ["ts", "event_id"], "name", "kind", "event_id", "declared").select("event_id", "declared")
+
+
+# ---------------------------------------------------------------- search through an index
+
+#: (glob, whether case counts)
+GLOBS = (("*ea*on", True), ("Customer#0000001?", True), ("*CUSTOMER*9?", False), ("ba*", True), ("?o", True), ("*zz*", True), ("the", False), ("*", True))
+
+
+def _glob_regex(glob: str) -> str:
+    return "".join(".*" if c == "*" else "." if c == "?" else c for c in glob).replace("#", "[#]")
+
+
+@query(
+    "WITH w AS (SELECT DISTINCT 'part' AS source, p_name AS name FROM part UNION ALL SELECT DISTINCT 'customer', c_name FROM customer UNION ALL "
+    "SELECT DISTINCT 'word', unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) FROM documents) "
+    + " UNION ALL ".join(
+        f"SELECT '{g}' AS glob, source, count(*) AS n, min(name) AS first, max(name) AS last FROM w WHERE regexp_full_match(name, '{_glob_regex(g)}', '{'s' if case else 'si'}') GROUP BY source"
+        for g, case in GLOBS
+    )
+)
+def glob_index_search(spark, sf_dir):
+    """Globs over the distinct part and customer names and words of documents, each through the rarest of its grams."""
+    index = GlobIndex(spark, shared_path(spark, "globs"))
+    index.refresh("part", read(spark, sf_dir, "part"), "p_name")
+    index.refresh("customer", read(spark, sf_dir, "customer"), "c_name")
+    words = F.explode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    index.refresh("word", read(spark, sf_dir, "documents").select(words.alias("name")))
+    found = [index.search(g, ignore_case=not case).select(F.lit(g).alias("glob"), "source", "name") for g, case in GLOBS]
+    out = found[0]
+    for f in found[1:]:
+        out = out.union(f)
+    return out.groupBy("glob", "source").agg(F.count("*").alias("n"), F.min("name").alias("first"), F.max("name").alias("last"))
