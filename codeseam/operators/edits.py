@@ -1,10 +1,11 @@
-"""Text edits as rows: merging neighbours, safe order, application."""
+"""Text edits as rows: merging neighbours, safe order, crossings, application, differences."""
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from codeseam.operators.running import running
 from codeseam.operators.shared import stem
 
 
@@ -64,3 +65,71 @@ def minimal_replacement(old: str, new: str) -> tuple[int, int, str] | None:
     while tail < most - head and old[-1 - tail] == new[-1 - tail]:
         tail += 1
     return head, len(old) - tail - head, new[head : len(new) - tail]
+
+
+# ---------------------------------------------------------------- in DataFrame terms
+
+
+def crossings(edits: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
+    """The rows of ``edits`` that begin inside an earlier one of their key, with ``reach``, how far those before go.
+
+    Earlier: by start, then end.  An edit that begins where another ends doesn't cross it, nor do insertions at one place.
+    One sweep with the largest end so far, which is carried over ranges of a long key.
+    """
+    x = stem(edits, "_e")
+    swept = running(edits.withColumn(f"{x}id", F.monotonically_increasing_id()), keys, [start, end, f"{x}id"], {f"{x}most": (end, "max")})
+    # the largest end before a row is that up to the row before it
+    reach = running(swept, keys, [start, end, f"{x}id"], {f"{x}reach": (f"{x}most", "lag")})
+    out = reach.withColumn("reach", F.col(f"{x}reach")).filter(F.col(start) < F.col("reach"))
+    return out.select(*(c for c in edits.columns if c != "reach"), "reach")
+
+
+def applied(texts: DataFrame, edits: DataFrame, key: str, text: str, start: str = "start", end: str = "end", new: str = "new_text") -> DataFrame:
+    """``texts`` with its edits applied to ``text``, as a table of pieces: what stands between edits, and what they put there.
+
+    ``start`` and ``end`` are places between characters; null new text deletes.  Insertions at one place keep the order of
+    their texts.  Edits must not cross (see ``crossings``) nor leave the text; keys of ``texts`` are distinct, null texts and
+    texts without edits stay as they are.  The text is cut as code units of one width, so each piece costs its own length.
+    """
+    x = stem(texts, "_t")
+    pieces = edits.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias(f"{x}key"))
+    pieces = pieces.agg(F.array_sort(F.collect_list(F.struct(F.col(start).alias("a"), F.col(end).alias("b"), F.coalesce(new, F.lit("")).alias("t")))).alias(f"{x}pieces"))
+    wide, own = F.encode(text, "UTF-32"), F.col(f"{x}pieces")
+    cut = lambda units, a, b: F.decode(F.substring(units, 4 * a + 1, 4 * (b - a)), "UTF-32")
+    before = lambda i: F.when(i > 0, F.get(own, i - 1)["b"]).otherwise(0)
+
+    def spliced(units: Column) -> Column:
+        parts = F.transform(own, lambda e, i: F.concat(cut(units, before(i), e["a"]), e["t"]))
+        last = F.element_at(own, -1)["b"]
+        return F.concat(F.array_join(parts, ""), cut(units, last, F.length(text)))
+
+    made = F.element_at(F.transform(F.array(wide), lambda u: spliced(u)), 1)
+    joined = texts.join(pieces, F.col(key) == F.col(f"{x}key"), "left")
+    return joined.withColumn(text, F.when(own.isNull() | F.col(text).isNull(), F.col(text)).otherwise(made)).select(*texts.columns)
+
+
+def common_prefix(a: Column, b: Column, most: int = 30) -> Column:
+    """How many characters two texts begin with alike: doubled steps from 2 ** ``most`` down, each taken where the texts agree."""
+    size = F.least(F.length(a), F.length(b))
+    steps = F.array(*(F.lit(1 << k) for k in range(most, -1, -1)))
+    alike = lambda n, p: F.substring(a, n + 1, p) == F.substring(b, n + 1, p)
+    return F.aggregate(steps, F.lit(0), lambda n, p: F.when((p <= size - n) & alike(n, p), n + p).otherwise(n))
+
+
+def replacement(old: Column, new: Column) -> Column:
+    """(start, length, new_text) of the one replacement between the common beginning and end; null where the texts are equal or one is null."""
+
+    def of(pair: Column) -> Column:
+        a, b = pair["a"], pair["b"]
+
+        def tailed(head: Column) -> Column:
+            x, y = (F.substring(t, head + 1, F.length(t)) for t in (a, b))
+            tail = common_prefix(F.reverse(x), F.reverse(y))
+            return F.element_at(
+                F.transform(F.array(tail), lambda t: F.struct(head.alias("start"), (F.length(x) - t).alias("length"), F.substring(y, F.lit(1), F.length(y) - t).alias("new_text"))), 1
+            )
+
+        return F.element_at(F.transform(F.array(common_prefix(a, b)), lambda h: tailed(h)), 1)
+
+    pair = F.array(F.struct(old.alias("a"), new.alias("b")))  # arrays of one bind what is used twice
+    return F.when(old != new, F.element_at(F.transform(pair, lambda p: of(p)), 1))

@@ -3,9 +3,9 @@ each with its DuckDB SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from codeseam.operators import cycles, graph, incremental, labels, scopes
+from codeseam.operators import cycles, edits, graph, incremental, labels, payload, scopes
 from codeseam.operators.postings import GlobIndex
 from codeseam.operators.shared import settled, shared_path
 from codeseam.plans.table_queries import MOVES, Query, moves_of, read, states
@@ -215,3 +215,67 @@ def glob_index_search(spark, sf_dir):
     for f in found[1:]:
         out = out.union(f)
     return out.groupBy("glob", "source").agg(F.count("*").alias("n"), F.min("name").alias("first"), F.max("name").alias("last"))
+
+
+# ---------------------------------------------------------------- edits, differences, payloads
+
+
+@query("SELECT doc_id, sha256(CASE WHEN length(text) < 2 THEN coalesce(text, '') ELSE '<<' || replace(substr(text, 3), chr(10), ' | ') || '>>' END) AS digest, length(text) AS size FROM documents")
+def edits_applied(spark, sf_dir):
+    """Every document with its first two letters and later line ends replaced and a mark put at its end."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("before"))
+    lines = docs.filter("length(text) >= 2").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("k", "line"))
+    upto = F.sum(F.length("line") + 1).over(Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    last = F.max("k").over(Window.partitionBy("doc_id"))
+    ends = lines.select("doc_id", (upto - 1).cast("int").alias("start"), (F.col("k") == last).alias("last"))
+    breaks = ends.filter("not last and start >= 2").select("doc_id", "start", (F.col("start") + 1).alias("end"), F.lit(" | ").alias("new_text"))
+    marks = ends.filter("last").select("doc_id", "start", F.col("start").alias("end"), F.lit(">>").alias("new_text"))
+    heads = ends.filter("last").select("doc_id", F.lit(0), F.lit(2), F.lit("<<"))
+    made = edits.applied(docs, breaks.union(marks).union(heads), "doc_id", "text")
+    return made.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.length("before").cast("bigint").alias("size"))
+
+
+@query(
+    "WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linenumber * 10 AS a, l_linenumber * 10 + l_quantity::INT AS b FROM lineitem), "
+    "r AS (SELECT *, max(b) OVER (PARTITION BY l_orderkey ORDER BY a, b, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s) "
+    "SELECT l_orderkey, a, b, reach FROM r WHERE a < reach"
+)
+def edits_crossing(spark, sf_dir):
+    """Spans of an order's lines that begin inside an earlier one."""
+    a = F.col("l_linenumber") * 10
+    spans = read(spark, sf_dir, "lineitem").select("l_orderkey", a.cast("int").alias("a"), (a + F.col("l_quantity").cast("int")).cast("int").alias("b"))
+    return edits.crossings(spans, ["l_orderkey"], "a", "b")
+
+
+_STEP = "list_reduce([0, " + ", ".join(str(1 << k) for k in range(20, -1, -1)) + "], lambda n, p: CASE WHEN n + p <= least(length({a}), length({b})) AND left({a}, n + p) = left({b}, n + p) THEN n + p ELSE n END)"
+
+
+@query(
+    "WITH p AS (SELECT doc_id, text AS a, lead(doc_id) OVER w AS other, lead(text) OVER w AS b FROM documents WINDOW w AS (PARTITION BY lang, source ORDER BY doc_id)), "
+    f"h AS (SELECT *, {_STEP.format(a='a', b='b')} AS head FROM p WHERE a <> b), t AS (SELECT doc_id, other, head, substr(a, head + 1) AS x, substr(b, head + 1) AS y FROM h), "
+    f"r AS (SELECT *, reverse(x) AS rx, reverse(y) AS ry FROM t), z AS (SELECT *, {_STEP.format(a='rx', b='ry')} AS tail FROM r) "
+    "SELECT doc_id, other, head::INT AS start, (length(x) - tail)::INT AS length, md5(left(y, length(y) - tail)) AS new_digest FROM z"
+)
+def text_replacements(spark, sf_dir):
+    """What turns each document into its source's next one, as one replacement."""
+    order = Window.partitionBy("lang", "source").orderBy("doc_id")
+    pairs = read(spark, sf_dir, "documents").select("doc_id", "text", F.lead("doc_id").over(order).alias("other"), F.lead("text").over(order).alias("next"))
+    found = pairs.select("doc_id", "other", edits.replacement(F.col("text"), F.col("next")).alias("r")).filter("r is not null")
+    return found.select("doc_id", "other", "r.start", "r.length", F.md5("r.new_text").alias("new_digest"))
+
+
+@query(
+    "WITH e AS (SELECT event_id, sha256('s' || event_type) AS kind, sha256('n' || user_id) AS who, sha256('{' || coalesce((SELECT string_agg(sha256(key) || ':' || sha256('n' || value), ',' ORDER BY sha256(key)) "
+    "FROM json_each(props::JSON)), '')) AS props FROM events), l AS (SELECT *, sha256('[' || least(kind, who) || ',' || greatest(kind, who)) AS tags FROM e), "
+    "k AS (SELECT event_id, unnest([sha256('type') || ':' || kind, sha256('props') || ':' || props, sha256('tags') || ':' || tags]) AS part FROM l) "
+    "SELECT event_id, sha256('{' || string_agg(part, ',' ORDER BY part)) AS digest FROM k GROUP BY event_id"
+)
+def payload_digests(spark, sf_dir):
+    """Each event as a payload, its fields and tags in an order that changes from row to row, with a time and a null beside them."""
+    e = read(spark, sf_dir, "events")
+    text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    tags = F.when(F.col("event_id") % 2 == 0, F.concat_ws(",", text(F.col("event_type")), F.col("user_id"))).otherwise(F.concat_ws(", ", F.col("user_id"), text(F.col("event_type"))))
+    fields = [F.concat(F.lit('"type": '), text(F.col("event_type"))), F.concat(F.lit('"props":'), "props"), F.concat(F.lit('"tags": ['), tags, F.lit("]")), F.concat(F.lit('"startedAt": '), text(F.col("ts").cast("string"))), F.lit('"note": null')]
+    forth, back = F.concat_ws(",", *fields), F.concat_ws(" , ", *fields[::-1])
+    json = F.concat(F.lit("{"), F.when(F.col("event_id") % 3 == 0, forth).otherwise(back), F.lit("}"))
+    return payload.canonical_digests(e.select("event_id", json.alias("json")), "json").select("event_id", "digest")
