@@ -9,20 +9,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from codeseam.operators.shared import settled
+from codeseam.operators.shared import bucketed, settled
 
 
 def reachable(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(node, depth) of everything reachable from ``roots`` (one column ``node``), roots included at depth 0.
 
-    The depth is the least number of edges.  Cycles end because a node joins the frontier once.
+    The depth is the least number of edges.  Cycles end because a node joins the frontier once.  Edges are written once in
+    buckets by source: a round exchanges its frontier alone, or broadcasts it while it is small.
     """
-    steps = settled(edges.select("src", "dst").filter("src <> dst").distinct())
+    steps = bucketed(edges.sparkSession, edges.select("src", "dst").filter("src <> dst").distinct(), "src", "edges")
     seen = settled(roots.select("node").filter("node is not null").distinct().withColumn("depth", F.lit(0)))
     frontier, depth = seen, 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        new = frontier.join(steps, frontier["node"] == steps["src"]).select(F.col("dst").alias("node")).distinct()
+        new = onward(frontier, steps)
         frontier = settled(new.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
@@ -32,6 +33,11 @@ def reachable(edges: DataFrame, roots: DataFrame, max_depth: int | None = None)
     return seen
 
 
+def onward(frontier: DataFrame, steps: DataFrame) -> DataFrame:
+    """(node): where one step leads from ``frontier``."""
+    return frontier.join(steps, frontier["node"] == steps["src"]).select(F.col("dst").alias("node")).distinct()
+
+
 def reaches(edges: DataFrame, targets: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(node, depth) of everything from which some target is reachable, targets included."""
     return reachable(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), targets, max_depth)

@@ -7,26 +7,16 @@ alone, in every round of a loop.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from codeseam.operators.shared import settled, shared_path
+from codeseam.operators.shared import bucketed, settled
 
 #: Changes beyond this part of the base's rows are merged into it.
 PART = 8
 
 
-def bucketed(spark: SparkSession, df: DataFrame, by: str, name: str = "bucketed") -> DataFrame:
-    """``df`` in the shared folder, in as many buckets by ``by`` as a join has partitions, each sorted."""
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = f"codeseam_{name}_{uuid.uuid4().hex}"
-    dealt = df.repartition(n, by)  # one file a bucket
-    dealt.write.format("parquet").option("path", shared_path(spark, name)).bucketBy(n, by).sortBy(by).saveAsTable(table)
-    return spark.table(table)
-
-
 @dataclass
 class Layered:
     """Rows with distinct ``keys``: those of ``base`` but for what ``changes`` says of their keys (``gone``: no row)."""

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from codeseam.operators import cycles, edits, graph, incremental, labels, payload, scopes
+from codeseam.operators.budget import Grouped
 from codeseam.operators.postings import GlobIndex
 from codeseam.operators.shared import settled, shared_path
 from codeseam.plans.table_queries import MOVES, Query, moves_of, read, states
@@ -279,3 +280,25 @@ def payload_digests(spark, sf_dir):
     forth, back = F.concat_ws(",", *fields), F.concat_ws(" , ", *fields[::-1])
     json = F.concat(F.lit("{"), F.when(F.col("event_id") % 3 == 0, forth).otherwise(back), F.lit("}"))
     return payload.canonical_digests(e.select("event_id", json.alias("json")), "json").select("event_id", "digest")
+
+
+# ---------------------------------------------------------------- a budget of file groups
+
+_LINE = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+
+
+@query(
+    f"SELECT 'latest' AS list, strftime(l_shipdate, '%Y-%m-%d') AS day, {_LINE} FROM (SELECT l_shipdate, {_LINE} FROM lineitem ORDER BY l_shipdate DESC, {_LINE} LIMIT 500) UNION ALL "
+    f"SELECT 'first returned', strftime(l_shipdate, '%Y-%m-%d'), {_LINE} FROM (SELECT l_shipdate, {_LINE} FROM lineitem WHERE l_returnflag = 'R' ORDER BY l_shipdate, {_LINE} LIMIT 500)"
+)
+def budget_first_rows(spark, sf_dir):
+    """The last 500 lines shipped and the first 500 returned, from the few groups of files that can hold them."""
+    lines = read(spark, sf_dir, "lineitem")
+    ties = _LINE.split(", ")
+    grouped = Grouped(spark, shared_path(spark, "groups"), "l_shipdate").write(lines, 32)
+    picks = (("latest", True, None), ("first returned", False, "l_returnflag = 'R'"))
+    out = None
+    for name, last, where in picks:
+        found = grouped.first(500, last, ties, where).rows.select(F.lit(name).alias("list"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"), *ties)
+        out = found if out is None else out.union(found)
+    return out

@@ -1,4 +1,4 @@
-"""Indexed globs, edits in DataFrame terms and payload digests against plain Python."""
+"""Indexed globs, budgets, edits in DataFrame terms and payload digests against plain Python."""
 
 import hashlib
 import json
@@ -131,3 +131,40 @@ def test_payload_digests(spark):
     assert got.columns == ["digest", "json", "made"]
     assert {(r["digest"], r["made"]) for r in got.collect()} == {(i, digest(v)) for i, v in enumerate(values)} | {(900, None), (901, None)}
     assert payload.canonical_digests(df.limit(0), "json").count() == 0
+
+
+def test_first_rows_read_few_groups(spark, tmp_path):
+    from codeseam.operators.budget import Grouped
+
+    rng = random.Random(5)
+    data = [(rng.choice([None, *range(500)]), i, "xy"[i % 2]) for i in range(4000)]
+    grouped = Grouped(spark, str(tmp_path / "g"), "v").write(spark.createDataFrame(data, "v int, group int, s string"), 40)
+    for last in (False, True):
+        key = lambda r: (r[0] is None, (-r[0] if last else r[0]) if r[0] is not None else 0, r[1])  # noqa: E731, B023
+        for k, where in ((0, None), (1, None), (30, None), (30, "s = 'x'"), (5, "s = 'z'"), (3990, None), (9000, None)):
+            want = sorted((r for r in data if where is None or f"s = '{r[2]}'" == where), key=key)[:k]
+            found = grouped.first(k, last, ["group"], where)
+            assert [tuple(r) for r in found.rows.collect()] == want, (last, k, where)
+            assert found.total == 4000 and (found.groups_read <= 3) == (k <= 30 and where != "s = 'z'")
+            assert (found.seen == 4000) == (found.groups_read == found.groups)
+    empty = Grouped(spark, str(tmp_path / "e"), "v").write(spark.createDataFrame([(None, 1, "x")], "v int, group int, s string"), 3)
+    assert [tuple(r) for r in empty.first(2, True, []).rows.collect()] == [(None, 1, "x")]
+
+
+def test_a_round_exchanges_the_frontier_alone(spark):
+    from codeseam.operators.graph import onward
+    from codeseam.operators.shared import bucketed, settled
+
+    steps = bucketed(spark, spark.range(5000).selectExpr("id as src", "id * 7 % 5000 as dst"), "src")
+    frontier = settled(spark.range(2000).select(F.col("id").alias("node")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = onward(frontier, steps)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    # one for the frontier, one for the distinct nodes it leads to
+    assert plan.count("Exchange hashpartitioning(node") == plan.count("Exchange ") == 2 and "SortMergeJoin" in plan
+    small = onward(frontier.limit(3), steps)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(src" not in small
