@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from codeseam.operators import cycles, edits, graph, incremental, labels, payload, scopes
 from codeseam.operators.budget import Grouped
 from codeseam.operators.postings import GlobIndex
+from codeseam.operators.running import running
 from codeseam.operators.shared import settled, shared_path
 from codeseam.plans.table_queries import MOVES, Query, moves_of, read, states
 
@@ -258,9 +259,11 @@ _STEP = "list_reduce([0, " + ", ".join(str(1 << k) for k in range(20, -1, -1)) +
     "SELECT doc_id, other, head::INT AS start, (length(x) - tail)::INT AS length, md5(left(y, length(y) - tail)) AS new_digest FROM z"
 )
 def text_replacements(spark, sf_dir):
-    """What turns each document into its source's next one, as one replacement."""
-    order = Window.partitionBy("lang", "source").orderBy("doc_id")
-    pairs = read(spark, sf_dir, "documents").select("doc_id", "text", F.lead("doc_id").over(order).alias("other"), F.lead("text").over(order).alias("next"))
+    """What turns each document into its source's next one, as one replacement; neighbours are found by their ids alone, over ranges."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    ids = running(docs.select("doc_id", "lang", "source"), ["lang", "source"], ["doc_id"], {"before": ("doc_id", "lag")})
+    pairs = ids.filter("before is not null").select(F.col("before").alias("doc_id"), F.col("doc_id").alias("other"))
+    pairs = pairs.join(docs.select("doc_id", "text"), "doc_id").join(docs.select(F.col("doc_id").alias("other"), F.col("text").alias("next")), "other")
     found = pairs.select("doc_id", "other", edits.replacement(F.col("text"), F.col("next")).alias("r")).filter("r is not null")
     return found.select("doc_id", "other", "r.start", "r.length", F.md5("r.new_text").alias("new_digest"))
 
