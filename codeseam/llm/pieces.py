@@ -357,13 +357,18 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
     """(id, ids, starts, ends, decoded) per row: all ids, each one's byte span in the original text, and the decoded text.
 
     Null and empty texts give empty arrays and the empty text.  Repeated rows give repeated rows; a null id stays null.
-    ``carry`` names further columns to keep (in front); others are not read.
+    ``carry`` names further columns to keep (in front); others are not read.  One named like a result column, whatever the
+    case of its letters, takes ``_`` at its end until its name is free.
     """
     with open(model_path, "rb") as f:
         sent = df.sparkSession.sparkContext.broadcast(f.read())
-    carry = carry or []
-    source = df.select(*carry, F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-
+    carry, taken, named = carry or [], {"id", "ids", "starts", "ends", "decoded"}, []
+    for c in [*carry, "text"]:
+        while c.lower() in taken:
+            c += "_"
+        taken.add(c.lower())
+        named.append(c)
+    source = df.select(*(F.col(c).alias(n) for c, n in zip(carry, named)), F.col(id_col).alias("id"), F.col(text_col).alias(named[-1]))
     names, width = source.columns[: len(carry) + 1], len(carry) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -396,7 +401,7 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
     schema = StructType(
         [*source.schema.fields[: len(carry) + 1], *(StructField(c, ints) for c in ("ids", "starts", "ends")), StructField("decoded", StringType())]
     )
-    return source.mapInArrow(run, schema).withColumnRenamed("__id", "id")
+    return source.mapInArrow(run, schema)
 
 
 def digests(spark: SparkSession, docs: DataFrame, model_path: str, ids: bool = False) -> DataFrame:

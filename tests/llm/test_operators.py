@@ -562,6 +562,17 @@ def test_pieces_on_frames(spark, texts):
     assert digests(spark, documents(spark, []), model_path()).count() == 0
 
 
+def test_pieces_carry_columns_of_any_name(spark):
+    from codeseam.llm.pieces import encode
+
+    df = spark.createDataFrame([(1, "one two", 5, "a", None), (None, None, None, "b", 2.0)], "doc_id bigint, text string, __id int, Ids string, id double")
+    got = encode(df, model_path(), carry=["text", "__id", "Ids", "id", "doc_id"])
+    assert got.columns == ["text", "__id", "Ids_", "id_", "doc_id", "id", "ids", "starts", "ends", "decoded"]
+    found = {r["Ids_"]: r for r in got.collect()}
+    assert (found["a"]["text"], found["a"]["__id"], found["a"]["id_"], found["a"]["doc_id"], found["a"]["id"], found["a"]["decoded"]) == ("one two", 5, None, 1, 1, "one two")
+    assert (found["b"]["text"], found["b"]["__id"], found["b"]["id_"], found["b"]["id"], found["b"]["ids"], found["b"]["decoded"]) == (None, None, 2.0, None, [], "")
+
+
 # ---- op5
 
 
