@@ -1,5 +1,5 @@
-"""Maintained graphs, cycle paths, hierarchy labels, scopes, indexed search, edits and payloads over the driver's tables,
-each with its DuckDB SQL."""
+"""Maintained graphs, cycle paths, hierarchy labels, scopes, indexed search, edits, payloads and streamed changes over the
+driver's tables, each with its DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from codeseam.operators.postings import GlobIndex
 from codeseam.operators.running import running
 from codeseam.operators.shared import settled, shared_path
 from codeseam.plans.table_queries import MOVES, Query, moves_of, read, states
+from codeseam.streaming.epochs import Epochs
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -305,3 +306,28 @@ def budget_first_rows(spark, sf_dir):
         found = grouped.first(500, last, ties, where).rows.select(F.lit(name).alias("list"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"), *ties)
         out = found if out is None else out.union(found)
     return out
+
+
+# ---------------------------------------------------------------- changes of a table as a stream
+
+
+@query(
+    "WITH d AS (SELECT doc_id, text, coalesce(length(text), 0) AS n FROM documents), "
+    "s AS (SELECT 0 AS e, doc_id, text FROM d UNION ALL SELECT 1, doc_id, CASE WHEN n % 3 = 0 THEN text || '.' ELSE text END FROM d WHERE n % 5 <> 0 UNION ALL SELECT 2, doc_id, text FROM d WHERE n % 4 <> 1), "
+    "c AS (SELECT coalesce(b.doc_id, a.doc_id) AS doc_id, coalesce(b.e, a.e + 1) AS epoch, CASE WHEN b.e IS NULL THEN 'deleted' WHEN a.e IS NULL THEN 'added' WHEN a.text IS DISTINCT FROM b.text THEN 'edited' END AS change "
+    "FROM s a FULL JOIN s b ON a.doc_id = b.doc_id AND b.e = a.e + 1) SELECT doc_id, epoch::BIGINT AS epoch, change FROM c WHERE change IS NOT NULL AND epoch < 3"
+)
+def stream_changes(spark, sf_dir):
+    """Three snapshots of the documents, told as a stream of changes: two before the stream stops, one after it goes on."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    n = F.coalesce(F.length("text"), F.lit(0))
+    later = docs.filter(n % 5 != 0).select("doc_id", F.when(n % 3 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")).alias("text"))
+    last = docs.filter(n % 4 != 1)
+    folder = shared_path(spark, "epochs")
+    epochs = Epochs(spark, f"{folder}/snapshots", docs.select("doc_id").schema)
+    for at, snapshots in enumerate(([docs, later], [last])):
+        for k, snapshot in enumerate(snapshots):
+            epochs.publish(snapshot, 2 * at + k)
+        epochs.follow(f"{folder}/changes", f"{folder}/state").awaitTermination()
+    found = spark.read.parquet(f"{folder}/changes")
+    return found.select("key.doc_id", "epoch", "change")
