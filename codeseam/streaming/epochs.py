@@ -12,8 +12,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-_STATE = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk, one store a partition for both sides of the join, saved as what a batch changed.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.join.stateFormatVersion": "3",
+}
 
 
 class EpochOrder(ValueError):
@@ -81,13 +85,15 @@ class Epochs:
         ``once`` ends when all that is published is told.  State lies in RocksDB on the executors' disks and is saved with the
         checkpoint, so a query started again elsewhere, after whatever stopped it, goes on without reading old epochs.
         """
-        before = self.spark.conf.get(_STATE)
-        self.spark.conf.set(_STATE, _ROCKS)
+        before = {name: self.spark.conf.get(name, None) for name in _STATE}
+        for name, value in _STATE.items():
+            self.spark.conf.set(name, value)
         try:
             writer = self.changes(files).writeStream.format("parquet").option("checkpointLocation", checkpoint)
             return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 seconds")).start(out)
         finally:
-            self.spark.conf.set(_STATE, before)
+            for name, value in before.items():
+                self.spark.conf.set(name, value) if value is not None else self.spark.conf.unset(name)
 
     def _path(self, epoch: int, what: str) -> str:
         return f"{self.folder}/{epoch:09d}-{what}"
