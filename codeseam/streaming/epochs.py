@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-#: State on disk, one store a partition for both sides of the join, saved as what a batch changed.
+#: State on disk, one store a partition for both sides of the join, saved as what a batch changed; no disk is taken ahead.
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.join.stateFormatVersion": "3",
 }
 
