@@ -408,9 +408,9 @@ def gaps_islands_merge(spark, sf_dir):
     return edits.merge_adjacent(spans, ["l_orderkey"], "a", "b")
 
 
-@query("SELECT conv_id, turn, length(text) AS col, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, length(text) DESC)::INT AS position FROM conversations WHERE text IS NOT NULL")
+@query("SELECT conv_id, turn, coalesce(length(text), 0) AS col, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, coalesce(length(text), 0) DESC)::INT AS position FROM conversations")
 def edits_order(spark, sf_dir):
-    c = read(spark, sf_dir, "conversations").filter("text is not null").select("conv_id", "turn", F.length("text").alias("col"))
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.length("text"), F.lit(0)).alias("col"))
     return edits.bottom_up(c, "conv_id", "turn", "col")
 
 
@@ -425,10 +425,10 @@ def tree_outline(spark, sf_dir):
     return tops.union(c.select(F.concat_ws(".", "conv_id", "turn"), F.col("conv_id").cast("string"), F.lit(1), F.lit(0)))
 
 
-@query("SELECT event_id, '{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\",\"user_id\":' || user_id || '}' AS payload, coalesce(json_keys(props)[1], '') AS first_key FROM events")
+@query("SELECT event_id, '{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\",\"user_id\":' || user_id || '}' AS payload, coalesce(array_to_string(list_sort(json_keys(props)), ','), '') AS keys FROM events")
 def json_canonical(spark, sf_dir):
     e = read(spark, sf_dir, "events")
-    return e.select("event_id", F.to_json(F.struct("event_id", "event_type", "user_id")).alias("payload"), F.coalesce(F.get(F.json_object_keys("props"), F.lit(0)), F.lit("")).alias("first_key"))
+    return e.select("event_id", F.to_json(F.struct("event_id", "event_type", "user_id")).alias("payload"), F.coalesce(F.array_join(F.array_sort(F.json_object_keys("props")), ","), F.lit("")).alias("keys"))
 
 
 @query(
