@@ -1,76 +1,146 @@
 """Interval labels of a forest, so that ancestors and descendants are range joins and no pair of them is stored.
 
-A walk around a tree enters and leaves each node once.  The walk is a linked list whose links come from neighbours alone:
-the first child, the next sibling, the parent.  How far each step lies from the end of its list is found by pointer jumping,
-which doubles the span of every pointer each round: as many rounds as the logarithm of the largest tree, each a join in
-which every step is met once, and steps that have reached the end take no further part.
+Leaves are taken off round by round, each with its place among the leaves of its parent, for as long as a round takes off a
+quarter of what is left: all rounds together meet each node a few times, and a node moves only to meet its parent.  What then
+is left, as of long chains, is labelled by a walk that enters and leaves each of its nodes once: a linked list whose links
+come from neighbours alone (the first child, the next sibling, the parent).  How far each step lies from the end of its
+list is found by pointer jumping, which doubles the span of every pointer each round.  Then the leaves get their labels from
+their parents, last round first.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codeseam.operators.interval import containing
 from codeseam.operators.running import running
-from codeseam.operators.shared import settled
+from codeseam.operators.shared import bucketed, discard, settled
+
+#: A parent with more leaves in a round than this has them placed over ranges, others in one task each.
+CHILDREN = 1 << 18
 
 
 def interval_labels(nodes: DataFrame) -> DataFrame:
     """(node, parent, root, low, high, depth, size) of a forest given as rows (node, parent), a row for each node.
 
-    ``a`` is an ancestor of ``d``, or ``d`` itself, exactly where their roots are equal and ``a.low <= d.low < a.high``.  A
-    parent that is null, no node or the node itself makes a root.  Rows without a node are left out, of several rows of a
-    node the least parent counts.  Nodes that hang on a cycle of parents have no root: their labels are null.
+    ``a`` is an ancestor of ``d``, or ``d`` itself, exactly where their roots are equal and ``a.low <= d.low < a.high``; the
+    places of a tree are 0 to its size.  A parent that is null, no node or the node itself makes a root.  Rows without a node
+    are left out, of several rows of a node the least parent counts.  Nodes that hang on a cycle of parents have no root:
+    their labels are null.
     """
-    once = settled(nodes.select("node", "parent").filter("node is not null").groupBy("node").agg(F.min("parent").alias("parent")))
-    known = once.select(F.col("node").alias("parent"), F.lit(True).alias("there"))
-    parents = once.join(known, "parent", "left").select("node", F.when(F.col("there") & (F.col("parent") != F.col("node")), F.col("parent")).alias("parent"))
-    parents = settled(parents)
+    spark = nodes.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    once = nodes.select("node", "parent").filter("node is not null").repartition(n, "node").groupBy("node").agg(F.min("parent").alias("parent"))
+    once = once.select("node", F.when(F.col("parent") != F.col("node"), F.col("parent")).alias("parent"), F.lit(1).cast("bigint").alias("size"))
+    rest = bucketed(spark, once, "node", "forest")
+    count, taken = rest.count(), []
+    while count:
+        inner = bucketed(spark, rest.filter("parent is not null").select(F.col("parent").alias("node")).distinct(), "node", "inner")
+        alone, hung = _placed(rest, rest.join(inner, "node", "left_anti"), n)
+        more = None
+        for part in hung:
+            sums = part.groupBy(F.col("parent").alias("node")).agg(F.sum("size").alias("more"))
+            more = sums if more is None else more.union(sums)  # a parent's leaves are all in one of them
+        kept = rest.join(inner, "node", "left_semi").join(more, "node", "left")
+        kept = bucketed(spark, kept.select("node", "parent", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), "node", "forest")
+        discard(rest, inner)
+        taken.append((alone, hung))
+        rest, before = kept, count
+        count = rest.count()
+        if 4 * count > 3 * before:
+            break
+    made = _walked(rest) if count else rest.select("node", "parent", F.lit(None).cast(rest.schema["node"].dataType).alias("root"), *(F.lit(None).cast(t).alias(c) for c, t in _PLACES))
+    labelled = made
+    for alone, hung in reversed(taken):
+        tops = alone.select("node", F.lit(None).cast(alone.schema["parent"].dataType).alias("parent"), F.col("node").alias("root"), F.lit(0).cast("bigint").alias("low"), F.col("size").alias("high"), F.lit(0).alias("depth"), "size")
+        above = labelled.select(F.col("node").alias("parent"), F.col("root").alias("top"), F.col("low").alias("from"), F.col("depth").alias("over"))
+        level = tops
+        for part in hung:
+            low = F.col("from") + F.col("place")
+            met = part.join(above, "parent").select("node", "parent", F.col("top").alias("root"), low.alias("low"), (low + F.col("size")).alias("high"), (F.col("over") + 1).alias("depth"), F.when(F.col("top").isNotNull(), F.col("size")).alias("size"))
+            level = level.union(met)
+        labelled = labelled.union(settled(level))
+    return labelled
+
+
+_PLACES = (("low", "bigint"), ("high", "bigint"), ("depth", "int"), ("size", "bigint"))
+
+
+def _placed(rest: DataFrame, leaves: DataFrame, n: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Leaves of ``rest`` that are roots (node, parent, size), and tables of the others (node, parent, size, place) with their
+    places below their parents: after the parent itself, what was taken from it before and the leaves before them."""
+    spark = rest.sparkSession
+    own = rest.select(F.col("node").alias("parent"), F.col("size").alias("from"))
+    dealt = bucketed(spark, leaves.filter("parent is not null"), "parent", "leaves")
+    hot = settled(dealt.groupBy("parent").agg(F.count("*").alias("n")).filter(F.col("n") > CHILDREN).select("parent"))
+    before = Window.partitionBy("parent").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    few = dealt if hot.isEmpty() else dealt.join(hot, "parent", "left_anti")
+    upto = F.coalesce(F.sum("size").over(before), F.lit(0))
+    hung = [few.withColumn("upto", upto)]
+    if not hot.isEmpty():
+        hung.append(running(dealt.join(hot, "parent", "left_semi"), ["parent"], ["node"], {"sum": ("size", "sum")}).withColumn("upto", F.col("sum") - F.col("size")))
+    placed = [part.join(own, "parent", "left").select("node", "parent", "size", (F.col("from") + F.col("upto")).alias("place")) for part in hung]
+    tables = [bucketed(spark, placed[0], "parent", "placed"), *(settled(part) for part in placed[1:])]
+    none = F.col("place").isNull()  # the parent is no node
+    alone = leaves.filter("parent is null").select("node", "parent", "size")
+    for table in tables:
+        alone = alone.union(table.filter(none).select("node", "parent", "size"))
+    alone = settled(alone)
+    discard(dealt)
+    return alone, [table.filter(~none) for table in tables]
+
+
+def _walked(nodes: DataFrame) -> DataFrame:
+    """Labels of rows (node, parent, size) by a walk, where ``size`` is what a node holds besides the nodes here, itself included."""
+    known = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("there"))
+    parents = settled(nodes.join(known, "parent", "left").select("node", F.when(F.col("there"), F.col("parent")).alias("parent"), "size"))
     # siblings in order: a hot parent's children are spread over ranges
-    children = running(parents.filter("parent is not null"), ["parent"], ["node"], {"before": ("node", "lag")})
+    children = running(parents.filter("parent is not null").select("node", "parent"), ["parent"], ["node"], {"before": ("node", "lag")})
     children = settled(children)
     first = children.filter("before is null").select(F.col("parent").alias("node"), F.col("node").alias("child"))
     following = children.filter("before is not null").select(F.col("before").alias("node"), F.col("node").alias("sibling"))
     links = parents.join(first, "node", "left").join(following, "node", "left")
-    enter = links.select("node", F.lit(False).alias("leaves"), F.coalesce("child", "node").alias("to"), F.col("child").isNull().alias("to_leaves"))
-    leave = links.select("node", F.lit(True), F.coalesce("sibling", "parent"), F.col("sibling").isNull())
-    # distance to the end of the walk, and how many more nodes are left than entered on the way, this step included
-    steps = enter.union(leave).withColumn("far", F.when(F.col("to").isNull(), 0).otherwise(1).cast("bigint"))
-    steps = steps.withColumn("net", F.when(F.col("leaves"), 1).otherwise(-1).cast("bigint"))
-    steps = settled(steps)
+    enter = links.select("node", F.lit(False).alias("leaves"), F.coalesce("child", "node").alias("to"), F.col("child").isNull().alias("to_leaves"), F.lit(0).cast("bigint").alias("far"))
+    leave = links.select("node", F.lit(True), F.coalesce("sibling", "parent"), F.col("sibling").isNull(), "size")
+    # places to the end of the walk, which nodes take where they are left, and how many more nodes are left than entered
+    steps = settled(enter.union(leave).withColumn("net", F.when(F.col("leaves"), 1).otherwise(-1).cast("bigint")))
     done = steps.filter("to is null").withColumn("root", F.col("node")).select("node", "leaves", "root", "far", "net")
     going = steps.filter("to is not null")
-    rounds = max(1, (2 * once.count()).bit_length()) + 1
+    rounds = max(1, (2 * parents.count()).bit_length()) + 1
+    kind = going.schema["to"].dataType
     for _ in range(rounds):
         if going.isEmpty():
             break
         # a step whose target has reached the end is done with it
         here = ["to", "to_leaves"]
-        at_end = done.select(F.col("node").alias("to"), F.col("leaves").alias("to_leaves"), "root", F.col("far").alias("more"), F.col("net").alias("more_net"), F.lit(None).cast(going.schema["to"].dataType).alias("next"), F.lit(False).alias("next_leaves"))
-        on_way = going.select(F.col("node").alias("to"), F.col("leaves").alias("to_leaves"), F.lit(None).cast(going.schema["to"].dataType).alias("root"), F.col("far").alias("more"), F.col("net").alias("more_net"), F.col("to").alias("next"), F.col("to_leaves").alias("next_leaves"))
+        at_end = done.select(F.col("node").alias("to"), F.col("leaves").alias("to_leaves"), "root", F.col("far").alias("more"), F.col("net").alias("more_net"), F.lit(None).cast(kind).alias("next"), F.lit(False).alias("next_leaves"))
+        on_way = going.select(F.col("node").alias("to"), F.col("leaves").alias("to_leaves"), F.lit(None).cast(kind).alias("root"), F.col("far").alias("more"), F.col("net").alias("more_net"), F.col("to").alias("next"), F.col("to_leaves").alias("next_leaves"))
         met = settled(going.join(at_end.union(on_way), here).select("node", "leaves", F.col("next").alias("to"), F.col("next_leaves").alias("to_leaves"), (F.col("far") + F.col("more")).alias("far"), (F.col("net") + F.col("more_net")).alias("net"), "root"))
         done = done.union(met.filter("to is null").select("node", "leaves", "root", "far", "net"))
         going = met.filter("to is not null").drop("root")
     pick = lambda leaves, c: F.max(F.when(F.col("leaves") == leaves, F.col(c)))
-    found = done.groupBy("node").agg(
-        F.min("root").alias("root"), pick(True, "far").alias("low"), pick(False, "far").alias("high"), pick(False, "net").cast("int").alias("depth")
-    )
+    found = done.groupBy("node").agg(F.min("root").alias("root"), pick(True, "far").alias("end"), pick(False, "far").alias("high"), pick(False, "net").cast("int").alias("depth"))
+    low = F.col("end") - F.col("size")
     out = parents.join(found, "node", "left")
-    return out.select("node", "parent", "root", "low", "high", "depth", ((F.col("high") - F.col("low") + 1) / 2).cast("bigint").alias("size"))
+    return settled(out.select("node", "parent", "root", low.alias("low"), "high", "depth", (F.col("high") - low).alias("size")))
+
+
+def _those(labels: DataFrame, of: DataFrame | Column) -> DataFrame:
+    return labels.filter(of) if isinstance(of, Column) else labels.join(of.select("node"), "node", "left_semi")
 
 
-def ancestors(labels: DataFrame, of: DataFrame, cell: int = 4096) -> DataFrame:
-    """(node, ancestor, distance) for each row (node) of ``of``: a join of its place with the intervals of its tree."""
-    places = labels.join(of.select("node").distinct(), "node", "left_semi").select("node", "root", F.col("low").alias("at"), F.col("depth").alias("own"))
-    spans = labels.select(F.col("node").alias("ancestor"), "root", "low", "high", "depth")
+def ancestors(labels: DataFrame, of: DataFrame | Column, cell: int = 4096) -> DataFrame:
+    """(node, ancestor, distance) for each row (node) of ``of``, or label for which it holds: a join of its place with the intervals of its tree."""
+    places = _those(labels, of).select("node", "root", F.col("low").alias("at"), F.col("depth").alias("own"))
+    spans = labels.filter("size > 1").select(F.col("node").alias("ancestor"), "root", "low", "high", "depth")  # others hold nothing
     found = containing(places, spans, "root", "at", "low", "high", cell)
     return found.filter("node <> ancestor").select("node", "ancestor", (F.col("own") - F.col("depth")).alias("distance"))
 
 
-def descendants(labels: DataFrame, of: DataFrame, cell: int = 4096) -> DataFrame:
-    """(ancestor, node, distance) for each row (node) of ``of``: everything below it."""
-    tops = labels.join(of.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("ancestor"), "root", "low", "high", F.col("depth").alias("own"))
-    places = labels.select("node", "root", F.col("low").alias("at"), "depth")
+def descendants(labels: DataFrame, of: DataFrame | Column, cell: int = 4096) -> DataFrame:
+    """(ancestor, node, distance) for each row (node) of ``of``, or label for which it holds: everything below it."""
+    tops = _those(labels.filter("size > 1"), of).select(F.col("node").alias("ancestor"), "root", "low", "high", F.col("depth").alias("own"))
+    places = labels.filter("depth > 0").select("node", "root", F.col("low").alias("at"), "depth")
     found = containing(places, tops, "root", "at", "low", "high", cell)
     return found.filter("node <> ancestor").select("ancestor", "node", (F.col("depth") - F.col("own")).alias("distance"))
 
@@ -78,11 +148,15 @@ def descendants(labels: DataFrame, of: DataFrame, cell: int = 4096) -> DataFrame
 def subtree_sums(labels: DataFrame, values: DataFrame, value: str) -> DataFrame:
     """(node, total): ``value`` of ``values`` (node, value; distinct nodes) summed over each node's whole subtree.
 
-    One running sum along the walks: a subtree's total is what it grows by between leaving the node and entering it, read
-    from the end.  No pair of nodes is made.
+    One running sum over the places of a tree: a subtree's total is what it grows by from the node to the end of its
+    interval.  Only nodes that hold others are met twice; no pair of nodes is made.
     """
-    own = labels.join(values.select("node", F.col(value).alias("v")), "node", "left").filter("root is not null")
-    walk = own.select("node", "root", F.col("low").alias("at"), F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("v", F.lit(0)).alias("own"))
-    walk = walk.union(own.select("node", "root", F.col("high"), F.lit(0), F.lit(0)))
-    summed = running(walk, ["root"], ["at"], {"upto": ("v", "sum")})
-    return summed.groupBy("node").agg((F.max_by("upto", "at") - F.min_by("upto", "at") + F.sum("own")).alias("total"))
+    own = labels.filter("root is not null").join(values.select("node", F.col(value).alias("v")), "node", "left")
+    own = settled(own.select("node", "root", "low", "high", "size", F.coalesce("v", F.lit(0)).alias("v")))
+    holds = F.col("size") > 1
+    # the end of an interval comes before the node that has its place
+    walk = own.select(F.when(holds, F.col("node")).alias("node"), "root", F.col("low").alias("at"), F.lit(1).alias("step"), "v", F.col("v").alias("own"))
+    walk = walk.union(own.filter(holds).select("node", "root", F.col("high"), F.lit(0), F.lit(0), F.lit(0)))
+    summed = running(walk, ["root"], ["at", "step"], {"upto": ("v", "sum")}).filter("node is not null")
+    inner = summed.groupBy("node").agg((F.max_by("upto", "at") - F.min_by("upto", "at") + F.sum("own")).alias("total"))
+    return own.filter(~holds).select("node", F.col("v").cast(inner.schema["total"].dataType).alias("total")).union(inner)

@@ -118,20 +118,20 @@ def forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hierarchy_labels(spark, sf_dir):
     """Root, depth, subtree size and subtree quantity of every node, from interval labels."""
     nodes = settled(forest(spark, sf_dir))
-    made = settled(labels.interval_labels(nodes))
+    made = labels.interval_labels(nodes)
     return made.select("node", "root", "depth", "size").join(labels.subtree_sums(made, nodes, "v"), "node")
 
 
 @query(f"WITH RECURSIVE {FOREST} SELECT node, up AS ancestor, distance::INT AS distance FROM a WHERE distance > 0 AND node LIKE 'l%'")
 def hierarchy_ancestors(spark, sf_dir):
-    made = settled(labels.interval_labels(forest(spark, sf_dir)))
-    return labels.ancestors(made, made.filter(F.startswith("node", F.lit("l"))))
+    made = labels.interval_labels(forest(spark, sf_dir))
+    return labels.ancestors(made, F.startswith("node", F.lit("l")))
 
 
 @query(f"WITH RECURSIVE {FOREST} SELECT up AS ancestor, node, distance::INT AS distance FROM a WHERE distance > 0 AND up LIKE 'c%'")
 def hierarchy_descendants(spark, sf_dir):
-    made = settled(labels.interval_labels(forest(spark, sf_dir)))
-    return labels.descendants(made, made.filter(F.startswith("node", F.lit("c"))))
+    made = labels.interval_labels(forest(spark, sf_dir))
+    return labels.descendants(made, F.startswith("node", F.lit("c")))
 
 
 # ---------------------------------------------------------------- scopes

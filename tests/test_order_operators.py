@@ -67,6 +67,30 @@ def test_interval_labels_match_walks(spark):
     assert labels.interval_labels(df.limit(0)).count() == 0
 
 
+def test_labels_of_a_shallow_forest_move_each_node_a_few_times(spark, monkeypatch):
+    made, want, hot = [], {}, 40
+    write = labels.bucketed
+    monkeypatch.setattr(labels, "bucketed", lambda *a: made.append(write(*a)) or made[-1])
+    counts = []
+    monkeypatch.setattr(labels, "discard", lambda *t: counts.extend(x.count() for x in t))
+    monkeypatch.setattr(labels, "CHILDREN", hot // 2)  # the hot parent's leaves go over ranges
+    pairs = [(f"c{i}", None) for i in range(5)] + [(f"o{i}", f"c{i % 4}") for i in range(20)]
+    pairs += [(f"l{i}", f"o{i % 18}") for i in range(100)] + [(f"h{i}", "c4") for i in range(hot)] + [("lost", "nobody")]
+    found = {r["node"]: r for r in labels.interval_labels(spark.createDataFrame(pairs, "node string, parent string")).collect()}
+    assert sum(counts) <= 5 * len(pairs)  # pointers along a walk of 2 steps a node came to more than 20 rows a node
+    up = dict(pairs)
+    for n in up:
+        path = [n]
+        while up.get(path[-1]) in up:
+            path.append(up[path[-1]])
+        for a in path:
+            want.setdefault(a, set()).add(n)
+        assert (found[n]["root"], found[n]["depth"]) == (path[-1], len(path) - 1)
+    assert {n: r["size"] for n, r in found.items()} == {n: len(below) for n, below in want.items()}
+    inside = lambda a, d: found[a]["root"] == found[d]["root"] and found[a]["low"] <= found[d]["low"] < found[a]["high"]
+    assert all({d for d in up if inside(a, d)} == want[a] for a in up)
+
+
 def test_scopes_match_a_stack(spark):
     rng = random.Random(6)
     kinds = ["open"] * 4 + ["close"] * 4 + ["declare", "use", "use"]
