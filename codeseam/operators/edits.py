@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -108,28 +110,46 @@ def applied(texts: DataFrame, edits: DataFrame, key: str, text: str, start: str
     return joined.withColumn(text, F.when(own.isNull() | F.col(text).isNull(), F.col(text)).otherwise(made)).select(*texts.columns)
 
 
-def common_prefix(a: Column, b: Column, most: int = 30) -> Column:
+def common_prefix(a: Column, b: Column, most: int = 28) -> Column:
     """How many characters two texts begin with alike: doubled steps from 2 ** ``most`` down, each taken where the texts agree."""
-    size = F.least(F.length(a), F.length(b))
+    pair = F.array(F.struct(F.encode(a, "UTF-32").alias("a"), F.encode(b, "UTF-32").alias("b")))
+    alike = lambda p: _alike(p["a"], p["b"], lambda t, n, step: 4 * n + 1, F.least(_units(p["a"]), _units(p["b"])), most)
+    return F.element_at(F.transform(pair, alike), 1)
+
+
+def _units(wide: Column) -> Column:
+    """How many characters a text of four bytes each has."""
+    return F.shiftright(F.octet_length(wide), 2)
+
+
+def _alike(a: Column, b: Column, at: Callable[[Column, Column, Column], Column], size: Column, most: int = 28) -> Column:
+    """The longest run of at most ``size`` characters in which two wide texts agree; ``at``: where in one the next ``step``
+    characters after ``n`` stand.  A step costs its own length, whatever lies before it."""
     steps = F.array(*(F.lit(1 << k) for k in range(most, -1, -1)))
-    alike = lambda n, p: F.substring(a, n + 1, p) == F.substring(b, n + 1, p)
-    return F.aggregate(steps, F.lit(0), lambda n, p: F.when((p <= size - n) & alike(n, p), n + p).otherwise(n))
+    agree = lambda n, p: F.substring(a, at(a, n, p), 4 * p) == F.substring(b, at(b, n, p), 4 * p)
+    taken = lambda n, p, size: F.when((p <= size - n) & agree(n, p), n + p).otherwise(n)
+    return F.element_at(F.transform(F.array(size), lambda most: F.aggregate(steps, F.lit(0), lambda n, p: taken(n, p, most))), 1)
 
 
 def replacement(old: Column, new: Column) -> Column:
-    """(start, length, new_text) of the one replacement between the common beginning and end; null where the texts are equal or one is null."""
+    """(start, length, new_text) of the one replacement between the common beginning and end; null where the texts are equal or one is null.
+
+    Both texts are made wide once; the common end is compared from behind, so nothing is reversed.
+    """
+    behind = lambda t, n, step: F.octet_length(t) - 4 * (n + step) + 1
 
     def of(pair: Column) -> Column:
         a, b = pair["a"], pair["b"]
+        size = F.least(_units(a), _units(b))
+
+        def cut(head: Column, tail: Column) -> Column:
+            text = F.decode(F.substring(b, 4 * head + 1, 4 * (_units(b) - tail - head)), "UTF-32")
+            return F.struct(head.alias("start"), (_units(a) - head - tail).alias("length"), text.alias("new_text"))
 
         def tailed(head: Column) -> Column:
-            x, y = (F.substring(t, head + 1, F.length(t)) for t in (a, b))
-            tail = common_prefix(F.reverse(x), F.reverse(y))
-            return F.element_at(
-                F.transform(F.array(tail), lambda t: F.struct(head.alias("start"), (F.length(x) - t).alias("length"), F.substring(y, F.lit(1), F.length(y) - t).alias("new_text"))), 1
-            )
+            return F.element_at(F.transform(F.array(_alike(a, b, behind, size - head)), lambda tail: cut(head, tail)), 1)
 
-        return F.element_at(F.transform(F.array(common_prefix(a, b)), lambda h: tailed(h)), 1)
+        return F.element_at(F.transform(F.array(_alike(a, b, lambda t, n, step: 4 * n + 1, size)), tailed), 1)
 
-    pair = F.array(F.struct(old.alias("a"), new.alias("b")))  # arrays of one bind what is used twice
-    return F.when(old != new, F.element_at(F.transform(pair, lambda p: of(p)), 1))
+    pair = F.array(F.struct(F.encode(old, "UTF-32").alias("a"), F.encode(new, "UTF-32").alias("b")))  # arrays of one bind what is used twice
+    return F.when(old != new, F.element_at(F.transform(pair, of), 1))

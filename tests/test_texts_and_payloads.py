@@ -168,3 +168,11 @@ def test_a_round_exchanges_the_frontier_alone(spark):
     assert plan.count("Exchange hashpartitioning(node") == plan.count("Exchange ") == 2 and "SortMergeJoin" in plan
     small = onward(frontier.limit(3), steps)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning(src" not in small
+
+
+def test_replacement_compares_ends_from_behind(spark):
+    pairs = [("\U0001f600x" * 5000 + "a" + "é" * 70000, "\U0001f600x" * 5000 + "bb" + "é" * 70000), ("aa", "aaa"), ("", "q"), ("xyx", "x")]
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", edits.replacement(F.col("a"), F.col("b")).alias("r"))
+    for r in df.collect():
+        assert tuple(r["r"]) == edits.minimal_replacement(r["a"], r["b"])
+    assert "reverse(" not in df._jdf.queryExecution().optimizedPlan().toString()  # it was computed again for every step
