@@ -66,3 +66,32 @@ def test_a_small_batch_touches_few_rows(spark):
     assert after.nodes.count() == 2001 - len(gone)
     assert after.rows_touched() < 100
     assert after.edges.out.base.count() == 1999  # nothing of the base is written again
+
+
+def test_later_rounds_read_what_is_unseen(spark, monkeypatch):
+    from codeseam.operators import graph
+
+    made, write = [], graph.bucketed
+    monkeypatch.setattr(graph, "bucketed", lambda *a: made.append(write(*a)) or made[-1])
+    sizes = []
+    monkeypatch.setattr(graph, "discard", lambda *t: sizes.extend(x.count() for x in t))
+    fan = [(0, n) for n in range(100, 400)] + [(n, n + 1) for n in range(100, 399)] + [(n, 0) for n in range(100, 400)]
+    tail = [(n, n + 1) for n in range(10)] + [(7, 200), (10, 3), (50, 51)]
+    edges, roots = spark.createDataFrame(fan + tail, "src int, dst int"), spark.createDataFrame([(0,), (0,), (None,)], "node int")
+    found = {r["node"]: r["depth"] for r in graph.reachable(edges, roots).collect()}
+    assert found == {n: n for n in range(11)} | {n: 1 for n in range(100, 400)}
+    assert [t.count() for t in made[1:]] == [7, 3]  # 4 to 10 and 50 to 51; later 8 to 10 and 50 to 51
+
+
+def test_components_move_numbers_and_drop_what_is_settled(spark, monkeypatch):
+    from codeseam.operators import graph
+
+    written, settle = [], graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df: written.append(settle(df)) or written[-1])
+    monkeypatch.setattr(graph, "discard", lambda *t: None)
+    rings = [(f"r{k}-{i:02}", f"r{k}-{(i + 1) % 30:02}") for k in range(6) for i in range(30)]
+    tails = [(f"t{k}-{i}", f"t{k}-{i + 1}") for k in range(2) for i in range(12)] + [("r0-03", "t0-0"), ("t1-12", "r1-00"), ("r0-00", "r1-00")]
+    found = {r["node"]: r["component"] for r in graph.strong_components(spark.createDataFrame(rings + tails, "src string, dst string")).collect()}
+    assert found == {f"r{k}-{i:02}": f"r{k}-00" for k in range(6) for i in range(30)}
+    names = sum(t.count() for t in written if "string" in dict(t.dtypes).values())
+    assert names <= 4 * len(rings + tails)  # every round wrote names before
