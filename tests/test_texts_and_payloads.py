@@ -176,3 +176,18 @@ def test_replacement_compares_ends_from_behind(spark):
     for r in df.collect():
         assert tuple(r["r"]) == edits.minimal_replacement(r["a"], r["b"])
     assert "reverse(" not in df._jdf.queryExecution().optimizedPlan().toString()  # it was computed again for every step
+
+
+def test_payloads_of_few_levels_are_digested_in_their_rows(spark, monkeypatch):
+    few = ['{"a": [1, null, {"b": 1.50, "n": null, "uptime": 3}], "c": {}}', '[]', '"x"', 'null', '1e3', 'true', None, '{oops', '[[["q"], []], null]', '{"t": "", "u": []}']
+    deep = ['[[[[["d", {"k": [2]}]]]]]', '{"a": {"b": {"c": {"d": {"e": null, "f": 1}}}}}']
+    frame = lambda texts: spark.createDataFrame(list(enumerate(texts)), "i int, json string")
+    digests = lambda texts: {r["i"]: r["digest"] for r in payload.canonical_digests(frame(texts), "json").collect()}
+    in_rows = digests(few + deep)
+    monkeypatch.setattr(payload, "_in_row", lambda v, *more: F.lit(None).cast("string"))
+    assert digests(few + deep) == in_rows and len(set(in_rows.values())) == 11
+    monkeypatch.undo()
+    tables, settle = [], payload.settled
+    monkeypatch.setattr(payload, "settled", lambda df: tables.append(settle(df)) or tables[-1])
+    digests(few)
+    assert len(tables) == 1
