@@ -3,13 +3,15 @@ driver's tables, each with its DuckDB SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from codeseam.operators import cycles, edits, graph, incremental, labels, payload, scopes
 from codeseam.operators.budget import Grouped
 from codeseam.operators.postings import GlobIndex
 from codeseam.operators.running import running
-from codeseam.operators.shared import settled, shared_path
+from codeseam.operators.shared import bucketed, settled, shared_path
 from codeseam.plans.table_queries import MOVES, Query, moves_of, read, states
 from codeseam.streaming.epochs import Epochs
 
@@ -34,23 +36,33 @@ def query(sql: str):
 SPAN = "SELECT min(epoch_us(ts)) AS a, max(epoch_us(ts)) AS b FROM events"
 
 
-def _timed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, int]:
-    """States with ``at`` in microseconds, and the first and last time."""
-    timed = states(spark, sf_dir).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
-    row = timed.agg(F.coalesce(F.min("at"), F.lit(0)).alias("a"), F.coalesce(F.max("at"), F.lit(0)).alias("b")).first()
-    return settled(timed.select("event_id", "user_id", "event_type", "ts", "at", "state")), row["a"], row["b"]
-
-
-def _changed(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Reach of ``before``'s states from its signups, brought to what ``after`` has: (node)."""
-    roots = lambda df: df.filter("event_type = 'signup'").select(F.col("state").alias("node")).distinct()
-    reach = incremental.build(moves_of(before), roots(before))
-    old, new = settled(moves_of(before).distinct()), settled(moves_of(after).distinct())
-    ends = ["src", "dst"]
-    return incremental.maintain(
-        reach, new.join(old, ends, "left_anti"), old.join(new, ends, "left_anti"),
-        roots(after).join(roots(before), "node", "left_anti"), roots(before).join(roots(after), "node", "left_anti"),
-    ).nodes
+def _changed(spark: SparkSession, sf_dir: str, old, new) -> DataFrame:
+    """Reach of the states of ``old`` events from their signups, brought to what ``new`` has: (node).
+
+    ``old`` and ``new`` tell from a time (``at``, in microseconds), the first and the last one which events count; both hold
+    a stretch of every user's events, so one window gives the moves of both.
+    """
+    events = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "ts")
+    at = lambda ts: F.unix_micros(ts.cast("timestamp"))
+    row = events.agg(F.coalesce(at(F.min("ts")), F.lit(0)).alias("a"), F.coalesce(at(F.max("ts")), F.lit(0)).alias("b")).first()
+    within = lambda which, *ts: F.coalesce(reduce(Column.__and__, [which(at(t), row["a"], row["b"]) for t in ts]), F.lit(False))
+    state = lambda kind, tens: F.concat_ws(":", "user_id", kind, tens)
+    told = lambda rows, keys: rows.groupBy(*keys).agg(F.max("old").alias("old"), F.max("new").alias("new")).filter("old or new")
+    tens, ts = F.floor(F.col("value") / 10).cast("bigint"), F.col("ts")
+
+    signups = events.filter("event_type = 'signup'").select(state("event_type", tens).alias("node"), within(old, ts).alias("old"), within(new, ts).alias("new"))
+    roots = settled(told(signups, ["node"]))
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    following = events.select("user_id", "event_type", tens.alias("tens"), "ts", F.lead(F.struct("event_type", tens.alias("tens"), "ts")).over(order).alias("next")).filter("next is not null")
+    moves = following.select(
+        state("event_type", "tens").alias("src"), state("next.event_type", "next.tens").alias("dst"),
+        within(old, ts, F.col("next.ts")).alias("old"), within(new, ts, F.col("next.ts")).alias("new"),
+    ).filter("src <> dst")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    edges = bucketed(spark, told(moves.repartition(n, "src"), ["src", "dst"]), "src", "moves")
+    reach = incremental.build(edges.filter("old"), roots.filter("old"))
+    differ = [t.filter(which).select(*keys) for t, keys in ((edges, ["src", "dst"]), (roots, ["node"])) for which in ("new and not old", "old and not new")]
+    return incremental.maintain(reach, *differ, exact=True).nodes
 
 
 _REACH = "reach AS (SELECT DISTINCT state AS node FROM s WHERE event_type = 'signup' UNION SELECT e.dst FROM reach JOIN e ON e.src = reach.node) SELECT node FROM reach"
@@ -59,15 +71,13 @@ _REACH = "reach AS (SELECT DISTINCT state AS node FROM s WHERE event_type = 'sig
 @query(f"WITH RECURSIVE {MOVES}, {_REACH}")
 def graph_reach_inserted(spark, sf_dir):
     """Reach of the earlier events, maintained under the insertions of the last fiftieth of the time."""
-    timed, a, b = _timed(spark, sf_dir)
-    return _changed(timed.filter(F.col("at") < b - (b - a) // 50), timed)
+    return _changed(spark, sf_dir, lambda at, a, b: at < b - (b - a) // 50, lambda at, a, b: F.lit(True))
 
 
 @query(f"WITH RECURSIVE {MOVES.replace('FROM events)', f'FROM events, ({SPAN}) t WHERE epoch_us(ts) >= t.a + (t.b - t.a) // 50)', 1)}, {_REACH}")
 def graph_reach_retained(spark, sf_dir):
     """Reach of all events, maintained under the loss of the first fiftieth of the time."""
-    timed, a, b = _timed(spark, sf_dir)
-    return _changed(timed, timed.filter(F.col("at") >= a + (b - a) // 50))
+    return _changed(spark, sf_dir, lambda at, a, b: F.lit(True), lambda at, a, b: at >= a + (b - a) // 50)
 
 
 # ---------------------------------------------------------------- cycles as paths

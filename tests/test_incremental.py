@@ -95,3 +95,29 @@ def test_components_move_numbers_and_drop_what_is_settled(spark, monkeypatch):
     assert found == {f"r{k}-{i:02}": f"r{k}-00" for k in range(6) for i in range(30)}
     names = sum(t.count() for t in written if "string" in dict(t.dtypes).values())
     assert names <= 4 * len(rings + tails)  # every round wrote names before
+
+
+def test_rounds_exchange_the_batch_and_not_the_base(spark):
+    """A forest of 4,000 chains, nothing broadcast: a batch in one of them leaves edges and states where they are."""
+    chains = spark.range(4000).selectExpr("id * 10 as a", "explode(sequence(0, 4)) as k").selectExpr("a + k as src", "a + k + 1 as dst")
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def stages():
+        none = gateway.new_array(gateway.jvm.double, 0)
+        found = store.stageList(None, False, False, none, gateway.jvm.java.util.ArrayList())
+        return {found.apply(k).stageId(): found.apply(k).shuffleWriteRecords() for k in range(found.size())}
+
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        reach = incremental.build(chains, spark.range(4000).selectExpr("id * 10 as node"))
+        edge = lambda a, b: spark.createDataFrame([(a, b)], "src bigint, dst bigint")
+        last = max(stages())
+        reach = incremental.maintain(reach, edge(13, 50001), edge(11, 12), exact=True)
+        assert sum(n for stage, n in stages().items() if stage > last) < 1000
+        last = max(stages())
+        reach = incremental.maintain(reach, edge(11, 12), edge(21, 22), exact=True)  # beside changes of a batch before
+        assert sum(n for stage, n in stages().items() if stage > last) < 1000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+    assert reach.nodes.count() == 4000 * 6 - 4 + 1
