@@ -3,7 +3,8 @@
 Each name stands once under every gram it holds, its two ends marked.  Postings lie in a folder for each source, sorted by
 gram over ranges of files, so a filter on one gram reads the files, row groups and pages whose bounds hold it and no
 others.  A glob's literal runs give grams that every match must hold; the one with the fewest names is read, and the
-glob itself decides among those.  A source is written again alone, by replacing its folder.
+glob itself decides among those.  A glob without such grams scans the names, which lie beside the postings, once each.  A
+source is written again alone, by replacing its folders.
 """
 
 from __future__ import annotations
@@ -46,7 +47,9 @@ class GlobIndex:
         Other sources' folders are neither read nor written.
         """
         distinct = names.select(F.col(name).cast("string").alias("name")).dropna().distinct()
-        rows = distinct.select(F.explode(_grams(F.col("name"))).alias("gram"), "name")
+        distinct.write.mode("overwrite").parquet(f"{self.path}/names/source={source}")
+        spread = self.names().filter(F.col("source") == source).repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "name")
+        rows = spread.select(F.explode(_grams(F.col("name"))).alias("gram"), "name")
         sorted_ = rows.repartitionByRange("gram", "name").sortWithinPartitions("gram", "name")
         sorted_.write.mode("overwrite").option("parquet.block.size", GROUP_BYTES).parquet(f"{self.path}/postings/source={source}")
         counted = self._read("postings", "gram string, name string").filter(F.col("source") == source).groupBy("gram").agg(F.count("*").alias("n"))
@@ -55,6 +58,9 @@ class GlobIndex:
     def _read(self, table: str, columns: str) -> DataFrame:
         return self.spark.read.schema(f"{columns}, source string").parquet(f"{self.path}/{table}")
 
+    def names(self) -> DataFrame:
+        return self._read("names", "name string")
+
     def postings(self) -> DataFrame:
         return self._read("postings", "gram string, name string")
 
@@ -73,9 +79,7 @@ class GlobIndex:
     def search(self, glob: str, sources: list[str] | None = None, ignore_case: bool = False) -> DataFrame:
         """(source, name) of the indexed names that match: those of a scan with the same glob."""
         gram = self.rarest(glob)
-        rows = self.postings() if sources is None else self.postings().filter(F.col("source").isin(sources))
-        rows = rows.filter(T.glob_match(F.col("name"), glob, ignore_case=ignore_case))
-        if gram is None:  # nothing to look up: every name, once
-            first = F.substring(F.lower(F.concat(F.lit(BEGIN), "name", F.lit(END))), 1, GRAM)
-            return rows.filter(F.col("gram") == first).select("source", "name")
-        return rows.filter(F.col("gram") == gram).select("source", "name")
+        rows = self.names() if gram is None else self.postings().filter(F.col("gram") == gram)
+        if sources is not None:
+            rows = rows.filter(F.col("source").isin(sources))
+        return rows.filter(T.glob_match(F.col("name"), glob, ignore_case=ignore_case)).select("source", "name")

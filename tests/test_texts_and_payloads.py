@@ -46,6 +46,19 @@ def test_a_rare_gram_reads_few_postings(spark, tmp_path):
     assert min(read.values()) * 50 < max(read.values())
 
 
+def test_globs_without_grams_scan_names_and_not_postings(spark, tmp_path):
+    index = GlobIndex(spark, str(tmp_path / "index"))
+    index.refresh("a", spark.createDataFrame([("to",), ("",), (None,), ("jazzy",), ("to",)], "name string"))
+    index.refresh("b", spark.createDataFrame([("go",), ("to",)], "name string"))
+    found = lambda glob, **more: sorted(map(tuple, index.search(glob, **more).collect()))
+    assert found("?o") == [("a", "to"), ("b", "go"), ("b", "to")]
+    assert found("*zz*") == [("a", "jazzy")] and found("*", sources=["a"]) == [("a", ""), ("a", "jazzy"), ("a", "to")]
+    assert all("/names/" in path for path in index.search("*").inputFiles())
+    index.refresh("a", spark.createDataFrame([("do",)], "name string"))
+    assert found("?o") == [("a", "do"), ("b", "go"), ("b", "to")]
+
+
+
 def test_edits_as_pieces_match_splicing(spark):
     rng = random.Random(1)
     texts, todo, want = [], [], {}
