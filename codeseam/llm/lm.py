@@ -21,7 +21,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import log10
+from heapq import heapreplace
+from math import log10, prod
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +43,14 @@ LONG_KNOWN, LONG_BYTES = 1024, 4096
 HIDDEN = 32
 WINDOW = 64
 LANES = 256
-ROWS, SCORED = 1024, 4096  # texts taken at a time, to split and to score
+ROWS = 1024  # texts split at a time
+#: Texts are scored together until they have so many tokens, so that a long one is a small part of them.
+SCORED_TOKENS = 1 << 22
 #: Tokens are counted in stretches of about so many before they leave the task.
 COUNT_TOKENS = 2_000_000
 TRAIN_LANES, TRAIN_WINDOW = 256, 24
 SHORT_RUN = 6
+STRIP = 1024
 #: Texts are learned from in stretches of about so many tokens (a text is never cut).
 TRAIN_TOKENS = 1 << 21
 #: A copy of the network learns from about so many tokens between two averages; at most so many copies learn side by side.
@@ -67,9 +71,12 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words.cast(pa.binary()), edge
 
 
+MARKS = ".,;:!?*|%&$#\"')"
+
+
 def rare_class(word: bytes) -> int:
     """Rare class of a token: its last two letters and whether marks or non-ASCII letters occur."""
-    core = word.rstrip(b".,;:!?*|%&$#\"')")
+    core = word.rstrip(MARKS.encode())
     marked = len(core) != len(word)
     tail = core[-2:]
     value = 0
@@ -80,6 +87,19 @@ def rare_class(word: bytes) -> int:
     return (value * 2 + marked) % (RARE - 2) + 2 if tail else 1
 
 
+def rare_classes(words: pa.Array) -> np.ndarray:
+    """``rare_class`` of each token."""
+    core = pc.ascii_rtrim(words.view(pa.string()), characters=MARKS)
+    size, left = (pc.binary_length(x).to_numpy(zero_copy_only=False) for x in (words, core))
+    data, stop = core.buffers()[2], np.cumsum(left)  # what a kernel has made begins at 0
+    letters = np.concatenate([np.zeros(2, np.uint8), np.frombuffer(data or b"", np.uint8)]).astype(np.int64)
+    value = np.where(left > 1, letters[stop] * 31, 0) + letters[stop + 1]
+    out = (value * 2 + (left < size)) % (RARE - 2) + 2
+    out[left == 0] = 1
+    out[size > 40] = 0
+    return out
+
+
 # ---------------------------------------------------------------- counts
 
 
@@ -168,23 +188,79 @@ def unigram_net(counts: np.ndarray, hidden: int = HIDDEN) -> Net:
     return net
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.negative(x, x)
-    np.exp(x, x)
-    x += 1
-    np.reciprocal(x, x)
-    return x
+@dataclass
+class Gates:
+    """What steps read of a net, a block a gate, so that every operation runs over whole blocks: gate sums of each output
+    (3 x outputs x H) and recurrent weights (3 x H x H).  Of the update and the reset gate they are negated, as sigmoids
+    take them."""
+
+    x: np.ndarray
+    U: np.ndarray
+
+    @classmethod
+    def of(cls, x: np.ndarray, U: np.ndarray) -> Gates:
+        x, U = (np.array(a.reshape(len(a), 3, -1).swapaxes(0, 1), order="C") for a in (x, U))
+        for a in (x, U):
+            np.negative(a[:2], a[:2])
+        return cls(x, U)
+
+    def step(self, x: np.ndarray, h: np.ndarray, g: np.ndarray, c: np.ndarray, out: np.ndarray) -> None:
+        """From gate sums of the inputs and the state: ``g`` gets both gates and the recurrent part of the candidate, ``c``
+        the candidate, ``out`` the new state."""
+        np.matmul(h, self.U, out=g)
+        zr = g[:2]
+        zr += x[:2]
+        np.exp(zr, zr)
+        zr += 1
+        np.reciprocal(zr, zr)
+        np.multiply(zr[1], g[2], out=c)
+        c += x[2]
+        np.tanh(c, c)
+        np.subtract(h, c, out=out)
+        out *= zr[0]
+        out += c
+
+
+class Scratch:
+    """Arrays written anew in every window, by name: their memory is kept, and not given back and cleared for each."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        size = prod(shape)
+        if name not in self.held or self.held[name].size < size:
+            self.held[name] = np.empty(size, np.float32)
+        return self.held[name][:size].reshape(shape)
+
+
+def walked(gates: Gates, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, room: Scratch, keep: bool) -> tuple[np.ndarray, ...]:
+    """States after each step over the inputs ``x`` (steps x lanes, rows of ``gates.x``) and, if they are to be kept, the
+    states before each step and what the steps left (gates, candidates).  Where ``fresh``, a text starts from the zero state."""
+    (T, L), H = x.shape, h.shape[1]
+    kept = T if keep else 1
+    hs, into, g, c = room("hs", T, L, H), room("into", kept, L, H), room("g", kept, 3, L, H), room("c", kept, L, H)
+    sums = room("sums", 3, T * L, H)
+    for k in range(3):
+        np.take(gates.x[k], x.reshape(-1), 0, out=sums[k], mode="clip")
+    sums = sums.reshape(3, T, L, H)
+    renewed = fresh.any(1).tolist()
+    for t in range(T):
+        at = t if keep else 0
+        into[at] = h
+        if renewed[t]:
+            into[at][fresh[t]] = 0
+        h = hs[t]
+        gates.step(sums[:, t], into[at], g[at], c[at], h)
+    return hs, into, g, c
 
 
 def gru_step(net: Net, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """New state, gates, candidate and the recurrent part of the candidate; the input's gate sums are given."""
-    H = h.shape[1]
-    g = h @ net.U
-    zr = _sigmoid(x[:, : 2 * H] + g[:, : 2 * H])
-    z, r = zr[:, :H], zr[:, H:]
-    u = g[:, 2 * H :]
-    c = np.tanh(x[:, 2 * H :] + r * u)
-    return c + z * (h - c), zr, c, u
+    """New state, both gates, candidate and the recurrent part of the candidate; the input's gate sums are given."""
+    gates = Gates.of(x, net.U)
+    g, c, out = np.empty_like(gates.x), np.empty_like(h), np.empty_like(h)
+    gates.step(gates.x, h, g, c, out)
+    return out, g[:2], c, g[2]
 
 
 def bounded(net: Net) -> bool:
@@ -221,8 +297,19 @@ def _by_class(cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     return order, [(int(cs[a]), a, b) for a, b in zip(edge[:-1], edge[1:])]
 
 
-def _word_logits(net: Net, h: np.ndarray, parts: list[tuple[int, int, int]]) -> np.ndarray:
-    out = np.empty((len(h), CLASS_SIZE), np.float32)
+def _strips(parts: list[tuple[int, int, int]]) -> list[tuple[int, int, list[tuple[int, int, int]]]]:
+    """(from, to, parts within) of stretches of about ``STRIP`` rows, whose logits a core's cache holds; long parts are cut."""
+    out, held, first = [], [], 0
+    for k, a, b in ((k, i, min(i + STRIP, b)) for k, a, b in parts for i in range(a, b, STRIP)):
+        held.append((k, a - first, b - first))
+        if b - first >= STRIP:
+            out.append((first, b, held))
+            held, first = [], b
+    return [*out, (first, first + held[-1][2], held)] if held else out
+
+
+def _word_logits(net: Net, h: np.ndarray, parts: list[tuple[int, int, int]], out: np.ndarray | None = None) -> np.ndarray:
+    out = np.empty((len(h), CLASS_SIZE), np.float32) if out is None else out
     for k, a, b in parts:
         np.matmul(h[a:b], net.Ww[k].T, out=out[a:b])
         out[a:b] += net.bw[k]
@@ -233,28 +320,34 @@ def log_probs(net: Net, h: np.ndarray, target: np.ndarray, safe: bool = False) -
     """Natural log probability of each target output from its state: of its class, then of it within the class."""
     order, parts = _by_class(target // CLASS_SIZE)
     h, target = np.take(h, order, 0), target[order]
-    found = log_softmax_at(h @ net.Wc + net.bc, target // CLASS_SIZE, safe).astype(np.float64)
-    found += log_softmax_at(_word_logits(net, h, parts), target % CLASS_SIZE, safe)
+    found = np.empty(len(h))
+    for a, b, own in _strips(parts):
+        classes = h[a:b] @ net.Wc
+        classes += net.bc
+        found[a:b] = log_softmax_at(classes, target[a:b] // CLASS_SIZE, safe)
+        found[a:b] += log_softmax_at(_word_logits(net, h[a:b], own), target[a:b] % CLASS_SIZE, safe)
     out = np.empty(len(found))
     out[order] = found
     return out
 
 
 def segment_sums(rows: np.ndarray, edge: np.ndarray) -> np.ndarray:
-    """Sums of the stretches of rows that begin at ``edge``; most are short, and those are added side by side."""
-    out = np.empty((len(edge), rows.shape[1]), np.float32)
-    size = np.diff(np.append(edge, len(rows)))
+    """Sums of the stretches of rows (the last axis but one) that begin at ``edge``; most are short, and those are added
+    side by side."""
+    n_rows = rows.shape[-2]
+    out = np.empty((*rows.shape[:-2], len(edge), rows.shape[-1]), np.float32)
+    size = np.diff(np.append(edge, n_rows))
     for k in range(1, SHORT_RUN + 1):
         at = np.nonzero(size == k)[0]
         first = edge[at]
-        total = np.take(rows, first, 0)
+        total = np.take(rows, first, -2)
         for j in range(1, k):
-            total += np.take(rows, first + j, 0)
-        out[at] = total
-    ones = np.ones(len(rows), np.float32)
+            total += np.take(rows, first + j, -2)
+        out[..., at, :] = total
+    ones = np.ones(n_rows, np.float32)
     for i in np.nonzero(size > SHORT_RUN)[0].tolist():
         n = size[i]
-        np.matmul(ones[:n], rows[edge[i] : edge[i] + n], out=out[i])
+        np.matmul(ones[:n], rows[..., edge[i] : edge[i] + n, :], out=out[..., i, :])
     return out
 
 
@@ -263,6 +356,7 @@ class Trainer:
 
     def __init__(self, net: Net, start: int, rate: float):
         self.net, self.start, self.rate, self.steps, self.safe = net, start, rate, 0, bounded(net)
+        self.room = Scratch()
         self.m = {k: np.zeros_like(getattr(net, k)) for k in net.names()}
         self.v = {k: np.zeros_like(getattr(net, k)) for k in net.names()}
 
@@ -286,98 +380,117 @@ class Trainer:
             h = self._window(x, y, h, None if on.all() else on)
 
     def _window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, on: np.ndarray | None) -> np.ndarray:
-        net, H = self.net, h.shape[1]
+        net, H, room = self.net, h.shape[1], self.room
         T, L = y.shape
-        into, hs = np.empty((T, L, H), np.float32), np.empty((T, L, H), np.float32)
-        fresh = x == self.start  # a new text starts from the zero state, as in scoring
-        sums = np.take(net.E, x.reshape(-1), 0).reshape(T, L, 3 * H)
-        sums += net.b
-        kept, renewed = [], fresh.any(1).tolist()
-        for t in range(T):
-            into[t] = h
-            if renewed[t]:
-                into[t][fresh[t]] = 0
-            h, *own = gru_step(net, sums[t], into[t])
-            hs[t] = h
-            kept.append(own)
+        N = T * L
+        fresh = x == self.start
+        renewed = fresh.any(1).tolist()
+        order = np.argsort(x.reshape(-1).astype(np.uint16), kind="stable")
+        sorted_x = x.reshape(-1)[order]
+        edge = np.concatenate([[0], np.nonzero(np.diff(sorted_x))[0] + 1])
+        inputs, at = sorted_x[edge], np.empty(N, np.int64)
+        at[order] = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, N)))
+        hs, into, g, c = walked(Gates.of(net.E[inputs] + net.b, net.U), at.reshape(T, L), fresh, h, room, True)
         grads: dict = {}
-        dh_out = _output_grads(net, hs.reshape(-1, H), y.reshape(-1), grads, None if on is None else on.reshape(-1), self.safe).reshape(T, L, H)
-        dE, dU = np.empty((T, L, 3 * H), np.float32), np.empty((T, L, 3 * H), np.float32)
-        dh = np.zeros((L, H), np.float32)
-        back = np.ascontiguousarray(net.U.T)
+        dh_out = _output_grads(net, hs.reshape(N, H), y.reshape(-1), grads, None if on is None else on.reshape(-1), self.safe, room).reshape(T, L, H)
+        dx, du = room("dx", 3, T, L, H), room("du", L, H)  # by the gate sums; of the candidate, by its recurrent part
+        dh, rest, back = np.zeros((L, H), np.float32), room("rest", L, H), room("back", 3, L, H)
+        U, dU, part = np.ascontiguousarray(net.U.reshape(H, 3, H).transpose(1, 2, 0)), np.zeros((3, H, H), np.float32), room("part", 3, H, H)
         for t in range(T - 1, -1, -1):
             dh += dh_out[t]
-            zr, c, u = kept[t]
-            z, r = zr[:, :H], zr[:, H:]
-            dx, du = dE[t], dU[t]
-            dc = (1 - z) * (1 - c * c)
-            dc *= dh
-            dx[:, 2 * H :] = dc
-            np.multiply(dh, into[t] - c, out=dx[:, :H])
-            np.multiply(dc, u, out=dx[:, H : 2 * H])
-            dx[:, : 2 * H] *= zr * (1 - zr)
-            du[:, : 2 * H] = dx[:, : 2 * H]
-            np.multiply(dc, r, out=du[:, 2 * H :])
+            (z, r, u), own = g[t], dx[:, t]
+            np.subtract(1, z, out=rest)
+            rest *= dh
+            np.multiply(c[t], c[t], out=own[2])
+            np.subtract(1, own[2], out=own[2])
+            own[2] *= rest
+            np.subtract(into[t], c[t], out=own[0])
+            own[0] *= rest
+            own[0] *= z
+            np.multiply(own[2], r, out=du)
+            np.multiply(du, u, out=own[1])
+            np.subtract(1, r, out=rest)
+            own[1] *= rest
             dh *= z
-            dh += du @ back
+            np.matmul(own[:2], U[:2], out=back[:2])
+            np.matmul(du, U[2], out=back[2])
+            for k in range(3):
+                dh += back[k]
+            np.matmul(into[t].T, own[:2], out=part[:2])
+            np.matmul(into[t].T, du, out=part[2])
+            dU += part
             if renewed[t]:
                 dh[fresh[t]] = 0
-        flat_x, flat = x.reshape(-1), dE.reshape(-1, 3 * H)
-        grads["U"], grads["b"] = into.reshape(-1, H).T @ dU.reshape(-1, 3 * H), np.ones(len(flat), np.float32) @ flat
-        order = np.argsort(flat_x.astype(np.uint16), kind="stable")
-        sorted_x = flat_x[order]
-        edge = np.concatenate([[0], np.nonzero(np.diff(sorted_x))[0] + 1])
+        flat = dx.reshape(3, N, H)
+        grads["U"], grads["b"] = dU.swapaxes(0, 1).reshape(H, 3 * H), (np.ones(N, np.float32) @ flat).reshape(-1)
+        sorted_rows = room("sums", 3, N, H)  # the sums of the inputs are not read any more
+        for k in range(3):
+            np.take(flat[k], order, 0, out=sorted_rows[k], mode="clip")
+        of_inputs = segment_sums(sorted_rows, edge).swapaxes(0, 1).reshape(len(edge), 3 * H)
         self.steps += 1
         if self.steps % 32 == 0:  # no logit moves far in so few steps
             self.safe = bounded(net)
         rate = self.rate / (1 + self.steps / 400) ** 0.5
         scale = np.float32(1.0 / (T * L))
-        self._adam("E", segment_sums(np.take(flat, order, 0), edge) * scale, rate, sorted_x[edge])
+        self._adam("E", of_inputs * scale, rate, inputs)
         for k in ("U", "b", "Wc", "bc"):
             self._adam(k, np.clip(grads[k] * scale, -1, 1), rate)
         for k in ("Ww", "bw"):
             rows, g = grads[k]
-            self._adam(k, g * scale, rate, rows)
-        return h
+            self._adam(k, g * scale, rate, rows if len(rows) < len(getattr(net, k)) else slice(None))
+        return hs[-1].copy()
 
     def _adam(self, name: str, g: np.ndarray, rate: float, rows=slice(None), b1=0.9, b2=0.99) -> None:
         m, v = self.m[name][rows], self.v[name][rows]
-        m = m * np.float32(b1) + g * np.float32(1 - b1)
-        v = v * np.float32(b2) + g * g * np.float32(1 - b2)
+        square = g * g
+        square *= np.float32(1 - b2)
+        v *= np.float32(b2)
+        v += square
+        m *= np.float32(b1)
+        m += g * np.float32(1 - b1)
         self.m[name][rows], self.v[name][rows] = m, v
-        step = np.sqrt(v)
+        step = np.sqrt(v, out=square)
         step += np.float32(1e-8)
         np.divide(m, step, step)
         step *= np.float32(rate * (1 - b2**self.steps) ** 0.5 / (1 - b1**self.steps))
         getattr(self.net, name)[rows] -= step
 
 
-def _output_grads(net: Net, h: np.ndarray, y: np.ndarray, grads: dict, on: np.ndarray | None, safe: bool) -> np.ndarray:
+def _output_grads(net: Net, h: np.ndarray, y: np.ndarray, grads: dict, on: np.ndarray | None, safe: bool, room: Scratch) -> np.ndarray:
     order, parts = _by_class(y // CLASS_SIZE)
-    hs, ys = np.take(h, order, 0), y[order]
+    hs, ys = np.take(h, order, 0, out=room("ordered", *h.shape), mode="clip"), y[order]
     each = np.arange(len(ys))
     ones = np.ones(len(ys), np.float32) if on is None else on[order].astype(np.float32)
 
-    def slope(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def slope(logits: np.ndarray, at: np.ndarray, ones: np.ndarray) -> np.ndarray:
         """Gradient of the loss by the logits, which are overwritten."""
         _exponentials(logits, safe)
         logits *= (ones / (logits @ np.ones(logits.shape[1], np.float32)))[:, None]
-        logits[each, at] -= ones
+        logits.reshape(-1)[each[: len(at)] * logits.shape[1] + at] -= ones
         return logits
 
-    p = slope(hs @ net.Wc + net.bc, ys // CLASS_SIZE)
-    grads["Wc"], grads["bc"] = hs.T @ p, ones @ p  # rows that teach nothing hold zeros
-    dh = p @ np.ascontiguousarray(net.Wc.T)
-    q = slope(_word_logits(net, hs, parts), ys % CLASS_SIZE)
+    dh, by_word = room("dh", *h.shape), room("by_word", *h.shape)
+    back = np.ascontiguousarray(net.Wc.T)
     rows = np.array([k for k, _, _ in parts])
-    gw = np.empty((len(rows), CLASS_SIZE, h.shape[1]), np.float32)
-    gb = np.empty((len(rows), CLASS_SIZE), np.float32)
-    for i, (k, a, b) in enumerate(parts):
-        np.matmul(q[a:b].T, hs[a:b], out=gw[i])
-        np.matmul(ones[a:b], q[a:b], out=gb[i])
-        dh[a:b] += q[a:b] @ net.Ww[k]
+    place = {k: i for i, k in enumerate(rows.tolist())}
+    grads["Wc"], grads["bc"] = np.zeros_like(net.Wc), np.zeros_like(net.bc)
+    gw, gb = np.zeros((len(rows), CLASS_SIZE, h.shape[1]), np.float32), np.zeros((len(rows), CLASS_SIZE), np.float32)
+    for first, last, own in _strips(parts):
+        x, at, teach = hs[first:last], ys[first:last], ones[first:last]  # rows that teach nothing get zeros
+        p = np.matmul(x, net.Wc, out=room("classes", len(x), len(net.bc)))
+        p += net.bc
+        slope(p, at // CLASS_SIZE, teach)
+        grads["Wc"] += x.T @ p
+        grads["bc"] += teach @ p
+        np.matmul(p, back, out=dh[first:last])
+        q = slope(_word_logits(net, x, own, room("words", len(x), CLASS_SIZE)), at % CLASS_SIZE, teach)
+        for k, a, b in own:
+            gw[place[k]] += q[a:b].T @ x[a:b]
+            gb[place[k]] += teach[a:b] @ q[a:b]
+            np.matmul(q[a:b], net.Ww[k], out=by_word[first + a : first + b])
+    dh += by_word
     grads["Ww"], grads["bw"] = (rows, gw), (rows, gb)
-    out = np.empty_like(dh)
+    out = by_word
     out[order] = dh
     return out
 
@@ -385,38 +498,53 @@ def _output_grads(net: Net, h: np.ndarray, y: np.ndarray, grads: dict, on: np.nd
 # ---------------------------------------------------------------- scoring
 
 
+def lanes_of(sizes: np.ndarray, most: int = LANES) -> list[list[int]]:
+    """Texts one behind the other in at most ``most`` lanes of nearly the same length, the longest lane first."""
+    lanes: list[list[int]] = [[] for _ in range(min(most, len(sizes)))]
+    open_ = [(0, k) for k in range(len(lanes))]
+    for i in np.argsort(-sizes, kind="stable").tolist():  # each next longest to the shortest lane
+        size, k = open_[0]
+        lanes[k].append(i)
+        heapreplace(open_, (size + int(sizes[i]), k))
+    return [lanes[k] for _, k in sorted(open_, reverse=True)]
+
+
 def stream_scores(net: Net, texts: list[np.ndarray], start: int) -> np.ndarray:
-    """Natural log-likelihood of each stream of outputs; longest first, so the open lanes are always the first ones."""
-    out, safe = np.zeros(len(texts)), bounded(net)
-    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-    H = net.U.shape[0]
-    E = net.E + net.b
-    for at in range(0, len(order), LANES):
-        lane = order[at : at + LANES]
-        size = np.array([len(texts[i]) for i in lane])
-        h = np.zeros((len(lane), H), np.float32)
-        prev = np.full(len(lane), start)
-        for w in range(0, int(size[0]), WINDOW):
-            live = int((size > w).sum())
-            T = min(WINDOW, int(size[0]) - w)
-            y = np.zeros((T, live), np.int64)
-            for k in range(live):
-                part = texts[lane[k]][w : w + T]
-                y[: len(part), k] = part
-            open_ = [int((size > w + t).sum()) for t in range(T)]
-            on = np.arange(live) < np.array(open_)[:, None]
-            ys, who = y[on], np.nonzero(on)[1]
-            into = np.concatenate([prev[None, :live], y[:-1]])
-            sums = np.take(E, into[on], 0)
-            hs = np.empty((len(ys), H), np.float32)
-            pos, h = 0, h[:live]
-            for n in open_:
-                h = gru_step(net, sums[pos : pos + n], h[:n])[0]
-                hs[pos : pos + n] = h
-                pos += n
-            prev = y[-1]
-            out[np.array(lane[:live])] += np.bincount(who, log_probs(net, hs, ys, safe), live)
-    return out
+    """Natural log-likelihood of each stream of outputs, all closed by the start token, which occurs nowhere else in them.
+
+    Streams share lanes, so that few lanes stand idle beside a long one.
+    """
+    if not texts:
+        return np.zeros(0)
+    lanes = lanes_of(np.array([len(t) for t in texts]))
+    laid = [np.concatenate([texts[i] for i in lane]) for lane in lanes]
+    size = np.array([len(x) for x in laid])
+    out, safe, room = np.zeros(len(texts)), bounded(net), Scratch()
+    gates = Gates.of(net.E + net.b, net.U)
+    #: The number, lane by lane, of the text that a lane has begun last.
+    at = np.concatenate([[0], np.cumsum([len(lane) for lane in lanes])[:-1]]) - 1
+    h, prev = np.zeros((len(lanes), net.U.shape[0]), np.float32), np.full(len(lanes), start)
+    for w in range(0, int(size[0]), WINDOW):
+        live = int((size > w).sum())
+        T = min(WINDOW, int(size[0]) - w)
+        y = np.zeros((T, live), np.int64)
+        for k in range(live):
+            part = laid[k][w : w + T]
+            y[: len(part), k] = part
+        on = np.arange(w, w + T)[:, None] < size[:live]
+        x = np.concatenate([prev[None, :live], y[:-1]])
+        fresh = x == start
+        hs, *_ = walked(gates, x, fresh, h[:live], room, False)
+        number = at[:live] + np.cumsum(fresh, 0)
+        at, prev, h = number[-1], y[-1], hs[-1].copy()
+        flat, number, y = hs.reshape(T * live, -1), number.reshape(-1), y.reshape(-1)
+        if not on.all():
+            on = on.reshape(-1)
+            flat, number, y = flat[on], number[on], y[on]
+        out += np.bincount(number, log_probs(net, flat, y, safe), len(out))
+    scores = np.empty(len(out))
+    scores[np.concatenate(lanes)] = out
+    return scores
 
 
 class TokenTable:
@@ -444,7 +572,7 @@ class TokenTable:
         far = np.nonzero(at < 0)[0]
         rest = words.filter(pa.array(at[inner] < 0))
         if len(far):
-            ids[far] = np.fromiter(map(rare_class, rest.to_pylist()), np.int32, len(far)) + self.n
+            ids[far] = rare_classes(rest) + self.n
             log[far] = -1.0
         return ids, log, stop, rest
 
@@ -603,14 +731,27 @@ def score_texts(
     carried = ["row", "id", "n_tokens", "known", "base", "within"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, streams, size = [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            model, at = stream_scores(sent.value, streams, start) * LOG10E, 0
+            for part in held:
+                yield pa.RecordBatch.from_arrays([*part, pa.array(model[at : at + len(part[0])])], names=[*carried, "model"])
+                at += len(part[0])
+
         for whole in batches:
-            for at in range(0, whole.num_rows, SCORED):
-                batch = whole.slice(at, SCORED)
-                streams = [np.frombuffer(x, np.uint16) for x in batch.column(len(carried)).to_pylist()]
-                model = pa.array(stream_scores(sent.value, streams, start) * LOG10E)
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], model], names=[*carried, "model"])
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                held.append(batch.columns[: len(carried)])
+                streams += [np.frombuffer(x, np.uint16) for x in batch.column(len(carried)).to_pylist()]
+                size += sum(map(len, streams[-batch.num_rows :]))
+                if size >= SCORED_TOKENS:
+                    yield from flush()
+                    held, streams, size = [], [], 0
+        if held:
+            yield from flush()
 
-    far = rows.select("row", F.explode("rare").alias("token")).join(counts, "token").groupBy("row").agg(
+    far = rows.select("row", F.explode("rare").alias("token")).join(counts.hint("shuffle_hash"), "token").groupBy("row").agg(
         F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("gain")
     )
     scored = rows.select(*carried, "outputs").mapInArrow(
@@ -633,11 +774,12 @@ def _rare_totals(counts: DataFrame, words: list[bytes]) -> dict[int, tuple[int,
     schema = pa.schema([("cls", pa.int32()), ("n", pa.int64()), ("v", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, own = set(words), np.zeros((RARE, 2), np.int64)
+        out, own = pa.array(words, pa.binary()), np.zeros((RARE, 2), np.int64)
         for batch in batches:
-            for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if w not in out:
-                    own[rare_class(w)] += (n, 1)
+            rare = batch.filter(pc.invert(pc.is_in(batch.column(0), value_set=out)))
+            at = rare_classes(rare.column(0))
+            np.add.at(own[:, 0], at, rare.column(1).to_numpy())
+            own[:, 1] += np.bincount(at, minlength=RARE)
         yield record_batch(schema, np.arange(RARE), own[:, 0], own[:, 1])
 
     rows = counts.mapInArrow(run, "cls int, n bigint, v bigint").groupBy("cls").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()

@@ -301,6 +301,62 @@ def test_lm_is_a_distribution_and_carries_its_state():
         assert whole[k] == pytest.approx(score, rel=1e-4)
 
 
+def test_lm_long_texts_leave_no_lanes_idle(monkeypatch):
+    """Steps are about tokens over lanes, however the lengths lie, and a text has the score that it has alone."""
+    from codeseam.llm import lm
+
+    rng = np.random.default_rng(5)
+    n_out = 40 + lm.RARE
+    texts = [rng.integers(1, n_out, n).astype(np.uint16) for n in [300, 150, *rng.integers(1, 60, 200)]]
+    for t in texts:
+        t[-1] = 0
+    net = lm.unigram_net(np.bincount(np.concatenate(texts), minlength=n_out), hidden=8)
+    for name in ("E", "U", "Wc", "Ww"):
+        getattr(net, name)[:] *= 5
+    alone = [lm.stream_scores(net, [t], 0)[0] for t in texts]
+    monkeypatch.setattr(lm, "LANES", 16)
+    steps, step = [], lm.Gates.step
+    monkeypatch.setattr(lm.Gates, "step", lambda self, x, h, *out: (steps.append(len(h)), step(self, x, h, *out)))
+    assert lm.stream_scores(net, texts, 0) == pytest.approx(alone, rel=1e-4)
+    most = max(300, -(-sum(map(len, texts)) // 16) + 60)
+    assert len(steps) <= most
+    assert len(lm.stream_scores(net, [], 0)) == 0
+
+
+def test_lm_training_carries_its_state():
+    from codeseam.llm import lm
+
+    rng = np.random.default_rng(6)
+    n_out = 40 + lm.RARE
+    y = rng.integers(1, n_out, (2 * lm.TRAIN_WINDOW, 3))
+    y[7, 1] = 0
+    x = np.concatenate([np.zeros((1, 3), int), y[:-1]])
+    net = lm.unigram_net(rng.integers(1, 50, n_out), hidden=6)
+
+    class Still(lm.Trainer):
+        def _adam(self, name, g, rate, rows=slice(None)):
+            pass
+
+    trainer, got, want = Still(net, 0, 1.0), np.zeros((3, 6), np.float32), np.zeros((3, 6), np.float32)
+    for at in (0, lm.TRAIN_WINDOW):
+        got = trainer._window(x[at : at + lm.TRAIN_WINDOW], y[at : at + lm.TRAIN_WINDOW], got, None)
+    for now in x:
+        want[now == 0] = 0
+        want = lm.gru_step(net, net.E[now] + net.b, want)[0]
+    assert np.allclose(got, want, atol=1e-6) and np.abs(want).max() > 1e-3
+
+
+def test_lm_rare_classes_of_many_tokens():
+    import pyarrow as pa
+
+    from codeseam.llm import lm
+
+    words = [b"", b"a", b"a,", b"...", b"x" * 40, b"x" * 41, b"x" * 39 + b"!!", "caf\u00e9\u00e9?".encode(), b"ab", b"(ab)", b"'", b"end.\"", b"\x00", lm.END]
+    for some in (words, words[3:4], []):
+        assert lm.rare_classes(pa.array(some, pa.binary())).tolist() == [lm.rare_class(w) for w in some]
+    assert lm.rare_classes(pa.array(words, pa.binary()).slice(4, 6)).tolist() == [lm.rare_class(w) for w in words[4:10]]
+
+
 def test_lm_gradients_agree_with_differences():
     from codeseam.llm import lm
 
