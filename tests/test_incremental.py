@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from codeseam.operators import incremental
+from codeseam.operators import graph, incremental
 
 
 def plain(edges, roots):
@@ -121,3 +121,28 @@ def test_rounds_exchange_the_batch_and_not_the_base(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
     assert reach.nodes.count() == 4000 * 6 - 4 + 1
+
+
+def test_leaving_out_exchanges_what_is_left(spark):
+    """2,000 wheels seen by round 3 and one tail of 9, nothing broadcast: the edges of what was seen stay where they are."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def stages():
+        found = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {found.apply(k).stageId(): found.apply(k).shuffleWriteRecords() for k in range(found.size())}
+
+    wheels = spark.range(2000).selectExpr("id * 100 as a").selectExpr("a", "explode(sequence(1, 20)) as k")
+    rims = wheels.selectExpr("a + k as src", "explode(array(a, a + k % 20 + 1, a + (k + 6) % 20 + 1)) as dst")
+    tail = spark.range(9).selectExpr("-id as src", "-id - 1 as dst")
+    edges = incremental.Edges.of(wheels.selectExpr("a as src", "a + k as dst").union(rims).union(tail)).out.base
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        last = max(stages())
+        found = graph.reachable(edges, spark.range(2000).selectExpr("id * 100 as node"), steps=edges)
+        moved = sum(n for stage, n in stages().items() if stage > last)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+    assert edges.count() == 2000 * 80 + 9
+    assert {r["depth"]: r["count"] for r in found.groupBy("depth").count().collect()} == {0: 2000, 1: 40001} | {d: 1 for d in range(2, 10)}
+    assert moved < 3 * 2000 * 80
