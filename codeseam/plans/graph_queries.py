@@ -111,13 +111,13 @@ FOREST = (
 
 
 def forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(node, parent, v): customers, their orders and those's lines, with the lines' quantities."""
+    """(node, parent, v): customers, their orders and those's lines, with the lines' quantities; rows of one line have its node."""
     named = lambda letter, c: F.concat(F.lit(letter), c)
     zero = F.lit(0).cast("bigint").alias("v")
     customers = read(spark, sf_dir, "customer").select(named("c", "c_custkey").alias("node"), F.lit(None).cast("string").alias("parent"), zero)
     orders = read(spark, sf_dir, "orders").select(named("o", "o_orderkey"), named("c", "o_custkey"), zero)
     line = F.concat_ws(".", named("l", "l_orderkey"), "l_linenumber", "l_partkey", "l_suppkey")
-    lines = read(spark, sf_dir, "lineitem").groupBy(line.alias("node"), named("o", "l_orderkey").alias("parent")).agg(F.sum(F.col("l_quantity").cast("bigint")).alias("v"))
+    lines = read(spark, sf_dir, "lineitem").select(line, named("o", "l_orderkey"), F.col("l_quantity").cast("bigint"))
     return customers.union(orders).union(lines)
 
 
@@ -127,9 +127,7 @@ def forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def hierarchy_labels(spark, sf_dir):
     """Root, depth, subtree size and subtree quantity of every node, from interval labels."""
-    nodes = settled(forest(spark, sf_dir))
-    made = labels.interval_labels(nodes)
-    return made.select("node", "root", "depth", "size").join(labels.subtree_sums(made, nodes, "v"), "node")
+    return labels.interval_labels(forest(spark, sf_dir), "v").select("node", "root", "depth", "size", "total")
 
 
 @query(f"WITH RECURSIVE {FOREST} SELECT node, up AS ancestor, distance::INT AS distance FROM a WHERE distance > 0 AND node LIKE 'l%'")

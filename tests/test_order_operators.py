@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from codeseam.operators import cycles, diff, edits, graph, interval, labels, scopes, search
+from codeseam.operators import cycles, diff, edits, graph, interval, labels, running, scopes, search
+from codeseam.plans import graph_queries
 
 
 def rows(df, *columns):
@@ -91,6 +92,38 @@ def test_labels_of_a_shallow_forest_move_each_node_a_few_times(spark, monkeypatc
     assert all({d for d in up if inside(a, d)} == want[a] for a in up)
 
 
+def test_labels_bring_totals_with_nulls_chains_cycles_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(labels, "CHILDREN", 8)  # parents of more leaves go over ranges
+    parent = {0: None, 100: None, 101: 77} | {i: 0 for i in range(1, 15)} | {20 + i: 1 + i % 3 for i in range(9)}
+    parent |= {200: 201, 201: 200, 202: 201} | {300 + i: 299 + i for i in range(1, 14)} | {300: 0}  # a cycle, what hangs on it, a chain
+    value = {n: None if n in parent and n % 3 == 0 else n for n in parent}
+    more = [(5, 0, 1000), (5, 9, 2000), (25, parent[25], None)]  # the least parent counts, all values do
+    df = spark.createDataFrame([*((n, p, value[n]) for n, p in parent.items()), *more], "node int, parent int, v int")
+    want = {}
+    for n in [n for n in parent if n not in (200, 201, 202)]:
+        values, at = [v for v in (value[n], *(v for m, _, v in more if m == n)) if v is not None], n
+        while at in parent:
+            want.setdefault(at, []).extend(values)
+            at = parent[at]
+    want = {n: sum(v) if v else None for n, v in want.items()} | dict.fromkeys((200, 201, 202))
+    assert None in (want[300 + 12], want[9]) and want[300] > 0
+    made = labels.interval_labels(df, "v")
+    assert {r["node"]: r["total"] for r in made.collect()} == want
+    assert made.schema["total"].dataType.typeName() == "long" and made.count() == len(parent)
+    chain = df.filter("node >= 200")  # nothing but the walk's
+    assert {r["node"]: r["total"] for r in labels.interval_labels(chain, "v").collect()} == {n: want[n] for n in want if n >= 200}
+    assert "total" in labels.interval_labels(df.limit(0), "v").columns and labels.interval_labels(df.limit(0), "v").count() == 0
+
+
+def test_hierarchy_labels_write_each_node_a_few_times(spark, monkeypatch):
+    made = []
+    for module, name in ((labels, "bucketed"), (labels, "settled"), (graph_queries, "settled"), (running, "written")):
+        monkeypatch.setattr(module, name, lambda *a, write=getattr(module, name): made.append(write(*a)) or made[-1])
+    monkeypatch.setattr(labels, "discard", lambda *t: None)  # what is written stays, to be counted
+    nodes = graph_queries.hierarchy_labels(spark, "/root/testdata/sf0.001").count()
+    assert sum(t.count() for t in made) <= 3.5 * nodes  # all rows to their nodes, leaves once more; sums over ranges of places came to 7.7
+
+
 def test_scopes_match_a_stack(spark):
     rng = random.Random(6)
     kinds = ["open"] * 4 + ["close"] * 4 + ["declare", "use", "use"]
